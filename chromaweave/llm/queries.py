@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from chromaweave.llm.language import fit_languages, identify_language
+from chromaweave.llm.quality import fit_quality, score_quality
 from chromaweave.llm.token_counts import token_counts
 
 
@@ -18,8 +21,28 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def _fold(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n: fixes which rows a model may learn from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(_fold(5) != 0).select("doc_id", F.col("quality").alias("label"))
+    scored = score_quality(docs, fit_quality(docs, labels), threshold=0.3)
+    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = identify_language(docs, fit_languages(docs.where(_fold(4) != 2)))
+    return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op4_quality": op4_quality,
+    "op7_language": op7_language,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
