@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 #: Fixed value: the published split pattern of this byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_LISTS = "piece string, base bigint, places binary, times binary, salt bigint, doc_id bigint, n_bytes bigint, n_special bigint"
-_SUMS = "row_key bigint, doc_id bigint, n_bytes bigint, n bigint"
-_LISTS_ARROW = pa.schema([("piece", pa.string()), ("base", pa.int64()), ("places", pa.binary()), ("times", pa.binary()), ("salt", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_special", pa.int64())])
-_SUMS_ARROW = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n", pa.int64())])
+#: A block's base is the number of its first row. piece null: ``packed`` describes the block's rows; else it is
+#: the posting list, 2 bytes of place in the block and 1 byte of count for each posting.
+_LISTS = "piece string, base bigint, packed binary"
+#: piece null: as above. Otherwise 2 bytes of place and 4 bytes of pieces for each row counted.
+_SUMS = "described boolean, base bigint, packed binary"
+_ROWS = "doc_id bigint, n_bytes bigint, n_tokens bigint"
 
 
 def special_strings(tokenizer_json: str) -> list[str]:
@@ -44,22 +46,14 @@ def _posting_lists(specials: list[str], most: int):
         cut = regex.compile("|".join(map(regex.escape, specials))) if specials else None
         base, held = TaskContext.get().partitionId() << 40, 0
         lists: dict[str, tuple[array, bytearray]] = {}
-        heads: list[tuple[int, int | None, int, int]] = []
+        heads: list[tuple[int, int, int, int]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            n, m = len(lists), len(heads)
-            keys = [base + k for k in range(m)]
-            columns = [
-                pa.array([*lists, *[None] * m], pa.string()),
-                pa.array([*[base] * n, *keys], pa.int64()),
-                pa.array([*(a.tobytes() for a, _ in lists.values()), *[None] * m], pa.binary()),
-                pa.array([*(bytes(b) for _, b in lists.values()), *[None] * m], pa.binary()),
-                pa.array([*[0] * n, *keys], pa.int64()),
-                *(pa.array([*[None] * n, *(h[k] for h in heads)], pa.int64()) for k in range(3)),
-            ]
-            whole = pa.RecordBatch.from_arrays(columns, schema=_LISTS_ARROW)
-            for at in range(0, whole.num_rows, 20_000):
-                yield whole.slice(at, 20_000)
+            pieces = [None, *lists]
+            packed = [np.array(heads, np.int64).tobytes(), *(a.tobytes() + b for a, b in lists.values())]
+            for at in range(0, len(pieces), 20_000):
+                some = pieces[at : at + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([base] * len(some), pa.int64()), pa.array(packed[at : at + 20_000], pa.binary())], names=["piece", "base", "packed"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -83,7 +77,7 @@ def _posting_lists(specials: list[str], most: int):
                     got[0].append(place)
                     got[1].append(times)
                 held += len(found)
-                heads.append((doc_id, len(text.encode()), special))
+                heads.append((doc_id or 0, doc_id is None, len(text.encode()), special))
                 if len(heads) == 65_535 or held >= most:
                     yield from flush()
                     base, held = base + len(heads), 0
@@ -95,27 +89,30 @@ def _posting_lists(specials: list[str], most: int):
     return run
 
 
-def _summed(tokenizer_json: str, most: int):
+def _piece_counts(tokenizer_json: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(tokenizer_json)
         tokenizer.encode_special_tokens = True
+        bases: list[np.ndarray] = []
         keys: list[np.ndarray] = []
         sums: list[np.ndarray] = []
         held, last, last_n = 0, None, 0
 
         def flush() -> pa.RecordBatch:
             key, where = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(where, weights=np.concatenate(sums)).astype(np.int64)
-            empty = pa.nulls(len(key), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(key), empty, empty, pa.array(n)], schema=_SUMS_ARROW)
+            n = np.bincount(where, weights=np.concatenate(sums)).astype(np.uint32)
+            first = np.unique(np.concatenate(bases))
+            edges = np.searchsorted(key, [*first, np.iinfo(np.int64).max])
+            packed = [(key[s:e] - f).astype(np.uint16).tobytes() + n[s:e].tobytes() for f, s, e in zip(first, edges, edges[1:])]
+            return pa.RecordBatch.from_arrays([pa.array([False] * len(first)), pa.array(first), pa.array(packed, pa.binary())], names=["described", "base", "packed"])
 
         for batch in batches:
             heads = batch.filter(batch.column(0).is_null())
             if heads.num_rows:
-                yield pa.RecordBatch.from_arrays([heads.column(1), heads.column(5), heads.column(6), heads.column(7)], schema=_SUMS_ARROW)
+                yield pa.RecordBatch.from_arrays([pa.array([True] * heads.num_rows), heads.column(1), heads.column(2)], names=["described", "base", "packed"])
             rows = batch.filter(batch.column(0).is_valid())
             if not rows.num_rows:
                 continue
@@ -124,20 +121,45 @@ def _summed(tokenizer_json: str, most: int):
             counted = [len(e) for e in tokenizer.encode_batch([pieces[k] for k in fresh], add_special_tokens=False)]
             per_row = np.repeat(np.array([last_n, *counted]), np.diff([0, *fresh, len(pieces)]))
             last, last_n = pieces[-1], int(per_row[-1])
-            places = rows.column(2).to_pylist()
-            lengths = np.array([len(x) // 2 for x in places])
-            keys.append(np.repeat(rows.column(1).to_numpy(), lengths) + np.frombuffer(b"".join(places), np.uint16))
-            sums.append(np.repeat(per_row, lengths) * np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8))
+            packed = rows.column(2).to_pylist()
+            lengths = np.array([len(x) // 3 for x in packed])
+            base = rows.column(1).to_numpy()
+            bases.append(np.unique(base))
+            keys.append(np.repeat(base, lengths) + np.frombuffer(b"".join(x[: len(x) // 3 * 2] for x in packed), np.uint16))
+            sums.append(np.repeat(per_row, lengths) * np.frombuffer(b"".join(x[len(x) // 3 * 2 :] for x in packed), np.uint8))
             held += len(keys[-1])
             if held >= most:
                 yield flush()
-                keys, sums, held = [], [], 0
+                bases, keys, sums, held = [], [], [], 0
         if keys:
             yield flush()
 
     return run
 
 
+def _row_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, heads, base = np.zeros(1 << 16, np.int64), None, None
+
+    def finished() -> pa.RecordBatch:
+        tokens = total[: len(heads)] + heads[:, 3]
+        return pa.RecordBatch.from_arrays([pa.array(heads[:, 0], pa.int64(), mask=heads[:, 1] > 0), pa.array(heads[:, 2]), pa.array(tokens)], names=["doc_id", "n_bytes", "n_tokens"])
+
+    for batch in batches:
+        for described, at, packed in zip(*(c.to_pylist() for c in batch.columns)):  # sorted by block
+            if at != base:
+                if base is not None:
+                    yield finished()
+                base, heads = at, None
+                total[:] = 0
+            if described:
+                heads = np.frombuffer(packed, np.int64).reshape(-1, 4)
+            else:
+                n = len(packed) // 6
+                total[np.frombuffer(packed[: 2 * n], np.uint16)] += np.frombuffer(packed[2 * n :], np.uint32)
+    if base is not None:
+        yield finished()
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, postings_in_memory: int = 1_500_000) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit (``n_tokens > limit``).
 
@@ -150,10 +172,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, postin
         vocabulary = f.read()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
     lists = texts.mapInArrow(_posting_lists(special_strings(vocabulary), postings_in_memory), _LISTS)
-    together = lists.repartition("piece", "salt").sortWithinPartitions("piece")
-    sums = together.mapInArrow(_summed(vocabulary, postings_in_memory), _SUMS)
-    return (
-        sums.groupBy("row_key")
-        .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
-        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    )
+    by_piece = lists.repartition(F.coalesce("piece", F.col("base").cast("string"))).sortWithinPartitions("piece")
+    sums = by_piece.mapInArrow(_piece_counts(vocabulary, postings_in_memory), _SUMS)
+    rows = sums.repartition("base").sortWithinPartitions("base").mapInArrow(_row_totals, _ROWS)
+    return rows.withColumn("over_limit", F.col("n_tokens") > limit)
