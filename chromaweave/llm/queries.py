@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from chromaweave.llm.decontamination import decontaminate
 from chromaweave.llm.language import fit_languages, identify_language
+from chromaweave.llm.licences import KNOWN, scan_licences
+from chromaweave.llm.licences import oracle_sql as licences_sql
+from chromaweave.llm.neighbours import nearest
+from chromaweave.llm.pieces import encode_pieces
 from chromaweave.llm.quality import fit_quality, score_quality
 from chromaweave.llm.token_counts import token_counts
 
@@ -27,6 +31,11 @@ def _fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").where(_fold(5) != 0).select("doc_id", F.col("quality").alias("label"))
@@ -34,25 +43,37 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(_table(spark, sf_dir, "documents"), spark.createDataFrame(KNOWN, "license_id string, text string"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = identify_language(docs, fit_languages(docs.where(_fold(4) != 2)))
     return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n_best=3)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13, one_in=20)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_neighbours": op3_neighbours,
     "op4_quality": op4_quality,
+    "op5_licences": op5_licences,
     "op7_language": op7_language,
+    "op9_pieces": op9_pieces,
     "op10_decontamination": op10_decontamination,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op5_licences": licences_sql(),
     "op10_decontamination": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
