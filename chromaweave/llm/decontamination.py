@@ -7,29 +7,42 @@ documents are then looked at word by word around each hit, so that hashes alone
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chromaweave.llm.lineage import shared_checkpoint
+
 #: Fixed value: what separates words, with A-Z still in the text; words are lower-cased afterwards.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Above this many bytes of benchmark text the fingerprints are joined by a shuffle, not a broadcast.
 BROADCAST_BYTES = 16 << 20
+#: Up to this many fingerprints, those that no item has are dropped before rows are made of them for the join.
+PREFILTER_PRINTS = 20_000
 
 
 def _words(text: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), SEPARATORS), "")
+
 
+def _word_hashes(words: str) -> Column:
+    """Full lower-casing may merge more words than A-Z alone; never fewer."""
+    return F.expr(f"transform({words}, x -> xxhash64(lower(x)))")
 
-def _grams(words: str, k: int) -> Column:
-    """Hashes of all runs of k words. Full lower-casing may merge more words than A-Z alone; never fewer."""
-    return F.expr(f"CASE WHEN size({words}) >= {k} THEN transform(sequence(1, size({words}) - {k - 1}), i -> xxhash64(lower(array_join(slice({words}, i, {k}), ' ')))) ELSE array() END").cast("array<bigint>")
+
+def _grams(hashes: str, k: int) -> Column:
+    """Hashes of all runs of k words."""
+    run = ", ".join(["x", *(f"get({hashes}, i + {j})" for j in range(1, k))])
+    return F.expr(f"slice(transform({hashes}, (x, i) -> xxhash64({run})), 1, greatest(size({hashes}) - {k - 1}, 0))")
 
 
 def _winnowed(grams: str, width: int) -> Column:
     """The smallest hash of each window of ``width`` hashes, without repeats."""
-    return F.expr(f"CASE WHEN size({grams}) >= {width} THEN array_distinct(transform(sequence(1, size({grams}) - {width - 1}), i -> array_min(slice({grams}, i, {width})))) ELSE array() END").cast("array<bigint>")
+    run = ", ".join(["x", *(f"get({grams}, i + {j})" for j in range(1, width))])
+    return F.expr(f"array_distinct(slice(transform({grams}, (x, i) -> {'least(' + run + ')' if width > 1 else 'x'}), 1, greatest(size({grams}) - {width - 1}, 0)))")
 
 
 def _common_prefix(a: str, b: str) -> str:
@@ -49,51 +62,51 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram:
     """
     reach = window - gram
     lowered = F.transform(_words("text"), lambda w: F.translate(w, _UPPER, _LOWER))
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("text")).where("item IS NOT NULL").select("item", lowered.alias("iw")).where("size(iw) > 0")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("text")).where("item IS NOT NULL").select("item", lowered.alias("iw")).where("size(iw) > 0").withColumn("ih", _word_hashes("iw"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").alias("text"))
 
     size = benchmark.agg(F.sum(F.octet_length("text")).alias("bytes")).collect()[0]["bytes"] or 0
     small = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)
     short = sorted(r["n"] for r in items.where(f"size(iw) < {window}").select(F.size("iw").alias("n")).distinct().collect())  # at most window - 1 numbers
 
-    long_items = items.where(f"size(iw) >= {window}").withColumn("g", _grams("iw", gram))
+    long_items = items.where(f"size(iw) >= {window}").withColumn("g", _grams("ih", gram))
     prints = (
         long_items.withColumn("kept", _winnowed("g", reach + 1))
         .select("item", "iw", F.posexplode("g").alias("q", "print"), "kept")
         .where("array_contains(kept, print)")
         .select("item", F.lit(0).alias("n"), "print", F.expr(f"reverse(slice(iw, greatest(q - {reach}, 0) + 1, least(q, {reach})))").alias("i_left"), F.expr(f"slice(iw, q + 1, {window})").alias("i_right"))
     )
-    whole = items.where(f"size(iw) < {window}").select("item", F.size("iw").alias("n"), F.xxhash64(F.lower(F.array_join("iw", " "))).alias("print"), F.expr("slice(iw, 1, 0)").alias("i_left"), F.col("iw").alias("i_right"))
-    known = prints.unionByName(whole)
-
-    words = texts.select("doc_id", "text_key", _words("text").alias("w"))
-    marks = [F.transform(_winnowed("g", reach + 1), lambda h: F.struct(F.lit(0).alias("n"), h.alias("print")))]
-    marks += [F.transform(F.array_distinct(_grams("w", n)), lambda h, n=n: F.struct(F.lit(n).alias("n"), h.alias("print"))) for n in short]
-    candidates = (
-        words.withColumn("g", _grams("w", gram))
-        .select("doc_id", "text_key", F.explode(F.concat(*marks)).alias("m"))
-        .select("doc_id", "text_key", "m.n", "m.print")
-        .join(small(known.select("n", "print").distinct()), ["n", "print"])
-        .groupBy("doc_id", "text_key")
-        .agg(F.collect_set(F.struct("n", "print")).alias("found"))
+    whole = [items.where(f"size(iw) = {n}").select("item", F.lit(n).alias("n"), _grams("ih", n)[0].alias("print"), F.expr("slice(iw, 1, 0)").alias("i_left"), F.col("iw").alias("i_right")) for n in short]
+    known = reduce(DataFrame.unionByName, whole, prints)
+    wanted = known.select("n", "print").distinct()
+    few = [(r["n"], r["print"]) for r in wanted.limit(PREFILTER_PRINTS + 1).collect()]
+
+    def marks(n: int, hashes: Column) -> Column:
+        if len(few) <= PREFILTER_PRINTS:
+            own = [h for m, h in few if m == n]
+            hashes = F.filter(hashes, lambda h: h.isin(own)) if own else F.filter(hashes, lambda h: F.lit(False))
+        return F.transform(hashes, lambda h: F.struct(F.lit(n).alias("n"), h.alias("print")))
+
+    sized = texts.select("doc_id", "text_key", _words("text").alias("w")).select("doc_id", "text_key", F.size("w").alias("n_words"), _word_hashes("w").alias("h"))
+    every = [marks(0, _winnowed("g", reach + 1)), *(marks(n, F.array_distinct(_grams("h", n))) for n in short)]
+    count = F.array(F.struct(F.lit(-1).alias("n"), F.col("n_words").cast("bigint").alias("print")))  # one for each row
+    exploded = sized.withColumn("g", _grams("h", gram)).select("doc_id", "text_key", F.explode(F.concat(count, *every)).alias("m")).select("doc_id", "text_key", "m.n", "m.print")
+    joined = exploded.join(small(wanted.withColumn("known", F.lit(True))), ["n", "print"], "left").where("known OR n = -1")
+    rows = shared_checkpoint(
+        joined.groupBy("doc_id", "text_key").agg(
+            F.max(F.when(F.col("n") == -1, F.col("print"))).alias("n_words"),
+            F.sum(F.when(F.col("n") == -1, 1)).alias("times"),
+            F.collect_set(F.when(F.col("n") >= 0, F.struct("n", "print"))).alias("found"),
+        )
     )
-    again = candidates.join(texts.distinct(), (candidates["text_key"] == texts["text_key"]) & candidates["doc_id"].eqNullSafe(texts["doc_id"])).select(candidates["doc_id"], candidates["text_key"], "found", lowered.alias("w"))
-    left, right = f"reverse(slice(w, greatest(p - {reach}, 0) + 1, least(p, {reach}))) AS d_left", f"slice(w, p + 1, {window}) AS d_right"
-    pieces = []
+    candidates = rows.where("size(found) > 0").select("doc_id", "text_key", "found")
+    again = candidates.join(texts.withColumnRenamed("doc_id", "own_id").withColumnRenamed("text_key", "own_key"), (F.col("text_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("doc_id", "text_key", "found", lowered.alias("w"))
+    again = again.withColumn("h", _word_hashes("w"))
     for n in (0, *short):
-        k = n or gram
-        wanted = F.expr(f"transform(filter(found, x -> x.n = {n}), x -> x.print)")
-        places = F.expr("filter(sequence(0, size(g) - 1), p -> array_contains(wanted, g[p]))")
-        pieces.append(
-            again.withColumn("wanted", wanted)
-            .where("size(wanted) > 0")
-            .withColumn("g", _grams("w", k))
-            .select("doc_id", "text_key", "w", "g", F.explode(places).alias("p"))
-            .selectExpr("doc_id", "text_key", f"{n} AS n", "p", "g[p] AS print", left, right)
-        )
-    hits = pieces[0]
-    for piece in pieces[1:]:
-        hits = hits.unionByName(piece)
+        again = again.withColumn(f"g{n}", _grams("h", n or gram)).withColumn(f"wanted{n}", F.expr(f"transform(filter(found, x -> x.n = {n}), x -> x.print)"))
+    left, right = f"reverse(slice(w, greatest(p - {reach}, 0) + 1, least(p, {reach}))) AS d_left", f"slice(w, p + 1, {window}) AS d_right"
+    places = [F.expr(f"transform(filter(sequence(0, size(g{n})), p -> array_contains(wanted{n}, get(g{n}, p))), p -> named_struct('n', {n}, 'p', p, 'print', g{n}[p]))") for n in (0, *short)]
+    hits = again.select("doc_id", "text_key", "w", F.explode(F.concat(*places)).alias("m")).select("doc_id", "text_key", "w", "m.n", "m.p", "m.print").selectExpr("doc_id", "text_key", "n", "p", "print", left, right)
     spans = (
         hits.join(small(known), ["n", "print"])
         .withColumn("left", F.expr(_common_prefix("d_left", "i_left")))
@@ -110,12 +123,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram:
         .groupBy("doc_id", "text_key").agg(F.sum("fresh").alias("n_hit"))
     )
     judged = by_item.join(by_word, by_item["text_key"].eqNullSafe(by_word["text_key"]) & by_item["doc_id"].eqNullSafe(by_word["doc_id"])).select(by_item["doc_id"].alias("hit_id"), by_item["text_key"].alias("hit_key"), "items", "n_hit")
-    counted = texts.select("doc_id", "text_key", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("n_words"))
-    return counted.join(judged, (F.col("text_key") == F.col("hit_key")) & F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select(
-        "doc_id",
-        "n_words",
-        F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
-        F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("bigint").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join(F.array_sort("items"), ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0)) * one_in >= F.col("n_words")).alias("enough"),
-    ).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("enough") & (F.col("n_hit") > 0)).alias("contaminated"))
+    return (
+        rows.join(judged, (F.col("text_key") == F.col("hit_key")) & F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+        .select(
+            "doc_id",
+            "n_words",
+            F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
+            F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("bigint").alias("n_items"),
+            F.sha2(F.coalesce(F.array_join(F.array_sort("items"), ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
+        )
+        .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words")))
+    )
