@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -30,6 +32,17 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data[low : int(at[-1])], starts - low, ends - low
 
 
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most so many bytes of text, at least one row each: bounds what numpy holds at once."""
+    _, starts, ends = text_buffers(batch.column(column))
+    sums = np.concatenate([[0], np.cumsum(ends - starts)])
+    at = 0
+    while at < batch.num_rows:
+        until = max(at + 1, int(np.searchsorted(sums, sums[at] + most_bytes, "right")) - 1)
+        yield batch.slice(at, until - at)
+        at = until
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit moves every output bit."""
     h = h ^ (h >> _U64(30))

@@ -8,6 +8,7 @@ best first. A document's N best combine those of its units.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 from collections.abc import Iterator
@@ -27,8 +28,7 @@ SPACE = "▁"
 class PieceLattice:
     """Pieces of a model, their scores and the N-best search over one unit."""
 
-    table: dict[str, int]  # pieces, and with -1 what only begins one
-    scores: list[float]
+    table: dict[str, tuple]  # (score, (id,)) of pieces, and () of what only begins one
     texts: list[str]
     byte_ids: list[int]
     unknown: int
@@ -45,43 +45,45 @@ class PieceLattice:
         byte_ids = [processor.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if not all(processor.is_byte(i) for i in byte_ids):
             byte_ids = []
-        table = {texts[i][:k]: -1 for i in usable for k in range(1, len(texts[i]))} | {texts[i]: i for i in usable}
-        return cls(table, scores, texts, byte_ids, processor.unk_id(), min(scores[i] for i in usable if len(texts[i]) == 1) - 10)
+        table = {texts[i][:k]: () for i in usable for k in range(1, len(texts[i]))} | {texts[i]: (scores[i], (i,)) for i in usable}
+        return cls(table, texts, byte_ids, processor.unk_id(), min(scores[i] for i in usable if len(texts[i]) == 1) - 10)
 
     def _of_unknown(self, char: str) -> tuple[int, ...]:
         return tuple(self.byte_ids[b] for b in char.encode()) if self.byte_ids else (self.unknown,)
 
     def best(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best (score, ids) of a unit, best first; equal scores come in ascending order of ids from the end."""
-        size, look, scores = len(unit), self.table.get, self.scores
+        size, look = len(unit), self.table.get
         ahead = [0.0] + [float("-inf")] * size  # the best score of unit[:k]
-        ending: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(size + 1)]
+        ending: list[list[tuple[int, tuple]]] = [[] for _ in ahead]
         for at in range(size):
             so_far = ahead[at]
-            single = False
             for end in range(at + 1, size + 1):
-                piece = look(unit[at:end])
-                if piece is None:
+                got = look(unit[at:end])
+                if not got and end == at + 1:
+                    edge = (self.penalty, self._of_unknown(unit[at]))
+                elif got is None:
+                    break
+                else:
+                    edge = got
+                if edge:
+                    ending[end].append((at, edge))
+                    total = so_far + edge[0]
+                    if total > ahead[end]:
+                        ahead[end] = total
+                if got is None:
                     break
-                if piece >= 0:
-                    score = scores[piece]
-                    ending[end].append((at, score, (piece,)))
-                    if so_far + score > ahead[end]:
-                        ahead[end] = so_far + score
-                    single = single or end == at + 1
-            if not single:
-                ending[at + 1].append((at, self.penalty, self._of_unknown(unit[at])))
-                if so_far + self.penalty > ahead[at + 1]:
-                    ahead[at + 1] = so_far + self.penalty
         found: list[tuple[float, tuple[int, ...]]] = []
+        push, pop = heapq.heappush, heapq.heappop
         heap: list[tuple[float, tuple[int, ...], int, float]] = [(-ahead[size], (), size, 0.0)]
         while heap and len(found) < n:
-            _, tail, at, behind = heapq.heappop(heap)
+            _, tail, at, behind = pop(heap)
             if at == 0:
                 found.append((behind, tail))
                 continue
-            for start, score, piece in ending[at]:
-                heapq.heappush(heap, (-(ahead[start] + behind + score), piece + tail, start, behind + score))
+            for start, (score, piece) in ending[at]:
+                total = behind + score
+                push(heap, (-(ahead[start] + total), piece + tail, start, total))
         return found
 
     def decode(self, ids) -> str:
@@ -113,6 +115,7 @@ def _encoded(model: bytes, n: int, memory: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
+        gc.disable()  # what is remembered has no cycles; scanning it over and over takes most of the time
         processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         lattice = PieceLattice.of(processor)
         cut = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
@@ -124,7 +127,7 @@ def _encoded(model: bytes, n: int, memory: int, with_ids: bool):
             best, ids = ways[0]
             shown = "".join([lattice.texts[i] for i in ids])
             if shown != unit:  # byte pieces
-                shown = lattice.decode((lattice.table[SPACE], *ids)).replace(" ", SPACE)
+                shown = lattice.decode((*lattice.table[SPACE][1], *ids)).replace(" ", SPACE)
             losses = tuple([best - s for s, _ in ways]) if len(ways) > 1 else (0.0, nothing)
             return np.array(ids, "<i4").tobytes(), best, shown, losses
 

@@ -159,7 +159,7 @@ def fit_attention(owner: np.ndarray, features: np.ndarray, labels: np.ndarray, w
 
 def _features_of(size: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in arrays.slices(b, 2)):
             owner, made = _passages(batch.column(2), size)
             rows = np.arange(batch.num_rows)
             edges = np.searchsorted(owner, np.arange(batch.num_rows + 1))
@@ -201,14 +201,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, passage_words: int = 64, sam
 
 def _scores(model: AttentionModel | float, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in arrays.slices(b, b.num_columns - 1)):
             if isinstance(model, float):
                 score = np.full(batch.num_rows, model)
-            elif batch.num_rows:
+            else:
                 owner, made = _passages(batch.column(batch.num_columns - 1), size)
                 score = model.score(owner, made, batch.num_rows)
-            else:
-                continue
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
     return run
