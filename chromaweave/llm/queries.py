@@ -15,6 +15,7 @@ from chromaweave.llm.licences import oracle_sql as licences_sql
 from chromaweave.llm.neighbours import nearest
 from chromaweave.llm.pieces import encode_pieces
 from chromaweave.llm.quality import fit_quality, score_quality
+from chromaweave.llm.suffix_dedup import remove_repeated_bytes
 from chromaweave.llm.token_counts import token_counts
 
 
@@ -31,6 +32,10 @@ def _fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(_table(spark, sf_dir, "documents"), length=50)
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
@@ -63,6 +68,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_neighbours": op3_neighbours,
     "op4_quality": op4_quality,
     "op5_licences": op5_licences,
@@ -73,6 +79,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL of those queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op2_suffix_dedup": """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents
+), w AS (SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)
+), f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING count(*) > 1
+), hit AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE doc_id > first
+), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS b FROM hit
+), runs AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (b <> coalesce(p, -2) + 1) AS n_spans, list(b ORDER BY b) AS bs
+  FROM (SELECT doc_id, b, lag(b) OVER (PARTITION BY doc_id ORDER BY b) AS p FROM gone) GROUP BY doc_id
+), kept AS (SELECT doc_id, string_agg(substring(h, 2 * b + 1, 2), '' ORDER BY b) AS k
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS b FROM d SEMI JOIN runs USING (doc_id)) x ANTI JOIN gone USING (doc_id, b) GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN runs.doc_id IS NULL THEN h ELSE coalesce(k, '') END)) AS kept_sha256
+FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
     "op5_licences": licences_sql(),
     "op10_decontamination": r"""
 WITH d AS (
