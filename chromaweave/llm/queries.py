@@ -15,6 +15,7 @@ from chromaweave.llm.licences import oracle_sql as licences_sql
 from chromaweave.llm.neighbours import nearest
 from chromaweave.llm.pieces import encode_pieces
 from chromaweave.llm.quality import fit_quality, score_quality
+from chromaweave.llm.substring_dedup import remove_repeated_words
 from chromaweave.llm.suffix_dedup import remove_repeated_bytes
 from chromaweave.llm.token_counts import token_counts
 
@@ -58,6 +59,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_words(_table(spark, sf_dir, "documents"), length=20)
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n_best=3)
 
@@ -73,12 +78,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_licences": op5_licences,
     "op7_language": op7_language,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_pieces": op9_pieces,
     "op10_decontamination": op10_decontamination,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op8_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), x AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)
+), n AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM x
+), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM n WHERE k > 1
+), g AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id
+), kept AS (SELECT doc_id, string_agg(w[j], ' ' ORDER BY j) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM d) ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
     "op2_suffix_dedup": """
 WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents
 ), w AS (SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)
