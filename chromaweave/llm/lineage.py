@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -17,3 +18,14 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
         folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def shared_table(df: DataFrame, partition_by: str) -> DataFrame:
+    """``df`` written once as a Parquet table in the shared checkpoint folder, one folder for each ``partition_by``."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

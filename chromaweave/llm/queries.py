@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chromaweave.llm.decontamination import decontaminate
+from chromaweave.llm.jaccard_join import jaccard_components
 from chromaweave.llm.language import fit_languages, identify_language
 from chromaweave.llm.licences import KNOWN, scan_licences
 from chromaweave.llm.licences import oracle_sql as licences_sql
@@ -53,6 +54,10 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(_table(spark, sf_dir, "documents"), spark.createDataFrame(KNOWN, "license_id string, text string"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), width=5, percent=75)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = identify_language(docs, fit_languages(docs.where(_fold(4) != 2)))
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_neighbours": op3_neighbours,
     "op4_quality": op4_quality,
     "op5_licences": op5_licences,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_language": op7_language,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_pieces": op9_pieces,
@@ -85,6 +91,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL of those queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op6_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT both_ways.b, r.c FROM r JOIN both_ways ON both_ways.a = r.doc_id WHERE both_ways.b > r.c)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(r.c) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY ALL
+""",
     "op8_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), x AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)
