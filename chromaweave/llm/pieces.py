@@ -21,18 +21,28 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chromaweave.llm.arrays import slices as text_slices
+
 SPACE = "▁"
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Longer units are searched one by one, not in arrays.
+_LONGEST = 48
+
+
 @dataclass
 class PieceLattice:
-    """Pieces of a model, their scores and the N-best search over one unit."""
+    """Pieces of a model, their scores, and searches over the lattices of units."""
 
     table: dict[str, tuple]  # (score, (id,)) of pieces, and () of what only begins one
     texts: list[str]
     byte_ids: list[int]
     unknown: int
     penalty: float
+    hashes: np.ndarray  # of the table's strings, sorted, with their scores and ids (-1: no piece)
+    hash_scores: np.ndarray
+    hash_ids: np.ndarray
 
     @classmethod
     def of(cls, processor) -> PieceLattice:
@@ -46,46 +56,134 @@ class PieceLattice:
         if not all(processor.is_byte(i) for i in byte_ids):
             byte_ids = []
         table = {texts[i][:k]: () for i in usable for k in range(1, len(texts[i]))} | {texts[i]: (scores[i], (i,)) for i in usable}
-        return cls(table, texts, byte_ids, processor.unk_id(), min(scores[i] for i in usable if len(texts[i]) == 1) - 10)
+        hashes = np.zeros(len(table), np.uint64)
+        for k, string in enumerate(table):
+            h = 0
+            for char in string:
+                h = (h * int(_BASE) + ord(char) + 1) & 0xFFFFFFFFFFFFFFFF
+            hashes[k] = h
+        order = np.argsort(hashes)
+        if len(np.unique(hashes)) < len(hashes):
+            raise ValueError("two pieces have one hash")
+        values = list(table.values())
+        return cls(table, texts, byte_ids, processor.unk_id(), min(scores[i] for i in usable if len(texts[i]) == 1) - 10, hashes[order], np.array([v[0] if v else 0.0 for v in values])[order], np.array([v[1][0] if v else -1 for v in values], np.int32)[order])
 
     def _of_unknown(self, char: str) -> tuple[int, ...]:
         return tuple(self.byte_ids[b] for b in char.encode()) if self.byte_ids else (self.unknown,)
 
-    def best(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best (score, ids) of a unit, best first; equal scores come in ascending order of ids from the end."""
+    def _forward(self, unit: str) -> tuple[list[float], list[list[tuple[int, tuple]]]]:
+        """The best score of unit[:k], and the edges (start, (score, ids)) that end at k, for each k."""
         size, look = len(unit), self.table.get
-        ahead = [0.0] + [float("-inf")] * size  # the best score of unit[:k]
+        ahead = [0.0] + [float("-inf")] * size
         ending: list[list[tuple[int, tuple]]] = [[] for _ in ahead]
         for at in range(size):
             so_far = ahead[at]
             for end in range(at + 1, size + 1):
                 got = look(unit[at:end])
+                edge = got
                 if not got and end == at + 1:
                     edge = (self.penalty, self._of_unknown(unit[at]))
-                elif got is None:
-                    break
-                else:
-                    edge = got
                 if edge:
                     ending[end].append((at, edge))
-                    total = so_far + edge[0]
-                    if total > ahead[end]:
-                        ahead[end] = total
+                    ahead[end] = max(ahead[end], so_far + edge[0])
                 if got is None:
                     break
+        return ahead, ending
+
+    def best(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The ``n`` best (score, ids) of a unit, best first."""
+        ahead, ending = self._forward(unit)
         found: list[tuple[float, tuple[int, ...]]] = []
-        push, pop = heapq.heappush, heapq.heappop
-        heap: list[tuple[float, tuple[int, ...], int, float]] = [(-ahead[size], (), size, 0.0)]
+        heap: list[tuple[float, tuple[int, ...], int, float]] = [(-ahead[-1], (), len(unit), 0.0)]
         while heap and len(found) < n:
-            _, tail, at, behind = pop(heap)
+            _, tail, at, behind = heapq.heappop(heap)
             if at == 0:
                 found.append((behind, tail))
                 continue
             for start, (score, piece) in ending[at]:
                 total = behind + score
-                push(heap, (-(ahead[start] + total), piece + tail, start, total))
+                heapq.heappush(heap, (-(ahead[start] + total), piece + tail, start, total))
         return found
 
+    def first(self, units: list[str]) -> list[tuple[bytes, float, str, float]]:
+        """Of each unit: the ids of its best segmentation, their score, the text they show, and what the second best loses.
+
+        Of equal scores the one with the longer last piece counts as best.
+        """
+        out: list = [None] * len(units)
+        by_size: dict[int, list[int]] = {}
+        for k, unit in enumerate(units):
+            by_size.setdefault(len(unit), []).append(k)
+        for size, which in by_size.items():
+            left = which if size > _LONGEST else []
+            for s in range(0, len(which) if not left else 0, 20_000):
+                left = left + self._first_of_size([units[k] for k in which[s : s + 20_000]], which[s : s + 20_000], size, out)
+            for k in left:
+                ways = self.best(units[k], 2)
+                ids = ways[0][1]
+                shown = self.decode((*self.table[SPACE][1], *ids)).replace(" ", SPACE)
+                out[k] = (np.array(ids, "<i4").tobytes(), ways[0][0], shown, ways[0][0] - ways[1][0] if len(ways) > 1 else float("inf"))
+        return out
+
+    def _first_of_size(self, units: list[str], names: list[int], size: int, out: list) -> list[int]:
+        """``first`` of units of one size, all at once; those with a character that is no piece are returned."""
+        n = len(units)
+        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(np.uint64) + np.uint64(1)
+        ahead = np.full((n, size + 1), -np.inf)
+        ahead[:, 0] = 0
+        back = np.zeros((n, size + 1), np.int32)
+        piece = np.zeros((n, size + 1), np.int32)
+        edges = []
+        odd = np.zeros(n, bool)
+        for at in range(size):
+            rows, h = np.arange(n), np.zeros(n, np.uint64)
+            for end in range(at + 1, size + 1):
+                h = h * _BASE + chars[rows, end - 1]
+                place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                known = self.hashes[place] == h
+                rows, h, place = rows[known], h[known], place[known]
+                ids = self.hash_ids[place]
+                whole = ids >= 0
+                if end == at + 1:
+                    single = np.zeros(n, bool)
+                    single[rows[whole]] = True
+                    odd |= ~single
+                own, score, ids = rows[whole], self.hash_scores[place[whole]], ids[whole]
+                total = ahead[own, at] + score
+                better = total > ahead[own, end]
+                won = own[better]
+                ahead[won, end], back[won, end], piece[won, end] = total[better], at, ids[better]
+                edges.append((own, at, end, score))
+                if not len(rows):
+                    break
+        fine = np.flatnonzero(~odd)
+        next_end = np.zeros((n, size), np.int32)
+        chosen = np.full((n, size), -1, np.int32)
+        at = np.where(odd, 0, size)
+        while (live := np.flatnonzero(at)).size:
+            before = back[live, at[live]]
+            next_end[live, before] = at[live]
+            chosen[live, before] = piece[live, at[live]]
+            at[live] = before
+        behind = np.full((n, size + 1), -np.inf)
+        behind[:, size] = 0
+        for own, start, end, score in reversed(edges):
+            behind[own, start] = np.maximum(behind[own, start], behind[own, end] + score)
+        second = np.full(n, -np.inf)
+        for own, start, end, score in edges:
+            off = next_end[own, start] != end
+            own = own[off]
+            second[own] = np.maximum(second[own], ahead[own, start] + score[off] + behind[own, end])
+        best = ahead[:, size]
+        counts = (chosen >= 0).sum(1)
+        flat = chosen[fine][chosen[fine] >= 0].astype("<i4").tobytes()
+        ends = np.cumsum(counts[fine]) * 4
+        begin = 0
+        for k, end, score, loss in zip(fine.tolist(), ends.tolist(), best[fine].tolist(), (best[fine] - second[fine]).tolist()):
+            out[names[k]] = (flat[begin:end], score, units[k], loss)
+            begin = end
+        return [names[k] for k in np.flatnonzero(odd)]
+
     def decode(self, ids) -> str:
         """The text of ids, as the model's own library gives it (without its first space)."""
         byte_of = {p: b for b, p in enumerate(self.byte_ids)}
@@ -99,13 +197,12 @@ class PieceLattice:
         return text[1:] if text.startswith(" ") else text
 
 
-def combine(losses_of_units: list[tuple[float, ...]], n: int) -> list[float]:
-    """Losses of the ``n`` best combinations, where each unit has ascending losses, the first 0. At most n - 1 of
-    the units differ from their best, and they are among those with the smallest second losses."""
+def combine(losses_of_units: list[list[float]], n: int) -> list[float]:
+    """Losses of the ``n`` best combinations of units, each with ascending losses, the first 0."""
     losses = [0.0]
-    for own in heapq.nsmallest(n - 1, losses_of_units, key=itemgetter(1)):
+    for own in losses_of_units:
         losses = sorted(a + b for a in losses for b in own)[:n]
-    return [x for x in losses if x < float("inf")]
+    return losses
 
 
 _RESULT = "doc_id bigint, n_pieces bigint, score double, nbest_scores array<double>, ids_sha256 string, decoded_sha256 string, round_trip boolean"
@@ -115,38 +212,33 @@ def _encoded(model: bytes, n: int, memory: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
-        gc.disable()  # what is remembered has no cycles; scanning it over and over takes most of the time
         processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         lattice = PieceLattice.of(processor)
-        cut = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        known: dict[str, tuple] = {}
-        nothing = float("inf")
-
-        def learn(unit: str) -> tuple:
-            ways = lattice.best(unit, n)
-            best, ids = ways[0]
-            shown = "".join([lattice.texts[i] for i in ids])
-            if shown != unit:  # byte pieces
-                shown = lattice.decode((*lattice.table[SPACE][1], *ids)).replace(" ", SPACE)
-            losses = tuple([best - s for s, _ in ways]) if len(ways) > 1 else (0.0, nothing)
-            return np.array(ids, "<i4").tobytes(), best, shown, losses
-
-        for batch in batches:
+        alone = "".join(c for c in "\n\t\r" if c not in lattice.table)  # no piece reaches across what is in none
+        cut = regex.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        known: dict[str, tuple[bytes, float, str, float]] = {}
+        first, second, third, fourth = (itemgetter(k) for k in range(4))
+        gc.disable()  # what is remembered has no cycles; scanning it over and over takes most of the time
+        for batch in (part for b in batches for part in text_slices(b, 1)):
             rows: list[list] = [[] for _ in range(8)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = text or ""
-                units = cut(processor.normalize(text))
-                for unit in units:
-                    if unit not in known:
-                        if len(known) >= memory:
-                            known.clear()
-                        known[unit] = learn(unit)
-                chosen = [known[u] if u in known else learn(u) for u in units]
-                packed = b"".join([c[0] for c in chosen])
-                score = float(sum([c[1] for c in chosen]))
-                losses = combine([c[3] for c in chosen], n)
-                decoded = "".join([c[2] for c in chosen]).replace(SPACE, " ")
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            cuts = [cut(processor.normalize(text)) for text in texts]
+            new = list(set().union(*cuts).difference(known))
+            if len(known) + len(new) > memory:
+                known.clear()
+                new = list(set().union(*cuts))
+            known.update(zip(new, lattice.first(new)))
+            for doc_id, text, units in zip(batch.column(0).to_pylist(), texts, cuts):
+                chosen = [known[u] for u in units]
+                packed = b"".join(map(first, chosen))
+                score = float(sum(map(second, chosen)))
+                decoded = "".join(map(third, chosen)).replace(SPACE, " ")
                 decoded = decoded[1:] if decoded.startswith(" ") else decoded
+                # only the n - 1 units whose second best loses least can be in one of the n best
+                losses = list(map(fourth, chosen))
+                closest = heapq.nsmallest(n - 1, range(len(losses)), key=losses.__getitem__) if n > 1 else []
+                ways = [lattice.best(units[k], n) for k in closest]
+                losses = combine([[w[0][0] - s for s, _ in w] for w in ways], n)
                 values = (doc_id, len(packed) // 4, score, [score - x for x in losses], hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), decoded == text, np.frombuffer(packed, "<i4") if with_ids else None)
                 for column, value in zip(rows, values):
                     column.append(value)
