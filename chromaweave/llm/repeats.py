@@ -5,8 +5,8 @@ an anchor, the k-gram of smallest hash in it, so equal windows have equal anchor
 context: a short run of units. Then, for all contexts of the corpus:
 
 1. blocks of documents send one packed row for each bucket of anchors, with a context's first occurrence only;
-2. buckets find which contexts occurred earlier (their windows are all repeats) and which share their anchor with
-   other contexts (some of their windows may be);
+2. buckets find which contexts occurred earlier (their windows are all repeats) and which share their anchor and half
+   of what a window has besides with other contexts (some of their windows may be);
 3. the second kind is cut out of the texts, brought together by anchor, and compared unit by unit with the operator's
    own method; the first kind is done.
 
@@ -54,11 +54,15 @@ def _sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(w: Windows, values: np.ndarray, first: np.ndarray, last: np.ndarray) -> dict[str, np.ndarray]:
-    """Of each context: its row, first and last window start, and hashes of its anchor and of itself."""
+    """Of each context: its row, first and last window start, and hashes of its anchor, of itself, and of the anchor
+    with the units to its left and right that some of its windows must have (0: none of them).
+
+    A window has ``spare`` units besides the anchor: at least ``reach`` to the left, or more than the rest to the right.
+    """
     n, width = len(values), w.length - w.gram + 1
     counts = np.maximum(last - first - w.length + 1, 0)
     if n < w.length or not counts.sum():
-        return {"row": np.zeros(0, np.int64), "low": np.zeros(0, np.int64), "high": np.zeros(0, np.int64), "anchor": np.zeros(0, _U64), "own": np.zeros(0, _U64)}
+        return {"row": np.zeros(0, np.int64), "low": np.zeros(0, np.int64), "high": np.zeros(0, np.int64), "anchor": np.zeros(0, _U64), "own": np.zeros(0, _U64), "left": np.zeros(0, np.uint32), "right": np.zeros(0, np.uint32)}
     sums, scale = arrays.running_sum(values)
     grams = arrays.mix((sums[w.gram :] - sums[: n - w.gram + 1]) * scale[: n - w.gram + 1])
     keys = (grams & _U64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=_U64)
@@ -71,19 +75,28 @@ def contexts(w: Windows, values: np.ndarray, first: np.ndarray, last: np.ndarray
     head = np.flatnonzero(fresh)
     low, high, at = start[head], start[np.append(head[1:], len(at)) - 1], at[head]
     end = high + w.length
-    own = arrays.mix((sums[end] - sums[low]) * scale[low] ^ arrays.mix((end - low).astype(_U64) << _U64(32) | (at - low).astype(_U64)))
-    return {"row": row[head], "low": low, "high": high, "anchor": arrays.mix(grams[at] ^ _U64(0x5851F42D4C957F2D)), "own": own}
 
+    def hashed(s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return (sums[e] - sums[s]) * scale[s]
+
+    own = arrays.mix(hashed(low, end) ^ arrays.mix((end - low).astype(_U64) << _U64(32) | (at - low).astype(_U64)))
+    spare = w.length - w.gram
+    reach = (spare + 1) // 2
+    has_left, has_right = at - low >= reach, at - high < reach
+    left = np.where(has_left, arrays.mix(hashed(np.maximum(at - reach, 0), at + w.gram)) >> _U64(32) | _U64(1), 0).astype(np.uint32)
+    right = np.where(has_right, arrays.mix(hashed(at, np.minimum(at + w.gram + spare - reach + 1, n))) >> _U64(32) | _U64(1), 0).astype(np.uint32)
+    return {"row": row[head], "low": low, "high": high, "anchor": arrays.mix(grams[at] ^ _U64(0x5851F42D4C957F2D)), "own": own, "left": left, "right": right}
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Arrays of one length, of 4, 8, 8 and 8 bytes; the last two as compressed differences."""
-    tail = np.concatenate([np.diff(c, prepend=np.int64(0)) for c in columns[2:]]).tobytes()
-    return columns[0].tobytes() + columns[1].tobytes() + pa.compress(tail, "zstd", asbytes=True)
+
+def _pack(left: np.ndarray, right: np.ndarray, own: np.ndarray, order: np.ndarray, place: np.ndarray) -> bytes:
+    """The hashes as they are, order and place as compressed differences."""
+    tail = np.concatenate([np.diff(c, prepend=np.int64(0)) for c in (order, place)]).tobytes()
+    return left.tobytes() + right.tobytes() + own.tobytes() + pa.compress(tail, "zstd", asbytes=True)
 
 
 def _unpack(n: int, packed: bytes) -> tuple[np.ndarray, ...]:
-    tail = np.frombuffer(pa.decompress(packed[12 * n :], 16 * n, "zstd", asbytes=True), np.int64)
-    return np.frombuffer(packed[: 4 * n], np.uint32), np.frombuffer(packed[4 * n : 12 * n], _U64), np.cumsum(tail[:n]), np.cumsum(tail[n:])
+    tail = np.frombuffer(pa.decompress(packed[16 * n :], 16 * n, "zstd", asbytes=True), np.int64)
+    return np.frombuffer(packed[: 4 * n], np.uint32), np.frombuffer(packed[4 * n : 8 * n], np.uint32), np.frombuffer(packed[8 * n : 16 * n], _U64), np.cumsum(tail[:n]), np.cumsum(tail[n:])
 
 
 _SENT = "bucket bigint, block bigint, n int, packed binary"
@@ -104,9 +117,9 @@ def _sent(w: Windows, buckets: int, block_rows: int, block_units: int):
             c = {name: np.concatenate([f[name] for f in found]) for name in found[0]}
             order = doc[c["row"]]
             place = c["low"] if w.ordered else np.zeros(len(order), np.int64)
-            by = np.lexsort((place, order, c["own"], c["anchor"]))
+            by = np.lexsort((place, order, c["own"]))
             new = np.ones(len(by), bool)
-            new[1:] = (c["own"][by][1:] != c["own"][by][:-1]) | (c["anchor"][by][1:] != c["anchor"][by][:-1])
+            new[1:] = c["own"][by][1:] != c["own"][by][:-1]
             first = by[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(by) else by
             late = np.zeros(len(by), bool)
             late[by] = (order[by] > order[first]) | (place[by] > place[first])
@@ -119,7 +132,7 @@ def _sent(w: Windows, buckets: int, block_rows: int, block_units: int):
             out = [(None, block, len(doc), pa.compress(layout, "zstd", asbytes=True) + len(layout).to_bytes(8, "little"))]
             for name, s, e in zip(names, at, np.append(at[1:], len(chosen))):
                 own = chosen[s:e]
-                out.append((int(name), block, e - s, _pack((c["anchor"][own] >> _U64(32)).astype(np.uint32), c["own"][own], order[own], place[own])))
+                out.append((int(name), block, e - s, _pack(c["left"][own], c["right"][own], c["own"][own], order[own], place[own])))
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["bucket", "block", "n", "packed"])
 
         for batch in (part for b in batches for part in arrays.slices(b, 2)):
@@ -146,22 +159,31 @@ def _sent(w: Windows, buckets: int, block_rows: int, block_units: int):
 
 
 def _flagged(ordered: bool):
-    """For each packed row, two bits for each context: it occurred earlier; it shares its anchor with others."""
+    """For each packed row, two bits for each context: it occurred earlier; it shares a half with others."""
+
+    def shares(half: np.ndarray, own: np.ndarray) -> np.ndarray:
+        by = np.lexsort((own, half))
+        h, o = half[by], own[by]
+        new_half = np.ones(len(by), bool)
+        new_half[1:] = h[1:] != h[:-1]
+        new = new_half.copy()
+        new[1:] |= o[1:] != o[:-1]
+        kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_half))[np.cumsum(new_half) - 1]
+        out = np.zeros(len(by), bool)
+        out[by] = (kinds > 1) & (h > 0)
+        return out
 
     def answer(rows: list[tuple]) -> pa.RecordBatch:
         parts = [_unpack(n, packed) for _, _, n, packed in rows]
-        anchor, own, order, place = (np.concatenate(x) for x in zip(*parts))
-        by = np.lexsort((place, order, own, anchor))
-        a, o = anchor[by], own[by]
-        new_anchor = np.ones(len(by), bool)
-        new_anchor[1:] = a[1:] != a[:-1]
-        new = new_anchor.copy()
-        new[1:] |= o[1:] != o[:-1]
+        left, right, own, order, place = (np.concatenate(x) for x in zip(*parts))
+        by = np.lexsort((place, order, own))
+        o = own[by]
+        new = np.ones(len(by), bool)
+        new[1:] = o[1:] != o[:-1]
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        late = (order[by] > order[by][first]) | ((place[by] > place[by][first]) if ordered else False)
-        kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_anchor))[np.cumsum(new_anchor) - 1]
-        flags = np.zeros(len(by), np.uint8)
-        flags[by] = np.where(late, 1, np.where(kinds > 1, 2, 0))
+        late = np.zeros(len(by), bool)
+        late[by] = (order[by] > order[by][first]) | ((place[by] > place[by][first]) if ordered else False)
+        flags = np.where(late, 1, np.where(shares(left, own) | shares(right, own), 2, 0)).astype(np.uint8)
         at = np.cumsum([0, *(r[2] for r in rows)])
         packed = [np.packbits(flags[s:e] & 1).tobytes() + np.packbits(flags[s:e] >> 1).tobytes() for s, e in zip(at, at[1:])]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "block", "n", "packed"])
@@ -220,14 +242,14 @@ def _cut(w: Windows):
     """Flagged texts to spans that are repeats, and contexts (anchor not null) that need comparing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in arrays.slices(b, 2)):
-            values, first, last, source = w.units(batch.column(2))
+        for batch in (part for b in batches for part in arrays.slices(b, b.schema.get_field_index("text"))):
+            values, first, last, source = w.units(batch.column("text"))
             c = contexts(w, values, first, last)
-            flag = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8)
+            flag = np.frombuffer(b"".join(batch.column("flags").to_pylist()), np.uint8)
             if len(flag) != len(c["row"]):
                 raise ValueError("a text changed between two reads")
             low, end = c["low"] - first[c["row"]], c["high"] + w.length - first[c["row"]]
-            ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids, keys = batch.column("order_id").to_numpy(), batch.column("text_key").to_numpy()
             done = np.flatnonzero(flag == 1)
             rows, edges = np.unique(c["row"][done], return_index=True)
             spans = [np.stack([low[x], end[x]], 1).astype(np.int64).tobytes() for x in np.split(done, edges[1:])] if len(rows) else []
@@ -281,24 +303,30 @@ def _compared(w: Windows, compare: Callable, chunk_bytes: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, w: Windows, compare: Callable, block_rows: int = 60_000, block_units: int = 1 << 25, chunk_bytes: int = 1 << 20) -> DataFrame:
-    """(order_id, text_key, spans): for rows with repeats, pairs of int64 (from, to) in units; they may overlap.
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with order_id (doc_id, null last) and text_key: what tells its rows apart, up to equal ones."""
+    return docs.withColumns({"order_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)), "text_key": F.xxhash64("text")})
+
+
+def with_spans(docs: DataFrame, w: Windows, compare: Callable, block_rows: int = 60_000, block_units: int = 1 << 25, chunk_bytes: int = 1 << 20) -> DataFrame:
+    """``docs``, which has order_id, text_key and text, with ``spans``: null, or binaries of pairs of int64 (from, to) in
+    units that are repeats; they may overlap.
 
-    ``docs`` has (order_id, text_key, text). ``compare(w, anchors, contexts, orders, lows)`` returns, ascending by
-    context, the windows (context, start in it) that also occur in one of the contexts that is earlier.
+    ``compare(w, anchors, contexts, orders, lows)`` returns, ascending by context, the windows (context, start in
+    it) that also occur in one of the contexts that is earlier. Both joins read one and the same shuffle of ``docs``.
     """
-    spark = docs.sparkSession
-    buckets = min(MAX_BUCKETS, max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    sent = docs.mapInArrow(_sent(w, buckets, block_rows, block_units), _SENT)
+    buckets = min(MAX_BUCKETS, max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    sent = docs.select("order_id", "text_key", "text").mapInArrow(_sent(w, buckets, block_rows, block_units), _SENT)
     by_bucket = sent.repartition(F.coalesce("bucket", -F.col("block") - 1)).sortWithinPartitions("bucket")
     flagged = by_bucket.mapInArrow(_flagged(w.ordered), _SENT)
     by_block = flagged.repartition("block").sortWithinPartitions("block", F.asc_nulls_first("bucket"))
     flags = by_block.mapInArrow(_by_document, "order_id bigint, text_key bigint, flags binary").dropDuplicates(["order_id", "text_key"])
-    texts = docs.join(flags, ["order_id", "text_key"]).select("order_id", "text_key", "text", "flags")
+    texts = docs.join(flags, ["order_id", "text_key"]).select(*docs.columns, "flags")
     cut = texts.mapInArrow(_cut(w), "anchor bigint, order_id bigint, text_key bigint, low bigint, packed binary")
     by_anchor = cut.repartition(F.coalesce("anchor", "text_key")).sortWithinPartitions("anchor", "order_id", "low")
     spans = by_anchor.mapInArrow(_compared(w, compare, chunk_bytes), "order_id bigint, text_key bigint, packed binary")
-    return spans.groupBy("order_id", "text_key").agg(F.collect_list("packed").alias("spans"))
+    gathered = spans.groupBy("order_id", "text_key").agg(F.collect_list("packed").alias("spans"))
+    return docs.join(gathered, ["order_id", "text_key"], "left").select(*docs.columns, "spans")
 
 
 def covered(spans: list[bytes] | None, size: int) -> np.ndarray:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromaweave.llm import arrays
-from chromaweave.llm.repeats import LAST, Windows, covered, repeated_spans
+from chromaweave.llm.repeats import LAST, Windows, covered, keyed, with_spans
 
 
 class SuffixAutomaton:
@@ -136,7 +136,6 @@ def remove_repeated_words(docs: DataFrame, length: int = 20, gram: int = 8, with
     words lose nothing; rows that share a doc_id count as one document and are compared by place; a null
     doc_id is larger than all others; repeated rows are answered each; other columns are ignored.
     """
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("order_id"), F.xxhash64("text").alias("text_key"), F.col("text").alias("text"))
-    spans = repeated_spans(keyed.select("order_id", "text_key", "text"), Windows(length, gram, _word_units, True), compare_with_automata, block_units=1 << 23)
-    joined = keyed.join(spans, ["order_id", "text_key"], "left").select("doc_id", "text", "spans")
+    rows = keyed(docs).select("order_id", "text_key", "text")
+    joined = with_spans(rows, Windows(length, gram, _word_units, True), compare_with_automata, block_units=1 << 23).select(F.when(F.col("order_id") != LAST, F.col("order_id")).alias("doc_id"), "text", "spans")
     return joined.mapInArrow(_without(with_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", text string" if with_text else ""))
