@@ -51,15 +51,8 @@ def _common_prefix(a: str, b: str) -> str:
     return f"CASE WHEN size({a}) = 0 OR size({b}) = 0 THEN 0 WHEN array_position({same}, false) = 0 THEN size({same}) ELSE array_position({same}, false) - 1 END"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram: int = 7, one_in: int = 20) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
-
-    A window is ``window`` consecutive words of an item, or all words of a shorter one. A document word inside
-    any occurrence of a window is hit; ``contaminated`` means ``n_hit > 0 and one_in * n_hit >= n_words``.
-    Null and empty texts have no words, and items without words have no window. Repeated rows are answered
-    each; rows that share a doc_id but not the text are judged apart; repeated item_ids count once and null
-    ones not at all; other columns are ignored. With an empty benchmark nothing is hit.
-    """
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, one_in: int) -> DataFrame:
+    """What ``decontaminate`` returns, with text_key (xxhash64 of the text)."""
     reach = window - gram
     lowered = F.transform(_words("text"), lambda w: F.translate(w, _UPPER, _LOWER))
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("text")).where("item IS NOT NULL").select("item", lowered.alias("iw")).where("size(iw) > 0").withColumn("ih", _word_hashes("iw"))
@@ -128,6 +121,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram:
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
         .select(
             "doc_id",
+            "text_key",
             "n_words",
             F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
             F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("bigint").alias("n_items"),
@@ -135,3 +129,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram:
         )
         .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words")))
     )
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram: int = 7, one_in: int = 20) -> DataFrame:
+    """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    A window is ``window`` consecutive words of an item, or all words of a shorter one. A document word inside
+    any occurrence of a window is hit; ``contaminated`` means ``n_hit > 0 and one_in * n_hit >= n_words``.
+    Null and empty texts have no words, and items without words have no window. Repeated rows are answered
+    each; rows that share a doc_id but not the text are judged apart; repeated item_ids count once and null
+    ones not at all; other columns are ignored. With an empty benchmark nothing is hit.
+    """
+    return _judged(docs, benchmark, window, gram, one_in).drop("text_key")
+
+
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram: int = 7, one_in: int = 20) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``decontaminate`` does not find contaminated."""
+    judged = _judged(docs, benchmark, window, gram, one_in).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key"))
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    return keyed.join(judged, (F.col("text_key") == F.col("bad_key")) & F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from chromaweave.llm import arrays
 from chromaweave.llm.components import connected_components
 from chromaweave.llm.lineage import shared_checkpoint, shared_table
-from chromaweave.llm.repeats import LAST
+from chromaweave.llm.repeats import LAST, keyed
 
 _U64 = np.uint64
 #: Up to this many rows a side is broadcast (some 24 bytes each); above, it is joined by a shuffle.
@@ -230,23 +230,17 @@ def _verified(width: int, percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, common_shingles: int = 65_536, common_least: int = 16, block_rows: int = 60_000, block_units: int = 1 << 22) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included).
-
-    Texts with fewer than ``width`` words are one shingle; null and blank texts have none and link with nothing,
-    so their component is their own id. Rows that share a doc_id are told apart by their texts; repeated rows
-    are answered each; a null doc_id links as others do but names no component; other columns are ignored.
-    ``common_shingles`` bounds the table of shingles that come last in the order; it only moves work.
-    """
+def _labelled(docs: DataFrame, width: int, percent: int, common_shingles: int, common_least: int, block_rows: int, block_units: int) -> DataFrame:
+    """(order_id, text_key, n, label) of each row: equal labels are one component; no label has meaning if n is 0."""
     spark = docs.sparkSession
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("order_id"), F.xxhash64("text").alias("text_key"), F.col("text").alias("text"))
-    frequent = keyed.select("text").mapInArrow(_locally_common(width, common_least, block_units), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(common_shingles).toPandas()
+    own = keyed(docs).select("order_id", "text_key", "text")
+    frequent = own.select("text").mapInArrow(_locally_common(width, common_least, block_units), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(common_shingles).toPandas()
     common = frequent["shingle"].to_numpy(np.int64).view(_U64)
     by = np.argsort(common)
     ranks = (1 + np.log2(np.maximum(frequent["n"].to_numpy(np.float64), 1)) * 4).astype(np.uint8)[by]
 
     buckets = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = keyed.mapInArrow(_prefixes(width, percent, common[by], ranks, buckets, block_rows, block_units), _SENT)
+    sent = own.mapInArrow(_prefixes(width, percent, common[by], ranks, buckets, block_rows, block_units), _SENT)
     by_bucket = sent.repartition(F.coalesce("bucket", -F.abs(F.xxhash64("doc")) - 1)).sortWithinPartitions("bucket")
     found = shared_table(by_bucket.mapInArrow(_shared, _FOUND), "kind")
 
@@ -271,7 +265,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, commo
         need = shared_checkpoint(need)
         if need.count() <= BROADCAST_ROWS:
             need = F.broadcast(need)
-        texts = keyed.join(need, ["order_id", "text_key"]).select("class", "text").dropDuplicates(["class"])
+        texts = own.join(need, ["order_id", "text_key"]).select("class", "text").dropDuplicates(["class"])
         left = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
         both = left.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
         return shared_checkpoint(both.mapInArrow(_verified(width, percent), "a bigint, b bigint"))
@@ -298,7 +292,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, commo
     expanded = pairs.join(left, "a").join(right, "b").where("label_a <> label_b").select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))
     labels = connected_components(links.unionByName(verify(expanded)))
 
-    named = rows.join(labels, rows["class"] == labels["node"], "left").select("order_id", "n", F.coalesce("label", "class").alias("label"))
+    return rows.join(labels, rows["class"] == labels["node"], "left").select("order_id", "text_key", "n", F.coalesce("label", "class").alias("label"))
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, common_shingles: int = 65_536, common_least: int = 16, block_rows: int = 60_000, block_units: int = 1 << 22) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included).
+
+    Texts with fewer than ``width`` words are one shingle; null and blank texts have none and link with nothing,
+    so their component is their own id. Rows that share a doc_id are told apart by their texts; repeated rows
+    are answered each; a null doc_id links as others do but names no component; other columns are ignored.
+    ``common_shingles`` bounds the table of shingles that come last in the order; it only moves work.
+    """
+    named = _labelled(docs, width, percent, common_shingles, common_least, block_rows, block_units)
     doc_id = F.when(F.col("order_id") != LAST, F.col("order_id"))
     filled = named.where("n > 0")
     least = filled.groupBy("label").agg(F.min("order_id").alias("least"))
@@ -309,3 +314,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, commo
 def prefix_length_of(n, percent: int):
     """``prefix_length`` of a column."""
     return n - F.floor((percent * n + 99) / 100) + 1
+
+
+def keep_first_of_component(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that come first (by doc_id, null last) in their component.
+
+    Rows without words all stay; of rows that are equal in doc_id and text, one does.
+    """
+    named = _labelled(docs, width, percent, 65_536, 16, 60_000, 1 << 22)
+    first = named.where("n > 0").groupBy("label").agg(F.min(F.struct("order_id", "text_key")).alias("first")).select("first.order_id", "first.text_key")
+    own = keyed(docs)
+    blank = F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
+    stay = own.where(~blank).join(first, ["order_id", "text_key"], "left_semi").dropDuplicates(["order_id", "text_key"])
+    return stay.unionByName(own.where(blank)).select(*docs.columns)

@@ -5,27 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's ``spark.checkpoint.dir`` and read from there.
-
-    Only where that setting is missing (tests on one machine) a temporary folder stands in for it.
-    """
-    context = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder for this session, from ``spark.checkpoint.dir``; only where that is unset (tests on one machine), a
+    temporary one."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` computed now, written to the shared folder and read from there."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def shared_table(df: DataFrame, partition_by: str) -> DataFrame:
-    """``df`` written once as a Parquet table in the shared checkpoint folder, one folder for each ``partition_by``."""
+def shared_table(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    """``df`` written now as a Parquet table in the shared folder, and read from there."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    path = f"{context._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.partitionBy(partition_by).parquet(path)
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

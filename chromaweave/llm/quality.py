@@ -221,3 +221,16 @@ def score_quality(docs: DataFrame, model: AttentionModel | float, threshold: flo
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     scored = rows.mapInArrow(_scores(model, passage_words), "doc_id bigint, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: AttentionModel | float, threshold: float = 0.3, passage_words: int = 64) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``score_quality`` predicts to be good."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for b in batches for part in arrays.slices(b, at)):
+            owner, made = _passages(batch.column(at), passage_words)
+            score = np.full(batch.num_rows, model) if isinstance(model, float) else model.score(owner, made, batch.num_rows)
+            yield batch.filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

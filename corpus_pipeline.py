@@ -1,8 +1,54 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five operators over ``documents``, each stage's result written as Parquet and read by the next."""
 
-STAGES: list = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chromaweave.llm.decontamination import keep_uncontaminated
+from chromaweave.llm.jaccard_join import keep_first_of_component
+from chromaweave.llm.lineage import shared_table
+from chromaweave.llm.pieces import encode_pieces
+from chromaweave.llm.quality import fit_quality, keep_good
+from chromaweave.llm.suffix_dedup import cut_repeated_bytes
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a classifier fitted on ``labels.quality`` does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    return keep_good(docs, fit_quality(docs, labels), threshold=0.3)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.75 or more."""
+    return keep_first_of_component(docs, width=5, percent=75)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-byte strings that an earlier document holds."""
+    return cut_repeated_bytes(docs, length=50)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less than a twentieth of which is in 13-word windows of ``benchmark``."""
+    return keep_uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13, one_in=20)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece encodings of the texts left, with digests of ids and of decoded texts."""
+    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), n_best=3)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_strings", repeated_strings), ("decontamination", decontamination), ("pieces", pieces)]
+
+#: SQL cannot express the first stage; tests hold the others against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what lies between them is written to the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = shared_table(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
