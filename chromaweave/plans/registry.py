@@ -1,6 +1,448 @@
-"""Queries over the driver's tables, one per operator, each with its DuckDB twin."""
+"""Queries over the driver's tables, one per operator or family, each with its DuckDB twin over the same views."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chromaweave.functions import formulas, statistics
+from chromaweave.operators import barriers as bars
+from chromaweave.operators import collisions, evaluation, intervals, matrix
+from chromaweave.operators.simulation import SimulationConfig, plan_tasks, simulate
+from chromaweave.plans.adapters import BAND, BIN, view, with_views
+from chromaweave.streaming.contacts import streaming_pixels
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None, *views: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = with_views(sql, *views)
+        return f
+
+    return add
+
+
+def _round(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, places) + F.lit(0.0) for n in names})
+
+
+def _pixels(spark: SparkSession, sf_dir: str, name: str = "contacts") -> DataFrame:
+    return matrix.accumulate(view(spark, sf_dir, name), BIN, BAND)
+
+
+def _shape(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
+    return view(spark, sf_dir, "chroms").select("chrom", "size"), BIN, BAND
+
+
+_P = f"p AS (SELECT chrom, pos1 // {BIN} AS bin1, pos2 // {BIN} AS bin2, count(*) AS count FROM contacts WHERE pos2 // {BIN} - pos1 // {BIN} < {BAND} GROUP BY ALL)"
+_PB = f"pb AS (SELECT chrom, pos1 // {BIN} AS bin1, pos2 // {BIN} AS bin2, count(*) AS count FROM contacts_b WHERE pos2 // {BIN} - pos1 // {BIN} < {BAND} GROUP BY ALL)"
+_N = f"n AS (SELECT chrom, size, CAST(ceil(size / {BIN}.0) AS BIGINT) AS n FROM chroms)"
+_GRID = f"grid AS (SELECT chrom, n, bin1, unnest(range(bin1, least(bin1 + {BAND}, n))) AS bin2 FROM (SELECT chrom, n, unnest(range(0, n)) AS bin1 FROM n))"
+_DENSE = "d AS (SELECT chrom, bin1, bin2, coalesce(count, 0) AS count FROM grid LEFT JOIN p USING (chrom, bin1, bin2))"
+
+
+# ---- pixel algebra
+
+
+@_query(f"WITH {_P} SELECT chrom, bin1, bin2, count FROM p", "contacts")
+def a01_pixel_counts(spark, sf_dir):
+    return _pixels(spark, sf_dir)
+
+
+@_query(f"""SELECT chrom, count(*) FILTER (m) AS total, count(*) FILTER (NOT m) AS missed, round(count(*) FILTER (NOT m) / count(*), 6) AS missed_of_all, round(count(*) FILTER (NOT m) / count(*) FILTER (m), 6) AS missed_of_inside
+FROM (SELECT chrom, pos2 // {BIN} - pos1 // {BIN} < {BAND} AS m FROM contacts) GROUP BY chrom""", "contacts")
+def a02_missed_updates(spark, sf_dir):
+    return _round(matrix.update_counts(view(spark, sf_dir, "contacts"), BIN, BAND), "missed_of_all", "missed_of_inside")
+
+
+@_query(f"""WITH {_P}, {_N} SELECT n.chrom, coalesce(sum(count), 0)::BIGINT AS contacts, count(count) AS nnz, any_value(n * least(n, {BAND})) AS npixels,
+round(coalesce(sum(count), 0) / any_value(n * least(n, {BAND})), 6) AS density, least(coalesce(min(count), 0), 0) AS least, greatest(coalesce(max(count), 0), 0) AS largest FROM n LEFT JOIN p USING (chrom) GROUP BY n.chrom""", "contacts")
+def a03_matrix_statistics(spark, sf_dir):
+    return _round(matrix.statistics(_pixels(spark, sf_dir), *_shape(spark, sf_dir)), "density")
+
+
+@_query(f"WITH {_P} SELECT chrom, bin2 * {BAND} + bin2 - bin1 AS place, bin1, bin2 FROM p", "contacts")
+def a04_pixel_codes(spark, sf_dir):
+    coded = _pixels(spark, sf_dir).select("chrom", formulas.encode_pixel(F.col("bin1"), F.col("bin2"), BAND).alias("place"))
+    bin1, bin2 = formulas.decode_pixel(F.col("place"), BAND)
+    return coded.select("chrom", "place", bin1.alias("bin1"), bin2.alias("bin2"))
+
+
+@_query(f"WITH {_P} SELECT chrom, bin1, bin2, count FROM p UNION ALL SELECT chrom, bin2, bin1, count FROM p WHERE bin1 <> bin2", "contacts")
+def a05_symmetric(spark, sf_dir):
+    return matrix.symmetric(_pixels(spark, sf_dir))
+
+
+@_query(f"WITH {_P}, {_N}, {_GRID}, {_DENSE} SELECT chrom, bin1, bin2, CAST(greatest(1, least(2, count)) AS DOUBLE) AS count FROM d", "contacts")
+def a06_clamped(spark, sf_dir):
+    return matrix.clamped(_pixels(spark, sf_dir), 1, 2, _shape(spark, sf_dir))
+
+
+@_query(f"WITH {_P} SELECT chrom, bin1, bin2, CAST(floor(count * 0.25 + 0.5) AS BIGINT) AS count FROM p WHERE floor(count * 0.25 + 0.5) <> 0", "contacts")
+def a07_rounded(spark, sf_dir):
+    return matrix.rounded(_pixels(spark, sf_dir).withColumn("count", F.col("count") * 0.25))
+
+
+_OPS = f"e AS (SELECT chrom, least(pos1, pos2) // {BIN} AS bin1, greatest(pos1, pos2) // {BIN} AS bin2, CASE l_linenumber % 5 WHEN 0 THEN 'set' WHEN 1 THEN 'subtract' ELSE 'add' END AS op, l_linenumber AS n, l_orderkey * 100 + l_linenumber AS seq FROM contacts)"
+
+
+@_query(f"""WITH {_OPS}, s AS (SELECT *, max(CASE WHEN op = 'set' THEN seq END) OVER (PARTITION BY chrom, bin1, bin2) AS last FROM e WHERE bin2 - bin1 < {BAND})
+SELECT chrom, bin1, bin2, sum(CASE WHEN op = 'subtract' THEN -n ELSE n END)::BIGINT AS count FROM s WHERE last IS NULL OR seq > last OR (seq = last AND op = 'set') GROUP BY chrom, bin1, bin2 HAVING sum(CASE WHEN op = 'subtract' THEN -n ELSE n END) <> 0""", "contacts")
+def a08_pixel_updates(spark, sf_dir):
+    c = view(spark, sf_dir, "contacts")
+    op = F.when(F.col("l_linenumber") % 5 == 0, "set").when(F.col("l_linenumber") % 5 == 1, "subtract").otherwise("add")
+    events = c.select("chrom", formulas.bin_of(F.col("pos1"), BIN).alias("bin1"), formulas.bin_of(F.col("pos2"), BIN).alias("bin2"), op.alias("op"), F.col("l_linenumber").cast("bigint").alias("n"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"))
+    return matrix.updated(events, BAND)
+
+
+@_query(f"WITH s AS (SELECT chrom, unnest([rev, fwd]) // {BIN} AS bin FROM lefs), c AS (SELECT chrom, bin, count(*) AS n FROM s GROUP BY ALL) SELECT chrom, bin, n, round(n / max(n) OVER (PARTITION BY chrom), 5) AS scaled FROM c", "lefs")
+def a09_occupancy(spark, sf_dir):
+    return matrix.occupancy_track(view(spark, sf_dir, "lefs"), BIN).withColumn("scaled", F.round(F.col("scaled").cast("double"), 5))
+
+
+# ---- intervals and barriers
+
+_B = """b AS (SELECT chrom, start, "end", (start + "end" + 1) // 2 AS pos, CASE WHEN score <> 0 THEN greatest(0, least(1, 1 - 0.3 * (1 - score) / score)) ELSE 0.9 END AS stp_active, 0.7 AS stp_inactive, CASE strand WHEN '+' THEN 'rev' ELSE 'fwd' END AS blocks FROM barriers WHERE strand <> '.')"""
+
+
+def _barriers(spark, sf_dir):
+    return bars.barriers_from_records(view(spark, sf_dir, "barriers"), 0.9, 0.7)
+
+
+@_query(f"WITH {_B} SELECT chrom, pos, round(stp_active, 6) AS stp_active, blocks, round(CASE WHEN stp_active + 0.7 = 0 THEN 0 ELSE greatest(0, least(1, 0.3 / (0.3 + 1 - stp_active))) END, 6) AS occupancy FROM b", "barriers")
+def b01_barriers(spark, sf_dir):
+    b = _barriers(spark, sf_dir)
+    return _round(b.select("chrom", "pos", "stp_active", "blocks", formulas.occupancy_from_stp(F.col("stp_active"), F.col("stp_inactive")).alias("occupancy")), "stp_active", "occupancy")
+
+
+@_query(f"""WITH {_B} SELECT i.interval_id, i.chrom, pos, round(stp_active, 6) AS stp_active, blocks FROM intervals i JOIN b ON i.chrom = b.chrom AND i.start < b."end" AND b.start < i."end" """, "intervals", "barriers")
+def b02_overlap_join(spark, sf_dir):
+    return _round(bars.map_to_intervals(_barriers(spark, sf_dir), view(spark, sf_dir, "intervals")).drop("stp_inactive"), "stp_active")
+
+
+@_query("""SELECT interval_id, count(t.start) AS n, count(t.start) > 0 AS "any", min(t.start) AS lower_start, max(t.start) AS upper_start FROM intervals i LEFT JOIN track t ON i.chrom = t.chrom AND i.start < t."end" AND t.start < i."end" GROUP BY interval_id""", "intervals", "track")
+def b03_overlap_counts(spark, sf_dir):
+    return intervals.overlap_counts(view(spark, sf_dir, "intervals"), view(spark, sf_dir, "track"), "interval_id")
+
+
+@_query("""WITH m AS (SELECT b.chrom, b.start, b."end", b.name, b.strand, max(t.value) AS v FROM (SELECT DISTINCT * FROM barriers) b JOIN track t ON b.chrom = t.chrom AND b.start < t."end" AND t.start < b."end" GROUP BY ALL)
+SELECT chrom, start, "end", name, round(1 / (1 + exp(-v / 20)), 6) AS score, strand FROM m WHERE 1 / (1 + exp(-v / 20)) BETWEEN 0.6 AND 0.99""", "barriers", "track")
+def b04_annotated(spark, sf_dir):
+    return _round(bars.annotate(view(spark, sf_dir, "barriers"), view(spark, sf_dir, "track"), 20, 0.6, 0.99), "score")
+
+
+@_query("""WITH m AS (SELECT b.chrom, b.start, b."end", b.name, b.strand, max(t.value) AS v FROM (SELECT DISTINCT * FROM barriers) b JOIN track t ON b.chrom = t.chrom AND b.start < t."end" AND t.start < b."end" GROUP BY ALL)
+SELECT chrom, start, "end", name, round(greatest(0.6, least(0.9, 1 / (1 + exp(-v / 20)))), 6) AS score, strand FROM m""", "barriers", "track")
+def b05_annotated_clamped(spark, sf_dir):
+    return _round(bars.annotate(view(spark, sf_dir, "barriers"), view(spark, sf_dir, "track"), 20, 0.6, 0.9, clamp=True), "score")
+
+
+@_query("""SELECT chrom, start, "end", count(*) AS n FROM barriers GROUP BY ALL HAVING count(*) > 1""", "barriers")
+def b06_duplicate_records(spark, sf_dir):
+    return bars.duplicates(view(spark, sf_dir, "barriers"))
+
+
+@_query("""SELECT concat_ws(chr(9), chrom, start, "end", name, 0, strand) AS line FROM barriers""", "barriers")
+def b07_bed_lines(spark, sf_dir):
+    return bars.format_bed(view(spark, sf_dir, "barriers").withColumn("score", F.lit(0)))
+
+
+@_query("""SELECT i.interval_id, i.chrom, i.start, i."end" FROM intervals i LEFT JOIN (SELECT * FROM chroms WHERE chrom_id < 20) c USING (chrom) WHERE c.size IS NULL OR "end" > c.size - 300000""", "intervals")
+def b08_invalid_regions(spark, sf_dir):
+    chroms = view(spark, sf_dir, "chroms").where("chrom_id < 20").withColumn("size", F.col("size") - 300000)
+    return evaluation.invalid_regions(view(spark, sf_dir, "intervals"), chroms)
+
+
+@_query("""SELECT chrom, size FROM chroms WHERE chrom_id % 2 = 0""", "chroms")
+def b09_common_chroms(spark, sf_dir):
+    chroms = view(spark, sf_dir, "chroms")
+    other = chroms.withColumn("size", F.when(F.col("chrom_id") % 2 == 0, F.col("size")).otherwise(F.col("size") + 1))
+    return evaluation.common_chroms(chroms, other)
+
+
+@_query("""SELECT chrom, size, size + 1 AS other_size FROM chroms WHERE chrom_id % 2 = 1""", "chroms")
+def b10_conflicting_chroms(spark, sf_dir):
+    chroms = view(spark, sf_dir, "chroms")
+    other = chroms.withColumn("size", F.when(F.col("chrom_id") % 2 == 0, F.col("size")).otherwise(F.col("size") + 1))
+    return evaluation.conflicting_chroms(chroms, other)
+
+
+_PLAN = SimulationConfig(cells=4, diagonal_width=100_000, sampling_interval=10_000, lefs_per_mbp=20)
+
+
+@_query(f"""WITH {_B}, o AS (SELECT interval_id, count(*) AS n_barriers FROM intervals i JOIN b ON i.chrom = b.chrom AND i.start < b."end" AND b.start < i."end" GROUP BY interval_id),
+c AS (SELECT interval_id, chrom, 4 AS lefs, 3 AS per_epoch, unnest(range(0, 4)) AS cell FROM intervals JOIN o USING (interval_id))
+SELECT interval_id, chrom, CAST(cell AS INTEGER) AS cell, CAST(lefs AS BIGINT) AS lefs, CAST(per_epoch AS BIGINT) AS per_epoch, CAST(greatest(0, least(200, 800 - 200 * cell)) AS BIGINT) AS target, n_barriers FROM c JOIN o USING (interval_id)""", "intervals", "barriers")
+def b11_tasks(spark, sf_dir):
+    own = view(spark, sf_dir, "intervals")
+    tasks = plan_tasks(own, bars.map_to_intervals(_barriers(spark, sf_dir), own), _PLAN)
+    return tasks.select("interval_id", "chrom", "cell", "lefs", "per_epoch", "target", F.size("barriers").cast("bigint").alias("n_barriers"))
+
+
+# ---- stripes, metrics, statistics
+
+
+@_query(f"WITH {_P}, {_N} SELECT 'row' AS kind, chrom, bin1 AS stripe, bin2 - bin1 AS k, count FROM p UNION ALL SELECT 'column', chrom, bin2, bin2 - bin1, count FROM p JOIN n USING (chrom) WHERE bin2 - bin1 < n - bin2", "contacts")
+def c01_stripes(spark, sf_dir):
+    p = _pixels(spark, sf_dir)
+    rows = matrix.row_stripes(p).withColumn("kind", F.lit("row"))
+    return rows.unionByName(matrix.column_stripes(p, view(spark, sf_dir, "chroms"), BIN).withColumn("kind", F.lit("column"))).select("kind", "chrom", "stripe", "k", "count")
+
+
+_STRIPES = f"""{_P}, {_PB}, {_N}, {_GRID},
+v AS (SELECT chrom, n, bin1, bin2, coalesce(p.count, 0) AS x, coalesce(pb.count, 0) AS y FROM grid LEFT JOIN p USING (chrom, bin1, bin2) LEFT JOIN pb USING (chrom, bin1, bin2)),
+k AS (SELECT chrom, unnest(range(0, {BAND})) AS k FROM n),
+every AS (SELECT chrom, n, direction, stripe, unnest(range(0, {BAND})) AS k FROM (SELECT chrom, n, direction, unnest(range(0, n)) AS stripe FROM n, (VALUES ('horizontal'), ('vertical')) d(direction))),
+held AS (SELECT chrom, 'horizontal' AS direction, bin1 AS stripe, bin2 - bin1 AS k, x, y FROM v UNION ALL SELECT chrom, 'vertical', bin2, bin2 - bin1, x, y FROM v WHERE bin2 - bin1 < n - bin2),
+s AS (SELECT e.chrom, e.direction, e.stripe, e.k, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM every e LEFT JOIN held USING (chrom, direction, stripe, k))"""
+_PLACE = f"g.chrom, stripe * {BIN} AS start, least((stripe + 1) * {BIN}, size) AS \"end\", direction"
+
+
+def _r(n: str, x: str, y: str, xx: str, yy: str, xy: str) -> str:
+    vx, vy = f"({n} * {xx} - {x} * {x})", f"({n} * {yy} - {y} * {y})"
+    return f"coalesce(round(CASE WHEN {vx} > 1e-12 * {n} * {xx} AND {vy} > 1e-12 * {n} * {yy} THEN greatest(-1, least(1, ({n} * {xy} - {x} * {y}) / sqrt({vx} * {vy}))) END, 6), -9)"
+
+
+def _compared(spark, sf_dir, metric, **more):
+    chroms, _, _ = _shape(spark, sf_dir)
+    out = evaluation.compare(_pixels(spark, sf_dir), _pixels(spark, sf_dir, "contacts_b"), chroms, BIN, BAND, metric, **more)
+    return _round(out.na.fill(-9.0, ["score"]), "score") if "score" in out.columns else out
+
+
+@_query(f"WITH {_STRIPES}, g AS (SELECT chrom, direction, stripe, 1.0 * count(*) AS w, 1.0 * sum(x) AS sx, 1.0 * sum(y) AS sy, 1.0 * sum(x * x) AS sxx, 1.0 * sum(y * y) AS syy, 1.0 * sum(x * y) AS sxy FROM s GROUP BY ALL) SELECT {_PLACE}, CAST({_r('w', 'sx', 'sy', 'sxx', 'syy', 'sxy')} AS DOUBLE) AS score FROM g JOIN n USING (chrom)", "contacts", "contacts_b")
+def c02_pearson(spark, sf_dir):
+    return _compared(spark, sf_dir, "pearson")
+
+
+_RANKED = ", r AS (SELECT *, rank() OVER (PARTITION BY chrom, direction, stripe ORDER BY x) - 1 + (count(*) OVER (PARTITION BY chrom, direction, stripe, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY chrom, direction, stripe ORDER BY y) - 1 + (count(*) OVER (PARTITION BY chrom, direction, stripe, y) - 1) / 2.0 AS ry FROM s)"
+
+
+@_query(f"WITH {_STRIPES}{_RANKED}, g AS (SELECT chrom, direction, stripe, max(x) AS mx, max(y) AS my, 1.0 * count(*) AS w, sum(rx)::DOUBLE AS sx, sum(ry)::DOUBLE AS sy, sum(rx * rx)::DOUBLE AS sxx, sum(ry * ry)::DOUBLE AS syy, sum(rx * ry)::DOUBLE AS sxy FROM r GROUP BY ALL) SELECT {_PLACE}, CAST(CASE WHEN mx = 0 OR my = 0 THEN 1 ELSE {_r('w', 'sx', 'sy', 'sxx', 'syy', 'sxy')} END AS DOUBLE) AS score FROM g JOIN n USING (chrom)", "contacts", "contacts_b")
+def c03_spearman(spark, sf_dir):
+    return _compared(spark, sf_dir, "spearman")
+
+
+@_query(f"WITH {_STRIPES}, g AS (SELECT chrom, direction, stripe, sqrt(sum((x - y) * (x - y))) AS d FROM s GROUP BY ALL) SELECT {_PLACE}, round(d, 6) AS score FROM g JOIN n USING (chrom)", "contacts", "contacts_b")
+def c04_euclidean(spark, sf_dir):
+    return _compared(spark, sf_dir, "eucl_dist")
+
+
+_WEIGHTS = f"ww AS (SELECT chrom, k AS diag, CASE WHEN k % 7 = 0 THEN 0 ELSE 1 / (1.0 + k % 5) END AS weight FROM k)"
+
+
+@_query(f"WITH {_STRIPES}, {_WEIGHTS}, g AS (SELECT s.chrom, direction, stripe, sqrt(sum(weight * (x - y) * (x - y)) / sum(weight)) AS d FROM s JOIN ww ON s.chrom = ww.chrom AND s.k = diag GROUP BY ALL) SELECT {_PLACE}, round(d, 6) AS score FROM g JOIN n USING (chrom)", "contacts", "contacts_b")
+def c05_weighted_rmse(spark, sf_dir):
+    return _compared(spark, sf_dir, "rmse", weights=_weights(spark, sf_dir))
+
+
+def _weights(spark, sf_dir):
+    raw = view(spark, sf_dir, "chroms").select("chrom", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(BAND - 1).cast("bigint"))).alias("diag")).withColumn("weight", F.when(F.col("diag") % 7 == 0, 0.0).otherwise(1.0 + F.col("diag") % 5))
+    return evaluation.reciprocal_weights(raw)
+
+
+@_query(f"WITH {_STRIPES}, {_WEIGHTS}, g AS (SELECT s.chrom, direction, stripe, sum(weight)::DOUBLE AS w, sum(weight * x)::DOUBLE AS sx, sum(weight * y)::DOUBLE AS sy, sum(weight * x * x)::DOUBLE AS sxx, sum(weight * y * y)::DOUBLE AS syy, sum(weight * x * y)::DOUBLE AS sxy FROM s JOIN ww ON s.chrom = ww.chrom AND s.k = diag WHERE x <> 0 OR y <> 0 GROUP BY ALL), f AS (SELECT chrom, direction, stripe FROM every WHERE k = 0) SELECT {_PLACE}, CAST({_r('coalesce(w, 0)', 'coalesce(sx, 0)', 'coalesce(sy, 0)', 'coalesce(sxx, 0)', 'coalesce(syy, 0)', 'coalesce(sxy, 0)')} AS DOUBLE) AS score FROM (SELECT * FROM f LEFT JOIN g USING (chrom, direction, stripe)) g JOIN n USING (chrom)", "contacts", "contacts_b")
+def c06_weighted_pearson(spark, sf_dir):
+    return _compared(spark, sf_dir, "pearson", weights=_weights(spark, sf_dir), without_zeros=True)
+
+
+@_query(f"""WITH {_STRIPES}, e AS (SELECT chrom, direction, stripe, coalesce(max(CASE WHEN x <> 0 THEN k END), 0) AS a, coalesce(max(CASE WHEN y <> 0 THEN k END), 0) AS b FROM s GROUP BY ALL),
+g AS (SELECT chrom, direction, stripe, greatest(a, b) - least(a, b) AS span, count(*) FILTER (k >= least(a, b) AND k < greatest(a, b) AND x <> y) AS incorrect FROM s JOIN e USING (chrom, direction, stripe) GROUP BY ALL)
+SELECT {_PLACE}, span - incorrect AS correct, incorrect FROM g JOIN n USING (chrom)""", "contacts", "contacts_b")
+def c07_custom_score(spark, sf_dir):
+    return _compared(spark, sf_dir, "custom")
+
+
+@_query("SELECT l_returnflag AS grp, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 4) AS wmean, round(var_pop(l_discount), 6) AS var, round(var_pop(l_discount) * count(*), 4) AS ssd, round(covar_pop(l_discount, l_tax), 6) AS cov, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1", "chroms")
+def c08_descriptive(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    d = F.col("l_discount")
+    out = t.groupBy(F.col("l_returnflag").alias("grp")).agg(statistics.weighted_mean(F.col("l_extendedprice"), F.col("l_quantity")).alias("wmean"), F.var_pop(d).alias("var"), statistics.squared_deviations(d).alias("ssd"), F.covar_pop("l_discount", "l_tax").alias("cov"), statistics.pearson(F.col("l_quantity"), F.col("l_extendedprice")).alias("r"))
+    return _round(_round(out, "var", "cov", "r"), "wmean", "ssd", places=4)
+
+
+@_query("SELECT user_id, event_id, round(rank() OVER (PARTITION BY user_id ORDER BY value) - 1 + (count(*) OVER (PARTITION BY user_id, value) - 1) / 2.0, 4)::DOUBLE AS place FROM events WHERE value IS NOT NULL", "chroms")
+def c09_ranks(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("value IS NOT NULL")
+    return statistics.with_ranks(e, ["user_id"], "value", "place").select("user_id", "event_id", F.round("place", 4).alias("place"))
+
+
+@_query("""WITH e AS (SELECT user_id, event_id, value, 1 + event_id % 4 AS w FROM events WHERE value IS NOT NULL)
+SELECT user_id, event_id, round(coalesce(sum(w) OVER (PARTITION BY user_id ORDER BY value RANGE UNBOUNDED PRECEDING), 0) - sum(w) OVER (PARTITION BY user_id, value) + (count(*) OVER (PARTITION BY user_id, value) + 1) / 2.0 * avg(w) OVER (PARTITION BY user_id, value), 4)::DOUBLE AS place FROM e""", "chroms")
+def c10_weighted_ranks(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("value IS NOT NULL").withColumn("w", 1 + F.col("event_id") % 4)
+    return statistics.with_weighted_ranks(e, ["user_id"], "value", "w", "place").select("user_id", "event_id", F.round("place", 4).alias("place"))
+
+
+@_query("""WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS m, avg(value) OVER (PARTITION BY user_id) AS a FROM events WHERE value IS NOT NULL)
+SELECT user_id, event_id, round(CASE WHEN n <= 3 THEN a ELSE m END, 5) AS smooth FROM e WHERE k <= n - 3 OR (n <= 3 AND k = 1)""", "chroms")
+def c11_moving_average(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("value IS NOT NULL").select("user_id", "event_id", "value")
+    return _round(statistics.moving_average(e, ["user_id"], "event_id", "value", 3, "smooth").select("user_id", "event_id", "smooth"), "smooth", places=5)
+
+
+@_query(None)
+def c12_significance(spark, sf_dir):
+    p = _compared(spark, sf_dir, "pearson").where("score > -9")
+    return p.select("chrom", "start", "direction", "score", statistics.pearson_significance(F.col("score"), F.lit(BAND)).alias("p_pearson"), statistics.spearman_significance(F.col("score"), F.lit(BAND)).alias("p_spearman"))
+
+
+# ---- transformations
+
+
+@_query(f"WITH {_P}, b AS (SELECT chrom, max(count) AS m FROM p GROUP BY chrom) SELECT chrom, bin1, bin2, round(count / m, 6) AS count FROM p JOIN b USING (chrom)", "contacts")
+def d01_normalised(spark, sf_dir):
+    return _round(matrix.normalised(_pixels(spark, sf_dir), *_shape(spark, sf_dir)), "count")
+
+
+@_query(f"WITH {_P}, {_N}, {_GRID}, {_DENSE}, q AS (SELECT chrom, bin1, bin2, least(2, greatest(1, count)) AS count FROM d), b AS (SELECT chrom, min(count) AS l, max(count) AS h FROM q GROUP BY chrom) SELECT chrom, bin1, bin2, round((count - l) / (h - l) * 3 + 2, 6) AS count FROM q JOIN b USING (chrom)", "contacts")
+def d02_normalised_saturated(spark, sf_dir):
+    return _round(matrix.normalised(_pixels(spark, sf_dir), *_shape(spark, sf_dir), lower=2, upper=5, saturation=(1, 2)), "count")
+
+
+@_query(f"WITH {_P} SELECT chrom, bin1, bin2, CAST(CASE WHEN count > 0.5 AND count < 1.5 THEN 10 WHEN count > 2 AND count < 4 THEN 20 ELSE count END AS DOUBLE) AS count FROM p", "contacts")
+def d03_discretised(spark, sf_dir):
+    return matrix.discretised(_pixels(spark, sf_dir), [(0.5, 1.5, 10.0), (2.0, 4.0, 20.0)])
+
+
+@_query(f"WITH {_P} SELECT chrom, bin1, bin2, CAST(CASE WHEN count < 2 THEN 0 WHEN count > 2 THEN 1 ELSE count END AS DOUBLE) AS count FROM p WHERE count >= 2", "contacts")
+def d04_thresholded(spark, sf_dir):
+    return matrix.discretised(_pixels(spark, sf_dir), matrix.threshold_ranges(2.0))
+
+
+_NEAR = "SELECT c.chrom, c.bin1, c.bin2, greatest(0, least(n - 1, c.bin1 + i)) AS a, greatest(0, least(n - 1, c.bin2 + j)) AS b, i, j FROM {} c JOIN n USING (chrom), (SELECT unnest(range({}, {})) AS i), (SELECT unnest(range({}, {})) AS j)"
+
+
+@_query(f"WITH {_P}, {_N}, w AS ({_NEAR.format('p', -2, 3, -2, 3)}) SELECT w.chrom, w.bin1, w.bin2, CAST(sum(coalesce(q.count, 0)) AS BIGINT) AS sum FROM w LEFT JOIN p q ON q.chrom = w.chrom AND q.bin1 = least(a, b) AND q.bin2 = greatest(a, b) GROUP BY ALL", "contacts")
+def e01_block_sums(spark, sf_dir):
+    p = _pixels(spark, sf_dir)
+    chroms, _, _ = _shape(spark, sf_dir)
+    return matrix.block_sums(p, chroms, p.select("chrom", "bin1", "bin2"), BIN, BAND, 5)
+
+
+def _blur_sql(sigma: float, name: str) -> str:
+    kernel = matrix.gaussian(sigma)
+    r = len(kernel) // 2
+    listed = "([" + ", ".join(repr(k) for k in kernel) + "]::DOUBLE[])"
+    near = f"SELECT g.chrom, g.bin1, g.bin2, greatest(0, least(n - 1, g.bin1 + i)) AS a, greatest(0, least(n - 1, g.bin2 + j)) AS b, {listed}[i + {r + 1}] * {listed}[j + {r + 1}] AS w FROM grid g, (SELECT unnest(range({-r}, {r + 1})) AS i), (SELECT unnest(range({-r}, {r + 1})) AS j)"
+    return f"{name} AS (SELECT w.chrom, w.bin1, w.bin2, sum(w * q.count) AS count FROM ({near}) w JOIN p q ON q.chrom = w.chrom AND q.bin1 = least(a, b) AND q.bin2 = greatest(a, b) GROUP BY ALL)"
+
+
+@_query(f"WITH {_P}, {_N}, {_GRID}, {_blur_sql(1.0, 'bl')} SELECT chrom, bin1, bin2, round(count, 6) AS count FROM bl WHERE count > 1e-6", "contacts")
+def e02_blurred(spark, sf_dir):
+    return _round(matrix.blurred(_pixels(spark, sf_dir), *_shape(spark, sf_dir), 1.0).where("count > 1e-6"), "count")
+
+
+@_query(f"WITH {_P}, {_N}, {_GRID}, {_blur_sql(0.5, 'b1')}, {_blur_sql(0.8, 'b2')}, u AS (SELECT chrom, bin1, bin2, count FROM b1 UNION ALL SELECT chrom, bin1, bin2, -count FROM b2), t AS (SELECT chrom, bin1, bin2, greatest(-0.5, least(0.5, sum(count))) AS count FROM u GROUP BY ALL) SELECT chrom, bin1, bin2, round(count, 6) AS count FROM t WHERE abs(count) > 1e-6", "contacts")
+def e03_difference_of_gaussians(spark, sf_dir):
+    out = matrix.difference_of_gaussians(_pixels(spark, sf_dir), *_shape(spark, sf_dir), 0.5, 0.8, lower=-0.5, upper=0.5)
+    return _round(out.where("abs(count) > 1e-6"), "count")
+
+
+# ---- extruding units
+
+_CELL = ["chrom", "cell"]
+_RANKS = "rk AS (SELECT *, row_number() OVER (PARTITION BY chrom, cell ORDER BY rev, epoch, lef_id) - 1 AS rev_rank, row_number() OVER (PARTITION BY chrom, cell ORDER BY fwd, epoch DESC, lef_id) - 1 AS fwd_rank FROM lefs)"
+
+
+def _ranked(spark, sf_dir):
+    return collisions.ranked(view(spark, sf_dir, "lefs"), _CELL)
+
+
+@_query(f"WITH {_RANKS} SELECT chrom, cell, lef_id, rev_rank, fwd_rank FROM rk", "lefs")
+def f01_ranks(spark, sf_dir):
+    return _ranked(spark, sf_dir).select("chrom", "cell", "lef_id", F.col("rev_rank").cast("bigint"), F.col("fwd_rank").cast("bigint"))
+
+
+_ADJ = "ad AS (SELECT chrom, cell, size, lef_id, rev, fwd, rev_rank, fwd_rank, rev - (min(rev - rev_move - rev_rank) OVER (PARTITION BY chrom, cell ORDER BY rev_rank DESC) + rev_rank) AS rev_move, max(fwd + fwd_move - fwd_rank) OVER (PARTITION BY chrom, cell ORDER BY fwd_rank) + fwd_rank - fwd AS fwd_move FROM rk)"
+
+
+@_query(f"WITH {_RANKS}, {_ADJ} SELECT chrom, cell, lef_id, least(rev_move, rev) AS rev_move, least(fwd_move, size - 1 - fwd) AS fwd_move FROM ad", "lefs")
+def f02_adjusted_moves(spark, sf_dir):
+    moved = collisions.adjusted_moves(_ranked(spark, sf_dir), _CELL).withColumns({"start": F.lit(0), "end": F.col("size")})
+    return collisions.clamped_moves(moved).select("chrom", "cell", "lef_id", "rev_move", "fwd_move")
+
+
+@_query("SELECT chrom, cell, count(*) FILTER (rev - rev_move <= 0) AS at_start, count(*) FILTER (fwd + fwd_move >= size - 1) AS at_end FROM lefs GROUP BY ALL", "lefs")
+def f03_boundaries(spark, sf_dir):
+    return collisions.at_boundaries(view(spark, sf_dir, "lefs").withColumns({"start": F.lit(0), "end": F.col("size")}), _CELL)
+
+
+_BC = """bc AS (SELECT chrom, cell, pos, min(start) AS barrier_id, CASE WHEN min(strand) = '+' THEN 'rev' ELSE 'fwd' END AS blocks FROM (SELECT *, (start + "end" + 1) // 2 AS pos FROM barriers WHERE strand <> '.') b, (SELECT unnest(range(0, 4)) AS cell) GROUP BY chrom, cell, pos)"""
+
+
+@_query(f"""WITH {_BC},
+up AS (SELECT b.chrom, b.cell, b.barrier_id, b.pos, min(u.rev) AS hit FROM bc b JOIN lefs u ON u.chrom = b.chrom AND u.cell = b.cell AND u.rev > b.pos WHERE blocks = 'rev' GROUP BY ALL),
+dn AS (SELECT b.chrom, b.cell, b.barrier_id, b.pos, max(u.fwd) AS hit FROM bc b JOIN lefs u ON u.chrom = b.chrom AND u.cell = b.cell AND u.fwd < b.pos WHERE blocks = 'fwd' GROUP BY ALL),
+h AS (SELECT up.chrom, up.cell, 'rev' AS unit, barrier_id, hit - pos AS distance, (SELECT min({{'m': rev_move, 'l': lef_id}}) FROM lefs u WHERE u.chrom = up.chrom AND u.cell = up.cell AND u.rev = up.hit) AS u FROM up
+UNION ALL SELECT dn.chrom, dn.cell, 'fwd', barrier_id, pos - hit, (SELECT max({{'m': fwd_move, 'l': lef_id}}) FROM lefs u WHERE u.chrom = dn.chrom AND u.cell = dn.cell AND u.fwd = dn.hit) FROM dn)
+SELECT chrom, cell, u.l AS lef_id, unit, arg_min(barrier_id, distance) AS barrier_id, min(distance) - 1 AS move FROM h WHERE distance <= u.m GROUP BY ALL""", "lefs", "barriers")
+def f04_barrier_collisions(spark, sf_dir):
+    b = view(spark, sf_dir, "barriers").where("strand <> '.'").withColumns({"pos": formulas.barrier_position(F.col("start"), F.col("end")), "cell": F.explode(F.sequence(F.lit(0), F.lit(3)))})
+    placed = b.groupBy("chrom", F.col("cell").cast("bigint").alias("cell"), "pos").agg(F.min("start").alias("barrier_id"), formulas.blocking_direction(F.min("strand")).alias("blocks"))
+    return collisions.barrier_collisions(view(spark, sf_dir, "lefs"), placed, _CELL)
+
+
+@_query(f"""WITH {_RANKS}, u AS (SELECT chrom, cell, rev AS place, 0 AS kind, rev_rank AS rank, rev_move AS move, lef_id FROM rk UNION ALL SELECT chrom, cell, fwd, 1, fwd_rank, fwd_move, lef_id FROM rk),
+b AS (SELECT *, lag({{'place': place, 'kind': kind, 'move': move, 'lef': lef_id}}) OVER (PARTITION BY chrom, cell ORDER BY place, kind, rank) AS b FROM u)
+SELECT chrom, cell, b.b.lef AS fwd_lef, lef_id AS rev_lef, greatest(b.b.place + CAST(floor((b.place - b.b.place) * b.b.move / (move + b.b.move) + 0.5) AS BIGINT), b.b.place + 1) AS pos FROM b WHERE kind = 0 AND b.b.kind = 1 AND b.place > b.b.place AND b.place - b.b.place < move + b.b.move""", "lefs")
+def f05_primary_collisions(spark, sf_dir):
+    return collisions.primary_collisions(_ranked(spark, sf_dir), _CELL)
+
+
+@_query("SELECT chrom, lef_id, (CASE lef_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 4 ELSE 8 END + CASE WHEN lef_id % 3 = 0 THEN 16 ELSE 0 END) * 72057594037927936 + lef_id AS word, CASE lef_id % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'boundary' WHEN 2 THEN 'barrier' WHEN 3 THEN 'primary' ELSE 'secondary' END AS kind, lef_id AS index, lef_id % 3 = 0 AS occurred FROM lefs", "lefs")
+def f06_collision_words(spark, sf_dir):
+    kinds = F.array(*[F.lit(k) for k in formulas.EVENTS])
+    word = formulas.encode_collision(F.get(kinds, (F.col("lef_id") % 5).cast("int")), F.col("lef_id"), F.col("lef_id") % 3 == 0)
+    coded = view(spark, sf_dir, "lefs").select("chrom", "lef_id", word.alias("word"))
+    return coded.select("chrom", "lef_id", "word", *[c.alias(n) for n, c in formulas.decode_collision(F.col("word")).items()])
+
+
+@_query("""WITH e AS (SELECT user_id % 10 AS cell, event_id AS epoch, value AS cv, (event_id * 7919) % 1000 AS loop FROM events WHERE value IS NOT NULL),
+a AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY epoch DESC) AS age FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY epoch) AS place FROM a WHERE age <= 100),
+m AS (SELECT cell, epoch, place, avg(cv) OVER w AS cv, avg(loop) OVER w AS loop FROM r WINDOW w AS (PARTITION BY cell ORDER BY epoch ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+s AS (SELECT cell, cv > lag(cv) OVER (PARTITION BY cell ORDER BY epoch) AS c, loop > lag(loop) OVER (PARTITION BY cell ORDER BY epoch) AS l FROM m WHERE place <= 95)
+SELECT cell, coalesce(count(*) FILTER (c) / nullif(95 - count(*) FILTER (c), 0) BETWEEN 0.9 AND 1.1 AND count(*) FILTER (l) / nullif(95 - count(*) FILTER (l), 0) BETWEEN 0.9 AND 1.1, false) AS stable FROM s GROUP BY cell""", "chroms")
+def f07_burnin(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("value IS NOT NULL").select((F.col("user_id") % 10).alias("cell"), F.col("event_id").alias("epoch"), F.col("value").alias("cv"), (F.col("event_id") * 7919 % 1000).alias("loop"))
+    return collisions.burnin_stable(e, ["cell"], 100, 5, 0.9, 1.1)
+
+
+@_query(f"""SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS "from", time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE AS "to", c.chrom, pos1 // {BIN} AS bin1, pos2 // {BIN} AS bin2, count(*) AS count
+FROM (SELECT ts, c.chrom, (event_id * 6151) % size AS pos1, least(size - 1, (event_id * 6151) % size + (user_id * 37) % 400000) AS pos2 FROM events JOIN chroms c ON chrom_id = user_id % 25) c WHERE pos2 // {BIN} - pos1 // {BIN} < {BAND} GROUP BY ALL""", "chroms")
+def g01_windowed_pixels(spark, sf_dir):
+    """What the streaming aggregation gives once all windows are final."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    c = view(spark, sf_dir, "chroms")
+    pos1 = F.col("event_id") * 6151 % F.col("size")
+    events = e.join(c, F.col("user_id") % 25 == F.col("chrom_id")).select("ts", "chrom", pos1.alias("pos1"), F.least(F.col("size") - 1, pos1 + F.col("user_id") * 37 % 400000).alias("pos2"))
+    return streaming_pixels(events, BIN, BAND).withColumns({"from": F.col("from").cast("timestamp_ntz"), "to": F.col("to").cast("timestamp_ntz")})
+
+
+_SIMULATION = SimulationConfig(cells=2, diagonal_width=200_000, contact_density=0.5, sampling_interval=10_000, seed=1, max_epochs=400)
+
+
+@_query(None)
+def h01_simulated_pixels(spark, sf_dir):
+    own = view(spark, sf_dir, "intervals")
+    tasks = plan_tasks(own, bars.map_to_intervals(_barriers(spark, sf_dir), own), _SIMULATION)
+    return simulate(tasks, _SIMULATION)["pixels"]
+
+
+@_query(None)
+def h02_simulated_epochs(spark, sf_dir):
+    own = view(spark, sf_dir, "intervals")
+    tasks = plan_tasks(own, bars.map_to_intervals(_barriers(spark, sf_dir), own), _SIMULATION)
+    return simulate(tasks, _SIMULATION, with_epochs=True)["epochs"]
+
+
+@_query(None)
+def h03_simulated_occupancy(spark, sf_dir):
+    own = view(spark, sf_dir, "intervals")
+    tasks = plan_tasks(own, bars.map_to_intervals(_barriers(spark, sf_dir), own), _SIMULATION)
+    return simulate(tasks, _SIMULATION)["occupancy"]
