@@ -278,14 +278,14 @@ def _labelled(docs: DataFrame, width: int, percent: int, common_shingles: int, c
 
     # pairs that would join two of the components found
     labels = connected_components(links)
-    labelled = shared_checkpoint(classes.join(labels, classes["class"] == labels["node"], "left").select("class", "group", F.coalesce("label", "class").alias("label")))
-    spans = labelled.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    labelled = shared_checkpoint(classes.join(labels, classes["class"] == labels["node"], "left").select("class", "group", "n", F.coalesce("label", "class").alias("label")))
+    spans = labelled.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("n"))
     postings = found.where(f"kind = {_POSTING}").select(F.col("a").alias("token"), F.col("b").alias("group")).join(spans, "group")
     open_tokens = postings.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most").select("token")
     listed = postings.join(open_tokens, "token")
-    one = listed.select("token", F.col("group").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
-    two = listed.select("token", F.col("group").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    apart = one.join(two, "token").where("a < b AND NOT (low_a = high_a AND low_a = low_b AND low_b = high_b)")
+    one = listed.select("token", F.col("group").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), F.col("n").alias("n_a"))
+    two = listed.select("token", F.col("group").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.col("n").alias("n_b"))
+    apart = one.join(two, "token").where("a < b AND NOT (low_a = high_a AND low_a = low_b AND low_b = high_b)").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     pairs = sized(apart.groupBy("a", "b").agg(F.count("*").alias("c"))).select("a", "b").unionByName(spans.where("low <> high").select(F.col("group").alias("a"), F.col("group").alias("b")))
     left = labelled.select(F.col("group").alias("a"), F.col("class").alias("class_a"), F.col("label").alias("label_a"))
     right = labelled.select(F.col("group").alias("b"), F.col("class").alias("class_b"), F.col("label").alias("label_b"))
@@ -295,7 +295,7 @@ def _labelled(docs: DataFrame, width: int, percent: int, common_shingles: int, c
     return rows.join(labels, rows["class"] == labels["node"], "left").select("order_id", "text_key", "n", F.coalesce("label", "class").alias("label"))
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, common_shingles: int = 65_536, common_least: int = 16, block_rows: int = 60_000, block_units: int = 1 << 22) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, common_shingles: int = 262_144, common_least: int = 4, block_rows: int = 60_000, block_units: int = 1 << 22) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included).
 
     Texts with fewer than ``width`` words are one shingle; null and blank texts have none and link with nothing,
@@ -321,7 +321,7 @@ def keep_first_of_component(docs: DataFrame, width: int = 5, percent: int = 75)
 
     Rows without words all stay; of rows that are equal in doc_id and text, one does.
     """
-    named = _labelled(docs, width, percent, 65_536, 16, 60_000, 1 << 22)
+    named = _labelled(docs, width, percent, 262_144, 4, 60_000, 1 << 22)
     first = named.where("n > 0").groupBy("label").agg(F.min(F.struct("order_id", "text_key")).alias("first")).select("first.order_id", "first.text_key")
     own = keyed(docs)
     blank = F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
