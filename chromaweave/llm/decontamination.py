@@ -146,5 +146,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram:
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram: int = 7, one_in: int = 20) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``decontaminate`` does not find contaminated."""
     judged = _judged(docs, benchmark, window, gram, one_in).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key"))
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    return keyed.join(judged, (F.col("text_key") == F.col("bad_key")) & F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"))
+    kept = whole.join(judged, (F.col("own_key") == F.col("bad_key")) & F.col("own_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return kept.select(*[F.col(f"row.`{c}`") for c in docs.columns])

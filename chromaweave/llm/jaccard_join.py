@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from chromaweave.llm import arrays
 from chromaweave.llm.components import connected_components
 from chromaweave.llm.lineage import shared_checkpoint, shared_table
-from chromaweave.llm.repeats import LAST, keyed
+from chromaweave.llm.repeats import LAST, all_but, keyed, put_back
 
 _U64 = np.uint64
 #: Up to this many rows a side is broadcast (some 24 bytes each); above, it is joined by a shuffle.
@@ -233,7 +233,7 @@ def _verified(width: int, percent: int):
 def _labelled(docs: DataFrame, width: int, percent: int, common_shingles: int, common_least: int, block_rows: int, block_units: int) -> DataFrame:
     """(order_id, text_key, n, label) of each row: equal labels are one component; no label has meaning if n is 0."""
     spark = docs.sparkSession
-    own = keyed(docs).select("order_id", "text_key", "text")
+    own = keyed(docs)
     frequent = own.select("text").mapInArrow(_locally_common(width, common_least, block_units), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(common_shingles).toPandas()
     common = frequent["shingle"].to_numpy(np.int64).view(_U64)
     by = np.argsort(common)
@@ -323,7 +323,7 @@ def keep_first_of_component(docs: DataFrame, width: int = 5, percent: int = 75)
     """
     named = _labelled(docs, width, percent, 262_144, 4, 60_000, 1 << 22)
     first = named.where("n > 0").groupBy("label").agg(F.min(F.struct("order_id", "text_key")).alias("first")).select("first.order_id", "first.text_key")
-    own = keyed(docs)
+    own = keyed(docs, all_but(docs, "text"))
     blank = F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
     stay = own.where(~blank).join(first, ["order_id", "text_key"], "left_semi").dropDuplicates(["order_id", "text_key"])
-    return stay.unionByName(own.where(blank)).select(*docs.columns)
+    return put_back(stay.unionByName(own.where(blank)).select("row", "text"), docs.columns)

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chromaweave.llm import arrays
@@ -303,9 +303,21 @@ def _compared(w: Windows, compare: Callable, chunk_bytes: int):
     return run
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with order_id (doc_id, null last) and text_key: what tells its rows apart, up to equal ones."""
-    return docs.withColumns({"order_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)), "text_key": F.xxhash64("text")})
+def keyed(docs: DataFrame, *others: Column) -> DataFrame:
+    """order_id (doc_id, null last), text_key (a hash of the text) and text of each row, and ``others``. The first two tell
+    rows apart, up to equal ones."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("order_id"), F.xxhash64("text").alias("text_key"), F.col("text").alias("text"), *others)
+
+
+def all_but(docs: DataFrame, *names: str) -> Column:
+    """The other columns as one struct, so that their names meet no others."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in names]).alias("row")
+
+
+def put_back(packed: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of ``row``, and those beside it, in their old order."""
+    beside = set(packed.columns)
+    return packed.select(*[F.col(f"`{c}`") if c == "text" and "text" in beside else F.col(f"row.`{c}`") for c in columns])
 
 
 def with_spans(docs: DataFrame, w: Windows, compare: Callable, block_rows: int = 60_000, block_units: int = 1 << 25, chunk_bytes: int = 1 << 20) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromaweave.llm import arrays
-from chromaweave.llm.repeats import LAST, Windows, covered, keyed, with_spans
+from chromaweave.llm.repeats import LAST, Windows, all_but, covered, keyed, put_back, with_spans
 
 
 def _byte_units(column: pa.Array):
@@ -169,8 +169,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 16, wit
     share a doc_id do not count against each other; a null doc_id is larger than all others; repeated rows are
     answered each; other columns are ignored. The kept text leaves out bytes of cut characters.
     """
-    rows = keyed(docs).select("order_id", "text_key", "text")
-    joined = with_spans(rows, Windows(length, gram, _byte_units, False), compare_with_suffix_array).select(F.when(F.col("order_id") != LAST, F.col("order_id")).alias("doc_id"), "text", "spans")
+    joined = with_spans(keyed(docs), Windows(length, gram, _byte_units, False), compare_with_suffix_array).select(F.when(F.col("order_id") != LAST, F.col("order_id")).alias("doc_id"), "text", "spans")
     return joined.mapInArrow(_without(with_text), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", text string" if with_text else ""))
 
 
@@ -179,21 +178,17 @@ def cut_repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 16) -> Dat
 
     Bytes of characters that a cut leaves in part go as well; a null text stays null.
     """
-    joined = with_spans(keyed(docs), Windows(length, gram, _byte_units, False), compare_with_suffix_array).select(*docs.columns, "spans")
-    names = docs.columns
-    at = docs.columns.index("text")
+    joined = with_spans(keyed(docs, all_but(docs, "text")), Windows(length, gram, _byte_units, False), compare_with_suffix_array).select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if spans:
                     data = np.frombuffer(text.encode(), np.uint8)
                     text = data[~covered(spans, len(data))].tobytes().decode("utf-8", "ignore")
                 texts.append(text)
-            columns = batch.columns[:-1]
-            columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
-    cut = joined.mapInArrow(run, docs.schema)
+    cut = put_back(joined.mapInArrow(run, joined.drop("spans").schema), docs.columns)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
