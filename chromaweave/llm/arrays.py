@@ -32,7 +32,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data[low : int(at[-1])], starts - low, ends - low
 
 
-def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows with at most so many bytes of text, at least one row each: bounds what numpy holds at once."""
     _, starts, ends = text_buffers(batch.column(column))
     sums = np.concatenate([[0], np.cumsum(ends - starts)])

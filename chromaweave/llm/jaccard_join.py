@@ -234,7 +234,7 @@ def _labelled(docs: DataFrame, width: int, percent: int, common_shingles: int, c
     """(order_id, text_key, n, label) of each row: equal labels are one component; no label has meaning if n is 0."""
     spark = docs.sparkSession
     own = keyed(docs)
-    frequent = own.select("text").mapInArrow(_locally_common(width, common_least, block_units), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(common_shingles).toPandas()
+    frequent = own.select("text").mapInArrow(_locally_common(width, common_least, 2 * block_units), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(common_shingles).toPandas()
     common = frequent["shingle"].to_numpy(np.int64).view(_U64)
     by = np.argsort(common)
     ranks = (1 + np.log2(np.maximum(frequent["n"].to_numpy(np.float64), 1)) * 4).astype(np.uint8)[by]
@@ -295,7 +295,7 @@ def _labelled(docs: DataFrame, width: int, percent: int, common_shingles: int, c
     return rows.join(labels, rows["class"] == labels["node"], "left").select("order_id", "text_key", "n", F.coalesce("label", "class").alias("label"))
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, common_shingles: int = 262_144, common_least: int = 4, block_rows: int = 60_000, block_units: int = 1 << 22) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, common_shingles: int = 262_144, common_least: int = 4, block_rows: int = 60_000, block_units: int = 1 << 21) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included).
 
     Texts with fewer than ``width`` words are one shingle; null and blank texts have none and link with nothing,
@@ -321,7 +321,7 @@ def keep_first_of_component(docs: DataFrame, width: int = 5, percent: int = 75)
 
     Rows without words all stay; of rows that are equal in doc_id and text, one does.
     """
-    named = _labelled(docs, width, percent, 262_144, 4, 60_000, 1 << 22)
+    named = _labelled(docs, width, percent, 262_144, 4, 60_000, 1 << 21)
     first = named.where("n > 0").groupBy("label").agg(F.min(F.struct("order_id", "text_key")).alias("first")).select("first.order_id", "first.text_key")
     own = keyed(docs, all_but(docs, "text"))
     blank = F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")

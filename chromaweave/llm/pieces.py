@@ -210,6 +210,13 @@ _RESULT = "doc_id bigint, n_pieces bigint, score double, nbest_scores array<doub
 
 def _encoded(model: bytes, n: int, memory: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # what is remembered has no cycles; scanning it over and over takes most of the time
+        try:
+            yield from encode(batches)
+        finally:
+            gc.enable()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
         processor = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -218,7 +225,6 @@ def _encoded(model: bytes, n: int, memory: int, with_ids: bool):
         cut = regex.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         known: dict[str, tuple[bytes, float, str, float]] = {}
         first, second, third, fourth = (itemgetter(k) for k in range(4))
-        gc.disable()  # what is remembered has no cycles; scanning it over and over takes most of the time
         for batch in (part for b in batches for part in text_slices(b, 1)):
             rows: list[list] = [[] for _ in range(8)]
             texts = [text or "" for text in batch.column(1).to_pylist()]

@@ -320,7 +320,7 @@ def put_back(packed: DataFrame, columns: list[str]) -> DataFrame:
     return packed.select(*[F.col(f"`{c}`") if c == "text" and "text" in beside else F.col(f"row.`{c}`") for c in columns])
 
 
-def with_spans(docs: DataFrame, w: Windows, compare: Callable, block_rows: int = 60_000, block_units: int = 1 << 25, chunk_bytes: int = 1 << 20) -> DataFrame:
+def with_spans(docs: DataFrame, w: Windows, compare: Callable, block_rows: int = 60_000, block_units: int = 1 << 23, chunk_bytes: int = 1 << 19) -> DataFrame:
     """``docs``, which has order_id, text_key and text, with ``spans``: null, or binaries of pairs of int64 (from, to) in
     units that are repeats; they may overlap.
 
