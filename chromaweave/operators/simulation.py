@@ -129,9 +129,10 @@ class Epoch:
             distance = at[unit] - pos[own] if rev else pos[own] - at[unit]
             chance = np.where(blocks_rev[own] == rev, major, minor)
             hit = (distance > 0) & (distance <= self._before(rev)[unit]) & (draw(len(own)) < chance)
-            # the nearest barrier counts: write the farthest first
-            for k in np.flatnonzero(hit)[np.argsort(-distance[hit], kind="stable")]:
-                event[unit[k]], partner[unit[k]], move[unit[k]] = BARRIER, own[k], distance[k] - 1
+            # the nearest barrier counts: of a unit's hits the last one written stays
+            k = np.flatnonzero(hit)
+            k = k[np.argsort(-distance[k], kind="stable")]
+            event[unit[k]], partner[unit[k]], move[unit[k]] = BARRIER, own[k], distance[k] - 1
 
     def _before(self, rev: bool) -> np.ndarray:
         name = "_rev_before" if rev else "_fwd_before"
@@ -151,47 +152,43 @@ class Epoch:
         rev_raw, fwd_raw = self._before(True)[r], self._before(False)[f]
         near = (delta > 0) & (delta < rev_raw + fwd_raw)
         near[near] = draw(int(near.sum())) >= bypass
-        for f, r, gap, rm, fm in zip(f[near], r[near], delta[near], rev_raw[near], fwd_raw[near]):
-            meet = max(int(self.fwd[f] + math.floor(gap * fm / (rm + fm) + 0.5)), int(self.fwd[f]) + 1)
-            rev_stop = self.rev[r] - self.rev_move[r] if self.rev_event[r] == BARRIER else None
-            fwd_stop = self.fwd[f] + self.fwd_move[f] if self.fwd_event[f] == BARRIER else None
-            rev_first = rev_stop is not None and rev_stop > meet
-            fwd_first = fwd_stop is not None and fwd_stop < meet - 1
-            if rev_first and fwd_first:
-                continue
-            if fwd_first:
-                if self.rev[r] - rm <= fwd_stop:
-                    self._stop_rev(r, fwd_stop + 1, PRIMARY, f)
-            elif rev_first:
-                if self.fwd[f] + fm >= rev_stop:
-                    self._stop_fwd(f, rev_stop - 1, PRIMARY, r)
-            else:
-                self._stop_rev(r, meet, PRIMARY, f)
-                self._stop_fwd(f, meet - 1, PRIMARY, r)
-
-    def _stop_rev(self, unit: int, pos: int, event: int, partner: int) -> None:
+        f, r, gap, rm, fm = f[near], r[near], delta[near], rev_raw[near], fwd_raw[near]  # no unit is in two pairs
+        meet = np.maximum(self.fwd[f] + np.floor(gap * fm / (rm + fm) + 0.5).astype(np.int64), self.fwd[f] + 1)
+        rev_stop, fwd_stop = self.rev[r] - self.rev_move[r], self.fwd[f] + self.fwd_move[f]
+        rev_first = (self.rev_event[r] == BARRIER) & (rev_stop > meet)
+        fwd_first = (self.fwd_event[f] == BARRIER) & (fwd_stop < meet - 1)
+        k = ~rev_first & np.where(fwd_first, self.rev[r] - rm <= fwd_stop, True)
+        self._stop_rev(r[k], np.where(fwd_first, fwd_stop + 1, meet)[k], PRIMARY, f[k])
+        k = ~fwd_first & np.where(rev_first, self.fwd[f] + fm >= rev_stop, True)
+        self._stop_fwd(f[k], np.where(rev_first, rev_stop - 1, meet - 1)[k], PRIMARY, r[k])
+
+    def _stop_rev(self, unit: np.ndarray, pos: np.ndarray, event: int, partner: np.ndarray) -> None:
         self.rev_move[unit], self.rev_event[unit], self.rev_with[unit] = self.rev[unit] - pos, event, partner
 
-    def _stop_fwd(self, unit: int, pos: int, event: int, partner: int) -> None:
+    def _stop_fwd(self, unit: np.ndarray, pos: np.ndarray, event: int, partner: np.ndarray) -> None:
         self.fwd_move[unit], self.fwd_event[unit], self.fwd_with[unit] = pos - self.fwd[unit], event, partner
 
     def secondary(self, bypass: float, draw) -> None:
-        """Units that run into a stalled one ahead of them stop behind it; order matters, as stalls pass on."""
-        luck = draw(2 * len(self.rev))
+        """Units that run into a stalled one ahead of them stop behind it; such a stall may stall the next one, so the
+        units newly stalled are followed until there are none."""
+        luck = draw(2 * len(self.rev)) >= bypass
+        last = len(self.rev) - 1
         order = self.rev_order
-        for k in range(1, len(order)):
-            a, b = order[k - 1], order[k]
-            if self.rev_event[a] != NONE and self.rev_event[b] == NONE and luck[k] >= bypass:
-                stop = self.rev[a] - self.rev_move[a]
-                if self.rev[b] - self.rev_move[b] <= stop:
-                    self._stop_rev(b, min(stop + 1, self.rev[b]), SECONDARY, a)
+        stalled = np.flatnonzero(self.rev_event[order] != NONE)
+        while len(stalled := stalled[stalled < last]):
+            a, b = order[stalled], order[stalled + 1]
+            stop = self.rev[a] - self.rev_move[a]
+            k = (self.rev_event[b] == NONE) & luck[stalled + 1] & (self.rev[b] - self.rev_move[b] <= stop)
+            self._stop_rev(b[k], np.minimum(stop + 1, self.rev[b])[k], SECONDARY, a[k])
+            stalled = stalled[k] + 1
         order = self.fwd_order
-        for k in range(len(order) - 2, -1, -1):
-            a, b = order[k + 1], order[k]
-            if self.fwd_event[a] != NONE and self.fwd_event[b] == NONE and luck[len(order) + k] >= bypass:
-                stop = self.fwd[a] + self.fwd_move[a]
-                if self.fwd[b] + self.fwd_move[b] >= stop:
-                    self._stop_fwd(b, max(stop - 1, self.fwd[b]), SECONDARY, a)
+        stalled = np.flatnonzero(self.fwd_event[order] != NONE)
+        while len(stalled := stalled[stalled > 0]):
+            a, b = order[stalled], order[stalled - 1]
+            stop = self.fwd[a] + self.fwd_move[a]
+            k = (self.fwd_event[b] == NONE) & luck[last + stalled] & (self.fwd[b] + self.fwd_move[b] >= stop)
+            self._stop_fwd(b[k], np.maximum(stop - 1, self.fwd[b])[k], SECONDARY, a[k])
+            stalled = stalled[k] - 1
 
     def extruded(self) -> tuple[np.ndarray, np.ndarray]:
         """Positions after the moves. Where a unit got past a stalled one, the two change places, so each unit keeps
@@ -214,8 +211,7 @@ def run_task(task: dict, config: SimulationConfig) -> tuple[dict, dict, list]:
     rev, fwd, born, bound = np.zeros(lefs, np.int64), np.zeros(lefs, np.int64), np.zeros(lefs, np.int64), np.zeros(lefs, bool)
     burn = config.burnin_epochs if config.burnin else 0
     awake = lefs if not burn else 0
-    cells: dict[tuple[int, int], int] = {}
-    spots: dict[int, int] = {}
+    cells, spots = _Counts(), _Counts()
     log = []
     done = epoch = 0
     while done < task["target"] and (config.max_epochs is None or epoch < config.max_epochs):
@@ -245,10 +241,38 @@ def run_task(task: dict, config: SimulationConfig) -> tuple[dict, dict, list]:
         events = np.concatenate([e.rev_event, e.fwd_event])
         log.append((epoch, burning, int(active.sum()), awake, *(int((events == k).sum()) for k in (BOUNDARY, BARRIER, PRIMARY, SECONDARY)), float((fwd[on] - rev[on]).mean()), done))
         epoch += 1
-    return cells, spots, log
+    return cells.total(), spots.total(), log
 
 
-def _sample(rng, start: int, end: int, rev: np.ndarray, fwd: np.ndarray, n: int, config: SimulationConfig, cells: dict, spots: dict) -> None:
+class _Counts:
+    """Counts of rows of numbers, summed whenever enough have gathered."""
+
+    def __init__(self, most: int = 500_000):
+        self.most, self.held, self.size, self.sums = most, [], 0, None
+
+    def add(self, rows: np.ndarray) -> None:
+        self.held.append(rows)
+        self.size += len(rows)
+        if self.size >= self.most:
+            self._sum()
+
+    def _sum(self) -> None:
+        if not self.held:
+            return
+        found, times = np.unique(np.concatenate(self.held), axis=0, return_counts=True)
+        if self.sums is not None:
+            both, where = np.unique(np.concatenate([self.sums[0], found]), axis=0, return_inverse=True)
+            found, times = both, np.bincount(where.ravel(), weights=np.concatenate([self.sums[1], times])).astype(np.int64)
+        self.sums, self.held, self.size = (found, times), [], 0
+
+    def total(self) -> dict:
+        self._sum()
+        if self.sums is None:
+            return {}
+        return {tuple(row) if isinstance(row, list) else row: n for row, n in zip(self.sums[0].tolist(), self.sums[1].tolist())}
+
+
+def _sample(rng, start: int, end: int, rev: np.ndarray, fwd: np.ndarray, n: int, config: SimulationConfig, cells: _Counts, spots: _Counts) -> None:
     """Contacts of loops and between random places inside them, with noise; both ends counted as occupied."""
     inside = np.flatnonzero((rev > start + 1) & (fwd < end - 1) & (fwd > rev))
     if not len(inside) or n <= 0:
@@ -268,12 +292,8 @@ def _sample(rng, start: int, end: int, rev: np.ndarray, fwd: np.ndarray, n: int,
     good = (a >= start) & (b < end)
     first, last = (a[good] - start) // config.bin_size, (b[good] - start) // config.bin_size
     near = last - first < config.nrows
-    pixels, times = np.unique(np.stack([first[near], last[near]], 1), axis=0, return_counts=True)
-    for (x, y), k in zip(pixels.tolist(), times.tolist()):
-        cells[x, y] = cells.get((x, y), 0) + k
-    places, times = np.unique(np.concatenate([first, last]), return_counts=True)
-    for x, k in zip(places.tolist(), times.tolist()):
-        spots[x] = spots.get(x, 0) + k
+    cells.add(np.stack([first[near], last[near]], 1))
+    spots.add(np.concatenate([first, last]))
 
 
 _OUT = "kind string, interval_id bigint, chrom string, cell int, a bigint, b bigint, n bigint, stats array<double>"
