@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chromaweave.functions import formulas, statistics
 from chromaweave.operators import barriers as bars
-from chromaweave.operators import collisions, evaluation, intervals, matrix
+from chromaweave.operators import collisions, evaluation, intervals, matrix, summaries
 from chromaweave.operators.simulation import SimulationConfig, plan_tasks, simulate
 from chromaweave.plans.adapters import BAND, BIN, view, with_views
 from chromaweave.streaming.contacts import streaming_pixels
@@ -424,6 +424,59 @@ def g01_windowed_pixels(spark, sf_dir):
     return streaming_pixels(events, BIN, BAND).withColumns({"from": F.col("from").cast("timestamp_ntz"), "to": F.col("to").cast("timestamp_ntz")})
 
 
+# ---- summaries and small functions
+
+
+@_query(f"""WITH {_B}, o AS (SELECT interval_id, count(*) AS k FROM intervals i JOIN b ON i.chrom = b.chrom AND i.start < b."end" AND b.start < i."end" GROUP BY interval_id)
+SELECT (SELECT sum(size)::BIGINT FROM chroms) AS genome_size, (SELECT arg_max(chrom, {{'s': size, 'c': chrom}}) FROM chroms) AS longest_chrom, (SELECT max(length(chrom))::INTEGER FROM chroms) AS longest_name,
+(SELECT sum("end" - start)::BIGINT FROM intervals) AS simulated_size, (SELECT max("end" - start) FROM intervals) AS longest_interval, (SELECT max(round(ceil(("end" - start) / 5000.0) * least(ceil(("end" - start) / 5000.0), 60) * 0.5))::BIGINT FROM intervals) AS most_contacts, (SELECT max(k) FROM o) AS most_barriers""", "intervals", "barriers")
+def i01_genome(spark, sf_dir):
+    own = view(spark, sf_dir, "intervals")
+    return summaries.genome_statistics(view(spark, sf_dir, "chroms"), own, bars.map_to_intervals(_barriers(spark, sf_dir), own), BIN, BAND, 0.5)
+
+
+@_query("SELECT chrom, cell, count(*) AS n, round(avg(fwd - rev), 5) AS mean, round(stddev_pop(fwd - rev) / avg(fwd - rev), 5) AS cv FROM lefs GROUP BY ALL", "lefs")
+def i02_loop_sizes(spark, sf_dir):
+    return _round(summaries.loop_statistics(view(spark, sf_dir, "lefs"), _CELL), "mean", "cv", places=5)
+
+
+@_query("""WITH w AS (SELECT interval_id, chrom, k AS "window", start + k * 20000 AS s, least(start + (k + 1) * 20000, "end") AS e FROM (SELECT *, unnest(range(0, ("end" - start + 19999) // 20000)) AS k FROM intervals))
+SELECT interval_id, "window", round(sum(value * (least(e, "end") - greatest(s, start))) / sum(least(e, "end") - greatest(s, start)), 6) AS mean, min(value) AS least, max(value) AS largest, sum(least(e, "end") - greatest(s, start))::BIGINT AS bases FROM w JOIN track t ON w.chrom = t.chrom AND s < t."end" AND t.start < e GROUP BY ALL""", "intervals", "track")
+def i03_track_windows(spark, sf_dir):
+    return _round(summaries.window_statistics(view(spark, sf_dir, "track"), view(spark, sf_dir, "intervals"), 20_000), "mean")
+
+
+@_query("SELECT lef_id, chrom, round(0.02 / CASE (lef_id % 3 = 0)::INT + (lef_id % 4 = 0)::INT WHEN 0 THEN 1 WHEN 1 THEN 1.5 ELSE 5 END, 6)::DOUBLE AS chance FROM lefs", "lefs")
+def i04_release_chances(spark, sf_dir):
+    chance = summaries.release_chance(0.02, 1.5, 5.0, F.col("lef_id") % 3 == 0, F.col("lef_id") % 4 == 0)
+    return view(spark, sf_dir, "lefs").select("lef_id", "chrom", F.round(chance, 6).alias("chance"))
+
+
+@_query("SELECT lef_id, chrom, rev, fwd FROM lefs ORDER BY md5('7:' || lef_id), lef_id LIMIT 100", "lefs")
+def i05_sample(spark, sf_dir):
+    return summaries.sampled(view(spark, sf_dir, "lefs"), "lef_id", 100, seed=7).select("lef_id", "chrom", "rev", "fwd")
+
+
+@_query("SELECT event_id, round(10 + 3 * (pow(-ln((event_id % 97 + 1) / 100.0), -0.2) - 1) / 0.2, 5)::DOUBLE AS gev, round(10 - 3 * ln(-ln((event_id % 97 + 1) / 100.0)), 5)::DOUBLE AS gumbel FROM events", "chroms")
+def i06_extreme_values(spark, sf_dir):
+    u = (F.col("event_id") % 97 + 1) / 100
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return _round(e.select("event_id", formulas.genextreme(u, 10, 3, 0.2).alias("gev"), formulas.genextreme(u, 10, 3, 0).alias("gumbel")), "gev", "gumbel", places=5)
+
+
+@_query("""SELECT p_partkey, p_name AS bare, CASE WHEN p_partkey % 2 = 0 THEN p_brand || '|' || p_type ELSE p_brand || '|' || p_type || '|x' END AS fields FROM part""", "chroms")
+def i07_text_fields(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    quoted = F.concat(F.lit('"'), "p_name", F.lit('"'))
+    joined = F.concat_ws(";", "p_brand", "p_type", F.when(F.col("p_partkey") % 2 == 0, "").otherwise("x"))
+    return p.select("p_partkey", formulas.strip_quotes(quoted).alias("bare"), F.array_join(formulas.split_fields(joined, ";"), "|").alias("fields"))
+
+
+@_query("""SELECT chrom, count(*) FILTER (score > 0.4) AS active, count(*) FILTER (NOT score > 0.4) AS inactive FROM barriers GROUP BY chrom""", "barriers")
+def i08_barrier_states(spark, sf_dir):
+    return summaries.occupied_states(view(spark, sf_dir, "barriers").withColumn("active", F.col("score") > 0.4), ["chrom"])
+
+
 _SIMULATION = SimulationConfig(cells=2, diagonal_width=200_000, contact_density=0.5, sampling_interval=10_000, seed=1, max_epochs=400)
 
 
