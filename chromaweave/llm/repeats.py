@@ -10,6 +10,10 @@ context: a short run of units. Then, for all contexts of the corpus:
 3. the second kind is cut out of the texts, brought together by anchor, and compared unit by unit with the operator's
    own method; the first kind is done.
 
+Where a very common passage begins or ends, its contexts differ from document to document, so an anchor may have any
+number of them. Halves that more than ``hot`` contexts share are therefore not brought together: their windows are
+hashed, each task keeps a window's first occurrence only, and those few meet by window.
+
 Only hashes, flags and the contexts in question travel, besides the texts on their way to the flags.
 """
 
@@ -62,7 +66,7 @@ def contexts(w: Windows, values: np.ndarray, first: np.ndarray, last: np.ndarray
     n, width = len(values), w.length - w.gram + 1
     counts = np.maximum(last - first - w.length + 1, 0)
     if n < w.length or not counts.sum():
-        return {"row": np.zeros(0, np.int64), "low": np.zeros(0, np.int64), "high": np.zeros(0, np.int64), "anchor": np.zeros(0, _U64), "own": np.zeros(0, _U64), "left": np.zeros(0, np.uint32), "right": np.zeros(0, np.uint32)}
+        return {"row": np.zeros(0, np.int64), "low": np.zeros(0, np.int64), "high": np.zeros(0, np.int64), "at": np.zeros(0, np.int64), "anchor": np.zeros(0, _U64), "own": np.zeros(0, _U64), "left": np.zeros(0, np.uint32), "right": np.zeros(0, np.uint32)}
     sums, scale = arrays.running_sum(values)
     grams = arrays.mix((sums[w.gram :] - sums[: n - w.gram + 1]) * scale[: n - w.gram + 1])
     keys = (grams & _U64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=_U64)
@@ -85,7 +89,7 @@ def contexts(w: Windows, values: np.ndarray, first: np.ndarray, last: np.ndarray
     has_left, has_right = at - low >= reach, at - high < reach
     left = np.where(has_left, arrays.mix(hashed(np.maximum(at - reach, 0), at + w.gram)) >> _U64(32) | _U64(1), 0).astype(np.uint32)
     right = np.where(has_right, arrays.mix(hashed(at, np.minimum(at + w.gram + spare - reach + 1, n))) >> _U64(32) | _U64(1), 0).astype(np.uint32)
-    return {"row": row[head], "low": low, "high": high, "anchor": arrays.mix(grams[at] ^ _U64(0x5851F42D4C957F2D)), "own": own, "left": left, "right": right}
+    return {"row": row[head], "low": low, "high": high, "at": at, "anchor": arrays.mix(grams[at] ^ _U64(0x5851F42D4C957F2D)), "own": own, "left": left, "right": right}
 
 
 def _pack(left: np.ndarray, right: np.ndarray, own: np.ndarray, order: np.ndarray, place: np.ndarray) -> bytes:
@@ -141,7 +145,7 @@ def _sent(w: Windows, buckets: int, block_rows: int, block_units: int):
             if w.ordered:
                 got["low"] = got["low"] - first[got["row"]]
             got["row"] += rows
-            del got["high"]
+            del got["high"], got["at"]
             found.append(got)
             ids.append(batch.column(0).to_numpy())
             keys.append(batch.column(1).to_numpy())
@@ -158,20 +162,25 @@ def _sent(w: Windows, buckets: int, block_rows: int, block_units: int):
     return run
 
 
-def _flagged(ordered: bool):
-    """For each packed row, two bits for each context: it occurred earlier; it shares a half with others."""
+#: Flags of a context: all its windows occurred earlier; it must be compared; its windows with enough units to the left of
+#: the anchor, or to the right, are hashed one by one.
+_LATE, _COMPARE, _HOT_LEFT, _HOT_RIGHT = 1, 2, 4, 8
+
+
+def _flagged(ordered: bool, hot: int):
+    """For each packed row, the flags of its contexts."""
 
-    def shares(half: np.ndarray, own: np.ndarray) -> np.ndarray:
+    def sharing(half: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """How many different contexts have each one's half."""
         by = np.lexsort((own, half))
         h, o = half[by], own[by]
         new_half = np.ones(len(by), bool)
         new_half[1:] = h[1:] != h[:-1]
         new = new_half.copy()
         new[1:] |= o[1:] != o[:-1]
-        kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_half))[np.cumsum(new_half) - 1]
-        out = np.zeros(len(by), bool)
-        out[by] = (kinds > 1) & (h > 0)
-        return out
+        out = np.zeros(len(by), np.int64)
+        out[by] = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_half))[np.cumsum(new_half) - 1]
+        return np.where(half > 0, out, 0)
 
     def answer(rows: list[tuple]) -> pa.RecordBatch:
         parts = [_unpack(n, packed) for _, _, n, packed in rows]
@@ -183,9 +192,11 @@ def _flagged(ordered: bool):
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
         late = np.zeros(len(by), bool)
         late[by] = (order[by] > order[by][first]) | ((place[by] > place[by][first]) if ordered else False)
-        flags = np.where(late, 1, np.where(shares(left, own) | shares(right, own), 2, 0)).astype(np.uint8)
+        lefts, rights = sharing(left, own), sharing(right, own)
+        some = ((lefts > 1) & (lefts <= hot)) | ((rights > 1) & (rights <= hot))
+        flags = np.where(late, _LATE, _COMPARE * some + _HOT_LEFT * (lefts > hot) + _HOT_RIGHT * (rights > hot)).astype(np.uint8)
         at = np.cumsum([0, *(r[2] for r in rows)])
-        packed = [np.packbits(flags[s:e] & 1).tobytes() + np.packbits(flags[s:e] >> 1).tobytes() for s, e in zip(at, at[1:])]
+        packed = [pa.compress(flags[s:e].tobytes(), "zstd", asbytes=True) for s, e in zip(at, at[1:])]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "block", "n", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,22 +237,57 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 doc, key, counts = np.frombuffer(whole[: 24 * n], np.int64).reshape(3, n)
                 buckets = np.frombuffer(whole[24 * n :], np.uint16)
                 layout = (doc, key, counts, buckets)
-                flags = (buckets == _LOCAL).astype(np.uint8)
+                flags = np.where(buckets == _LOCAL, _LATE, 0).astype(np.uint8)
                 places = np.argsort(buckets, kind="stable")
                 edges = buckets[places]
             else:
-                size = (n + 7) // 8
-                bits = [np.unpackbits(np.frombuffer(part, np.uint8), count=n) for part in (packed[:size], packed[size:])]
                 s = np.searchsorted(edges, bucket)
-                flags[places[s : s + n]] = bits[0] + 2 * bits[1]
+                flags[places[s : s + n]] = np.frombuffer(pa.decompress(packed, n, "zstd", asbytes=True), np.uint8)
     if layout is not None:
         yield finish()
 
 
-def _cut(w: Windows):
-    """Flagged texts to spans that are repeats, and contexts (anchor not null) that need comparing."""
+_PIECE_NAMES = ["anchor", "order_id", "text_key", "low", "packed"]
+
+
+def _spans_of(order: np.ndarray, key: np.ndarray, low: np.ndarray, length: int) -> tuple[list, list, list]:
+    """Windows to one row of spans for each document."""
+    by = np.lexsort((low, key, order))
+    order, key, low = order[by], key[by], low[by]
+    head = np.flatnonzero(np.concatenate([[True], (order[1:] != order[:-1]) | (key[1:] != key[:-1])])) if len(by) else by
+    return order[head].tolist(), key[head].tolist(), [np.stack([x, x + length], 1).astype(np.int64).tobytes() for x in np.split(low, head[1:])] if len(by) else []
+
+
+def _cut(w: Windows, most_windows: int = 1 << 20):
+    """Flagged texts to spans that are repeats (anchor null), contexts that need comparing, and first occurrences of
+    windows that are compared by hash (nothing packed)."""
+    reach = (w.length - w.gram + 1) // 2
+
+    def hot_windows(values: np.ndarray, c: dict, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row, start and hash of the windows on hot sides."""
+        low = np.concatenate([c["low"][left := np.flatnonzero(flag & _HOT_LEFT)], np.maximum(c["low"], c["at"] - reach + 1)[right := np.flatnonzero(flag & _HOT_RIGHT)]])
+        high = np.concatenate([np.minimum(c["high"], c["at"] - reach)[left], c["high"][right]])
+        row = np.concatenate([c["row"][left], c["row"][right]])
+        counts = np.maximum(high - low + 1, 0)
+        start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)
+        sums, scale = arrays.running_sum(values)
+        return np.repeat(row, counts), start, arrays.mix((sums[start + w.length] - sums[start]) * scale[start] ^ _U64(0x2545F4914F6CDD1D))
+
+    def first_of(held: list[tuple]) -> pa.RecordBatch:
+        order, key, low, window = (np.concatenate(x) for x in zip(*held))
+        by = np.lexsort((low, order, window))
+        order, key, low, window = order[by], key[by], low[by], window[by]
+        head = np.concatenate([[True], window[1:] != window[:-1]])
+        first = np.flatnonzero(head)[np.cumsum(head) - 1]
+        late = (order > order[first]) | ((low > low[first]) if w.ordered else False)
+        ids, keys, spans = _spans_of(order[late], key[late], low[late], w.length)
+        sent = ~late
+        none = [None] * len(ids)
+        columns = [[*none, *window[sent].view(np.int64).tolist()], [*ids, *order[sent].tolist()], [*keys, *key[sent].tolist()], [*none, *low[sent].tolist()]]
+        return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns], pa.array([*spans, *[b""] * int(sent.sum())], pa.binary())], names=_PIECE_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in (part for b in batches for part in arrays.slices(b, b.schema.get_field_index("text"))):
             values, first, last, source = w.units(batch.column("text"))
             c = contexts(w, values, first, last)
@@ -250,23 +296,24 @@ def _cut(w: Windows):
                 raise ValueError("a text changed between two reads")
             low, end = c["low"] - first[c["row"]], c["high"] + w.length - first[c["row"]]
             ids, keys = batch.column("order_id").to_numpy(), batch.column("text_key").to_numpy()
-            done = np.flatnonzero(flag == 1)
+            done = np.flatnonzero(flag & _LATE)
             rows, edges = np.unique(c["row"][done], return_index=True)
             spans = [np.stack([low[x], end[x]], 1).astype(np.int64).tobytes() for x in np.split(done, edges[1:])] if len(rows) else []
-            open_ = np.flatnonzero(flag == 2)
+            open_ = np.flatnonzero(flag & _COMPARE)
             pieces = [source[s:e].tobytes() for s, e in zip(c["low"][open_], c["high"][open_] + w.length)]
             owner = c["row"][open_]
             none = [None] * len(rows)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*none, *c["anchor"][open_].astype(np.int64).tolist()], pa.int64()),
-                    pa.array(np.concatenate([ids[rows], ids[owner]]), pa.int64()),
-                    pa.array(np.concatenate([keys[rows], keys[owner]]), pa.int64()),
-                    pa.array([*none, *low[open_].tolist()], pa.int64()),
-                    pa.array([*spans, *pieces], pa.binary()),
-                ],
-                names=["anchor", "order_id", "text_key", "low", "packed"],
-            )
+            columns = [[*none, *c["anchor"][open_].view(np.int64).tolist()], np.concatenate([ids[rows], ids[owner]]), np.concatenate([keys[rows], keys[owner]]), [*none, *low[open_].tolist()]]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns], pa.array([*spans, *pieces], pa.binary())], names=_PIECE_NAMES)
+            if (flag & (_HOT_LEFT | _HOT_RIGHT)).any():
+                row, start, window = hot_windows(values, c, flag)
+                held.append((ids[row], keys[row], start - first[row], window))
+                size += len(row)
+                if size >= most_windows:
+                    yield first_of(held)
+                    held, size = [], 0
+        if held:
+            yield first_of(held)
 
     return run
 
@@ -285,18 +332,28 @@ def _compared(w: Windows, compare: Callable, chunk_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        size, earliest = 0, (None, 0, 0)  # of the window read last: hash, order, low
         for batch in batches:
             spans = batch.filter(batch.column(0).is_null())
             if spans.num_rows:
                 yield spans.select(["order_id", "text_key", "packed"])
             rows = batch.filter(batch.column(0).is_valid())
-            for row in zip(*(c.to_pylist() for c in rows.columns)):  # sorted by anchor
+            late = []
+            for row in zip(*(c.to_pylist() for c in rows.columns)):  # sorted by anchor, order and low
+                if not row[4]:
+                    if row[0] != earliest[0]:
+                        earliest = (row[0], row[1], row[3])
+                    elif row[1] > earliest[1] or w.ordered and row[3] > earliest[2]:
+                        late.append((row[1], row[2], row[3]))
+                    continue
                 if size >= chunk_bytes and held[-1][0] != row[0]:
                     yield answer(held)
                     held, size = [], 0
                 held.append(row)
                 size += len(row[4])
+            if late:
+                ids, keys, packed = _spans_of(*(np.array(x) for x in zip(*late)), w.length)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], names=["order_id", "text_key", "packed"])
         if held:
             yield answer(held)
 
@@ -320,7 +377,7 @@ def put_back(packed: DataFrame, columns: list[str]) -> DataFrame:
     return packed.select(*[F.col(f"`{c}`") if c == "text" and "text" in beside else F.col(f"row.`{c}`") for c in columns])
 
 
-def with_spans(docs: DataFrame, w: Windows, compare: Callable, block_rows: int = 60_000, block_units: int = 1 << 23, chunk_bytes: int = 1 << 19) -> DataFrame:
+def with_spans(docs: DataFrame, w: Windows, compare: Callable, block_rows: int = 60_000, block_units: int = 1 << 23, chunk_bytes: int = 1 << 19, hot: int = 500) -> DataFrame:
     """``docs``, which has order_id, text_key and text, with ``spans``: null, or binaries of pairs of int64 (from, to) in
     units that are repeats; they may overlap.
 
@@ -330,7 +387,7 @@ def with_spans(docs: DataFrame, w: Windows, compare: Callable, block_rows: int =
     buckets = min(MAX_BUCKETS, max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     sent = docs.select("order_id", "text_key", "text").mapInArrow(_sent(w, buckets, block_rows, block_units), _SENT)
     by_bucket = sent.repartition(F.coalesce("bucket", -F.col("block") - 1)).sortWithinPartitions("bucket")
-    flagged = by_bucket.mapInArrow(_flagged(w.ordered), _SENT)
+    flagged = by_bucket.mapInArrow(_flagged(w.ordered, hot), _SENT)
     by_block = flagged.repartition("block").sortWithinPartitions("block", F.asc_nulls_first("bucket"))
     flags = by_block.mapInArrow(_by_document, "order_id bigint, text_key bigint, flags binary").dropDuplicates(["order_id", "text_key"])
     texts = docs.join(flags, ["order_id", "text_key"]).select(*docs.columns, "flags")

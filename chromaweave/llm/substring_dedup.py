@@ -128,7 +128,7 @@ def _without(with_text: bool):
     return run
 
 
-def remove_repeated_words(docs: DataFrame, length: int = 20, gram: int = 8, with_text: bool = False) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, length: int = 20, gram: int = 8, with_text: bool = False, hot: int = 500) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256; with_text: the kept words, joined by one space.
 
     A word is removed if a run of ``length`` words that covers it also starts earlier: in a document of smaller
@@ -136,5 +136,5 @@ def remove_repeated_words(docs: DataFrame, length: int = 20, gram: int = 8, with
     words lose nothing; rows that share a doc_id count as one document and are compared by place; a null
     doc_id is larger than all others; repeated rows are answered each; other columns are ignored.
     """
-    joined = with_spans(keyed(docs), Windows(length, gram, _word_units, True), compare_with_automata, block_units=1 << 21).select(F.when(F.col("order_id") != LAST, F.col("order_id")).alias("doc_id"), "text", "spans")
+    joined = with_spans(keyed(docs), Windows(length, gram, _word_units, True), compare_with_automata, block_units=1 << 21, hot=hot).select(F.when(F.col("order_id") != LAST, F.col("order_id")).alias("doc_id"), "text", "spans")
     return joined.mapInArrow(_without(with_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", text string" if with_text else ""))

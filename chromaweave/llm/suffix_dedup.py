@@ -161,15 +161,15 @@ def _without(with_text: bool):
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 16, with_text: bool = False) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 16, with_text: bool = False, hot: int = 500) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text: the kept text, too.
 
     A byte is removed if a ``length``-byte string that covers it also starts in a document of smaller doc_id,
     as judged on the input. Null and empty texts, and those under ``length`` bytes, lose nothing; rows that
     share a doc_id do not count against each other; a null doc_id is larger than all others; repeated rows are
-    answered each; other columns are ignored. The kept text leaves out bytes of cut characters.
+    answered each; other columns are ignored. ``hot``: runs that so many others share are compared by hash. The kept text leaves out bytes of cut characters.
     """
-    joined = with_spans(keyed(docs), Windows(length, gram, _byte_units, False), compare_with_suffix_array).select(F.when(F.col("order_id") != LAST, F.col("order_id")).alias("doc_id"), "text", "spans")
+    joined = with_spans(keyed(docs), Windows(length, gram, _byte_units, False), compare_with_suffix_array, hot=hot).select(F.when(F.col("order_id") != LAST, F.col("order_id")).alias("doc_id"), "text", "spans")
     return joined.mapInArrow(_without(with_text), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", text string" if with_text else ""))
 
 

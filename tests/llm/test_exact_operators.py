@@ -35,10 +35,10 @@ def test_token_counts(spark, seed):
         same(rows_of(got, "doc_id", "n_bytes", "n_tokens", "over_limit"), [(i, len((t or "").encode()), n, n > 1024) for (i, t), n in zip(rows, lengths)])
 
 
-@pytest.mark.parametrize("seed", [0, 1, 2])
-def test_repeated_bytes(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(0, 500), (1, 500), (2, 500), (0, 1), (1, 2), (4, 1)])
+def test_repeated_bytes(spark, seed, hot):
     rows = fx.corpus(seed)
-    got = remove_repeated_bytes(fx.table(spark, rows).repartition(3), length=50)
+    got = remove_repeated_bytes(fx.table(spark, rows).repartition(3), length=50, hot=hot)
     same(rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), fx.repeated_bytes(rows, 50))
 
 
@@ -55,10 +55,10 @@ def test_cut_texts_keep_their_columns(spark):
             assert (r.doc_id, r.text) in rows
 
 
-@pytest.mark.parametrize("seed", [0, 1, 2])
-def test_repeated_words(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(0, 500), (1, 500), (2, 500), (0, 1), (1, 2), (4, 1)])
+def test_repeated_words(spark, seed, hot):
     rows = fx.corpus(seed)
-    got = remove_repeated_words(fx.table(spark, rows).repartition(3), length=20)
+    got = remove_repeated_words(fx.table(spark, rows).repartition(3), length=20, hot=hot)
     same(rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256"), fx.repeated_words(rows, 20))
 
 
