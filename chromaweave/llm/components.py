@@ -19,11 +19,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     labels = both.groupBy("node").agg(F.min("other").alias("near")).select("node", F.least("node", "near").alias("label"))
     labels = shared_checkpoint(labels)
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("theirs")), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
-        spread = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "theirs").alias("label"))
+        theirs = both.join(labels.select(F.col("node").alias("other"), "label"), "other").select("node", "label", F.lit(None).cast("bigint").alias("before"))
+        spread = theirs.unionByName(labels.withColumn("before", F.col("label"))).groupBy("node").agg(F.min("label").alias("label"), F.max("before").alias("before"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         after = shared_checkpoint(spread.join(jump, "label", "left").select("node", "before", F.least("label", F.coalesce("further", "label")).alias("label")))
-        changed = after.where("label <> before").isEmpty()
+        settled = after.where("label <> before").isEmpty()
         labels = after.select("node", "label")
-        if changed:
+        if settled:
             return labels

@@ -94,7 +94,7 @@ def _prefixes(width: int, percent: int, common: np.ndarray, ranks: np.ndarray, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[np.ndarray] = []
-        tokens: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        tokens: list[tuple[np.ndarray, ...]] = []
         sent: dict[int, int] = {}
         rows = units = 0
 
@@ -105,7 +105,7 @@ def _prefixes(width: int, percent: int, common: np.ndarray, ranks: np.ndarray, b
                 some = every[s : s + 20_000]
                 none = pa.nulls(len(some), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), pa.nulls(len(some), pa.binary()), pa.array(list(some), pa.list_(pa.int64()))], names=["bucket", "n", "packed", "doc"])
-            token, group, order = (np.concatenate(x) for x in zip(*tokens))
+            token, place, group, order = (np.concatenate(x) for x in zip(*tokens))
             bucket = (token % _U64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             names, at = np.unique(bucket[by], return_index=True)
@@ -113,7 +113,7 @@ def _prefixes(width: int, percent: int, common: np.ndarray, ranks: np.ndarray, b
             for s, e in zip(at, np.append(at[1:], len(by))):
                 own = by[s:e]
                 tail = pa.compress(np.diff(order[own], prepend=np.int64(0)).tobytes(), "zstd", asbytes=True)
-                packed.append((token[own] >> _U64(32)).astype(np.uint32).tobytes() + group[own].tobytes() + tail)
+                packed.append((token[own] >> _U64(32)).astype(np.uint32).tobytes() + place[own].tobytes() + group[own].tobytes() + tail)
                 sizes.append(e - s)
             if len(names):
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary()), pa.nulls(len(names), pa.list_(pa.int64()))], names=["bucket", "n", "packed", "doc"])
@@ -144,7 +144,7 @@ def _prefixes(width: int, percent: int, common: np.ndarray, ranks: np.ndarray, b
                     sent[group] = int(order[k])
                     fresh[k] = True
             take = inside & fresh[row]
-            tokens.append((hashes[take], prefix[row[take]], order[row[take]]))
+            tokens.append((hashes[take], np.minimum(place[take], 0xFFFF).astype(np.uint16), prefix[row[take]], order[row[take]]))
             rows += batch.num_rows
             units += int(take.sum())
             if rows >= block_rows or units >= block_units:
@@ -171,20 +171,21 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def answer(bucket: int, held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         token = np.concatenate([np.frombuffer(p[: 4 * n], np.uint32) for n, p in held])
-        group = np.concatenate([np.frombuffer(p[4 * n : 12 * n], _U64) for n, p in held])
-        order = np.concatenate([np.cumsum(np.frombuffer(pa.decompress(p[12 * n :], 8 * n, "zstd", asbytes=True), np.int64)) for n, p in held])
+        place = np.concatenate([np.frombuffer(p[4 * n : 6 * n], np.uint16) for n, p in held])
+        group = np.concatenate([np.frombuffer(p[6 * n : 14 * n], _U64) for n, p in held])
+        order = np.concatenate([np.cumsum(np.frombuffer(pa.decompress(p[14 * n :], 8 * n, "zstd", asbytes=True), np.int64)) for n, p in held])
         by = np.lexsort((order, group, token))
-        token, group, order = token[by], group[by], order[by]
+        token, place, group, order = token[by], place[by], group[by], order[by]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (group[1:] != group[:-1])
-        token, group, order = token[new], group[new], order[new]
+        token, place, group, order = token[new], place[new], group[new], order[new]
         head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(head, len(token)))
         shared = np.repeat(size > 1, size)
-        token, group, order = token[shared], group[shared], order[shared]
+        token, place, group, order = token[shared], place[shared], group[shared], order[shared]
         if not len(token):
             return
-        yield from rows_of(_POSTING, token.astype(np.int64) | np.int64(bucket << 32), group)
+        yield from rows_of(_POSTING, token.astype(np.int64) | np.int64(bucket << 32), group, place.astype(np.int64))
         size = size[size > 1]
         head = np.cumsum(size) - size
         by = np.lexsort((group, order, np.repeat(np.arange(len(size)), size)))
@@ -280,13 +281,14 @@ def _labelled(docs: DataFrame, width: int, percent: int, common_shingles: int, c
     labels = connected_components(links)
     labelled = shared_checkpoint(classes.join(labels, classes["class"] == labels["node"], "left").select("class", "group", "n", F.coalesce("label", "class").alias("label")))
     spans = labelled.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("n"))
-    postings = found.where(f"kind = {_POSTING}").select(F.col("a").alias("token"), F.col("b").alias("group")).join(spans, "group")
+    postings = found.where(f"kind = {_POSTING}").select(F.col("a").alias("token"), F.col("b").alias("group"), F.col("c").alias("place")).join(spans, "group")
     open_tokens = postings.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most").select("token")
     listed = postings.join(open_tokens, "token")
-    one = listed.select("token", F.col("group").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), F.col("n").alias("n_a"))
-    two = listed.select("token", F.col("group").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.col("n").alias("n_b"))
-    apart = one.join(two, "token").where("a < b AND NOT (low_a = high_a AND low_a = low_b AND low_b = high_b)").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    pairs = sized(apart.groupBy("a", "b").agg(F.count("*").alias("c"))).select("a", "b").unionByName(spans.where("low <> high").select(F.col("group").alias("a"), F.col("group").alias("b")))
+    # the first shingle that two similar sets share leaves enough in both for the overlap that they must have
+    one, two = (listed.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("group", "low", "high", "n", "place")]) for side in "ab")
+    need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    apart = one.join(two, "token").where("group_a < group_b AND NOT (low_a = high_a AND low_a = low_b AND low_b = high_b)").where((F.col("n_a") - F.col("place_a") >= need) & (F.col("n_b") - F.col("place_b") >= need))
+    pairs = apart.select(F.col("group_a").alias("a"), F.col("group_b").alias("b")).distinct().unionByName(spans.where("low <> high").select(F.col("group").alias("a"), F.col("group").alias("b")))
     left = labelled.select(F.col("group").alias("a"), F.col("class").alias("class_a"), F.col("label").alias("label_a"))
     right = labelled.select(F.col("group").alias("b"), F.col("class").alias("class_b"), F.col("label").alias("label_b"))
     expanded = pairs.join(left, "a").join(right, "b").where("label_a <> label_b").select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))
@@ -295,7 +297,7 @@ def _labelled(docs: DataFrame, width: int, percent: int, common_shingles: int, c
     return rows.join(labels, rows["class"] == labels["node"], "left").select("order_id", "text_key", "n", F.coalesce("label", "class").alias("label"))
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, common_shingles: int = 262_144, common_least: int = 4, block_rows: int = 60_000, block_units: int = 1 << 21) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, common_shingles: int = 131_072, common_least: int = 4, block_rows: int = 60_000, block_units: int = 1 << 21) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included).
 
     Texts with fewer than ``width`` words are one shingle; null and blank texts have none and link with nothing,
@@ -321,7 +323,7 @@ def keep_first_of_component(docs: DataFrame, width: int = 5, percent: int = 75)
 
     Rows without words all stay; of rows that are equal in doc_id and text, one does.
     """
-    named = _labelled(docs, width, percent, 262_144, 4, 60_000, 1 << 21)
+    named = _labelled(docs, width, percent, 131_072, 4, 60_000, 1 << 21)
     first = named.where("n > 0").groupBy("label").agg(F.min(F.struct("order_id", "text_key")).alias("first")).select("first.order_id", "first.text_key")
     own = keyed(docs, all_but(docs, "text"))
     blank = F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
