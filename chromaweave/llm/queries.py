@@ -16,12 +16,14 @@ from chromaweave.llm.licences import oracle_sql as licences_sql
 from chromaweave.llm.neighbours import nearest
 from chromaweave.llm.pieces import encode_pieces
 from chromaweave.llm.quality import fit_quality, score_quality
+from chromaweave.llm.session import for_long_texts
 from chromaweave.llm.substring_dedup import remove_repeated_words
 from chromaweave.llm.suffix_dedup import remove_repeated_bytes
 from chromaweave.llm.token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    for_long_texts(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

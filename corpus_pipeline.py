@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from chromaweave.llm.jaccard_join import keep_first_of_component
 from chromaweave.llm.lineage import shared_table
 from chromaweave.llm.pieces import encode_pieces
 from chromaweave.llm.quality import fit_quality, keep_good
+from chromaweave.llm.session import for_long_texts
 from chromaweave.llm.suffix_dedup import cut_repeated_bytes
 
 
@@ -40,7 +43,16 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), n_best=3)
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_strings", repeated_strings), ("decontamination", decontamination), ("pieces", pieces)]
+def _tuned(stage):
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for_long_texts(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(stage.__name__, _tuned(stage)) for stage in (quality, near_duplicates, repeated_strings, decontamination, pieces)]
 
 #: SQL cannot express the first stage; tests hold the others against brute force.
 ORACLE_SQL = None
