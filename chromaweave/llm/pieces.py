@@ -3,7 +3,8 @@
 A text is normalised as its model file says and cut where no piece can reach across: before each run of space
 marks. Each such unit is a lattice of pieces. A forward Viterbi pass gives the best score up to every place; these
 scores are exact heuristics for an A* search from the end back to the start, which therefore yields segmentations
-best first. A document's N best combine those of its units.
+best first. A document's N best combine those of its units: at most N - 1 of these can differ from their best, and
+what A* finds for them is taken; the best path of the others is read off the forward pass.
 """
 
 from __future__ import annotations
@@ -91,18 +92,18 @@ class PieceLattice:
         return ahead, ending
 
     def best(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best (score, ids) of a unit, best first."""
+        """The ``n`` best (score, ids) of a unit, best first; of equal scores, those with longer last pieces first."""
         ahead, ending = self._forward(unit)
         found: list[tuple[float, tuple[int, ...]]] = []
-        heap: list[tuple[float, tuple[int, ...], int, float]] = [(-ahead[-1], (), len(unit), 0.0)]
+        heap: list[tuple[float, tuple[int, ...], tuple[int, ...], float]] = [(-ahead[-1], (len(unit),), (), 0.0)]
         while heap and len(found) < n:
-            _, tail, at, behind = heapq.heappop(heap)
-            if at == 0:
+            _, starts, tail, behind = heapq.heappop(heap)
+            if starts[-1] == 0:
                 found.append((behind, tail))
                 continue
-            for start, (score, piece) in ending[at]:
+            for start, (score, piece) in ending[starts[-1]]:
                 total = behind + score
-                heapq.heappush(heap, (-(ahead[start] + total), piece + tail, start, total))
+                heapq.heappush(heap, (-(ahead[start] + total), (*starts, start), piece + tail, total))
         return found
 
     def first(self, units: list[str]) -> list[tuple[bytes, float, str, float]]:
@@ -197,15 +198,20 @@ class PieceLattice:
         return text[1:] if text.startswith(" ") else text
 
 
+def choices(losses_of_units: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The ``n`` best combinations of units, each with ascending losses, the first 0: loss, and which way of each unit."""
+    found: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+    for own in losses_of_units:
+        found = sorted((a + b, (*way, k)) for a, way in found for k, b in enumerate(own))[:n]
+    return found
+
+
 def combine(losses_of_units: list[list[float]], n: int) -> list[float]:
     """Losses of the ``n`` best combinations of units, each with ascending losses, the first 0."""
-    losses = [0.0]
-    for own in losses_of_units:
-        losses = sorted(a + b for a in losses for b in own)[:n]
-    return losses
+    return [loss for loss, _ in choices(losses_of_units, n)]
 
 
-_RESULT = "doc_id bigint, n_pieces bigint, score double, nbest_scores array<double>, ids_sha256 string, decoded_sha256 string, round_trip boolean"
+_RESULT = "doc_id bigint, n_pieces bigint, score double, nbest_scores array<double>, nbest_sha256 array<string>, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
 
 def _encoded(model: bytes, n: int, memory: int, with_ids: bool):
@@ -226,7 +232,7 @@ def _encoded(model: bytes, n: int, memory: int, with_ids: bool):
         known: dict[str, tuple[bytes, float, str, float]] = {}
         first, second, third, fourth = (itemgetter(k) for k in range(4))
         for batch in (part for b in batches for part in text_slices(b, 1)):
-            rows: list[list] = [[] for _ in range(8)]
+            rows: list[list] = [[] for _ in range(9)]
             texts = [text or "" for text in batch.column(1).to_pylist()]
             cuts = [cut(processor.normalize(text)) for text in texts]
             new = list(set().union(*cuts).difference(known))
@@ -236,23 +242,29 @@ def _encoded(model: bytes, n: int, memory: int, with_ids: bool):
             known.update(zip(new, lattice.first(new)))
             for doc_id, text, units in zip(batch.column(0).to_pylist(), texts, cuts):
                 chosen = [known[u] for u in units]
-                packed = b"".join(map(first, chosen))
-                score = float(sum(map(second, chosen)))
-                decoded = "".join(map(third, chosen)).replace(SPACE, " ")
-                decoded = decoded[1:] if decoded.startswith(" ") else decoded
                 # only the n - 1 units whose second best loses least can be in one of the n best
                 losses = list(map(fourth, chosen))
-                closest = heapq.nsmallest(n - 1, range(len(losses)), key=losses.__getitem__) if n > 1 else []
+                closest = sorted(heapq.nsmallest(n - 1, range(len(losses)), key=losses.__getitem__)) if n > 1 else []
                 ways = [lattice.best(units[k], n) for k in closest]
-                losses = combine([[w[0][0] - s for s, _ in w] for w in ways], n)
-                values = (doc_id, len(packed) // 4, score, [score - x for x in losses], hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), decoded == text, np.frombuffer(packed, "<i4") if with_ids else None)
+                parts = list(map(first, chosen))
+                score = float(sum(map(second, chosen)))
+                decoded = "".join(map(third, chosen)).replace(SPACE, " ")
+                decoded = decoded[1:] if decoded.startswith(" ") else decoded
+                scores, packs = [], []
+                for loss, way in choices([[w[0][0] - s for s, _ in w] for w in ways], n):
+                    for k, own, which in zip(closest, ways, way):
+                        parts[k] = np.array(own[which][1], "<i4").tobytes()
+                    scores.append(score - loss)
+                    packs.append(b"".join(parts))
+                digests = [hashlib.sha256(p).hexdigest() for p in packs]
+                values = (doc_id, len(packs[0]) // 4, score, scores, digests, digests[0], hashlib.sha256(decoded.encode()).hexdigest(), decoded == text, [np.frombuffer(p, "<i4") for p in packs] if with_ids else None)
                 for column, value in zip(rows, values):
                     column.append(value)
-            arrays = [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.float64()), pa.array(rows[3], pa.list_(pa.float64())), pa.array(rows[4]), pa.array(rows[5]), pa.array(rows[6], pa.bool_())]
-            names = ["doc_id", "n_pieces", "score", "nbest_scores", "ids_sha256", "decoded_sha256", "round_trip"]
+            arrays = [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.float64()), pa.array(rows[3], pa.list_(pa.float64())), pa.array(rows[4], pa.list_(pa.string())), pa.array(rows[5], pa.string()), pa.array(rows[6], pa.string()), pa.array(rows[7], pa.bool_())]
+            names = ["doc_id", "n_pieces", "score", "nbest_scores", "nbest_sha256", "ids_sha256", "decoded_sha256", "round_trip"]
             if with_ids:
-                arrays.append(pa.array(rows[7], pa.list_(pa.int32())))
-                names.append("ids")
+                arrays += [pa.array([x[0] for x in rows[8]], pa.list_(pa.int32())), pa.array(rows[8], pa.list_(pa.list_(pa.int32())))]
+                names += ["ids", "nbest_ids"]
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -260,18 +272,20 @@ def _encoded(model: bytes, n: int, memory: int, with_ids: bool):
 
 
 def encode_pieces(docs: DataFrame, model_path: str, n_best: int = 3, units_in_memory: int = 400_000, with_ids: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_pieces, score and ids of the best segmentation, scores of the ``n_best`` best,
-    SHA-256 of the ids (32-bit little-endian) and of the text decoded from them, and whether that is the text.
+    """One row per input row: doc_id, n_pieces and score of the best segmentation, scores of the ``n_best`` best and
+    SHA-256 of the ids of each (32-bit little-endian), that of the best by itself, SHA-256 of the text decoded from
+    the best ids, and whether that is the text.
 
     Characters without a piece become byte pieces at a fixed penalty. Null and empty texts have no pieces, score
     0, one segmentation and a round trip to the empty text. Texts that hold the space mark itself come back with
-    spaces. Repeated rows are answered each; a null doc_id stays null; other columns are ignored. ``ids`` is
-    returned with ``with_ids`` only; ``units_in_memory`` bounds what a task remembers.
+    spaces. Repeated rows are answered each; a null doc_id stays null; other columns are ignored. ``ids`` (the
+    best) and ``nbest_ids`` (each of the ``n_best``) are returned with ``with_ids`` only; ``units_in_memory``
+    bounds what a task remembers.
     """
     with open(model_path, "rb") as f:
         model = f.read()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
-    return texts.mapInArrow(_encoded(model, n_best, units_in_memory, with_ids), _RESULT + (", ids array<int>" if with_ids else ""))
+    return texts.mapInArrow(_encoded(model, n_best, units_in_memory, with_ids), _RESULT + (", ids array<int>, nbest_ids array<array<int>>" if with_ids else ""))
 
 
 def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:

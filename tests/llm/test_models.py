@@ -177,6 +177,29 @@ def test_n_best_of_documents():
     assert combine(units, 4) == every[:4]
 
 
+def test_ids_of_the_n_best(spark, lattice):
+    texts = ["the thntatwh", "ñas日 x", "", "龘", "abeth an abeth", "a" * 60]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(encode_pieces(docs, MODEL, n_best=4, with_ids=True).collect())
+    plain = sorted(encode_pieces(docs, MODEL, n_best=4).collect())
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for r, p, text in zip(got, plain, texts):
+        assert r.nbest_ids[0] == r.ids and len({tuple(x) for x in r.nbest_ids}) == len(r.nbest_ids) == len(r.nbest_scores)
+        assert p.nbest_sha256 == r.nbest_sha256 == [fx.sha(np.array(x, "<i4").tobytes()) for x in r.nbest_ids] and p.ids_sha256 == p.nbest_sha256[0]
+        assert all(library.decode(x) == text for x in r.nbest_ids)
+        if 0 < len(text) < 20:
+            ways = sorted(every_way(lattice, library.normalize(text)), key=lambda w: -w[0])
+            assert r.nbest_scores == [s for s, _ in ways[:4]]
+            assert all((s, tuple(x)) in ways for s, x in zip(r.nbest_scores, r.nbest_ids))
+
+
+def test_first_is_the_first_of_the_search(lattice):
+    rng = random.Random(5)
+    units = ["".join(rng.choice("abethñ,.日") for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    for unit, (packed, _, _, _) in zip(units, lattice.first(units)):
+        assert tuple(np.frombuffer(packed, "<i4")) == lattice.best(unit, 1)[0][1]
+
+
 def test_pieces_round_trip(spark, lattice):
     rows = fx.corpus(0) + [(960, "spaces   inside\nand  lines\t"), (961, "a" * 300)]
     docs = fx.table(spark, rows)
