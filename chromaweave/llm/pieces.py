@@ -122,8 +122,7 @@ class PieceLattice:
             for k in left:
                 ways = self.best(units[k], 2)
                 ids = ways[0][1]
-                shown = self.decode((*self.table[SPACE][1], *ids)).replace(" ", SPACE)
-                out[k] = (np.array(ids, "<i4").tobytes(), ways[0][0], shown, ways[0][0] - ways[1][0] if len(ways) > 1 else float("inf"))
+                out[k] = (np.array(ids, "<i4").tobytes(), ways[0][0], self.shown(ids), ways[0][0] - ways[1][0] if len(ways) > 1 else float("inf"))
         return out
 
     def _first_of_size(self, units: list[str], names: list[int], size: int, out: list) -> list[int]:
@@ -177,14 +176,20 @@ class PieceLattice:
             second[own] = np.maximum(second[own], ahead[own, start] + score[off] + behind[own, end])
         best = ahead[:, size]
         counts = (chosen >= 0).sum(1)
-        flat = chosen[fine][chosen[fine] >= 0].astype("<i4").tobytes()
-        ends = np.cumsum(counts[fine]) * 4
+        ids = chosen[fine][chosen[fine] >= 0]
+        flat = ids.astype("<i4").tobytes()
+        pieces = [self.texts[i] for i in ids.tolist()]
+        ends = np.cumsum(counts[fine])
         begin = 0
         for k, end, score, loss in zip(fine.tolist(), ends.tolist(), best[fine].tolist(), (best[fine] - second[fine]).tolist()):
-            out[names[k]] = (flat[begin:end], score, units[k], loss)
+            out[names[k]] = (flat[4 * begin : 4 * end], score, "".join(pieces[begin:end]), loss)
             begin = end
         return [names[k] for k in np.flatnonzero(odd)]
 
+    def shown(self, ids: tuple[int, ...]) -> str:
+        """The text that a unit's ids show, with its space marks."""
+        return self.decode((*self.table[SPACE][1], *ids)).replace(" ", SPACE)
+
     def decode(self, ids) -> str:
         """The text of ids, as the model's own library gives it (without its first space)."""
         byte_of = {p: b for b, p in enumerate(self.byte_ids)}
@@ -248,7 +253,10 @@ def _encoded(model: bytes, n: int, memory: int, with_ids: bool):
                 ways = [lattice.best(units[k], n) for k in closest]
                 parts = list(map(first, chosen))
                 score = float(sum(map(second, chosen)))
-                decoded = "".join(map(third, chosen)).replace(SPACE, " ")
+                shown = list(map(third, chosen))
+                for k, own in zip(closest, ways):
+                    shown[k] = lattice.shown(own[0][1])
+                decoded = "".join(shown).replace(SPACE, " ")
                 decoded = decoded[1:] if decoded.startswith(" ") else decoded
                 scores, packs = [], []
                 for loss, way in choices([[w[0][0] - s for s, _ in w] for w in ways], n):

@@ -1,5 +1,6 @@
 """Operators that learn, search or segment: held-out accuracy, recall, brute force and round trips."""
 
+import dataclasses
 import random
 
 import numpy as np
@@ -200,6 +201,12 @@ def test_first_is_the_first_of_the_search(lattice):
         assert tuple(np.frombuffer(packed, "<i4")) == lattice.best(unit, 1)[0][1]
 
 
+def test_shown_text_comes_from_the_ids(lattice):
+    wrong = dataclasses.replace(lattice, hash_ids=np.where(lattice.hash_ids == lattice.table["the"][1][0], lattice.table["an"][1][0], lattice.hash_ids))
+    packed, _, shown, _ = wrong.first(["the"])[0]
+    assert tuple(np.frombuffer(packed, "<i4")) == lattice.table["an"][1] and shown == "an"
+
+
 def test_pieces_round_trip(spark, lattice):
     rows = fx.corpus(0) + [(960, "spaces   inside\nand  lines\t"), (961, "a" * 300)]
     docs = fx.table(spark, rows)
