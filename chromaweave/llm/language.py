@@ -1,46 +1,55 @@
-"""Language identification with interpolated Kneser-Ney models of letters, one per language.
+"""Language identification with interpolated Kneser-Ney models of characters, one per language.
 
-Texts are reduced to a small alphabet: lower-case letters (accented ones share a few classes) and one mark for
-every run of other characters. That bounds the number of 4-grams, hence of each model, whatever the corpus.
-Counts are taken over all training rows; a document gets the language with the lowest cross-entropy a symbol.
+Symbols are the code points of the lower-cased text, as they are; a run of white space is one space. Counts are
+taken over all training rows; a document gets the language with the lowest cross-entropy a symbol.
 """
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromaweave.llm import arrays
 
-#: Symbols: 0 for a run of non-letters, 1 to 26 for a to z, the rest shared by all other letters.
-SYMBOLS = 40
 ORDER = 4
-_CODES = SYMBOLS**ORDER
-
-
-def _alphabet() -> np.ndarray:
-    """Symbol of each code point below 65,536; further ones are mapped by ``_symbols``."""
-    table = np.zeros(1 << 16, np.uint8)
-    for point in range(1 << 16):
+#: Size of the alphabet of ``_kneser_ney``'s packed 4-grams.
+SYMBOLS = 40
+_SPACE = 32
+_BLANK, _LETTER = 1, 2
+#: A task sends on what it counted when it holds more entries than this.
+_ENTRIES = 1 << 20
+#: Languages whose code lengths are in memory at once.
+_BLOCK = 32
+
+
+def _alphabet() -> tuple[np.ndarray, np.ndarray]:
+    """Lower case of each code point (the first one, if there are several), and whether it is a blank or a letter."""
+    lower = np.arange(sys.maxunicode + 1, dtype=np.uint32)
+    kind = np.zeros(len(lower), np.uint8)
+    for point in range(len(lower)):
         char = chr(point)
-        if unicodedata.category(char)[0] == "L":
-            low = char.lower()
-            first = ord(low[0])
-            table[point] = first - 96 if 97 <= first <= 122 else 27 + first % (SYMBOLS - 27)
-    return table
+        if char.isspace():
+            kind[point] = _BLANK
+        elif unicodedata.category(char)[0] == "L":
+            kind[point] = _LETTER
+            lower[point] = ord(char.lower()[0])
+    lower[kind == _BLANK] = _SPACE
+    return lower, kind
 
 
-_TABLE: list[np.ndarray] = []
+_TABLE: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all rows on end, with the row of each."""
+    """Symbols of all rows that hold a letter on end, with the row of each."""
     if not _TABLE:
         _TABLE.append(_alphabet())
     data, starts, ends = arrays.text_buffers(column)
@@ -52,74 +61,118 @@ def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         each = [np.frombuffer(data[s:e].tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32) for s, e in zip(starts, ends)]
         points, lengths = np.concatenate(each), np.array([len(x) for x in each])
     row = np.repeat(np.arange(len(starts), dtype=np.int32), lengths)
-    sym = _TABLE[0][np.minimum(points, 0xFFFF)]
-    far = np.flatnonzero(points > 0xFFFF)
-    for k in far:
-        point = int(points[k])
-        sym[k] = 27 + point % (SYMBOLS - 27) if unicodedata.category(chr(point))[0] == "L" else 0
-    keep = sym > 0
-    keep[1:] |= (sym[:-1] > 0) & (row[1:] == row[:-1])
-    return sym[keep], row[keep]
-
-
-def _grams(sym: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code and row of each 4-gram that lies in one row; a row's start is padded with marks."""
-    if not len(sym):
-        return np.zeros(0, np.int32), row
-    head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    place = np.arange(len(sym)) - np.repeat(head, np.diff([*head, len(sym)]))
-    code = sym.astype(np.int32)
-    for back in range(1, ORDER):
-        before = np.zeros(len(sym), np.int32)
-        before[back:] = sym[:-back]
-        before[place < back] = 0
-        code += before * SYMBOLS**back
-    return code, row
+    lower, kinds = _TABLE[0]
+    kind = kinds[points]
+    keep = np.bincount(row[kind == _LETTER], minlength=len(starts))[row] > 0
+    blank = kind == _BLANK
+    keep[:1] &= ~blank[:1]
+    keep[1:] &= ~blank[1:] | (~blank[:-1] & (row[1:] == row[:-1]))
+    return lower[points[keep]], row[keep]
+
+
+def _grams(sym: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The 4-gram that ends at each symbol, one a line; a row's start is padded with spaces."""
+    out = np.full((len(sym), ORDER), _SPACE, np.uint32)
+    if len(sym):
+        head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        place = np.arange(len(sym)) - np.repeat(head, np.diff([*head, len(sym)]))
+        for back in range(ORDER):
+            own = np.flatnonzero(place >= back)
+            out[own, ORDER - 1 - back] = sym[own - back]
+    return out
+
+
+def _hash(grams: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each line."""
+    h = np.full(len(grams), grams.shape[1] + 1, np.uint64)
+    for k in range(grams.shape[1]):
+        h = arrays.mix(h * np.uint64(0x9E3779B97F4A7C15) + grams[:, k])
+    return h
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals: dict[str, np.ndarray] = {}
+    totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for lang, n in totals.items():
-            code = np.flatnonzero(n)
-            for at in range(0, len(code), 50_000):
-                some = code[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], names=["lang", "code", "n"])
+        for lang, (pairs, n) in totals.items():
+            for at in range(0, len(n), 50_000):
+                some = pairs[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some[:, 0]), pa.array(some[:, 1]), pa.array(n[at : at + 50_000])], names=["lang", "a", "b", "n"])
         totals.clear()
 
     for batch in (part for b in batches for part in arrays.slices(b, 1)):
-        code, row = _grams(*_symbols(batch.column(1)))
-        langs = batch.column(0).to_pylist()
-        for lang in dict.fromkeys(langs):
-            own = np.array([x == lang for x in langs])
-            if lang not in totals:
-                if len(totals) == 8:
-                    yield from flush()
-                totals[lang] = np.zeros(_CODES, np.int64)
-            totals[lang] += np.bincount(code[own[row]], minlength=_CODES)
+        sym, row = _symbols(batch.column(1))
+        grams = _grams(sym, row)
+        h = _hash(grams)
+        names, of = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
+        for k, lang in enumerate(names.tolist()):
+            own = np.flatnonzero(of[row] == k)
+            _, some, n = np.unique(h[own], return_index=True, return_counts=True)
+            got = grams[own[some]].astype(np.int64)
+            pairs = np.stack([got[:, 0] << 32 | got[:, 1], got[:, 2] << 32 | got[:, 3]], 1)
+            if lang in totals:
+                pairs, n = np.concatenate([totals[lang][0], pairs]), np.concatenate([totals[lang][1], n])
+                _, some, where = np.unique(_hash(pairs.view(np.uint32)), return_index=True, return_inverse=True)
+                pairs, n = pairs[some], np.bincount(where, weights=n).astype(np.int64)
+            totals[lang] = pairs, n
+        if sum(len(n) for _, n in totals.values()) > _ENTRIES:
+            yield from flush()
     yield from flush()
 
 
+@dataclass
+class _Table:
+    """Values by gram and language: sorted hashes, where each one's entries begin, and (language, value) entries."""
+
+    hashes: np.ndarray
+    bounds: np.ndarray
+    langs: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[tuple[np.ndarray, np.ndarray]]) -> _Table:
+        """From the (hashes, values) of each language."""
+        h = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.uint64)
+        values = np.concatenate([np.log2(v).astype(np.float32) for _, v in parts]) if parts else np.zeros(0, np.float32)
+        langs = np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x, _ in parts])
+        order = np.argsort(h, kind="stable")
+        hashes, begin = np.unique(h[order], return_index=True)
+        return cls(hashes, np.append(begin, len(h)), langs[order], values[order])
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The line of ``h``, the language and the value of each entry there is."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        line = np.flatnonzero(self.hashes[at] == h)
+        begin, n = self.bounds[at[line]], self.bounds[at[line] + 1] - self.bounds[at[line]]
+        entry = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(line, n), self.langs[entry], self.values[entry]
+
+
 @dataclass
 class LanguageModels:
-    """Log2 probabilities: of 4-grams in sorted ``codes`` by language, and dense tables of the lower orders."""
+    """Log2 probabilities of the grams seen and back-off weights of the contexts seen, for each order from 1 on."""
 
     langs: list[str]
-    codes: np.ndarray
-    seen: np.ndarray  # [4-gram, language]
-    lower: np.ndarray  # [3-gram, language]: interpolated probability of its last symbol
-    backoff: np.ndarray  # [context of 3, language]: weight of ``lower``
+    symbols: int
+    seen: list[_Table]
+    weights: list[_Table]
     sharpness: float = 1.0
     worst: np.ndarray | None = None
 
-    def bits(self, code: np.ndarray) -> np.ndarray:
-        """Code length of each 4-gram's last symbol under each language."""
-        at = np.minimum(np.searchsorted(self.codes, code), max(len(self.codes) - 1, 0))
-        known = self.codes[at] == code if len(self.codes) else np.zeros(len(code), bool)
-        out = -(self.backoff[code // SYMBOLS] + self.lower[code % SYMBOLS ** (ORDER - 1)])
-        out[known] = -self.seen[at[known]]
-        return out
+    def bits(self, grams: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Code length of each 4-gram's last symbol, for one block of languages after the other, with its first language."""
+        found = [(self.weights[k - 1].find(_hash(grams[:, ORDER - k : ORDER - 1])), self.seen[k - 1].find(_hash(grams[:, ORDER - k :]))) for k in range(1, ORDER + 1)]
+        for low in range(0, len(self.langs), _BLOCK):
+            width = min(_BLOCK, len(self.langs) - low)
+            out = np.full((len(grams), width), np.log2(self.symbols))
+            for (c_line, c_lang, weight), (line, lang, value) in found:
+                own = (c_lang >= low) & (c_lang < low + width)
+                out[c_line[own], c_lang[own] - low] -= weight[own]
+                own = (lang >= low) & (lang < low + width)
+                out[line[own], lang[own] - low] = -value[own]
+            yield low, out
 
 
 def _discount(counts: np.ndarray) -> float:
@@ -127,57 +180,69 @@ def _discount(counts: np.ndarray) -> float:
     return once / (once + 2 * twice) if once and twice else 0.5
 
 
-def _kneser_ney(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For one language: probability of each seen 4-gram, dense 3-gram probabilities, dense back-off weights."""
-    dense = np.full(SYMBOLS, 1 / SYMBOLS)
-    weights = None
+def _fitted(grams: np.ndarray, n: np.ndarray, symbols: int) -> list[tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]:
+    """For one language and each order: (hash, probability) of the grams seen, and (hash, back-off weight) of contexts."""
+    out: list = []
     for order in range(1, ORDER + 1):
         if order == ORDER:
-            key, count = code, n.astype(np.float64)
+            key, first = np.unique(_hash(grams), return_index=True)
+            count = n[first].astype(np.float64)
         else:  # how many symbols precede it
-            longer = np.unique(code % SYMBOLS ** (order + 1))
-            key, count = np.unique(longer % SYMBOLS**order, return_counts=True)
-            count = count.astype(np.float64)
+            _, longer = np.unique(_hash(grams[:, ORDER - 1 - order :]), return_index=True)
+            key, first, count = np.unique(_hash(grams[longer, ORDER - order :]), return_index=True, return_counts=True)
+            first, count = longer[first], count.astype(np.float64)
         d = _discount(count)
-        context = key // SYMBOLS
-        size = SYMBOLS ** (order - 1)
-        total = np.bincount(context, weights=count, minlength=size)
-        kinds = np.bincount(context, minlength=size)
-        weights = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
-        if order == ORDER:
-            return np.maximum(count - d, 0) / total[context] + weights[context] * dense[key % SYMBOLS ** (order - 1)], dense, weights
-        # a gram's row in ``dense`` is the gram without its first symbol
-        grown = np.repeat(weights, SYMBOLS) * (np.tile(dense, SYMBOLS) if order > 1 else dense)
-        grown[key] += np.maximum(count - d, 0) / total[context]
-        dense = grown
-    raise AssertionError
+        contexts, of = np.unique(_hash(grams[first, ORDER - order : ORDER - 1]), return_inverse=True)
+        total = np.bincount(of, weights=count)
+        weight = d * np.bincount(of) / total
+        if order == 1:
+            lower = 1 / symbols
+        else:
+            keys, values = out[-1][0]
+            lower = values[np.searchsorted(keys, _hash(grams[first, ORDER + 1 - order :]))]
+        out.append(((key, np.maximum(count - d, 0) / total[of] + weight[of] * lower), (contexts, weight)))
+    return out
+
+
+def _kneser_ney(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of 4-grams packed to the base ``SYMBOLS``: probability of each, and dense 3-gram probabilities and back-off weights."""
+
+    def unpacked(codes: np.ndarray, length: int) -> np.ndarray:
+        return np.stack([codes // SYMBOLS**k % SYMBOLS for k in reversed(range(length))], 1).astype(np.uint32)
+
+    fitted = _fitted(unpacked(code, ORDER), n, SYMBOLS)
+    parts = LanguageModels([""], SYMBOLS, [_Table.of([seen]) for seen, _ in fitted], [_Table.of([w]) for _, w in fitted])
+    three = np.arange(SYMBOLS ** (ORDER - 1))
+    shorter = LanguageModels([""], SYMBOLS, [*parts.seen[:-1], _Table.of([])], [*parts.weights[:-1], _Table.of([])])
+    lower = 2.0 ** -next(shorter.bits(unpacked(three, ORDER)))[1][:, 0]
+    backoff = np.ones(len(three))
+    line, _, weight = parts.weights[-1].find(_hash(unpacked(three, ORDER - 1)))
+    backoff[line] = 2.0**weight
+    return 2.0 ** -next(parts.bits(unpacked(code, ORDER)))[1][:, 0], lower, backoff
 
 
 def fit_languages(docs: DataFrame, most_languages: int = 64, calibration: int = 2000, rejected: float = 0.005) -> LanguageModels:
     """Count 4-grams over every row with text and lang, and build one model per language.
 
-    A model has at most 40**4 entries; more than ``most_languages`` distinct lang values are refused. The
+    More than ``most_languages`` distinct lang values are refused. A model has an entry for each gram seen. The
     scores' sharpness and each language's rejection level (the ``1 - rejected`` quantile of its own
     cross-entropies) are set on the ``calibration`` training rows with the smallest hashes.
     """
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = rows.select("lang", "text").mapInArrow(_counted, "lang string, code int, n bigint")
-    table = counts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    got = table.toPandas()
-    langs = sorted(got["lang"].unique())
+    counts = rows.select("lang", "text").mapInArrow(_counted, "lang string, a bigint, b bigint, n bigint")
+    got = counts.groupBy("lang", "a", "b").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(got["lang"].unique().to_pylist())
     if len(langs) > most_languages:
         raise ValueError(f"{len(langs)} languages; at most {most_languages} are supported")
-    codes = np.unique(got["code"].to_numpy(np.int32))
-    models = LanguageModels(langs, codes, np.zeros((len(codes), len(langs))), np.zeros((SYMBOLS ** (ORDER - 1), len(langs))), np.zeros((SYMBOLS ** (ORDER - 1), len(langs))))
-    for k, lang in enumerate(langs):
-        own = got[got["lang"] == lang].sort_values("code")
-        code = own["code"].to_numpy(np.int64)
-        seen, lower, backoff = _kneser_ney(code, own["n"].to_numpy())
-        models.lower[:, k], models.backoff[:, k] = np.log2(lower), np.log2(backoff)
-        models.seen[:, k] = models.backoff[codes // SYMBOLS, k] + models.lower[codes % SYMBOLS ** (ORDER - 1), k]
-        models.seen[np.searchsorted(codes, code), k] = np.log2(seen)
-    models.seen = models.seen.astype(np.float32)
-    models.lower, models.backoff = models.lower.astype(np.float32), models.backoff.astype(np.float32)
+    of = pc.index_in(got["lang"], pa.array(langs, pa.string())).to_numpy()
+    a, b = got["a"].to_numpy(), got["b"].to_numpy()
+    grams, n = np.stack([a >> 32, a & 0xFFFFFFFF, b >> 32, b & 0xFFFFFFFF], 1).astype(np.uint32), got["n"].to_numpy()
+    symbols = len(np.unique(grams[:, -1])) + 1  # one for all that were not seen
+    fitted = []
+    order = np.argsort(of, kind="stable")
+    for own in np.split(order, np.searchsorted(of[order], np.arange(1, len(langs)))) if langs else []:
+        fitted.append(_fitted(grams[own], n[own], symbols))
+    models = LanguageModels(langs, symbols, [_Table.of([f[k][0] for f in fitted]) for k in range(ORDER)], [_Table.of([f[k][1] for f in fitted]) for k in range(ORDER)])
     if langs:
         _calibrate(models, rows, calibration, rejected)
     return models
@@ -186,13 +251,14 @@ def fit_languages(docs: DataFrame, most_languages: int = 64, calibration: int =
 def _entropies(models: LanguageModels, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bits a symbol of each row under each language, and the number of symbols."""
     rows = len(column)
-    code, row = _grams(*_symbols(column))
+    sym, row = _symbols(column)
+    grams = _grams(sym, row)
     length = np.bincount(row, minlength=rows).astype(np.float64)
-    found, where = np.unique(code, return_inverse=True)
-    bits = models.bits(found)[where]
+    _, some, where = np.unique(_hash(grams), return_index=True, return_inverse=True)
     out = np.zeros((rows, len(models.langs)))
-    for k in range(len(models.langs)):
-        out[:, k] = np.bincount(row, weights=bits[:, k], minlength=rows) / np.maximum(length, 1)
+    for low, bits in models.bits(grams[some]):
+        for k in range(bits.shape[1]):
+            out[:, low + k] = np.bincount(row, weights=bits[where, k], minlength=rows) / np.maximum(length, 1)
     return out, length
 
 

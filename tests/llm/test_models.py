@@ -88,6 +88,16 @@ def test_language_of_awkward_rows(spark):
         fit_languages(docs, most_languages=1)
 
 
+def test_language_by_letters_that_differ(spark):
+    rng = random.Random(4)
+    words = {"fr": "été élève forêt où", "de": "öl über größe schön", "es": "niño año señal él", "ru": "ыры эльф съел ёлка это", "uk": "їжа ґава єдність її ці", "zh": "我们的语言文字国家", "ja": "ことばにほんごの国"}
+    docs = [(k, " ".join(rng.choices(w.split() if " " in w else list(w), k=6)), lang) for lang, w in words.items() for k in range(20)]
+    models = fit_languages(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    asked = [("é", "fr"), ("ö", "de"), ("ñ", "es"), ("ы э", "ru"), ("ї ґ", "uk"), ("我们", "zh"), ("ことば", "ja")]
+    got = identify_language(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(asked)], "doc_id long, text string"), models)
+    assert [r.lang_pred for r in got.orderBy("doc_id").collect()] == [lang for _, lang in asked]
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(2)
     code = np.unique(rng.integers(0, SYMBOLS**4, 400))
