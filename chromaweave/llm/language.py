@@ -221,10 +221,10 @@ def _kneser_ney(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return 2.0 ** -next(parts.bits(unpacked(code, ORDER)))[1][:, 0], lower, backoff
 
 
-def fit_languages(docs: DataFrame, most_languages: int = 64, calibration: int = 2000, rejected: float = 0.005) -> LanguageModels:
+def fit_languages(docs: DataFrame, most_languages: int | None = None, calibration: int = 2000, rejected: float = 0.005) -> LanguageModels:
     """Count 4-grams over every row with text and lang, and build one model per language.
 
-    More than ``most_languages`` distinct lang values are refused. A model has an entry for each gram seen. The
+    There may be any number of lang values, unless ``most_languages`` is given: then more are refused. A model has an entry for each gram seen. The
     scores' sharpness and each language's rejection level (the ``1 - rejected`` quantile of its own
     cross-entropies) are set on the ``calibration`` training rows with the smallest hashes.
     """
@@ -232,7 +232,7 @@ def fit_languages(docs: DataFrame, most_languages: int = 64, calibration: int =
     counts = rows.select("lang", "text").mapInArrow(_counted, "lang string, a bigint, b bigint, n bigint")
     got = counts.groupBy("lang", "a", "b").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(got["lang"].unique().to_pylist())
-    if len(langs) > most_languages:
+    if most_languages is not None and len(langs) > most_languages:
         raise ValueError(f"{len(langs)} languages; at most {most_languages} are supported")
     of = pc.index_in(got["lang"], pa.array(langs, pa.string())).to_numpy()
     a, b = got["a"].to_numpy(), got["b"].to_numpy()

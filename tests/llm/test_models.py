@@ -98,6 +98,13 @@ def test_language_by_letters_that_differ(spark):
     assert [r.lang_pred for r in got.orderBy("doc_id").collect()] == [lang for _, lang in asked]
 
 
+def test_any_number_of_languages(spark):
+    letters = [chr(0x4E00 + k) for k in range(70)]
+    docs = spark.createDataFrame([(10 * k + j, f"{c}{c} ab {c}", f"l{k:02}") for k, c in enumerate(letters) for j in range(3)], "doc_id long, text string, lang string")
+    got = identify_language(docs, fit_languages(docs)).join(docs.select("doc_id", "lang"), "doc_id")
+    assert got.count() == 210 and got.where("lang_pred <> lang OR score <= 0 OR score > 1").count() == 0
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(2)
     code = np.unique(rng.integers(0, SYMBOLS**4, 400))
