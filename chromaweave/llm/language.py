@@ -221,12 +221,12 @@ def _kneser_ney(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return 2.0 ** -next(parts.bits(unpacked(code, ORDER)))[1][:, 0], lower, backoff
 
 
-def fit_languages(docs: DataFrame, most_languages: int | None = None, calibration: int = 2000, rejected: float = 0.005) -> LanguageModels:
+def fit_languages(docs: DataFrame, most_languages: int | None = None, rejected: float = 0.005) -> LanguageModels:
     """Count 4-grams over every row with text and lang, and build one model per language.
 
     There may be any number of lang values, unless ``most_languages`` is given: then more are refused. A model has an entry for each gram seen. The
     scores' sharpness and each language's rejection level (the ``1 - rejected`` quantile of its own
-    cross-entropies) are set on the ``calibration`` training rows with the smallest hashes.
+    cross-entropies) are set on all training rows.
     """
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = rows.select("lang", "text").mapInArrow(_counted, "lang string, a bigint, b bigint, n bigint")
@@ -244,7 +244,7 @@ def fit_languages(docs: DataFrame, most_languages: int | None = None, calibratio
         fitted.append(_fitted(grams[own], n[own], symbols))
     models = LanguageModels(langs, symbols, [_Table.of([f[k][0] for f in fitted]) for k in range(ORDER)], [_Table.of([f[k][1] for f in fitted]) for k in range(ORDER)])
     if langs:
-        _calibrate(models, rows, calibration, rejected)
+        _calibrate(models, rows, rejected)
     return models
 
 
@@ -267,26 +267,27 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def _calibrate(models: LanguageModels, rows: DataFrame, sample: int, rejected: float) -> None:
+def _calibrate(models: LanguageModels, rows: DataFrame, rejected: float) -> None:
+    tried = 2.0 ** np.arange(-2, 7)
+    names = ["lang", "own", *(f"loss{k}" for k in range(len(tried)))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {lang: k for k, lang in enumerate(models.langs)}
         for batch in (part for b in batches for part in arrays.slices(b, 1)):
             h, length = _entropies(models, batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(length, pa.float64()), pa.array(list(h), pa.list_(pa.float64()))], names=["lang", "length", "bits"])
-
-    ids = rows.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = rows.withColumn("doc_id", F.col("doc_id").cast("bigint")).join(F.broadcast(ids), "doc_id").select("lang", "text")
-    got = chosen.mapInArrow(run, "lang string, length double, bits array<double>").toPandas()
-    got = got[got["length"] > 0]
+            some = np.flatnonzero(length)
+            langs = batch.column(0).take(pa.array(some))
+            h, truth = h[some], np.array([place[x] for x in langs.to_pylist()], int)
+            lines = np.arange(len(some))
+            losses = [-np.log(np.maximum(_softmax(-h * t)[lines, truth], 1e-12)) for t in tried]
+            yield pa.RecordBatch.from_arrays([langs, *(pa.array(x, pa.float64()) for x in (h[lines, truth], *losses))], names=names)
+
+    scored = rows.select("lang", "text").mapInArrow(run, ", ".join(["lang string", *(f"{x} double" for x in names[1:])]))
+    got = scored.groupBy("lang").agg(F.percentile_approx("own", 1 - rejected, 10_000).alias("level"), *(F.sum(x).alias(x) for x in names[2:])).toPandas()
     models.worst = np.full(len(models.langs), np.inf)
-    if not len(got):
-        return
-    h = np.array(got["bits"].tolist())
-    truth = np.array([models.langs.index(x) for x in got["lang"]])
-    loss = {t: -np.log(np.maximum(_softmax(-h * t)[np.arange(len(h)), truth], 1e-12)).mean() for t in 2.0 ** np.arange(-2, 7)}
-    models.sharpness = float(min(loss, key=loss.get))
-    for k in range(len(models.langs)):
-        if (truth == k).any():
-            models.worst[k] = np.quantile(h[truth == k, k], 1 - rejected)
+    if len(got):
+        models.sharpness = float(tried[got[names[2:]].sum().to_numpy().argmin()])
+        models.worst[[models.langs.index(x) for x in got["lang"]]] = got["level"]
 
 
 def identify_language(docs: DataFrame, models: LanguageModels) -> DataFrame:

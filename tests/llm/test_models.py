@@ -105,6 +105,12 @@ def test_any_number_of_languages(spark):
     assert got.count() == 210 and got.where("lang_pred <> lang OR score <= 0 OR score > 1").count() == 0
 
 
+def test_rare_languages_have_a_level(spark):
+    rows = [(k, f"the cat {k} sat on a mat", "en") for k in range(4000)] + [(5000, "ça été", "fr")]
+    models = fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert models.langs == ["en", "fr"] and np.isfinite(models.worst).all()
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(2)
     code = np.unique(rng.integers(0, SYMBOLS**4, 400))
