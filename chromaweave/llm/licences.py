@@ -7,6 +7,9 @@ notice on a line of its own is found as well.
 
 from __future__ import annotations
 
+import string
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +53,25 @@ KNOWN = [
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
 ]
 
-_COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Whole texts in their published line breaks, one file for each identifier.
+KNOWN += [(p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+
+#: Words after "copyright" where the terms of a licence go on, not a name.
+_TERMS = ["notice", "notices", "holder", "holders", "owner", "owners", "license", "licence", "licenses", "law", "laws", "treaty", "statement", "statements", "and", "or", "on", "in", "interest"]
+
+
+def _name(terms: list[str], begun: bool = False) -> str:
+    """A pattern of a line's rest that begins with another word than ``terms``; without look-ahead, for SQL's sake."""
+    heads = sorted({t[0] for t in terms if t})
+    ways = ["[" + "".join(c for c in string.ascii_lowercase if c not in heads) + r"][^\n]*"]
+    ways += [head + _name([t[1:] for t in terms if t.startswith(head)], True) for head in heads]
+    if begun and "" not in terms:
+        ways.append(r"[^a-z\n][^\n]*")
+    return f"({'|'.join(ways)})"
+
+
+#: A line with a year, a sign or a name after "copyright"; one that begins with (c), an item's mark too, needs a year.
+_COPYRIGHT_LINE = rf"(^|\n)[ \t]*(copyright[ \t]*:?[ \t]*[(<\[{{©0-9][^\n]*|copyright[ \t]*:?[ \t]+{_name(_TERMS)}|\(c\)[^\n]*(19|20)[0-9][0-9][^\n]*|©[^\n]*|all rights reserved[^\n]*)"
 #: Above this many bytes of known texts the digests are joined by a shuffle, not a broadcast.
 BROADCAST_BYTES = 16 << 20
 _NO_WORD = r"[^\p{L}\p{N}]+"

@@ -166,6 +166,20 @@ def test_licences(spark):
     same(rows_of(got, "doc_id", "license_id", "n_notices", "notices"), [(1, "MIT", 0, ""), (2, "MIT", 0, ""), (3, None, 1, "MIT"), (3, None, 1, "MIT"), (4, None, 0, ""), (5, None, 0, ""), (6, None, 0, ""), (None, "CC-BY-NC-4.0", 1, "CC-BY-NC-4.0"), (7, None, 0, "")])
 
 
+def test_licences_in_their_published_line_breaks(spark):
+    import textwrap
+
+    def wrapped(text, width):
+        return "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+
+    isc = next(t for k, t in KNOWN if k == "ISC").replace("that the above copyright", "that the above\ncopyright")
+    whole = [(k, t) for k, t in KNOWN if len(t) > 300]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC", "0BSD", "Zlib"} <= {k for k, _ in whole}
+    asked = [*whole, ("ISC", isc), ("ISC", "Copyright Jane Doe\n" + isc), *((k, wrapped(t, w)) for k, t in KNOWN if k in ("MIT", "ISC", "0BSD", "Zlib") and len(t) > 300 for w in range(50, 80))]
+    got = scan_licences(fx.table(spark, [(n, t) for n, (_, t) in enumerate(asked)]), spark.createDataFrame(KNOWN, "license_id string, text string"))
+    assert {r.doc_id: r.license_id for r in got.collect()} == {n: k for n, (k, _) in enumerate(asked)}
+
+
 def test_empty_tables(spark):
     none = fx.empty(spark)
     bench = spark.createDataFrame([], "item_id long, text string")
