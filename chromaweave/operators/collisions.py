@@ -66,12 +66,12 @@ def primary_collisions(lefs: DataFrame, cell: list[str]) -> DataFrame:
 
 def burnin_stable(epochs: DataFrame, cell: list[str], history: int, width: int, low: float = 0.95, high: float = 1.05) -> DataFrame:
     """(cell, stable): over the last ``history`` epochs (epoch, cv, loop), the smoothed values of both rise about as often
-    as they fall: rises over the other steps are within [low, high]."""
+    as they fall: falls over the other steps are within [low, high]."""
     last = Window.partitionBy(*cell).orderBy(F.desc("epoch"))
     order = Window.partitionBy(*cell).orderBy("epoch")
     recent = epochs.withColumn("_age", F.row_number().over(last)).where(F.col("_age") <= history).withColumn("_place", F.row_number().over(order))
     smooth = recent.select("*", *[F.avg(c).over(order.rowsBetween(0, width - 1)).alias(f"_{c}") for c in ("cv", "loop")]).where(F.col("_place") <= history - width)
-    steps = smooth.select(*cell, *[(F.col(f"_{c}") > F.lag(f"_{c}").over(order)).alias(f"_{c}") for c in ("cv", "loop")])
+    steps = smooth.select(*cell, *[(F.col(f"_{c}") < F.lag(f"_{c}").over(order)).alias(f"_{c}") for c in ("cv", "loop")])
     counts = steps.groupBy(*cell).agg(*[F.count_if(F.col(f"_{c}")).alias(f"_{c}") for c in ("cv", "loop")])
     total = history - width
     ratio = lambda c: F.col(f"_{c}") / F.nullif(total - F.col(f"_{c}"), F.lit(0))

@@ -1,12 +1,14 @@
 """Hand-drawn layouts with known moves and collisions, and invariants of the simulation."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chromaweave.functions.formulas import genomic_distance
 from chromaweave.operators import collisions
-from chromaweave.operators.simulation import BARRIER, BOUNDARY, NONE, PRIMARY, SECONDARY, Epoch, SimulationConfig, plan_tasks, rank, run_task, simulate
+from chromaweave.operators.simulation import BARRIER, BOUNDARY, NONE, PRIMARY, SECONDARY, Epoch, SimulationConfig, interval_report, plan_tasks, rank, run_task, simulate, stable, target_epochs_of
 
 
 def half(n):
@@ -46,7 +48,7 @@ def test_ranks_with_ties():
 def test_units_meet():
     e = epoch(0, 30, [(0, 2), (4, 8), (14, 14), (18, 23)], [0, 3, 3, 3], [2] * 4)
     e.boundaries()
-    e.primary(0, half)
+    e.primary(0, half(len(e.rev)))
     assert e.rev_event.tolist() == [BOUNDARY, PRIMARY, NONE, PRIMARY] and e.rev_with.tolist() == [-1, 0, -1, 2]
     assert e.fwd_event.tolist() == [PRIMARY, NONE, PRIMARY, NONE] and e.fwd_with.tolist() == [1, -1, 3, -1]
     assert e.rev_move.tolist() == [0, 1, 3, 2] and e.fwd_move.tolist() == [0, 2, 1, 2]
@@ -61,20 +63,84 @@ def test_units_meet_in_tables(spark):
 
 def test_barriers_stop_units():
     e = epoch(0, 1000, [(0, 1), (3, 4), (5, 5)], [0, 2, 2], [2, 2, 2])
-    e.barriers(np.array([2, 4, 8]), np.array([True] * 3), np.array([True] * 3), 1, 0, half)
+    e.barriers(np.array([2, 4, 8]), np.array([True] * 3), np.array([True] * 3), 1, 0, half(3), half(3))
     assert e.rev_event.tolist() == [NONE, BARRIER, BARRIER] and e.rev_with.tolist() == [-1, 0, 1]
     assert e.rev_move.tolist() == [0, 0, 0] and e.fwd_move.tolist() == [2, 2, 2]
 
 
-def test_all_collisions_together():
-    e = epoch(0, 1000, [(25, 30), (150, 150), (200, 350), (230, 399), (425, 425), (625, 800), (650, 650)], [25] + [75] * 6, [75] * 7)
+N, C, D = (NONE, -1), (BOUNDARY, -1), (BOUNDARY, -1)
+B, P, S = ([(kind, k) for k in range(7)] for kind in (BARRIER, PRIMARY, SECONDARY))
+_SEVEN = [(200, 375), (350, 350), (575, 575), (601, 770), (650, 800), (850, 850), (970, 975)]
+_FIVE = [(150, False), (400, True), (600, True), (895, False), (900, True)]
+_STACKED = [(95, 100), (101, 103), (102, 110), (104, 111), (105, 112)]
+
+#: Layouts of units and barriers (position, blocks rev) on an interval, their moves, and what comes of them.
+#: Units that are not bound are left out.
+LAYOUTS = {
+    "all kinds": (1000, 75, [(25, 30), (150, 150), (200, 350), (230, 399), (425, 425), (625, 800), (650, 650)], [(100, False), (105, True), (400, False), (600, False), (850, True)], 0, True, [C, B[1], P[1], S[2], P[3], N, N], [B[0], P[2], S[3], B[2], N, N, N], [25, 44, 25, 54, 25, 75, 75], [69, 24, 48, 0, 75, 75, 75]),
+    "boundary": (1000, 75, _SEVEN, _FIVE, 0, True, [N, N, N, B[2], S[3], P[4], B[4]], [N, N, P[3], S[4], P[5], B[3], D], [75, 75, 75, 0, 48, 25, 69], [75, 75, 25, 53, 24, 44, 24]),
+    "soft collisions": (1000, 75, _SEVEN, _FIVE, 1, True, [B[0], N, N, B[2], S[3], P[4], B[4]], [B[1], S[0], B[2], S[4], P[5], B[3], D], [49, 75, 75, 0, 48, 25, 69], [24, 48, 24, 53, 24, 44, 24]),
+    "inactive barriers": (1000, 75, _SEVEN, _FIVE, 0, False, [N, N, N, P[2], S[3], P[4], P[5]], [N, N, P[3], S[4], P[5], P[6], D], [75, 75, 75, 13, 61, 25, 60], [75, 75, 12, 53, 24, 59, 24]),
+    "one place": (150, (25, [25, 25, 25, 24, 8, 9]), [(30, 50), (60, 80), (60, 80), (65, 125), (140, 140), (140, 140)], [(100, False)], 0, True, [N, P[0], S[1], S[2], P[3], S[4]], [P[1], S[2], B[0], P[4], S[5], D], [25, 5, 4, 8, 8, 7], [4, 18, 19, 6, 8, 9]),
+    "few bound": (150, (25, [25, 25, 24, 9]), [(30, 50), (60, 80), (65, 125), (140, 140)], [(100, False)], 0, True, [N, P[0], S[1], P[2]], [P[1], B[0], P[3], D], [25, 5, 9, 8], [4, 19, 6, 9]),
+    "unit before barrier, rev": (200, 20, [(50, 95), (110, 150)], [(100, True)], 0, True, [N, P[0]], [P[1], N], [20, 7], [7, 20]),
+    "unit before barrier, fwd": (200, 20, [(50, 90), (105, 150)], [(100, False)], 0, True, [N, P[0]], [P[1], N], [20, 7], [7, 20]),
+    "stacked": (200, 10, _STACKED, [(100, True), (105, False)], 0, True, [N, B[0], S[1], P[1], S[3]], [P[1], P[3], N, N, N], [10, 0, 0, 0, 0], [0, 0, 10, 10, 10]),
+    "stacked, one more": (200, 10, [*_STACKED, (102, 102)], [(100, True), (105, False)], 0, True, [N, B[0], S[1], P[1], S[3], S[2]], [P[1], P[3], N, N, N, S[1]], [10, 0, 0, 0, 0, 0], [0, 0, 10, 10, 10, 0]),
+}
+
+
+def moves_of(speed, n):
+    return [np.broadcast_to(m, n).copy() for m in (speed if isinstance(speed, tuple) else (speed, speed))]
+
+
+def stepped(size, speed, lefs, bars, minor, active, bypass=0.0, shift=0, born=None):
+    lefs = np.array(lefs) + shift
+    n, pos = len(lefs), np.array([p for p, _ in bars]) + shift
+    e = Epoch(shift, size + shift, lefs[:, 0].copy(), lefs[:, 1].copy(), np.zeros(n, int) if born is None else np.array(born), *moves_of(speed, n))
+    e.boundaries()
+    e.barriers(pos, np.array([r for _, r in bars]), np.full(len(bars), active), 1, minor, half(len(bars)), half(len(bars)))
+    e.primary(0, half(n))
+    e.secondary(bypass, half(n), half(n))
+    return e
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_collisions(name):
+    size, speed, lefs, bars, minor, active, rev, fwd, rev_move, fwd_move = LAYOUTS[name]
+    # the unit bound last is the younger one where two stand at one place
+    e = stepped(size, speed, lefs, bars, minor, active, born=[0] * 5 + [1] if name == "stacked, one more" else None)
+    assert list(zip(e.rev_event.tolist(), e.rev_with.tolist())) == rev
+    assert list(zip(e.fwd_event.tolist(), e.fwd_with.tolist())) == fwd
+    assert e.rev_move.tolist() == rev_move and e.fwd_move.tolist() == fwd_move
+
+
+def test_units_let_past_change_places():
+    """Two units before one barrier, the second let past the first."""
+    e = stepped(200, 10, [(25, 95), (50, 99)], [(100, False)], 0, True, bypass=1.0)
+    assert e.fwd.tolist() == [99, 95] and e.fwd_move.tolist() == [0, 3] and e.rev_move.tolist() == [10, 10]
+    assert e.fwd_event.tolist() == [BARRIER, SECONDARY] and e.fwd_with.tolist() == [0, 1] and e.fwd_order.tolist() == [1, 0]
+    e = stepped(200, 10, [(26, 75), (30, 80)], [(25, True)], 0, True, bypass=1.0)
+    assert e.rev.tolist() == [30, 26] and e.rev_move.tolist() == [3, 0] and e.fwd_move.tolist() == [10, 10]
+    assert e.rev_event.tolist() == [SECONDARY, BARRIER] and e.rev_with.tolist() == [0, 0] and e.rev_order.tolist() == [1, 0]
+
+
+def test_cells_on_one_line_do_not_meet():
+    """All layouts in one epoch, each as a cell of its own, come out as they do alone."""
+    same = [v for v in LAYOUTS.values() if v[4] == 0 and v[5]]
+    far = 5_000
+    lefs = np.concatenate([np.array(v[2]) + k * far for k, v in enumerate(same)])
+    cell = np.repeat(np.arange(len(same)), [len(v[2]) for v in same])
+    moves = [np.concatenate(m) for m in zip(*(moves_of(v[1], len(v[2])) for v in same))]
+    bars = [(p + k * far, r) for k, v in enumerate(same) for p, r in v[3]]
+    born = np.concatenate([[0] * 5 + [1] if len(v[2]) == 6 and v[2][5] == (102, 102) else [0] * len(v[2]) for v in same]).astype(int)
+    e = Epoch(cell * far, cell * far + np.array([v[0] for v in same])[cell], lefs[:, 0].copy(), lefs[:, 1].copy(), born, *moves, cell)
     e.boundaries()
-    e.barriers(np.array([100, 105, 400, 600, 850]), np.array([False, True, False, False, True]), np.array([True] * 5), 1, 0, half)
-    e.primary(0, half)
-    e.secondary(0, half)
-    assert e.rev_event.tolist() == [BOUNDARY, BARRIER, PRIMARY, SECONDARY, PRIMARY, NONE, NONE]
-    assert e.fwd_event.tolist() == [BARRIER, PRIMARY, SECONDARY, BARRIER, NONE, NONE, NONE]
-    assert e.rev_move.tolist() == [25, 44, 25, 54, 25, 75, 75] and e.fwd_move.tolist() == [69, 24, 48, 0, 75, 75, 75]
+    e.barriers(np.array([p for p, _ in bars]), np.array([r for _, r in bars]), np.ones(len(bars), bool), 1, 0, half(len(bars)), half(len(bars)))
+    e.primary(0, half(len(lefs)))
+    e.secondary(0, half(len(lefs)), half(len(lefs)))
+    assert e.rev_move.tolist() == [m for v in same for m in v[8]] and e.fwd_move.tolist() == [m for v in same for m in v[9]]
+    assert e.rev_event.tolist() == [k for v in same for k, _ in v[6]] and e.fwd_event.tolist() == [k for v in same for k, _ in v[7]]
 
 
 TASK = {"interval_id": 1, "chrom": "c", "start": 1000, "end": 401000, "cell": 0, "lefs": 8, "per_epoch": 5, "target": 400, "barriers": [{"pos": 100_000, "stp_active": 0.9, "stp_inactive": 0.7, "blocks": "rev"}, {"pos": 300_000, "stp_active": 0.9, "stp_inactive": 0.7, "blocks": "fwd"}]}
@@ -86,17 +152,58 @@ def test_task_is_reproducible_and_in_bounds():
     again = run_task(TASK, config)
     assert (cells, spots, log) == again
     assert run_task(TASK | {"cell": 1}, config)[0] != cells
-    assert log[-1][-1] == 400 and 0 < sum(cells.values()) <= 400
+    assert 0 < sum(cells.values()) <= 400  # contacts beyond the band are registered, but have no pixel
     assert all(0 <= a <= b < 80 and b - a < 20 for a, b in cells) and all(0 <= s < 80 for s in spots)
-    assert sum(spots.values()) % 2 == 0
+    assert sum(spots.values()) % 2 == 0 and abs(sum(spots.values()) - 800) < 200
+    done = [row[-1] for row in log]
+    assert done == sorted(done) and 390 <= done[-1] < 400  # the epoch that reaches the target makes no moves
+
+
+def test_burn_in_lasts_until_loops_are_stable():
+    log = run_task(TASK, SimulationConfig(diagonal_width=100_000, seed=3))[2]
+    burning = [row[1] for row in log]
+    last = int(sum(burning))
+    assert burning == sorted(burning, reverse=True) and last > 187 and log[last - 1][-1] == 0
+    assert len([r for r in run_task(TASK, SimulationConfig(diagonal_width=100_000, seed=3, min_burnin=last + 50))[2] if r[1]]) > last + 50
+    assert len([r for r in run_task(TASK, SimulationConfig(diagonal_width=100_000, seed=3, max_burnin=60))[2] if r[1]]) < 150
+    assert not any(r[1] for r in run_task(TASK, SimulationConfig(diagonal_width=100_000, burnin=False))[2])
+
+
+def test_stability_is_that_of_the_table(spark):
+    rng = np.random.default_rng(5)
+    history = rng.normal(size=(60, 41))  # of 36 smoothed values, 35 steps: 18 falls
+    history[:20] = np.sort(history[:20], 1)
+    rows = [(k, e, float(v), float(v)) for k, line in enumerate(history) for e, v in enumerate(line)]
+    got = {r.cell: r.stable for r in collisions.burnin_stable(spark.createDataFrame(rows, "cell int, epoch int, cv double, loop double"), ["cell"], 41, 5).collect()}
+    assert [got[k] for k in range(60)] == stable(history, 5).tolist() and 0 < sum(got.values()) < 60
+
+
+def test_target_in_epochs():
+    log = run_task(TASK, SimulationConfig(diagonal_width=100_000, burnin=False, target_epochs=12))[2]
+    assert len(log) == 11
+    config = SimulationConfig(cells=4, target_epochs=7)
+    assert target_epochs_of(4979, 29_875_200, config) == 28
+    assert target_epochs_of(4979, 29_875_200, SimulationConfig()) == 37485
+
+
+def test_options_that_follow_from_others():
+    config = SimulationConfig(bin_size=10_000, occupancy=0.8)
+    assert config.speeds == (8000, 8000) and config.release_chance == pytest.approx(16 / 300) and config.speed_stds == (400, 400)
+    own = config.resolved()
+    assert own.stp_inactive == pytest.approx(0.49) and own.barrier_occupancy == 0.8 and own.stp_active == pytest.approx(1 - 0.51 * 0.25) and own.bypass == pytest.approx(0.2)
+    assert own.resolved() == own and SimulationConfig(rev_speed=4000, fwd_speed=4000).resolved() == SimulationConfig().resolved()
+    assert SimulationConfig(burnin_speed=0.5).burnin_speeds == (2000, 2000) and SimulationConfig(speed_std=30).speed_stds == (30, 30)
 
 
 def test_results_do_not_depend_on_partitions(spark):
     intervals = spark.createDataFrame([(1, "c", 0, 400_000), (2, "d", 0, 200_000), (3, "e", 0, 90_000)], "interval_id long, chrom string, start long, end long")
     barriers = spark.createDataFrame([(1, 100_000, 0.9, 0.7, "rev"), (2, 50_000, 0.9, 0.7, "fwd")], "interval_id long, pos long, stp_active double, stp_inactive double, blocks string")
-    config = SimulationConfig(cells=3, diagonal_width=100_000, contact_density=0.2, max_epochs=300)
+    config = SimulationConfig(cells=3, diagonal_width=100_000, contact_density=0.05)
     tasks = plan_tasks(intervals, barriers, config)
     assert tasks.count() == 6  # no task for the interval without barriers
+    assert {(r.chrom, r.simulated) for r in interval_report(intervals, barriers, config).collect()} == {("c", True), ("d", True), ("e", False)}
+    every = plan_tasks(intervals, barriers, replace(config, without_barriers=True))
+    assert every.count() == 9 and simulate(every.where("chrom = 'e'"), config)["occupancy"].count() > 0
     one = {tuple(r) for r in simulate(tasks, config)["pixels"].collect()}
     two = {tuple(r) for r in simulate(tasks.coalesce(1), config)["pixels"].collect()}
     assert one and one == two
