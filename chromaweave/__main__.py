@@ -31,13 +31,19 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--sigma2", type=float)
     p.add_argument("--saturation", type=float, nargs=2)
     p.add_argument("--ranges")
+    p.add_argument("--normalization-range", type=float, nargs=2, default=[0.0, 1.0])
+    p.add_argument("--whole-numbers", action="store_true")
     p = verbs.add_parser("evaluate")
     p.add_argument("--reference", required=True)
     p.add_argument("--target", required=True)
     p.add_argument("--output", required=True)
     p.add_argument("--metric", default="custom", choices=["pearson", "spearman", "eucl_dist", "rmse", "custom"])
     p.add_argument("--diagonal-width", type=genomic_distance, default=3_000_000)
+    p.add_argument("--regions-of-interest")
     p.add_argument("--weights")
+    p.add_argument("--weight-column-name", default="balanced.sum")
+    p.add_argument("--reciprocal-weights", action=argparse.BooleanOptionalAction, default=True)
+    p.add_argument("--normalize", action=argparse.BooleanOptionalAction, default=False)
     p.add_argument("--exclude-zero-pixels", action="store_true")
     p = verbs.add_parser("annotate-barriers")
     p.add_argument("--barriers", required=True)
@@ -57,9 +63,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         config = config_from_toml(Path(a.config).read_text()) if a.config else SimulationConfig()
         workflows.run_simulation(spark, a.chrom_sizes, a.barriers, a.output, config, a.regions)
     elif a.verb == "transform":
-        workflows.run_transform(spark, a.input, a.output, a.method, a.sigma, a.sigma2, saturation=tuple(a.saturation) if a.saturation else None, ranges=read_ranges(spark, a.ranges) if a.ranges else None)
+        workflows.run_transform(spark, a.input, a.output, a.method, a.sigma, a.sigma2, tuple(a.normalization_range), tuple(a.saturation) if a.saturation else None, read_ranges(spark, a.ranges) if a.ranges else None, a.whole_numbers)
     elif a.verb == "evaluate":
-        workflows.run_evaluation(spark, a.reference, a.target, a.output, a.metric, a.diagonal_width, a.weights, without_zeros=a.exclude_zero_pixels)
+        workflows.run_evaluation(spark, a.reference, a.target, a.output, a.metric, a.diagonal_width, a.weights, a.weight_column_name, a.reciprocal_weights, a.exclude_zero_pixels, a.normalize, a.regions_of_interest)
     else:
         workflows.run_annotation(spark, a.barriers, a.track, a.output, a.scale, a.lower, a.upper, a.clamp)
 

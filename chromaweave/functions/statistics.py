@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,11 @@ def weighted_mean(x: Column, w: Column) -> Column:
     return F.sum(w * x) / F.nullif(F.sum(w), F.lit(0.0))
 
 
+def weighted_covariance(x: Column, y: Column, w: Column) -> Column:
+    """Population covariance of weighted pairs, about their weighted means."""
+    return weighted_mean(x * y, w) - weighted_mean(x, w) * weighted_mean(y, w)
+
+
 def squared_deviations(x: Column) -> Column:
     """Sum of squared deviations from the mean."""
     return F.var_pop(x) * F.count(x)
@@ -68,51 +74,63 @@ def moving_average(rows: DataFrame, groups: list[str], order: str, value: str, w
     return kept.withColumn(out, F.when(F.col("_n") <= width, F.col("_all")).otherwise(F.col("_some"))).drop("_place", "_n", "_some", "_all")
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by Lentz's continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - incomplete_beta(b, a, 1 - x)
-    front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
-    tiny, f, c, d = 1e-300, 1.0, 1.0, 0.0
+def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function by Lentz's continued fraction, for arrays of one length."""
+    a, b, x = (np.asarray(v, float) for v in np.broadcast_arrays(a, b, x))
+    turned = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, 1 - x, x)
+    inner = (x > 0) & (x < 1)
+    p, q, z = a[inner], b[inner], x[inner]
+    gamma = {v: math.lgamma(v) for v in np.unique(np.concatenate([p, q, p + q])).tolist()}
+    log_gamma = [np.array([gamma[v] for v in part.tolist()]) for part in (p + q, p, q)]
+    front = np.exp(p * np.log(z) + q * np.log1p(-z) + log_gamma[0] - log_gamma[1] - log_gamma[2]) / p
+    tiny = 1e-300
+    f, c, d = np.ones(len(z)), np.ones(len(z)), np.zeros(len(z))
+    open_ = np.ones(len(z), bool)
     for step in range(400):
         m = step // 2
         if step == 0:
-            factor = 1.0
+            factor = np.ones(len(z))
         elif step % 2 == 0:
-            factor = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+            factor = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
         else:
-            factor = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / (1 + factor * d or tiny)
-        c = 1 + factor / c or tiny
-        f *= c * d
-        if abs(1 - c * d) < 1e-15:
+            factor = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
+        d = 1 + factor * d
+        d = 1 / np.where(d == 0, tiny, d)
+        c = 1 + factor / c
+        c = np.where(c == 0, tiny, c)
+        f = np.where(open_, f * c * d, f)
+        open_ &= np.abs(1 - c * d) >= 1e-15
+        if not open_.any():
             break
-    return front * (f - 1)
+    out = np.where(x >= 1, 1.0, 0.0)
+    out[inner] = front * (f - 1)
+    return np.where(turned, 1 - out, out)
 
 
-def pearson_p(r: float, n: int) -> float:
-    """Two-sided p-value of Pearson's r over n pairs."""
-    half = n / 2 - 1
-    return 2 * incomplete_beta(half, half, (1 - abs(r)) / 2) if half > 0 else float("nan")
+def pearson_p(r: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Two-sided p-values of Pearson's r over n pairs; NaN for fewer than three."""
+    r, n = np.asarray(r, float), np.asarray(n, float)
+    half = np.where(n > 2, n / 2 - 1, 1.0)
+    return np.where((n > 2) & ~np.isnan(r), 2 * incomplete_beta(half, half, (1 - np.abs(np.nan_to_num(r))) / 2), np.nan)
 
 
-def spearman_p(rho: float, n: int) -> float:
-    """Two-sided p-value of Spearman's rho over n pairs, by Student's t with n - 2 degrees of freedom."""
-    if n < 3:
-        return float("nan")
-    if abs(rho) >= 1:
-        return 0.0
-    t2 = rho * rho * (n - 2) / (1 - rho * rho)
-    return incomplete_beta((n - 2) / 2, 0.5, (n - 2) / (n - 2 + t2))
+def spearman_p(rho: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Two-sided p-values of Spearman's rho over n pairs, by Student's t with n - 2 degrees of freedom."""
+    rho, n = np.asarray(rho, float), np.asarray(n, float)
+    free, own = np.where(n > 2, n - 2, 1.0), np.nan_to_num(rho)
+    whole = np.abs(own) >= 1
+    t2 = np.where(whole, 0, own * own * free / np.where(whole, 1, 1 - own * own))
+    p = np.where(whole, 0.0, incomplete_beta(free / 2, np.full(own.shape, 0.5), free / (free + t2)))
+    return np.where((n > 2) & ~np.isnan(rho), p, np.nan)
 
 
 def _vectorised(function):
     @F.pandas_udf("double")
     def p_value(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for r, n in parts:
-            yield pd.Series([function(a, int(b)) if a == a and a is not None else None for a, b in zip(r, n)], dtype="float64")
+            p = pd.Series(function(r.to_numpy(float), n.to_numpy(float)))
+            yield p.where(p.notna(), None)
 
     return p_value
 

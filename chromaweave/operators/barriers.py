@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chromaweave.functions.formulas import barrier_position, blocking_direction, logistic, stp_active_from_occupancy
 from chromaweave.operators.intervals import overlap_join
+from chromaweave.sources.genomic import BED_FIELDS
 
 
 def barriers_from_records(records: DataFrame, stp_active: float, stp_inactive: float, score_is_occupancy: bool = True) -> DataFrame:
@@ -45,6 +46,17 @@ def annotate(records: DataFrame, track: DataFrame, scale: float, lower: float =
     return scored.where(F.col("score").between(lower, upper)).select("chrom", "start", "end", "name", "score", "strand")
 
 
-def format_bed(records: DataFrame) -> DataFrame:
-    """One tab-separated line for each BED6 record."""
-    return records.select(F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"), "name", F.col("score").cast("string"), "strand").alias("line"))
+def with_occupancy(barriers: DataFrame, occupancy: float, stp_inactive: float) -> DataFrame:
+    """``barriers`` with the chances that one occupancy gives all of them."""
+    return barriers.withColumns({"stp_active": stp_active_from_occupancy(F.lit(float(stp_inactive)), F.lit(float(occupancy))), "stp_inactive": F.lit(float(stp_inactive))})
+
+
+def format_bed(records: DataFrame, fields: int = 6) -> DataFrame:
+    """One tab-separated line for each record, with its first ``fields`` fields (3 to 12). A missing colour is 0,0,0 and
+    lists are joined by commas."""
+    shown = []
+    for name in BED_FIELDS[:fields]:
+        kind = records.schema[name].dataType.typeName()
+        text = F.array_join(F.transform(F.col(name), lambda x: x.cast("string")), ",") if kind == "array" else F.col(name).cast("string")
+        shown.append(F.coalesce(text, F.lit("0,0,0")) if name == "rgb" else F.coalesce(text, F.lit(".")))
+    return records.select(F.concat_ws("\t", *shown).alias("line"))

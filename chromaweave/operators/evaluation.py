@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chromaweave.functions.statistics import correlation_of_moments
+from chromaweave.functions.statistics import correlation_of_moments, pearson_significance, spearman_significance
 from chromaweave.operators.matrix import PIXEL, columns_of
 
 DIRECTIONS = ("horizontal", "vertical")
@@ -27,6 +27,18 @@ def invalid_regions(regions: DataFrame, chroms: DataFrame) -> DataFrame:
     return regions.join(chroms.select("chrom", "size"), "chrom", "left").where("size IS NULL OR end > size OR start >= end").drop("size")
 
 
+def chroms_without_weights(chroms: DataFrame, weights: DataFrame) -> DataFrame:
+    """Chromosomes that no weight is given for."""
+    return chroms.select("chrom").join(weights.select("chrom").distinct(), "chrom", "left_anti")
+
+
+def cut_to_regions(pixels: DataFrame, regions: DataFrame, bin_size: int) -> DataFrame:
+    """Pixels inside regions (region, chrom, start, end), under the region's name, bins counted from its first."""
+    own = regions.select("region", "chrom", F.floor(F.col("start") / bin_size).alias("_first"), F.ceil(F.col("end") / bin_size).alias("_last"))
+    inside = pixels.join(own, "chrom").where((F.col("bin1") >= F.col("_first")) & (F.col("bin2") < F.col("_last")))
+    return inside.select(F.col("region").alias("chrom"), (F.col("bin1") - F.col("_first")).alias("bin1"), (F.col("bin2") - F.col("_first")).alias("bin2"), "count")
+
+
 def reciprocal_weights(weights: DataFrame, reciprocal: bool = True) -> DataFrame:
     """(chrom, diag, weight): missing, NaN and zero weights are 0; others are inverted if asked for."""
     w = F.col("weight").cast("double")
@@ -52,12 +64,14 @@ def _every_stripe(chroms: DataFrame, bin_size: int, nrows: int) -> DataFrame:
     return chroms.select("chrom", "size", F.least(ncols, F.lit(nrows)).alias("n"), F.explode(F.sequence(F.lit(0).cast("bigint"), ncols - 1)).alias("stripe"), F.array(*map(F.lit, DIRECTIONS)).alias("d")).select("chrom", "size", "n", "stripe", F.explode("d").alias("direction"))
 
 
-def compare(reference: DataFrame, target: DataFrame, chroms: DataFrame, bin_size: int, nrows: int, metric: str, weights: DataFrame | None = None, without_zeros: bool = False) -> DataFrame:
-    """(chrom, start, end, direction, score[, correct, incorrect]) of every stripe, each padded with zeros to the band's width.
+def compare(reference: DataFrame, target: DataFrame, chroms: DataFrame, bin_size: int, nrows: int, metric: str, weights: DataFrame | None = None, without_zeros: bool = False, significance: bool = False) -> DataFrame:
+    """(chrom, start, end, direction, score[, significance] or correct, incorrect) of every stripe, each padded with zeros
+    to the band's width.
 
     ``weights`` has (chrom, diag, weight); distances it lacks weigh 0. ``without_zeros`` gives pairs that are both 0
     no weight. Correlations of constant stripes are null, but Spearman's is 1 if a side is all 0. ``custom``
     counts, up to the nearer of both sides' outermost contacts, the pixels that agree (correct) and that do not.
+    ``significance`` adds two-sided p-values of correlations, null where there are weights.
     """
     key = ["chrom", "direction", "stripe"]
     found = stripes(reference, target, chroms, bin_size)
@@ -74,12 +88,14 @@ def compare(reference: DataFrame, target: DataFrame, chroms: DataFrame, bin_size
         found = _ranked(found, key, frame)
     x, y, w = F.col("x"), F.col("y"), F.col("w")
     if metric == "custom":
-        reach = found.groupBy(*key).agg(F.max(F.when(x != 0, F.col("k"))).alias("_x"), F.max(F.when(y != 0, F.col("k"))).alias("_y"))
-        ends = reach.select(*key, F.least(F.coalesce("_x", F.lit(0)), F.coalesce("_y", F.lit(0))).alias("_low"), F.greatest(F.coalesce("_x", F.lit(0)), F.coalesce("_y", F.lit(0))).alias("_high"))
-        wrong = found.join(ends, key).groupBy(*key).agg(F.count_if((F.col("k") >= F.col("_low")) & (F.col("k") < F.col("_high")) & (x != y)).alias("incorrect"), F.first(F.col("_high") - F.col("_low")).alias("_span"))
+        # a stripe has no more places than the band is wide, so those that differ can be listed
+        reach = found.groupBy(*key).agg(F.max(F.when(x != 0, F.col("k"))).alias("_x"), F.max(F.when(y != 0, F.col("k"))).alias("_y"), F.collect_list(F.when(x != y, F.col("k"))).alias("_differ"))
+        ends = reach.select(*key, "_differ", F.least(F.coalesce("_x", F.lit(0)), F.coalesce("_y", F.lit(0))).alias("_low"), F.greatest(F.coalesce("_x", F.lit(0)), F.coalesce("_y", F.lit(0))).alias("_high"))
+        wrong = ends.select(*key, F.expr("size(filter(_differ, k -> k >= _low AND k < _high))").cast("bigint").alias("incorrect"), (F.col("_high") - F.col("_low")).alias("_span"))
         out = frame.join(wrong, key, "left").na.fill(0, ["incorrect", "_span"])
         return _placed(out, bin_size, [(F.col("_span") - F.col("incorrect")).alias("correct"), F.col("incorrect")])
-    moments = found.groupBy(*key).agg(*[F.sum(e).alias(n) for n, e in {"sw": w, "sx": w * x, "sy": w * y, "sxx": w * x * x, "syy": w * y * y, "sxy": w * x * y, "sd": w * (x - y) * (x - y)}.items()], F.max(F.abs(x)).alias("mx"), F.max(F.abs(y)).alias("my"))
+    ranks = [F.count("*").alias("_m"), F.first("zx").alias("_zx"), F.first("zy").alias("_zy"), F.max("any_x").alias("_ax"), F.max("any_y").alias("_ay")] if metric == "spearman" else []
+    moments = found.groupBy(*key).agg(*ranks, *[F.sum(e).alias(n) for n, e in {"sw": w, "sx": w * x, "sy": w * y, "sxx": w * x * x, "syy": w * y * y, "sxy": w * x * y, "sd": w * (x - y) * (x - y)}.items()], F.max(F.abs(x)).alias("mx"), F.max(F.abs(y)).alias("my"))
     out = frame.join(moments, key, "left").na.fill(0.0, ["sw", "sx", "sy", "sxx", "syy", "sxy", "sd", "mx", "my"])
     n = F.col("sw") if without_zeros else F.col("_w")
     if metric == "eucl_dist":
@@ -92,13 +108,16 @@ def compare(reference: DataFrame, target: DataFrame, chroms: DataFrame, bin_size
         # ranks of the pairs of zeros, which no row stands for
         zeros = (F.col("n") - F.coalesce("_m", F.lit(0))) if not without_zeros else F.lit(0)
         rx, ry = F.coalesce("_zx", (F.col("n") - 1) / 2), F.coalesce("_zy", (F.col("n") - 1) / 2)
-        extra = found.groupBy(*key).agg(F.count("*").alias("_m"), F.first("zx").alias("_zx"), F.first("zy").alias("_zy"), F.max("any_x").alias("_ax"), F.max("any_y").alias("_ay"))
-        out = out.join(extra, key, "left")
         r = correlation_of_moments(F.col("sw") + zeros, F.col("sx") + zeros * rx, F.col("sy") + zeros * ry, F.col("sxx") + zeros * rx * rx, F.col("syy") + zeros * ry * ry, F.col("sxy") + zeros * rx * ry)
         score = F.when(F.coalesce("_ax", F.lit(False)) & F.coalesce("_ay", F.lit(False)), r).otherwise(F.lit(1.0))
     else:
         raise ValueError(f"{metric!r} is none of {METRICS}")
-    return _placed(out, bin_size, [score.alias("score")])
+    values = [score.alias("score")]
+    if significance and metric in ("pearson", "spearman"):
+        p_value = pearson_significance if metric == "pearson" else spearman_significance
+        out = out.withColumn("_score", score)
+        values = [F.col("_score").alias("score"), (p_value(F.col("_score"), F.col("n").cast("bigint")) if weights is None else F.lit(None).cast("double")).alias("significance")]
+    return _placed(out, bin_size, values)
 
 
 def _placed(out: DataFrame, bin_size: int, values: list[Column]) -> DataFrame:

@@ -137,15 +137,22 @@ def column_stripes(pixels: DataFrame, chroms: DataFrame, bin_size: int) -> DataF
 
 
 def block_sums(pixels: DataFrame, chroms: DataFrame, centres: DataFrame, bin_size: int, nrows: int, width: int) -> DataFrame:
-    """Sum over the ``width`` x ``width`` block around each centre (chrom, bin1, bin2); places beyond the matrix repeat its edge."""
+    """Sum over the ``width`` x ``width`` block around each centre (chrom, bin1, bin2); places beyond the matrix repeat its edge.
+
+    One axis at a time: pixels are added up along the rows of a block, then each centre takes the ``width`` sums of its
+    columns, so a pixel and a centre make ``width`` rows each and not ``width`` squared.
+    """
     reach = width // 2
     last = columns_of(F.col("size"), bin_size) - 1
-    around = centres.join(chroms, "chrom").withColumns({"_last": last})
-    for axis in ("bin1", "bin2"):
-        around = around.withColumn(f"_{axis}", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn(f"_{axis}", F.greatest(F.lit(0), F.least(F.col(axis) + F.col(f"_{axis}"), F.col("_last"))))
-    wanted = around.groupBy(*PIXEL, F.least("_bin1", "_bin2").alias("_a"), F.greatest("_bin1", "_bin2").alias("_b")).agg(F.count("*").alias("_times"))
-    held = pixels.where(F.col("bin2") - F.col("bin1") < nrows).select("chrom", F.col("bin1").alias("_a"), F.col("bin2").alias("_b"), "count")
-    return wanted.join(held, ["chrom", "_a", "_b"], "left").groupBy(*PIXEL).agg(F.sum(F.col("_times") * F.coalesce("count", F.lit(0))).alias("sum"))
+    ends = chroms.select("chrom", last.alias("_last"))
+    held = symmetric(pixels.where(F.col("bin2") - F.col("bin1") < nrows)).join(ends, "chrom")
+    row, at = F.col("_row"), F.col("bin1")
+    spread = held.withColumn("_row", F.explode(F.sequence(F.greatest(F.lit(0), at - reach), F.least(F.col("_last"), at + reach))))
+    times = F.when((at == 0) & (at == F.col("_last")), 2 * reach + 1).when(at == 0, reach - row + 1).when(at == F.col("_last"), reach - F.col("_last") + row + 1).otherwise(1)
+    rows = spread.groupBy("chrom", row.alias("bin1"), F.col("bin2").alias("_column")).agg(F.sum(times * F.col("count")).alias("_sum"))
+    around = centres.join(ends, "chrom").withColumn("_column", F.explode(F.sequence(F.col("bin2") - reach, F.col("bin2") + reach)))
+    wanted = around.withColumn("_column", F.greatest(F.lit(0), F.least(F.col("_column"), F.col("_last")))).groupBy(*PIXEL, "_column").agg(F.count("*").alias("_times"))
+    return wanted.join(rows, ["chrom", "bin1", "_column"], "left").groupBy(*PIXEL).agg(F.sum(F.col("_times") * F.coalesce("_sum", F.lit(0))).alias("sum"))
 
 
 def gaussian(sigma: float, truncate: float = 3.5) -> list[float]:
@@ -155,41 +162,47 @@ def gaussian(sigma: float, truncate: float = 3.5) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
-def _smoothed(cells: DataFrame, axis: str, kernel: list[float]) -> DataFrame:
-    """Cells (chrom, _n, r, c, v) scattered along one axis; what lies beyond an edge repeats the edge."""
-    radius = len(kernel) // 2
+def _smoothed(cells: DataFrame, axis: str, kernels: list[list[float]]) -> DataFrame:
+    """Cells (chrom, _n, r, c, v0, ...) scattered along one axis, each value with its own kernel (all of one length); what
+    lies beyond an edge repeats the edge."""
+    radius = len(kernels[0]) // 2
     other = "c" if axis == "r" else "r"
     at, last = F.col(axis), F.col("_n") - 1
-    weights = F.array(*[F.lit(k) for k in kernel])
-    up_to = F.array(*[F.lit(sum(kernel[: k + 1])) for k in range(len(kernel))])
     out = cells.withColumn("_to", F.explode(F.sequence(F.greatest(F.lit(0), at - radius), F.least(last, at + radius))))
     place = (at - F.col("_to") + radius + 1).cast("int")
-    whole = F.lit(sum(kernel))
-    own = F.element_at(weights, place)
-    low = F.element_at(up_to, place)
-    high = whole - low + own
-    weight = F.when((at == 0) & (at == last), whole).when(at == 0, low).when(at == last, high).otherwise(own)
-    return out.groupBy("chrom", "_n", F.col("_to").alias(axis), other).agg(F.sum(F.col("v") * weight).alias("v"))
+    sums = []
+    for k, kernel in enumerate(kernels):
+        whole = F.lit(sum(kernel))
+        own = F.element_at(F.array(*[F.lit(x) for x in kernel]), place)
+        low = F.element_at(F.array(*[F.lit(sum(kernel[: j + 1])) for j in range(len(kernel))]), place)
+        weight = F.when((at == 0) & (at == last), whole).when(at == 0, low).when(at == last, whole - low + own).otherwise(own)
+        sums.append(F.sum(F.col(f"v{k}") * weight).alias(f"v{k}"))
+    return out.groupBy("chrom", "_n", F.col("_to").alias(axis), other).agg(*sums)
+
+
+def _blurs(pixels: DataFrame, chroms: DataFrame, bin_size: int, nrows: int, kernels: list[list[float]]) -> DataFrame:
+    """Pixels of the band with one blurred value for each kernel. Two passes of one dimension each, shared by all
+    kernels, make 2(2r + 1) rows a pixel, not (2r + 1)^2."""
+    radius = max(len(k) for k in kernels) // 2
+    padded = [[0.0] * (radius - len(k) // 2) + k + [0.0] * (radius - len(k) // 2) for k in kernels]
+    values = [F.col("count").cast("double").alias(f"v{k}") for k in range(len(kernels))]
+    shaped = symmetric(pixels).join(chroms.select("chrom", columns_of(F.col("size"), bin_size).alias("_n")), "chrom")
+    cells = shaped.select("chrom", "_n", F.col("bin1").alias("r"), F.col("bin2").alias("c"), *values)
+    rows = _smoothed(cells, "r", padded).where((F.col("c") - F.col("r") > -radius - 1) & (F.col("c") - F.col("r") < nrows + radius))
+    both = _smoothed(rows, "c", padded).where((F.col("c") >= F.col("r")) & (F.col("c") - F.col("r") < nrows))
+    return both.select("chrom", F.col("r").alias("bin1"), F.col("c").alias("bin2"), *[f"v{k}" for k in range(len(kernels))])
 
 
 def blurred(pixels: DataFrame, chroms: DataFrame, bin_size: int, nrows: int, sigma: float, truncate: float = 3.5) -> DataFrame:
     """Gaussian blur of the square matrix, pixels of the band. Counts outside the band are taken as 0, and the edge
-    is repeated beyond the matrix. Two passes of one dimension each make 2(2r + 1) rows a pixel, not (2r + 1)^2."""
-    kernel = gaussian(sigma, truncate)
-    radius = len(kernel) // 2
-    shaped = symmetric(pixels).join(chroms.select("chrom", columns_of(F.col("size"), bin_size).alias("_n")), "chrom")
-    cells = shaped.select("chrom", "_n", F.col("bin1").alias("r"), F.col("bin2").alias("c"), F.col("count").cast("double").alias("v"))
-    rows = _smoothed(cells, "r", kernel).where((F.col("c") - F.col("r") > -radius - 1) & (F.col("c") - F.col("r") < nrows + radius))
-    both = _smoothed(rows, "c", kernel).where((F.col("c") >= F.col("r")) & (F.col("c") - F.col("r") < nrows))
-    return both.select("chrom", F.col("r").alias("bin1"), F.col("c").alias("bin2"), F.col("v").alias("count"))
+    is repeated beyond the matrix."""
+    return _blurs(pixels, chroms, bin_size, nrows, [gaussian(sigma, truncate)]).withColumnRenamed("v0", "count")
 
 
 def difference_of_gaussians(pixels: DataFrame, chroms: DataFrame, bin_size: int, nrows: int, sigma1: float, sigma2: float | None = None, truncate: float = 3.5, lower: float = -math.inf, upper: float = math.inf) -> DataFrame:
     """Blur with ``sigma1`` less blur with ``sigma2`` (1.6 times as wide by default), each pixel brought into [lower, upper]."""
-    one = blurred(pixels, chroms, bin_size, nrows, sigma1, truncate)
-    two = blurred(pixels, chroms, bin_size, nrows, sigma2 or 1.6 * sigma1, truncate).withColumn("count", -F.col("count"))
-    both = one.unionByName(two).groupBy(*PIXEL).agg(F.sum("count").alias("count"))
-    return both.withColumn("count", F.greatest(F.lit(lower), F.least(F.lit(upper), F.col("count"))))
+    both = _blurs(pixels, chroms, bin_size, nrows, [gaussian(sigma1, truncate), gaussian(sigma2 or 1.6 * sigma1, truncate)])
+    return both.select(*PIXEL, F.greatest(F.lit(lower), F.least(F.lit(upper), F.col("v0") - F.col("v1"))).alias("count"))
 
 
 def occupancy_track(lefs: DataFrame, bin_size: int) -> DataFrame:

@@ -143,14 +143,15 @@ def b05_annotated_clamped(spark, sf_dir):
     return _round(bars.annotate(view(spark, sf_dir, "barriers"), view(spark, sf_dir, "track"), 20, 0.6, 0.9, clamp=True), "score")
 
 
-@_query("""SELECT chrom, start, "end", count(*) AS n FROM barriers GROUP BY ALL HAVING count(*) > 1""", "barriers")
+@_query("""SELECT chrom, s AS start, s + 20 AS "end", count(*) AS n FROM (SELECT chrom, start // 1000000 * 1000000 AS s FROM barriers) GROUP BY ALL HAVING count(*) > 1""", "barriers")
 def b06_duplicate_records(spark, sf_dir):
-    return bars.duplicates(view(spark, sf_dir, "barriers"))
+    crowded = F.floor(F.col("start") / 1_000_000) * 1_000_000
+    return bars.duplicates(view(spark, sf_dir, "barriers").withColumns({"start": crowded, "end": crowded + 20}))
 
 
-@_query("""SELECT concat_ws(chr(9), chrom, start, "end", name, 0, strand) AS line FROM barriers""", "barriers")
+@_query("""SELECT concat_ws(chr(9), chrom, start, "end", name, round(score, 3), strand) AS line FROM barriers""", "barriers")
 def b07_bed_lines(spark, sf_dir):
-    return bars.format_bed(view(spark, sf_dir, "barriers").withColumn("score", F.lit(0)))
+    return bars.format_bed(view(spark, sf_dir, "barriers").withColumn("score", F.round("score", 3)))
 
 
 @_query("""SELECT i.interval_id, i.chrom, i.start, i."end" FROM intervals i LEFT JOIN (SELECT * FROM chroms WHERE chrom_id < 20) c USING (chrom) WHERE c.size IS NULL OR "end" > c.size - 300000""", "intervals")
@@ -266,6 +267,13 @@ def c08_descriptive(spark, sf_dir):
     return _round(_round(out, "var", "cov", "r"), "wmean", "ssd", places=4)
 
 
+@_query("SELECT l_returnflag AS grp, l_linestatus AS status, round(sum(l_quantity * l_discount * l_tax) / sum(l_quantity) - sum(l_quantity * l_discount) / sum(l_quantity) * sum(l_quantity * l_tax) / sum(l_quantity), 8)::DOUBLE AS cov FROM lineitem GROUP BY ALL", "chroms")
+def c13_weighted_covariance(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    cov = statistics.weighted_covariance(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity"))
+    return _round(t.groupBy(F.col("l_returnflag").alias("grp"), F.col("l_linestatus").alias("status")).agg(cov.alias("cov")), "cov", places=8)
+
+
 @_query("SELECT user_id, event_id, round(rank() OVER (PARTITION BY user_id ORDER BY value) - 1 + (count(*) OVER (PARTITION BY user_id, value) - 1) / 2.0, 4)::DOUBLE AS place FROM events WHERE value IS NOT NULL", "chroms")
 def c09_ranks(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").where("value IS NOT NULL")
@@ -406,7 +414,7 @@ def f06_collision_words(spark, sf_dir):
 @_query("""WITH e AS (SELECT user_id % 10 AS cell, event_id AS epoch, value AS cv, (event_id * 7919) % 1000 AS loop FROM events WHERE value IS NOT NULL),
 a AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY epoch DESC) AS age FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY epoch) AS place FROM a WHERE age <= 100),
 m AS (SELECT cell, epoch, place, avg(cv) OVER w AS cv, avg(loop) OVER w AS loop FROM r WINDOW w AS (PARTITION BY cell ORDER BY epoch ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
-s AS (SELECT cell, cv > lag(cv) OVER (PARTITION BY cell ORDER BY epoch) AS c, loop > lag(loop) OVER (PARTITION BY cell ORDER BY epoch) AS l FROM m WHERE place <= 95)
+s AS (SELECT cell, cv < lag(cv) OVER (PARTITION BY cell ORDER BY epoch) AS c, loop < lag(loop) OVER (PARTITION BY cell ORDER BY epoch) AS l FROM m WHERE place <= 95)
 SELECT cell, coalesce(count(*) FILTER (c) / nullif(95 - count(*) FILTER (c), 0) BETWEEN 0.9 AND 1.1 AND count(*) FILTER (l) / nullif(95 - count(*) FILTER (l), 0) BETWEEN 0.9 AND 1.1, false) AS stable FROM s GROUP BY cell""", "chroms")
 def f07_burnin(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").where("value IS NOT NULL").select((F.col("user_id") % 10).alias("cell"), F.col("event_id").alias("epoch"), F.col("value").alias("cv"), (F.col("event_id") * 7919 % 1000).alias("loop"))
@@ -477,7 +485,7 @@ def i08_barrier_states(spark, sf_dir):
     return summaries.occupied_states(view(spark, sf_dir, "barriers").withColumn("active", F.col("score") > 0.4), ["chrom"])
 
 
-_SIMULATION = SimulationConfig(cells=2, diagonal_width=200_000, contact_density=0.5, sampling_interval=10_000, seed=1, max_epochs=400)
+_SIMULATION = SimulationConfig(cells=2, diagonal_width=200_000, contact_density=0.5, sampling_interval=10_000, max_burnin=1_000, seed=1)
 
 
 @_query(None)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import lzma
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chromaweave.functions.formulas import strip_quotes
@@ -96,8 +96,6 @@ def parse_bed(lines: DataFrame, fields: int, unique: bool = False) -> DataFrame:
         out = out.withColumn("start", _checked(bad, what, line, F.col("start")))
     out = out.select(*names)
     if unique:
-        from pyspark.sql import Window
-
         again = F.count(F.lit(1)).over(Window.partitionBy("chrom", "start", "end")) > 1
         out = out.withColumn("start", F.when(again, F.raise_error(F.concat(F.lit("two records at "), "chrom", F.lit(":"), F.col("start").cast("string")))).otherwise(F.col("start")))
     return out
@@ -138,15 +136,28 @@ def track_statistics(track: DataFrame, chroms: DataFrame, chrom: str, start: int
 
 def read_dense_text(spark: SparkSession, path: str, chrom: str) -> DataFrame:
     """Pixels of the upper triangle of a square tab-separated matrix; the file's lines are its rows."""
-    lines = text_lines(spark, path).rdd.map(lambda r: r["line"]).zipWithIndex().toDF("line string, bin1 bigint")
-    cells = lines.select("bin1", F.posexplode(F.split("line", "\t")).alias("bin2", "value"))
+    place = F.monotonically_increasing_id()
+    lines = text_lines(spark, path).select("line", F.shiftright(place, 33).alias("_part"), place.bitwiseAND((1 << 33) - 1).alias("_row"))
+    sizes = lines.groupBy("_part").agg((F.max("_row") + 1).alias("_n"))  # one row for each partition
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    cells = lines.join(F.broadcast(before), "_part").withColumn("bin1", F.col("_before") + F.col("_row")).select("bin1", F.posexplode(F.split("line", "\t")).alias("bin2", "value"))
     return cells.where("bin2 >= bin1").select(F.lit(chrom).alias("chrom"), "bin1", F.col("bin2").cast("bigint").alias("bin2"), F.col("value").cast("double").alias("count")).where("count <> 0")
 
 
+#: Rows of a matrix that one task writes, at least.
+_BINS_A_FILE = 8192
+
+
+def write_lines(lines: DataFrame, path: str, compression: str | None = None) -> None:
+    """(line) as text files: plain, or by any codec that Spark writes (gzip, bzip2, lz4, zstd, ...)."""
+    (lines.write.option("compression", compression) if compression else lines.write).text(path)
+
+
 def write_matrix(pixels: DataFrame, chroms: DataFrame, path: str, bin_size: int, nrows: int, metadata: dict | None = None) -> None:
-    """Pixels that are not 0, by chrom and sorted in it with their distance from the diagonal, and a description beside."""
+    """Pixels that are not 0, by chrom and sorted in files of some rows of bins, with their distance from the diagonal, and
+    a description beside."""
     kept = pixels.where("count <> 0").withColumn("diag", F.col("bin2") - F.col("bin1"))
-    kept.repartition("chrom").sortWithinPartitions("chrom", "bin1", "bin2").write.partitionBy("chrom").parquet(f"{path}/pixels")
+    kept.repartition("chrom", F.floor(F.col("bin1") / _BINS_A_FILE)).sortWithinPartitions("chrom", "bin1", "bin2").write.partitionBy("chrom").parquet(f"{path}/pixels")
     about = json.dumps({"bin_size": bin_size, "nrows": nrows, **(metadata or {})})
     chroms.select("chrom", "size").withColumn("about", F.lit(about)).coalesce(1).write.parquet(f"{path}/chroms")
 

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from chromaweave.__main__ import main
 from chromaweave.operators.simulation import SimulationConfig
+from chromaweave.operators.barriers import format_bed
+from chromaweave.plans.workflows import EPOCH_LOG
 from chromaweave.sources import genomic
 from chromaweave.sources.config import config_from_toml, config_to_toml
 from chromaweave.streaming.contacts import streaming_pixels, write_pixels
@@ -67,6 +69,27 @@ def test_dense_text(spark, tmp_path):
     assert {(r.bin1, r.bin2, r["count"]) for r in got.collect()} == {(0, 0, 1.0), (0, 1, 2.0), (1, 1, 3.0), (1, 2, 4.0), (2, 2, 5.0)}
 
 
+def test_dense_text_in_parts(spark, tmp_path):
+    rows = [[(a * 7 + b * 7) % 5 for b in range(40)] for a in range(40)]
+    (tmp_path / "d.tsv").write_text("".join("\t".join(map(str, r)) + "\n" for r in rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        got = genomic.read_dense_text(spark, str(tmp_path / "d.tsv"), "c")
+        found = {(r.bin1, r.bin2): r["count"] for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == {(a, b): rows[a][b] for a in range(40) for b in range(a, 40) if rows[a][b]}
+
+
+def test_bed_lines_of_all_dialects(spark, tmp_path):
+    twelve = "c\t1\t9\tn\t5.0\t+\t2\t8\t0,0,255\t2\t3,4\t0,4"
+    for fields in range(3, 13):
+        line = "\t".join(twelve.split("\t")[:fields])
+        assert format_bed(genomic.parse_bed(lines(spark, line), fields), fields).first().line == line
+    genomic.write_lines(lines(spark, "a"), str(tmp_path / "z"), "gzip")
+    assert [r.line for r in genomic.text_lines(spark, str(tmp_path / "z")).collect()] == ["a"]
+
+
 def test_track_windows(spark):
     track = spark.createDataFrame([("chr1", k * 100_000, (k + 1) * 100_000, float(k)) for k in range(10)], "chrom string, start long, end long, value double")
     chroms = spark.createDataFrame([("chr1", 1_000_000)], "chrom string, size long")
@@ -111,7 +134,20 @@ def test_command_line(spark, tmp_path):
     main(["transform", "--input", p("s1/matrix"), "--output", p("g"), "--method", "gaussian_blur", "--sigma", "1"], spark)
     main(["evaluate", "--reference", p("s1/matrix"), "--target", p("s2/matrix"), "--output", p("e"), "--metric", "pearson"], spark)
     scores = spark.read.csv(p("e"), sep="\t", header=True)
-    assert scores.where("score < 0.999").count() == 0 and scores.count() == 160
+    assert scores.where("correlation < 0.999").count() == 0 and scores.count() == 160 and scores.where("significance > 0.05").count() == 0
+    assert spark.read.csv(p("s1/epochs"), sep="\t", header=True).columns == list(EPOCH_LOG) and spark.read.csv(p("s1/intervals"), sep="\t", header=True).count() == 2
+    (tmp_path / "roi.bed").write_text("a\t50000\t150000\n")
+    main(["evaluate", "--reference", p("s1/matrix"), "--target", p("s2/matrix"), "--output", p("r"), "--metric", "custom", "--regions-of-interest", p("roi.bed"), "--normalize"], spark)
+    own = spark.read.csv(p("r"), sep="\t", header=True, inferSchema=True)
+    assert own.count() == 40 and own.agg(F.min("chrom_start"), F.max("chrom_end"), F.sum("incorrectly_classified_pixels")).first() == (50000, 150000, 0)
+    (tmp_path / "roi.bed").write_text("a\t50000\t900000\n")
+    with pytest.raises(ValueError):
+        main(["evaluate", "--reference", p("s1/matrix"), "--target", p("s2/matrix"), "--output", p("q"), "--regions-of-interest", p("roi.bed")], spark)
+    (tmp_path / "w.tsv").write_text("chrom\tdiag\tw\na\t0\t1\n")
+    with pytest.raises(ValueError, match="no weights"):
+        main(["evaluate", "--reference", p("s1/matrix"), "--target", p("s2/matrix"), "--output", p("q"), "--weights", p("w.tsv"), "--weight-column-name", "w"], spark)
+    main(["transform", "--input", p("s1/matrix"), "--output", p("t2"), "--method", "normalize", "--normalization-range", "0", "9", "--whole-numbers"], spark)
+    assert genomic.read_matrix(spark, p("t2"))[0].agg(F.max("count")).first()[0] == 9
     main(["annotate-barriers", "--barriers", p("bars.bed"), "--track", p("track"), "--output", p("n")], spark)
     got = sorted(r.value.split("\t") for r in spark.read.text(p("n")).collect())
     assert [x[3] for x in got] == ["n", "m"] or [x[3] for x in got] == ["m", "n"]
