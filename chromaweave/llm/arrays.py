@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,30 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 20) -> Ite
         at = until
 
 
+def freeing(kernel: Callable) -> Callable:
+    """``kernel`` over batches, which gives unused memory back when it is done: Python workers outlive their tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
+def counted(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of all arrays, ascending, and how often each is there. Empties the list."""
+    every = np.concatenate(values)
+    values.clear()
+    every.sort()
+    head = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    return every[head], np.diff(np.append(head, len(every)))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit moves every output bit."""
     h = h ^ (h >> _U64(30))

@@ -3,8 +3,12 @@
 A text is normalised as its model file says and cut where no piece can reach across: before each run of space
 marks. Each such unit is a lattice of pieces. A forward Viterbi pass gives the best score up to every place; these
 scores are exact heuristics for an A* search from the end back to the start, which therefore yields segmentations
-best first. A document's N best combine those of its units: at most N - 1 of these can differ from their best, and
-what A* finds for them is taken; the best path of the others is read off the forward pass.
+best first, and needs to leave no place more than N times. A document's N best combine those of its units: at most
+N - 1 of these can differ from their best, and what A* finds for them is taken; for the others the best path alone
+is needed, which is found for many units at once.
+
+Of equal scores the segmentation with the longer first piece comes first, then the one with the longer second, and
+so on. Piece scores are 32-bit floats, so their sums in 64 bits are exact and equal ones compare as equal.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from operator import itemgetter
 
 import numpy as np
@@ -22,13 +27,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chromaweave.llm.arrays import freeing
 from chromaweave.llm.arrays import slices as text_slices
 
 SPACE = "▁"
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Longer units are searched one by one, not in arrays.
+#: Longer units are searched one by one, not in arrays; what is found is the same.
 _LONGEST = 48
 
 
@@ -92,25 +98,38 @@ class PieceLattice:
         return ahead, ending
 
     def best(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best (score, ids) of a unit, best first; of equal scores, those with longer last pieces first."""
+        """The ``n`` best (score, ids) of a unit, best first.
+
+        The k-th state to leave a place is the k-th best way from there to the end: among equal totals places near
+        the end go first, then states with the longer first piece, then with the better rest. So no place is left
+        more than ``n`` times, and the work is in proportion to the unit's length.
+        """
         ahead, ending = self._forward(unit)
+        left = [0] * len(ahead)
         found: list[tuple[float, tuple[int, ...]]] = []
-        heap: list[tuple[float, tuple[int, ...], tuple[int, ...], float]] = [(-ahead[-1], (len(unit),), (), 0.0)]
+        heap: list[tuple] = [(-ahead[-1], -len(unit), 0, 0, 0.0, None)]
         while heap and len(found) < n:
-            _, starts, tail, behind = heapq.heappop(heap)
-            if starts[-1] == 0:
-                found.append((behind, tail))
+            _, place, _, _, behind, way = heapq.heappop(heap)
+            rank = left[-place]
+            if rank == n:
                 continue
-            for start, (score, piece) in ending[starts[-1]]:
+            left[-place] += 1
+            if place == 0:
+                ids: list[int] = []
+                while way:
+                    ids += way[0]
+                    way = way[1]
+                found.append((behind, tuple(ids)))
+                continue
+            for start, (score, piece) in ending[-place]:
+                if left[start] == n:
+                    continue
                 total = behind + score
-                heapq.heappush(heap, (-(ahead[start] + total), (*starts, start), piece + tail, total))
+                heapq.heappush(heap, (-(ahead[start] + total), -start, place, rank, total, (piece, way)))
         return found
 
     def first(self, units: list[str]) -> list[tuple[bytes, float, str, float]]:
-        """Of each unit: the ids of its best segmentation, their score, the text they show, and what the second best loses.
-
-        Of equal scores the one with the longer last piece counts as best.
-        """
+        """Of each unit: the ids of its best segmentation, their score, the text they show, and what the second best loses."""
         out: list = [None] * len(units)
         by_size: dict[int, list[int]] = {}
         for k, unit in enumerate(units):
@@ -131,8 +150,6 @@ class PieceLattice:
         chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(np.uint64) + np.uint64(1)
         ahead = np.full((n, size + 1), -np.inf)
         ahead[:, 0] = 0
-        back = np.zeros((n, size + 1), np.int32)
-        piece = np.zeros((n, size + 1), np.int32)
         edges = []
         odd = np.zeros(n, bool)
         for at in range(size):
@@ -148,33 +165,33 @@ class PieceLattice:
                     single = np.zeros(n, bool)
                     single[rows[whole]] = True
                     odd |= ~single
-                own, score, ids = rows[whole], self.hash_scores[place[whole]], ids[whole]
-                total = ahead[own, at] + score
-                better = total > ahead[own, end]
-                won = own[better]
-                ahead[won, end], back[won, end], piece[won, end] = total[better], at, ids[better]
-                edges.append((own, at, end, score))
+                own, score = rows[whole], self.hash_scores[place[whole]]
+                ahead[own, end] = np.maximum(ahead[own, end], ahead[own, at] + score)
+                edges.append((own, at, end, score, ids[whole]))
                 if not len(rows):
                     break
         fine = np.flatnonzero(~odd)
-        next_end = np.zeros((n, size), np.int32)
-        chosen = np.full((n, size), -1, np.int32)
-        at = np.where(odd, 0, size)
-        while (live := np.flatnonzero(at)).size:
-            before = back[live, at[live]]
-            next_end[live, before] = at[live]
-            chosen[live, before] = piece[live, at[live]]
-            at[live] = before
         behind = np.full((n, size + 1), -np.inf)
         behind[:, size] = 0
-        for own, start, end, score in reversed(edges):
-            behind[own, start] = np.maximum(behind[own, start], behind[own, end] + score)
+        next_end = np.zeros((n, size + 1), np.int32)
+        piece = np.zeros((n, size), np.int32)
+        for own, start, end, score, ids in reversed(edges):  # of one start, long pieces come first
+            total = behind[own, end] + score
+            better = total > behind[own, start]
+            own = own[better]
+            behind[own, start], next_end[own, start], piece[own, start] = total[better], end, ids[better]
+        chosen = np.full((n, size), -1, np.int32)
+        at = np.where(odd, size, 0)
+        while (live := np.flatnonzero(at < size)).size:
+            chosen[live, at[live]] = piece[live, at[live]]
+            at[live] = next_end[live, at[live]]
+        used = chosen >= 0
         second = np.full(n, -np.inf)
-        for own, start, end, score in edges:
-            off = next_end[own, start] != end
+        for own, start, end, score, _ in edges:
+            off = ~used[own, start] | (next_end[own, start] != end)
             own = own[off]
             second[own] = np.maximum(second[own], ahead[own, start] + score[off] + behind[own, end])
-        best = ahead[:, size]
+        best = behind[:, 0]
         counts = (chosen >= 0).sum(1)
         ids = chosen[fine][chosen[fine] >= 0]
         flat = ids.astype("<i4").tobytes()
@@ -190,13 +207,16 @@ class PieceLattice:
         """The text that a unit's ids show, with its space marks."""
         return self.decode((*self.table[SPACE][1], *ids)).replace(" ", SPACE)
 
+    @cached_property
+    def _byte_of(self) -> dict[int, int]:
+        return {p: b for b, p in enumerate(self.byte_ids)}
+
     def decode(self, ids) -> str:
         """The text of ids, as the model's own library gives it (without its first space)."""
-        byte_of = {p: b for b, p in enumerate(self.byte_ids)}
         out = bytearray()
         for i in ids:
-            if i in byte_of:
-                out.append(byte_of[i])
+            if i in self._byte_of:
+                out.append(self._byte_of[i])
             else:
                 out += self.texts[i].encode()
         text = out.decode("utf-8", "replace").replace(SPACE, " ")
@@ -216,10 +236,44 @@ def combine(losses_of_units: list[list[float]], n: int) -> list[float]:
     return [loss for loss, _ in choices(losses_of_units, n)]
 
 
+class _Remembered:
+    """What was found for units, up to ``most`` characters of them: when half of that is new, what was not asked for
+    since the half before goes."""
+
+    def __init__(self, most: int):
+        self.half, self.size = most // 2, 0
+        self.young: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
+
+    def absent(self, units: set[str]) -> list[str]:
+        """Those of ``units`` that are not known; the others are as if found now."""
+        out = []
+        for unit in units.difference(self.young):
+            got = self.old.get(unit)
+            if got is None:
+                out.append(unit)
+            else:
+                self._keep(unit, got)
+        return out
+
+    def put(self, units: list[str], found: list[tuple]) -> None:
+        for unit, got in zip(units, found):
+            self._keep(unit, got)
+
+    def _keep(self, unit: str, got: tuple) -> None:
+        self.young[unit] = got
+        self.size += len(unit) + 1
+
+    def turn(self) -> None:
+        """To be called when a batch is done."""
+        if self.size > self.half:
+            self.old, self.young, self.size = self.young, {}, 0
+
+
 _RESULT = "doc_id bigint, n_pieces bigint, score double, nbest_scores array<double>, nbest_sha256 array<string>, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
 
-def _encoded(model: bytes, n: int, memory: int, with_ids: bool):
+def _encoded(model: bytes, n: int, memory: int, with_ids: bool, with_text: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # what is remembered has no cycles; scanning it over and over takes most of the time
         try:
@@ -234,23 +288,23 @@ def _encoded(model: bytes, n: int, memory: int, with_ids: bool):
         lattice = PieceLattice.of(processor)
         alone = "".join(c for c in "\n\t\r" if c not in lattice.table)  # no piece reaches across what is in none
         cut = regex.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        known: dict[str, tuple[bytes, float, str, float]] = {}
+        known, searched = _Remembered(memory), _Remembered(memory // 8)
         first, second, third, fourth = (itemgetter(k) for k in range(4))
         for batch in (part for b in batches for part in text_slices(b, 1)):
             rows: list[list] = [[] for _ in range(9)]
             texts = [text or "" for text in batch.column(1).to_pylist()]
             cuts = [cut(processor.normalize(text)) for text in texts]
-            new = list(set().union(*cuts).difference(known))
-            if len(known) + len(new) > memory:
-                known.clear()
-                new = list(set().union(*cuts))
-            known.update(zip(new, lattice.first(new)))
+            new = known.absent(set().union(*cuts))
+            known.put(new, lattice.first(new))
+            found = known.young
             for doc_id, text, units in zip(batch.column(0).to_pylist(), texts, cuts):
-                chosen = [known[u] for u in units]
+                chosen = [found[u] for u in units]
                 # only the n - 1 units whose second best loses least can be in one of the n best
                 losses = list(map(fourth, chosen))
                 closest = sorted(heapq.nsmallest(n - 1, range(len(losses)), key=losses.__getitem__)) if n > 1 else []
-                ways = [lattice.best(units[k], n) for k in closest]
+                new = searched.absent({units[k] for k in closest})
+                searched.put(new, [lattice.best(u, n) for u in new])
+                ways = [searched.young[units[k]] for k in closest]
                 parts = list(map(first, chosen))
                 score = float(sum(map(second, chosen)))
                 shown = list(map(third, chosen))
@@ -268,18 +322,23 @@ def _encoded(model: bytes, n: int, memory: int, with_ids: bool):
                 values = (doc_id, len(packs[0]) // 4, score, scores, digests, digests[0], hashlib.sha256(decoded.encode()).hexdigest(), decoded == text, [np.frombuffer(p, "<i4") for p in packs] if with_ids else None)
                 for column, value in zip(rows, values):
                     column.append(value)
+            known.turn()
+            searched.turn()
             arrays = [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.float64()), pa.array(rows[3], pa.list_(pa.float64())), pa.array(rows[4], pa.list_(pa.string())), pa.array(rows[5], pa.string()), pa.array(rows[6], pa.string()), pa.array(rows[7], pa.bool_())]
             names = ["doc_id", "n_pieces", "score", "nbest_scores", "nbest_sha256", "ids_sha256", "decoded_sha256", "round_trip"]
             if with_ids:
                 arrays += [pa.array([x[0] for x in rows[8]], pa.list_(pa.int32())), pa.array(rows[8], pa.list_(pa.list_(pa.int32())))]
                 names += ["ids", "nbest_ids"]
+            if with_text:
+                arrays.append(batch.column(1))
+                names.append("text")
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
 
 
-def encode_pieces(docs: DataFrame, model_path: str, n_best: int = 3, units_in_memory: int = 400_000, with_ids: bool = False) -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, n_best: int = 3, characters_in_memory: int = 4_000_000, with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_pieces and score of the best segmentation, scores of the ``n_best`` best and
     SHA-256 of the ids of each (32-bit little-endian), that of the best by itself, SHA-256 of the text decoded from
     the best ids, and whether that is the text.
@@ -287,13 +346,15 @@ def encode_pieces(docs: DataFrame, model_path: str, n_best: int = 3, units_in_me
     Characters without a piece become byte pieces at a fixed penalty. Null and empty texts have no pieces, score
     0, one segmentation and a round trip to the empty text. Texts that hold the space mark itself come back with
     spaces. Repeated rows are answered each; a null doc_id stays null; other columns are ignored. ``ids`` (the
-    best) and ``nbest_ids`` (each of the ``n_best``) are returned with ``with_ids`` only; ``units_in_memory``
-    bounds what a task remembers.
+    best) and ``nbest_ids`` (each of the ``n_best``) are returned with ``with_ids`` only, the text as it came with
+    ``with_text``; ``characters_in_memory`` bounds the units that a task remembers. Of equal scores the longer first
+    piece comes first within a unit; of equal documents the one that differs from the best in a later unit.
     """
     with open(model_path, "rb") as f:
         model = f.read()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
-    return texts.mapInArrow(_encoded(model, n_best, units_in_memory, with_ids), _RESULT + (", ids array<int>, nbest_ids array<array<int>>" if with_ids else ""))
+    more = (", ids array<int>, nbest_ids array<array<int>>" if with_ids else "") + (", text string" if with_text else "")
+    return texts.mapInArrow(freeing(_encoded(model, n_best, characters_in_memory, with_ids, with_text)), _RESULT + more)
 
 
 def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
