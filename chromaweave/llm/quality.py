@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chromaweave.llm import arrays
@@ -157,25 +157,20 @@ def fit_attention(owner: np.ndarray, features: np.ndarray, labels: np.ndarray, w
     return AttentionModel(w, centre, spread)
 
 
-def _features_of(size: int, most: int):
+def _features_of(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in arrays.slices(b, 2)):
             owner, made = _passages(batch.column(2), size)
-            rows = np.arange(batch.num_rows)
             edges = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            blobs = []
-            for k in rows:
-                own = made[edges[k] : edges[k + 1]]
-                if len(own) > most:
-                    own = own[np.linspace(0, len(own) - 1, most).astype(int)]
-                blobs.append(own.tobytes())
+            blobs = [made[s:e].tobytes() for s, e in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["doc_id", "label", "passages"])
 
     return run
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, passage_words: int = 64, sample: int = 4000, sample_passages: int = 64) -> AttentionModel | float:
-    """Fit on at most ``sample`` labelled documents (smallest hashes of doc_id), ``sample_passages`` evenly spaced passages of each.
+def fit_quality(docs: DataFrame, labels: DataFrame, passage_words: int = 64, sample: int = 4000, sample_passages: int = 400_000) -> AttentionModel | float:
+    """Fit on labelled documents, all their passages: those with the smallest hashes of doc_id, at most ``sample``, as far as
+    they have ``sample_passages`` passages together (72 bytes each on the driver).
 
     ``labels`` has (doc_id, label); a document with several labels takes the largest; null and other labels
     than 0 and 1 are left out. With labels of one kind only, the model is that label; with none, it is 0.5.
@@ -190,8 +185,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, passage_words: int = 64, sam
     )
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     chosen = texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "label", "text")
-    got = chosen.mapInArrow(_features_of(passage_words, sample_passages), "doc_id bigint, label int, passages binary").toPandas()
-    got = got.sort_values(["doc_id", "passages"], kind="stable").drop_duplicates("doc_id")
+    made = chosen.mapInArrow(arrays.freeing(_features_of(passage_words)), "doc_id bigint, label int, passages binary")
+    made = made.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("passages").alias("passages"))  # of repeated ids one
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # at most ``sample`` rows
+    got = made.withColumn("_sum", F.sum(F.length("passages")).over(order)).where(F.col("_sum") <= 4 * len(FEATURES) * sample_passages).orderBy("doc_id").toPandas()
     target = got["label"].to_numpy(np.float64)
     if len(set(target)) < 2:
         return float(target[0]) if len(target) else 0.5
