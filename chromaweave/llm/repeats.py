@@ -11,8 +11,9 @@ context: a short run of units. Then, for all contexts of the corpus:
    own method; the first kind is done.
 
 Where a very common passage begins or ends, its contexts differ from document to document, so an anchor may have any
-number of them. Halves that more than ``hot`` contexts share are therefore not brought together: their windows are
-hashed, each task keeps a window's first occurrence only, and those few meet by window.
+number of them. Halves that more than ``hot`` contexts share are therefore not brought together by anchor: each task
+keeps the first occurrence of each of their windows only (equal in hash and unit by unit), and these few are brought
+together by window and compared like the other contexts.
 
 Only hashes, flags and the contexts in question travel, besides the texts on their way to the flags.
 """
@@ -57,7 +58,30 @@ def _sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (width - have)], out[width - have :]) if width > have else out
 
 
+#: Units that the context search holds at once; longer rows are searched stretch by stretch, which cuts contexts in two
+#: at places that depend on the row alone.
+_STRETCH = 1 << 17
+
+
 def contexts(w: Windows, values: np.ndarray, first: np.ndarray, last: np.ndarray) -> dict[str, np.ndarray]:
+    """What ``_contexts`` returns, found in stretches of rows, and of a long row."""
+    found, row = [], 0
+    while row < len(first):
+        until = max(row + 1, int(np.searchsorted(last, first[row] + _STRETCH, "right")))
+        low, high = int(first[row]), int(last[until - 1])
+        for begin in range(low, max(low + 1, high - w.length + 1), _STRETCH) if high - low > _STRETCH else (low,):
+            end = min(begin + _STRETCH + w.length - 1, high)
+            alone = until == row + 1
+            got = _contexts(w, values[begin:end], np.array([0]) if alone else first[row:until] - begin, np.array([end - begin]) if alone else last[row:until] - begin)
+            got["row"] += row
+            for name in ("low", "high", "at"):
+                got[name] += begin
+            found.append(got)
+        row = until
+    return {name: np.concatenate([f[name] for f in found]) for name in found[0]} if found else _contexts(w, values, first, last)
+
+
+def _contexts(w: Windows, values: np.ndarray, first: np.ndarray, last: np.ndarray) -> dict[str, np.ndarray]:
     """Of each context: its row, first and last window start, and hashes of its anchor, of itself, and of the anchor
     with the units to its left and right that some of its windows must have (0: none of them).
 
@@ -258,9 +282,9 @@ def _spans_of(order: np.ndarray, key: np.ndarray, low: np.ndarray, length: int)
     return order[head].tolist(), key[head].tolist(), [np.stack([x, x + length], 1).astype(np.int64).tobytes() for x in np.split(low, head[1:])] if len(by) else []
 
 
-def _cut(w: Windows, most_windows: int = 1 << 20):
-    """Flagged texts to spans that are repeats (anchor null), contexts that need comparing, and first occurrences of
-    windows that are compared by hash (nothing packed)."""
+def _cut(w: Windows, most_windows: int = 1 << 17):
+    """Flagged texts to spans that are repeats (anchor null), contexts that need comparing, and windows of hot contexts, each
+    in its task's first occurrence; those come under the window's hash as anchor."""
     reach = (w.length - w.gram + 1) // 2
 
     def hot_windows(values: np.ndarray, c: dict, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,17 +298,17 @@ def _cut(w: Windows, most_windows: int = 1 << 20):
         return np.repeat(row, counts), start, arrays.mix((sums[start + w.length] - sums[start]) * scale[start] ^ _U64(0x2545F4914F6CDD1D))
 
     def first_of(held: list[tuple]) -> pa.RecordBatch:
-        order, key, low, window = (np.concatenate(x) for x in zip(*held))
+        order, key, low, window, units = (np.concatenate(x) for x in zip(*held))
         by = np.lexsort((low, order, window))
-        order, key, low, window = order[by], key[by], low[by], window[by]
+        order, key, low, window, units = order[by], key[by], low[by], window[by], units[by]
         head = np.concatenate([[True], window[1:] != window[:-1]])
         first = np.flatnonzero(head)[np.cumsum(head) - 1]
-        late = (order > order[first]) | ((low > low[first]) if w.ordered else False)
+        late = ((order > order[first]) | ((low > low[first]) if w.ordered else False)) & (units == units[first]).all(1)
         ids, keys, spans = _spans_of(order[late], key[late], low[late], w.length)
         sent = ~late
         none = [None] * len(ids)
         columns = [[*none, *window[sent].view(np.int64).tolist()], [*ids, *order[sent].tolist()], [*keys, *key[sent].tolist()], [*none, *low[sent].tolist()]]
-        return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns], pa.array([*spans, *[b""] * int(sent.sum())], pa.binary())], names=_PIECE_NAMES)
+        return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns], pa.array([*spans, *(x.tobytes() for x in units[sent])], pa.binary())], names=_PIECE_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -306,12 +330,14 @@ def _cut(w: Windows, most_windows: int = 1 << 20):
             columns = [[*none, *c["anchor"][open_].view(np.int64).tolist()], np.concatenate([ids[rows], ids[owner]]), np.concatenate([keys[rows], keys[owner]]), [*none, *low[open_].tolist()]]
             yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns], pa.array([*spans, *pieces], pa.binary())], names=_PIECE_NAMES)
             if (flag & (_HOT_LEFT | _HOT_RIGHT)).any():
-                row, start, window = hot_windows(values, c, flag)
-                held.append((ids[row], keys[row], start - first[row], window))
-                size += len(row)
-                if size >= most_windows:
-                    yield first_of(held)
-                    held, size = [], 0
+                every_row, every_start, every_window = hot_windows(values, c, flag)
+                for at in range(0, len(every_row), most_windows):
+                    row, start, window = (x[at : at + most_windows] for x in (every_row, every_start, every_window))
+                    held.append((ids[row], keys[row], start - first[row], window, np.lib.stride_tricks.sliding_window_view(source, w.length)[start]))
+                    size += len(row)
+                    if size >= most_windows:
+                        yield first_of(held)
+                        held, size = [], 0
         if held:
             yield first_of(held)
 
@@ -332,28 +358,18 @@ def _compared(w: Windows, compare: Callable, chunk_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size, earliest = 0, (None, 0, 0)  # of the window read last: hash, order, low
+        size = 0
         for batch in batches:
             spans = batch.filter(batch.column(0).is_null())
             if spans.num_rows:
                 yield spans.select(["order_id", "text_key", "packed"])
             rows = batch.filter(batch.column(0).is_valid())
-            late = []
             for row in zip(*(c.to_pylist() for c in rows.columns)):  # sorted by anchor, order and low
-                if not row[4]:
-                    if row[0] != earliest[0]:
-                        earliest = (row[0], row[1], row[3])
-                    elif row[1] > earliest[1] or w.ordered and row[3] > earliest[2]:
-                        late.append((row[1], row[2], row[3]))
-                    continue
                 if size >= chunk_bytes and held[-1][0] != row[0]:
                     yield answer(held)
                     held, size = [], 0
                 held.append(row)
                 size += len(row[4])
-            if late:
-                ids, keys, packed = _spans_of(*(np.array(x) for x in zip(*late)), w.length)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], names=["order_id", "text_key", "packed"])
         if held:
             yield answer(held)
 
@@ -385,15 +401,15 @@ def with_spans(docs: DataFrame, w: Windows, compare: Callable, block_rows: int =
     it) that also occur in one of the contexts that is earlier. Both joins read one and the same shuffle of ``docs``.
     """
     buckets = min(MAX_BUCKETS, max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    sent = docs.select("order_id", "text_key", "text").mapInArrow(_sent(w, buckets, block_rows, block_units), _SENT)
+    sent = docs.select("order_id", "text_key", "text").mapInArrow(arrays.freeing(_sent(w, buckets, block_rows, block_units)), _SENT)
     by_bucket = sent.repartition(F.coalesce("bucket", -F.col("block") - 1)).sortWithinPartitions("bucket")
-    flagged = by_bucket.mapInArrow(_flagged(w.ordered, hot), _SENT)
+    flagged = by_bucket.mapInArrow(arrays.freeing(_flagged(w.ordered, hot)), _SENT)
     by_block = flagged.repartition("block").sortWithinPartitions("block", F.asc_nulls_first("bucket"))
-    flags = by_block.mapInArrow(_by_document, "order_id bigint, text_key bigint, flags binary").dropDuplicates(["order_id", "text_key"])
+    flags = by_block.mapInArrow(arrays.freeing(_by_document), "order_id bigint, text_key bigint, flags binary").dropDuplicates(["order_id", "text_key"])
     texts = docs.join(flags, ["order_id", "text_key"]).select(*docs.columns, "flags")
-    cut = texts.mapInArrow(_cut(w), "anchor bigint, order_id bigint, text_key bigint, low bigint, packed binary")
+    cut = texts.mapInArrow(arrays.freeing(_cut(w)), "anchor bigint, order_id bigint, text_key bigint, low bigint, packed binary")
     by_anchor = cut.repartition(F.coalesce("anchor", "text_key")).sortWithinPartitions("anchor", "order_id", "low")
-    spans = by_anchor.mapInArrow(_compared(w, compare, chunk_bytes), "order_id bigint, text_key bigint, packed binary")
+    spans = by_anchor.mapInArrow(arrays.freeing(_compared(w, compare, chunk_bytes)), "order_id bigint, text_key bigint, packed binary")
     gathered = spans.groupBy("order_id", "text_key").agg(F.collect_list("packed").alias("spans"))
     return docs.join(gathered, ["order_id", "text_key"], "left").select(*docs.columns, "spans")
 

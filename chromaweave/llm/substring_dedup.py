@@ -137,4 +137,4 @@ def remove_repeated_words(docs: DataFrame, length: int = 20, gram: int = 8, with
     doc_id is larger than all others; repeated rows are answered each; other columns are ignored.
     """
     joined = with_spans(keyed(docs), Windows(length, gram, _word_units, True), compare_with_automata, block_units=1 << 21, hot=hot).select(F.when(F.col("order_id") != LAST, F.col("order_id")).alias("doc_id"), "text", "spans")
-    return joined.mapInArrow(_without(with_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", text string" if with_text else ""))
+    return joined.mapInArrow(arrays.freeing(_without(with_text)), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", text string" if with_text else ""))

@@ -167,10 +167,10 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 16, wit
     A byte is removed if a ``length``-byte string that covers it also starts in a document of smaller doc_id,
     as judged on the input. Null and empty texts, and those under ``length`` bytes, lose nothing; rows that
     share a doc_id do not count against each other; a null doc_id is larger than all others; repeated rows are
-    answered each; other columns are ignored. ``hot``: runs that so many others share are compared by hash. The kept text leaves out bytes of cut characters.
+    answered each; other columns are ignored. ``hot``: runs that more others share meet window by window. The kept text leaves out bytes of cut characters.
     """
     joined = with_spans(keyed(docs), Windows(length, gram, _byte_units, False), compare_with_suffix_array, hot=hot).select(F.when(F.col("order_id") != LAST, F.col("order_id")).alias("doc_id"), "text", "spans")
-    return joined.mapInArrow(_without(with_text), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", text string" if with_text else ""))
+    return joined.mapInArrow(arrays.freeing(_without(with_text)), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", text string" if with_text else ""))
 
 
 def cut_repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 16) -> DataFrame:
@@ -190,5 +190,5 @@ def cut_repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 16) -> Dat
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
-    cut = put_back(joined.mapInArrow(run, joined.drop("spans").schema), docs.columns)
+    cut = put_back(joined.mapInArrow(arrays.freeing(run), joined.drop("spans").schema), docs.columns)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
