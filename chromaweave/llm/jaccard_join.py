@@ -65,7 +65,7 @@ def _locally_common(width: int, least: int, block: int):
         size = 0
 
         def flush() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
+            found, n = arrays.counted(held)
             some = n >= least
             return pa.RecordBatch.from_arrays([pa.array(found[some].view(np.int64)), pa.array(n[some].astype(np.int64))], names=["shingle", "n"])
 
@@ -232,18 +232,23 @@ def _verified(width: int, percent: int):
 
 
 def _labelled(docs: DataFrame, width: int, percent: int, common_shingles: int, common_least: int, block_rows: int, block_units: int) -> DataFrame:
-    """(order_id, text_key, n, label) of each row: equal labels are one component; no label has meaning if n is 0."""
+    """(order_id, text_key, n, first) of each row: ``first`` is the (order_id, text_key) that comes first in its component;
+    null if n is 0.
+
+    What a component has in common is found over its classes and joined to rows by class, each table written before it
+    is joined: so a component or a class with very many rows is a side that Spark can split.
+    """
     spark = docs.sparkSession
     own = keyed(docs)
-    frequent = own.select("text").mapInArrow(_locally_common(width, common_least, 2 * block_units), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(common_shingles).toPandas()
+    frequent = own.select("text").mapInArrow(arrays.freeing(_locally_common(width, common_least, 2 * block_units)), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(common_shingles).toPandas()
     common = frequent["shingle"].to_numpy(np.int64).view(_U64)
     by = np.argsort(common)
     ranks = (1 + np.log2(np.maximum(frequent["n"].to_numpy(np.float64), 1)) * 4).astype(np.uint8)[by]
 
     buckets = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = own.mapInArrow(_prefixes(width, percent, common[by], ranks, buckets, block_rows, block_units), _SENT)
+    sent = own.mapInArrow(arrays.freeing(_prefixes(width, percent, common[by], ranks, buckets, block_rows, block_units)), _SENT)
     by_bucket = sent.repartition(F.coalesce("bucket", -F.abs(F.xxhash64("doc")) - 1)).sortWithinPartitions("bucket")
-    found = shared_table(by_bucket.mapInArrow(_shared, _FOUND), "kind")
+    found = shared_table(by_bucket.mapInArrow(arrays.freeing(_shared), _FOUND), "kind")
 
     rows = found.where(f"kind = {_DOCUMENT}").select(F.col("a").alias("order_id"), F.col("b").alias("text_key"), F.col("c").alias("n"), F.col("d").alias("class"), F.col("e").alias("group"))
     filled = rows.where("n > 0")
@@ -269,7 +274,7 @@ def _labelled(docs: DataFrame, width: int, percent: int, common_shingles: int, c
         texts = own.join(need, ["order_id", "text_key"]).select("class", "text").dropDuplicates(["class"])
         left = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
         both = left.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-        return shared_checkpoint(both.mapInArrow(_verified(width, percent), "a bigint, b bigint"))
+        return shared_checkpoint(both.mapInArrow(arrays.freeing(_verified(width, percent)), "a bigint, b bigint"))
 
     # each group with the one it shares most with, of those that hold a shingle's earliest document; each class with its group's first
     stars = found.where(f"kind = {_STAR}").groupBy("a", "b").agg(F.sum("c").alias("c"))
@@ -294,7 +299,11 @@ def _labelled(docs: DataFrame, width: int, percent: int, common_shingles: int, c
     expanded = pairs.join(left, "a").join(right, "b").where("label_a <> label_b").select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))
     labels = connected_components(links.unionByName(verify(expanded)))
 
-    return rows.join(labels, rows["class"] == labels["node"], "left").select("order_id", "text_key", "n", F.coalesce("label", "class").alias("label"))
+    named = shared_checkpoint(classes.join(labels, classes["class"] == labels["node"], "left").select("class", "first", F.coalesce("label", "class").alias("label")))
+    least = shared_checkpoint(named.groupBy("label").agg(F.min("first").alias("least")))
+    ahead = shared_checkpoint(named.join(least, "label").select("class", F.col("least").alias("first")))
+    blank = rows.where("n = 0").select("order_id", "text_key", "n", F.lit(None).cast(ahead.schema["first"].dataType).alias("first"))
+    return filled.join(ahead, "class").select("order_id", "text_key", "n", "first").unionByName(blank)
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, common_shingles: int = 131_072, common_least: int = 4, block_rows: int = 60_000, block_units: int = 1 << 21) -> DataFrame:
@@ -307,10 +316,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, commo
     """
     named = _labelled(docs, width, percent, common_shingles, common_least, block_rows, block_units)
     doc_id = F.when(F.col("order_id") != LAST, F.col("order_id"))
-    filled = named.where("n > 0")
-    least = filled.groupBy("label").agg(F.min("order_id").alias("least"))
-    joined = filled.join(least, "label").select(doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("least") != LAST, F.col("least")).alias("component_id"))
-    return joined.unionByName(named.where("n = 0").select(doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), doc_id.alias("component_id")))
+    least = F.col("first.order_id")
+    return named.select(doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, doc_id).when(least != LAST, least).alias("component_id"))
 
 
 def prefix_length_of(n, percent: int):
@@ -324,7 +331,7 @@ def keep_first_of_component(docs: DataFrame, width: int = 5, percent: int = 75)
     Rows without words all stay; of rows that are equal in doc_id and text, one does.
     """
     named = _labelled(docs, width, percent, 131_072, 4, 60_000, 1 << 21)
-    first = named.where("n > 0").groupBy("label").agg(F.min(F.struct("order_id", "text_key")).alias("first")).select("first.order_id", "first.text_key")
+    first = named.where("n > 0 AND first = struct(order_id, text_key)").select("order_id", "text_key").distinct()
     own = keyed(docs, all_but(docs, "text"))
     blank = F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
     stay = own.where(~blank).join(first, ["order_id", "text_key"], "left_semi").dropDuplicates(["order_id", "text_key"])
