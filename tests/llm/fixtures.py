@@ -65,6 +65,23 @@ def repeated_bytes(rows, length):
     return out
 
 
+def without_repeated_bytes(rows, length):
+    first, out = {}, {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for s in range(len(b) - length + 1):
+            w = b[s : s + length]
+            first[w] = min(first.get(w, i), i)
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = [False] * len(b)
+        for s in range(len(b) - length + 1):
+            if first[b[s : s + length]] < i:
+                gone[s : s + length] = [True] * length
+        out[i] = bytes(x for x, g in zip(b, gone) if not g)
+    return out
+
+
 def repeated_words(rows, length):
     space = re.compile(rb"[^\x20\x09-\x0D]+")
     first = {}

@@ -202,7 +202,7 @@ def test_n_best_of_documents():
 
 
 def test_ids_of_the_n_best(spark, lattice):
-    texts = ["the thntatwh", "ñas日 x", "", "龘", "abeth an abeth", "a" * 60]
+    texts = ["the thntatwh", "ñas日 x", "", "龘", "abeth an abeth", "a" * 60, "an an an an", "x\ny\nx a"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted(encode_pieces(docs, MODEL, n_best=4, with_ids=True).collect())
     plain = sorted(encode_pieces(docs, MODEL, n_best=4).collect())
@@ -218,10 +218,29 @@ def test_ids_of_the_n_best(spark, lattice):
 
 
 def test_first_is_the_first_of_the_search(lattice):
+    """On both sides of the length up to which units are searched in arrays, with many ties."""
     rng = random.Random(5)
     units = ["".join(rng.choice("abethñ,.日") for _ in range(rng.randint(1, 12))) for _ in range(400)]
-    for unit, (packed, _, _, _) in zip(units, lattice.first(units)):
-        assert tuple(np.frombuffer(packed, "<i4")) == lattice.best(unit, 1)[0][1]
+    units += ["".join(rng.choice("aab-=.x") for _ in range(rng.randint(40, 56))) for _ in range(200)] + [c * k for c in "ax-." for k in (47, 48, 49, 50, 300)]
+    for unit, (packed, score, shown, loss) in zip(units, lattice.first(units)):
+        ways = lattice.best(unit, 3)
+        assert (score, tuple(np.frombuffer(packed, "<i4"))) == ways[0] and shown == unit and ways[:2] == lattice.best(unit, 2)
+        assert loss == (score - ways[1][0] if len(ways) > 1 else float("inf"))
+
+
+def test_ties_go_to_the_longer_first_piece(lattice):
+    for unit in ["aaa", "abab", "----", "xxxxx", SPACE * 4, "..,,.."]:
+        want = sorted(every_way(lattice, unit), key=lambda w: (-w[0], [-len(lattice.texts[i]) for i in w[1]]))
+        for n in (1, 2, 5, 9):
+            assert lattice.best(unit, n) == want[:n]
+
+
+def test_very_long_units(lattice):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for unit in ["x" * 30_000, "日" * 3_000, "ab" * 10_000]:
+        ways = lattice.best(unit, 2)
+        assert len(ways) == 1 or ways[0][0] >= ways[1][0]
+        assert library.decode(list(ways[0][1])) == unit
 
 
 def test_shown_text_comes_from_the_ids(lattice):
@@ -233,7 +252,7 @@ def test_shown_text_comes_from_the_ids(lattice):
 def test_pieces_round_trip(spark, lattice):
     rows = fx.corpus(0) + [(960, "spaces   inside\nand  lines\t"), (961, "a" * 300)]
     docs = fx.table(spark, rows)
-    got = encode_pieces(docs, MODEL, n_best=3, units_in_memory=500, with_ids=True)
+    got = encode_pieces(docs, MODEL, n_best=3, characters_in_memory=3000, with_ids=True)
     found = got.collect()
     assert len(found) == len(rows) and all(r.round_trip for r in found)
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
