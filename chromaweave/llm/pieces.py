@@ -131,64 +131,65 @@ class PieceLattice:
     def first(self, units: list[str]) -> list[tuple[bytes, float, str, float]]:
         """Of each unit: the ids of its best segmentation, their score, the text they show, and what the second best loses."""
         out: list = [None] * len(units)
-        by_size: dict[int, list[int]] = {}
+        by_width: dict[int, list[int]] = {}
         for k, unit in enumerate(units):
-            by_size.setdefault(len(unit), []).append(k)
-        for size, which in by_size.items():
-            left = which if size > _LONGEST else []
+            by_width.setdefault(-(-len(unit) // 8) * 8, []).append(k)
+        for width, which in by_width.items():
+            left = which if width > _LONGEST else []
             for s in range(0, len(which) if not left else 0, 20_000):
-                left = left + self._first_of_size([units[k] for k in which[s : s + 20_000]], which[s : s + 20_000], size, out)
+                left = left + self._first_of_width([units[k] for k in which[s : s + 20_000]], which[s : s + 20_000], width, out)
             for k in left:
                 ways = self.best(units[k], 2)
                 ids = ways[0][1]
                 out[k] = (np.array(ids, "<i4").tobytes(), ways[0][0], self.shown(ids), ways[0][0] - ways[1][0] if len(ways) > 1 else float("inf"))
         return out
 
-    def _first_of_size(self, units: list[str], names: list[int], size: int, out: list) -> list[int]:
-        """``first`` of units of one size, all at once; those with a character that is no piece are returned."""
+    def _first_of_width(self, units: list[str], names: list[int], width: int, out: list) -> list[int]:
+        """``first`` of units of up to ``width`` characters, all at once; those with a character that is no piece are returned."""
         n = len(units)
-        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(np.uint64) + np.uint64(1)
-        ahead = np.full((n, size + 1), -np.inf)
+        sizes = np.array([len(u) for u in units])
+        chars = np.zeros((n, width), np.uint64)
+        chars[np.arange(width) < sizes[:, None]] = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        ahead = np.full((n, width + 1), -np.inf)
         ahead[:, 0] = 0
         edges = []
         odd = np.zeros(n, bool)
-        for at in range(size):
-            rows, h = np.arange(n), np.zeros(n, np.uint64)
-            for end in range(at + 1, size + 1):
+        for at in range(width):
+            rows = np.flatnonzero(sizes > at)
+            h, single = np.zeros(len(rows), np.uint64), np.zeros(n, bool)
+            for end in range(at + 1, width + 1):
                 h = h * _BASE + chars[rows, end - 1]
                 place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                known = self.hashes[place] == h
+                known = (self.hashes[place] == h) & (sizes[rows] >= end)
                 rows, h, place = rows[known], h[known], place[known]
                 ids = self.hash_ids[place]
                 whole = ids >= 0
-                if end == at + 1:
-                    single = np.zeros(n, bool)
-                    single[rows[whole]] = True
-                    odd |= ~single
                 own, score = rows[whole], self.hash_scores[place[whole]]
+                if end == at + 1:
+                    single[own] = True
                 ahead[own, end] = np.maximum(ahead[own, end], ahead[own, at] + score)
                 edges.append((own, at, end, score, ids[whole]))
                 if not len(rows):
                     break
+            odd |= ~single & (sizes > at)
         fine = np.flatnonzero(~odd)
-        behind = np.full((n, size + 1), -np.inf)
-        behind[:, size] = 0
-        next_end = np.zeros((n, size + 1), np.int32)
-        piece = np.zeros((n, size), np.int32)
+        behind = np.full((n, width + 1), -np.inf)
+        behind[np.arange(n), sizes] = 0
+        next_end = np.zeros((n, width + 1), np.int32)
+        piece = np.zeros((n, width), np.int32)
         for own, start, end, score, ids in reversed(edges):  # of one start, long pieces come first
             total = behind[own, end] + score
             better = total > behind[own, start]
             own = own[better]
             behind[own, start], next_end[own, start], piece[own, start] = total[better], end, ids[better]
-        chosen = np.full((n, size), -1, np.int32)
-        at = np.where(odd, size, 0)
-        while (live := np.flatnonzero(at < size)).size:
+        chosen = np.full((n, width), -1, np.int32)
+        at = np.where(odd, sizes, 0)
+        while (live := np.flatnonzero(at < sizes)).size:
             chosen[live, at[live]] = piece[live, at[live]]
             at[live] = next_end[live, at[live]]
-        used = chosen >= 0
         second = np.full(n, -np.inf)
         for own, start, end, score, _ in edges:
-            off = ~used[own, start] | (next_end[own, start] != end)
+            off = (chosen[own, start] < 0) | (next_end[own, start] != end)
             own = own[off]
             second[own] = np.maximum(second[own], ahead[own, start] + score[off] + behind[own, end])
         best = behind[:, 0]
