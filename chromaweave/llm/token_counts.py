@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 #: Fixed value: the published split pattern of this byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Lists of more postings (three bytes each) go to one of so many tasks by their block; a pre-token has few such lists a
+#: block, so it is counted once, or once for each of these tasks if it is common.
+_LONG_LIST, _SPREAD = 3 * 1024, 64
+
 #: A block's base is the number of its first row. piece null: ``packed`` describes the block's rows; else it is
 #: the posting list, 2 bytes of place in the block and 1 byte of count for each posting.
 _LISTS = "piece string, base bigint, packed binary"
@@ -172,7 +176,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, postin
         vocabulary = f.read()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
     lists = texts.mapInArrow(_posting_lists(special_strings(vocabulary), postings_in_memory), _LISTS)
-    by_piece = lists.repartition(F.coalesce("piece", F.col("base").cast("string"))).sortWithinPartitions("piece")
+    spread = F.when(F.length("packed") > _LONG_LIST, F.pmod(F.xxhash64("base"), F.lit(_SPREAD))).otherwise(F.lit(0))
+    by_piece = lists.repartition(F.coalesce("piece", F.col("base").cast("string")), spread).sortWithinPartitions("piece")
     sums = by_piece.mapInArrow(_piece_counts(vocabulary, postings_in_memory), _SUMS)
     rows = sums.repartition("base").sortWithinPartitions("base").mapInArrow(_row_totals, _ROWS)
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)
