@@ -7,6 +7,7 @@ from chromaweave.functions import formulas, statistics
 from chromaweave.operators import matrix
 from chromaweave.operators.intervals import overlap_counts, overlap_join
 
+#: Two vectors, and below the results published for them.
 V1 = [17, 86, 60, 77, 47, 3, 70, 87, 88, 92]
 V2 = [70, 29, 85, 61, 80, 34, 60, 31, 73, 66]
 
