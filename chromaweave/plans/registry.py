@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -294,10 +295,19 @@ def c11_moving_average(spark, sf_dir):
     return _round(statistics.moving_average(e, ["user_id"], "event_id", "value", 3, "smooth").select("user_id", "event_id", "smooth"), "smooth", places=5)
 
 
-@_query(None)
+def _p_sql(r: str) -> str:
+    """Two-sided p-value of r over ``BAND`` pairs: with an even number of degrees of freedom Student's t is a finite sum."""
+    terms = " + ".join(f"{math.comb(2 * k, k) / 4**k!r} * pow(1 - {r} * {r}, {k})" for k in range(BAND // 2 - 1))
+    return f"round(greatest(0, 1 - abs({r}) * ({terms})), 6)"
+
+
+@_query(f"""WITH {_STRIPES}, g AS (SELECT chrom, direction, stripe, 1.0 * count(*) AS w, 1.0 * sum(x) AS sx, 1.0 * sum(y) AS sy, 1.0 * sum(x * x) AS sxx, 1.0 * sum(y * y) AS syy, 1.0 * sum(x * y) AS sxy FROM s GROUP BY ALL),
+c AS (SELECT {_PLACE}, CAST({_r('w', 'sx', 'sy', 'sxx', 'syy', 'sxy')} AS DOUBLE) AS score FROM g JOIN n USING (chrom))
+SELECT chrom, start, direction, score, {_p_sql('score')}::DOUBLE AS p_pearson, {_p_sql('score')}::DOUBLE AS p_spearman FROM c WHERE score > -9""", "contacts", "contacts_b")
 def c12_significance(spark, sf_dir):
     p = _compared(spark, sf_dir, "pearson").where("score > -9")
-    return p.select("chrom", "start", "direction", "score", statistics.pearson_significance(F.col("score"), F.lit(BAND)).alias("p_pearson"), statistics.spearman_significance(F.col("score"), F.lit(BAND)).alias("p_spearman"))
+    p_values = {"p_pearson": statistics.pearson_significance, "p_spearman": statistics.spearman_significance}
+    return _round(p.select("chrom", "start", "direction", "score", *[f(F.col("score"), F.lit(BAND)).alias(name) for name, f in p_values.items()]), *p_values)
 
 
 # ---- transformations
@@ -507,3 +517,28 @@ def h03_simulated_occupancy(spark, sf_dir):
     own = view(spark, sf_dir, "intervals")
     tasks = plan_tasks(own, bars.map_to_intervals(_barriers(spark, sf_dir), own), _SIMULATION)
     return simulate(tasks, _SIMULATION)["occupancy"]
+
+
+@_query(f"""WITH {_B}, o AS (SELECT DISTINCT interval_id FROM intervals i JOIN b ON i.chrom = b.chrom AND i.start < b."end" AND b.start < i."end"),
+n AS (SELECT interval_id, chrom, CAST(ceil(("end" - start) / {BIN}.0) AS BIGINT) AS n FROM intervals JOIN o USING (interval_id))
+SELECT interval_id, chrom, CAST(round(n * least(n, 40) * 0.5) AS BIGINT) AS contacts FROM n""", "intervals", "barriers")
+def h04_contacts_reached(spark, sf_dir):
+    """Each interval's contacts. As the band is as wide as the intervals none falls outside it, so luck has no part in
+    how many are registered: all that the density asks for."""
+    pixels = h01_simulated_pixels(spark, sf_dir)
+    return pixels.groupBy("interval_id", "chrom").agg(F.sum("count").cast("bigint").alias("contacts"))
+
+
+_CERTAIN = SimulationConfig(cells=2, diagonal_width=200_000, target_epochs=20, sampling_interval=10_000, burnin=False, normalise=False, stp_active=1.0, stp_inactive=0.0, seed=1)
+
+
+@_query(f"""WITH {_B}, o AS (SELECT DISTINCT interval_id FROM intervals i JOIN b ON i.chrom = b.chrom AND i.start < b."end" AND b.start < i."end"),
+t AS (SELECT interval_id, chrom, unnest(range(0, 2)) AS cell FROM intervals JOIN o USING (interval_id))
+SELECT interval_id, chrom, CAST(cell AS INTEGER) AS cell, unnest(range(0, 19)) AS epoch, 0.0::DOUBLE AS burnin, 1.0::DOUBLE AS barrier_occupancy, 4.0::DOUBLE AS num_active_lefs FROM t""", "intervals", "barriers")
+def h05_certain_epochs(spark, sf_dir):
+    """Epochs noted where luck has no part: no burn-in, barriers that never leave, a target in epochs. The last epoch only
+    registers contacts."""
+    own = view(spark, sf_dir, "intervals")
+    held = bars.map_to_intervals(_barriers(spark, sf_dir), own).withColumns({"stp_active": F.lit(1.0), "stp_inactive": F.lit(0.0)})
+    epochs = simulate(plan_tasks(own, held, _CERTAIN), _CERTAIN, with_epochs=True)["epochs"]
+    return epochs.select("interval_id", "chrom", "cell", "epoch", "burnin", "barrier_occupancy", "num_active_lefs")
