@@ -101,6 +101,6 @@ def run_evaluation(spark: SparkSession, reference: str, target: str, out: str, m
 
 
 def run_annotation(spark: SparkSession, barriers: str, track: str, out: str, scale: float, lower: float = 0.0, upper: float = 1.0, clamp: bool = False) -> None:
-    """Barrier records with occupancies from a bedGraph track, as BED6 text."""
-    records = bars.annotate(genomic.read_bed(spark, barriers, 6), genomic.read_bedgraph(spark, track), scale, lower, upper, clamp)
+    """Barrier records with occupancies from a bedGraph or bigWig track, as BED6 text."""
+    records = bars.annotate(genomic.read_bed(spark, barriers, 6), genomic.read_track(spark, track), scale, lower, upper, clamp)
     bars.format_bed(records.sort("chrom", "start", "end")).write.text(out)

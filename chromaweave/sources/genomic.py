@@ -1,7 +1,7 @@
 """Readers and writers of genomic text formats and of contact matrices kept as Parquet.
 
-HDF5 matrices and binary tracks cannot be read without libraries that are not part of this project: matrices are
-Parquet tables of pixels beside a JSON description, tracks are bedGraph or Parquet.
+HDF5 matrices cannot be read without libraries that are not part of this project: matrices are Parquet tables of
+pixels beside a JSON description. Tracks are bedGraph, bigWig (read only) or Parquet.
 """
 
 from __future__ import annotations
@@ -9,21 +9,24 @@ from __future__ import annotations
 import json
 import lzma
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chromaweave.functions.formulas import strip_quotes
+from chromaweave.sources.bigwig import read_bigwig
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line) of text files: plain, gz, bz2 and zstd as Spark reads them, xz and lzma file by file."""
-    if not path.endswith((".xz", ".lzma")):
+    """(path, line) of text files: plain, gz, bz2 and zstd as Spark reads them, xz, lzma and lz4 frames file by file."""
+    if not path.endswith((".xz", ".lzma", ".lz4")):
         return spark.read.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("line"))
 
     def unpack(parts):
         for part in parts:
             for name, content in zip(part["path"], part["content"]):
-                yield part.__class__({"path": name, "line": lzma.decompress(content).decode().splitlines()})
+                text = pa.CompressedInputStream(pa.BufferReader(content), "lz4").read() if name.endswith(".lz4") else lzma.decompress(content)
+                yield part.__class__({"path": name, "line": text.decode().splitlines()})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "path string, line string")
 
@@ -111,6 +114,11 @@ def read_bedgraph(spark: SparkSession, path: str) -> DataFrame:
     return out.where("start IS NOT NULL")
 
 
+def read_track(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, start, end, value) of a track: bigWig by its ending, bedGraph otherwise."""
+    return read_bigwig(spark, path) if path.lower().endswith((".bw", ".bigwig")) else read_bedgraph(spark, path)
+
+
 def write_bedgraph(track: DataFrame, path: str, compression: str | None = None) -> None:
     """A track as text, sorted by chrom and start."""
     writer = track.select("chrom", "start", "end", "value").sort("chrom", "start").write

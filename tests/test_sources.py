@@ -1,5 +1,8 @@
 import lzma
+import struct
+import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +11,7 @@ from chromaweave.operators.simulation import SimulationConfig
 from chromaweave.operators.barriers import format_bed
 from chromaweave.plans.workflows import EPOCH_LOG
 from chromaweave.sources import genomic
+from chromaweave.sources.bigwig import read_bigwig, read_bigwig_chroms
 from chromaweave.sources.config import config_from_toml, config_to_toml
 from chromaweave.streaming.contacts import streaming_pixels, write_pixels
 
@@ -37,6 +41,61 @@ def test_bed(spark, tmp_path):
     assert rgb.rgb == [0, 0, 255]
 
 
+def test_lz4_text(spark, tmp_path):
+    with pa.CompressedOutputStream(str(tmp_path / "b.bed.lz4"), "lz4") as f:
+        f.write(b"chr1\t1\t5\nchr2\t2\t6\n")
+    assert sorted(tuple(r) for r in genomic.read_bed(spark, str(tmp_path / "b.bed.lz4"), 3).collect()) == [("chr1", 1, 5), ("chr2", 2, 6)]
+
+
+def bigwig(chroms, blocks, order="<", packed=True, two_levels=True):
+    """A file of ``chroms`` (name, size) and ``blocks`` (chrom number, start, end, step, span, kind, items packed), by hand."""
+    width = max(len(n) for n, _ in chroms)
+    pack = lambda fields, *x: struct.pack(order + fields, *x)
+    names = pack("IIIIQQ", 0x78CA8C91, len(chroms), width, 8, len(chroms), 0) + pack("BBH", 1, 0, len(chroms))
+    names += b"".join(n.encode().ljust(width, b"\0") + pack("II", k, s) for k, (n, s) in enumerate(chroms))
+    at = 64 + len(names)
+    body, places = b"", []
+    for c, start, end, step, span, kind, items in blocks:
+        raw = pack("IIIIIBBH", c, start, end, step, span, kind, 0, len(items)) + b"".join(items)
+        raw = zlib.compress(raw) if packed else raw
+        places.append((c, start, c, end, at + 8 + len(body), len(raw)))
+        body += raw
+    index_at = at + 8 + len(body)
+    index = pack("IIQIIIIQII", 0x2468ACE0, 256, len(blocks), 0, 0, len(chroms), 0, index_at, 1, 0)
+    leaves = [places[:1], places[1:]] if two_levels else [places]
+    nodes = [pack("BBH", 1, 0, len(x)) + b"".join(pack("IIIIQQ", *p) for p in x) for x in leaves]
+    if two_levels:
+        first = index_at + 48 + 4 + 24 * len(nodes)
+        index += pack("BBH", 0, 0, len(nodes)) + b"".join(pack("IIIIQ", 0, 0, 9, 9, first + sum(map(len, nodes[:k]))) for k in range(len(nodes)))
+    head = pack("IHHQQQHHQQIQ", 0x888FFC26, 4, 0, 64, at, index_at, 0, 0, 0, 0, 4096 if packed else 0, 0)
+    return head + names + pack("Q", len(blocks)) + body + index + b"".join(nodes)
+
+
+@pytest.mark.parametrize(("order", "packed", "two_levels"), [("<", True, True), ("<", False, False), (">", True, False)])
+def test_bigwig(spark, tmp_path, order, packed, two_levels):
+    chroms = [("chr1", 1000), ("chrX", 500)]
+    pack = lambda fields, *x: struct.pack(order + fields, *x)
+    blocks = [
+        (0, 0, 50, 0, 0, 1, [pack("IIf", 0, 10, 1.5), pack("IIf", 20, 50, -2.0)]),
+        (0, 100, 130, 0, 5, 2, [pack("If", 100, 3.0), pack("If", 125, 4.0)]),
+        (1, 10, 40, 10, 10, 3, [pack("f", 5.0), pack("f", 6.0), pack("f", 7.0)]),
+    ]
+    path = str(tmp_path / "t.bw")
+    (tmp_path / "t.bw").write_bytes(bigwig(chroms, blocks, order, packed, two_levels))
+    want = [("chr1", 0, 10, 1.5), ("chr1", 20, 50, -2.0), ("chr1", 100, 105, 3.0), ("chr1", 125, 130, 4.0), ("chrX", 10, 20, 5.0), ("chrX", 20, 30, 6.0), ("chrX", 30, 40, 7.0)]
+    assert sorted(tuple(r) for r in genomic.read_track(spark, path).collect()) == want
+    assert [tuple(r)[1:] for r in read_bigwig_chroms(spark, path).collect()] == chroms
+    assert sorted(tuple(r) for r in read_bigwig(spark, path, "chr1", 30, 101).collect()) == want[1:3]
+    assert [tuple(r) for r in read_bigwig(spark, path, "chrX", 35).collect()] == want[6:]
+    assert read_bigwig(spark, path, "chr1", 200, 300).count() == 0
+    for bad in (("chr9", 0, 5), ("chr1", 5, 5), ("chr1", 0, 1001)):
+        with pytest.raises(Exception, match="no part of a chromosome"):
+            read_bigwig(spark, path, *bad).collect()
+    (tmp_path / "u.bw").write_bytes(b"something else " * 9)
+    with pytest.raises(Exception, match="no bigWig file"):
+        read_bigwig(spark, str(tmp_path / "u.bw")).collect()
+
+
 @pytest.mark.parametrize("bad", ["c\t5\t1\tn\t0\t+", "c\tx\t1\tn\t0\t+", "c\t1\t5\tn\t1001\t+", "c\t1\t5\tn\t0\tq", "c\t1\t5", 'c\t"1"\t5\tn\t0\t+'])
 def test_bad_bed(spark, bad):
     with pytest.raises(Exception):
