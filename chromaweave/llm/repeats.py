@@ -8,7 +8,8 @@ context: a short run of units. Then, for all contexts of the corpus:
 2. buckets find which contexts occurred earlier (their windows are all repeats) and which share their anchor and half
    of what a window has besides with other contexts (some of their windows may be);
 3. the second kind is cut out of the texts, brought together by anchor, and compared unit by unit with the operator's
-   own method; the first kind is done.
+   own method; the first kind is done, or, with ``whole``, brought together with its first occurrence and compared like
+   the second, after each task has kept one of those that are equal unit by unit.
 
 Where a very common passage begins or ends, its contexts differ from document to document, so an anchor may have any
 number of them. Halves that more than ``hot`` contexts share are therefore not brought together by anchor: each task
@@ -42,12 +43,13 @@ LAST = (1 << 63) - 1
 class Windows:
     """What a window is: ``length`` units, anchored at k-grams of ``gram`` units. ``units`` gives a text column's unit
     values, each row's first and last place among them, and the array that contexts are cut from. ``ordered``:
-    within a document earlier windows count too."""
+    within a document earlier windows count too. ``whole``: contexts with equal hashes are compared as well."""
 
     length: int
     gram: int
     units: Callable
     ordered: bool
+    whole: bool = False
 
 
 def _sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
@@ -116,15 +118,25 @@ def _contexts(w: Windows, values: np.ndarray, first: np.ndarray, last: np.ndarra
     return {"row": row[head], "low": low, "high": high, "at": at, "anchor": arrays.mix(grams[at] ^ _U64(0x5851F42D4C957F2D)), "own": own, "left": left, "right": right}
 
 
-def _pack(left: np.ndarray, right: np.ndarray, own: np.ndarray, order: np.ndarray, place: np.ndarray) -> bytes:
-    """The hashes as they are, order and place as compressed differences."""
+def _pack(left: np.ndarray, right: np.ndarray, own: np.ndarray, order: np.ndarray, place: np.ndarray, again: np.ndarray | None) -> bytes:
+    """The hashes as they are; order and place as differences and marks, if any, compressed."""
     tail = np.concatenate([np.diff(c, prepend=np.int64(0)) for c in (order, place)]).tobytes()
+    tail += b"" if again is None else again.tobytes()
     return left.tobytes() + right.tobytes() + own.tobytes() + pa.compress(tail, "zstd", asbytes=True)
 
 
-def _unpack(n: int, packed: bytes) -> tuple[np.ndarray, ...]:
-    tail = np.frombuffer(pa.decompress(packed[16 * n :], 16 * n, "zstd", asbytes=True), np.int64)
-    return np.frombuffer(packed[: 4 * n], np.uint32), np.frombuffer(packed[4 * n : 8 * n], np.uint32), np.frombuffer(packed[8 * n : 16 * n], _U64), np.cumsum(tail[:n]), np.cumsum(tail[n:])
+def _unpack(n: int, packed: bytes, marked: bool) -> tuple[np.ndarray, ...]:
+    raw = pa.decompress(packed[16 * n :], (17 if marked else 16) * n, "zstd", asbytes=True)
+    tail, again = np.frombuffer(raw[: 16 * n], np.int64), np.frombuffer(raw[16 * n :], bool) if marked else np.zeros(n, bool)
+    return np.frombuffer(packed[: 4 * n], np.uint32), np.frombuffer(packed[4 * n : 8 * n], np.uint32), np.frombuffer(packed[8 * n : 16 * n], _U64), np.cumsum(tail[:n]), np.cumsum(tail[n:]), again
+
+
+def _with_late(by: np.ndarray, new: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """Which contexts have an equal one that is late; ``by`` sorts equal ones together, each of ``new`` begins some."""
+    group = np.cumsum(new) - 1
+    out = np.zeros(len(by), bool)
+    out[by] = (np.bincount(group, weights=late[by]) > 0)[group]
+    return out
 
 
 _SENT = "bucket bigint, block bigint, n int, packed binary"
@@ -151,6 +163,7 @@ def _sent(w: Windows, buckets: int, block_rows: int, block_units: int):
             first = by[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(by) else by
             late = np.zeros(len(by), bool)
             late[by] = (order[by] > order[first]) | (place[by] > place[first])
+            again = _with_late(by, new, late) if w.whole else None
             bucket = np.where(late, _LOCAL, (c["anchor"] % _U64(buckets)).astype(np.int64)).astype(np.uint16)
             counts = np.bincount(c["row"], minlength=len(doc)).astype(np.int64)
             layout = np.concatenate([doc, key, counts]).tobytes() + bucket.tobytes()
@@ -160,7 +173,7 @@ def _sent(w: Windows, buckets: int, block_rows: int, block_units: int):
             out = [(None, block, len(doc), pa.compress(layout, "zstd", asbytes=True) + len(layout).to_bytes(8, "little"))]
             for name, s, e in zip(names, at, np.append(at[1:], len(chosen))):
                 own = chosen[s:e]
-                out.append((int(name), block, e - s, _pack(c["left"][own], c["right"][own], c["own"][own], order[own], place[own])))
+                out.append((int(name), block, e - s, _pack(c["left"][own], c["right"][own], c["own"][own], order[own], place[own], again[own] if w.whole else None)))
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["bucket", "block", "n", "packed"])
 
         for batch in (part for b in batches for part in arrays.slices(b, 2)):
@@ -187,11 +200,11 @@ def _sent(w: Windows, buckets: int, block_rows: int, block_units: int):
 
 
 #: Flags of a context: all its windows occurred earlier; it must be compared; its windows with enough units to the left of
-#: the anchor, or to the right, are hashed one by one.
-_LATE, _COMPARE, _HOT_LEFT, _HOT_RIGHT = 1, 2, 4, 8
+#: the anchor, or to the right, are hashed one by one; an equal one is late.
+_LATE, _COMPARE, _HOT_LEFT, _HOT_RIGHT, _REPEATED = 1, 2, 4, 8, 16
 
 
-def _flagged(ordered: bool, hot: int):
+def _flagged(w: Windows, hot: int):
     """For each packed row, the flags of its contexts."""
 
     def sharing(half: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -207,18 +220,18 @@ def _flagged(ordered: bool, hot: int):
         return np.where(half > 0, out, 0)
 
     def answer(rows: list[tuple]) -> pa.RecordBatch:
-        parts = [_unpack(n, packed) for _, _, n, packed in rows]
-        left, right, own, order, place = (np.concatenate(x) for x in zip(*parts))
+        parts = [_unpack(n, packed, w.whole) for _, _, n, packed in rows]
+        left, right, own, order, place, again = (np.concatenate(x) for x in zip(*parts))
         by = np.lexsort((place, order, own))
         o = own[by]
         new = np.ones(len(by), bool)
         new[1:] = o[1:] != o[:-1]
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
         late = np.zeros(len(by), bool)
-        late[by] = (order[by] > order[by][first]) | ((place[by] > place[by][first]) if ordered else False)
+        late[by] = (order[by] > order[by][first]) | ((place[by] > place[by][first]) if w.ordered else False)
         lefts, rights = sharing(left, own), sharing(right, own)
         some = ((lefts > 1) & (lefts <= hot)) | ((rights > 1) & (rights <= hot))
-        flags = np.where(late, _LATE, _COMPARE * some + _HOT_LEFT * (lefts > hot) + _HOT_RIGHT * (rights > hot)).astype(np.uint8)
+        flags = np.where(late, _LATE, _COMPARE * some + _HOT_LEFT * (lefts > hot) + _HOT_RIGHT * (rights > hot) + _REPEATED * (w.whole & _with_late(by, new, late | again))).astype(np.uint8)
         at = np.cumsum([0, *(r[2] for r in rows)])
         packed = [pa.compress(flags[s:e].tobytes(), "zstd", asbytes=True) for s, e in zip(at, at[1:])]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "block", "n", "packed"])
@@ -274,17 +287,22 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PIECE_NAMES = ["anchor", "order_id", "text_key", "low", "packed"]
 
 
-def _spans_of(order: np.ndarray, key: np.ndarray, low: np.ndarray, length: int) -> tuple[list, list, list]:
-    """Windows to one row of spans for each document."""
+def _spans_of(order: np.ndarray, key: np.ndarray, low: np.ndarray, end: np.ndarray) -> tuple[list, list, list]:
+    """Runs to one row of spans for each document."""
     by = np.lexsort((low, key, order))
-    order, key, low = order[by], key[by], low[by]
+    order, key, low, end = order[by], key[by], low[by], end[by]
     head = np.flatnonzero(np.concatenate([[True], (order[1:] != order[:-1]) | (key[1:] != key[:-1])])) if len(by) else by
-    return order[head].tolist(), key[head].tolist(), [np.stack([x, x + length], 1).astype(np.int64).tobytes() for x in np.split(low, head[1:])] if len(by) else []
+    return order[head].tolist(), key[head].tolist(), [x.astype(np.int64).tobytes() for x in np.split(np.stack([low, end], 1), head[1:])] if len(by) else []
+
+
+#: Ends the bytes of a context sent with half of each unit's hash.
+_HALVES = b"\1"
 
 
-def _cut(w: Windows, most_windows: int = 1 << 17):
+def _cut(w: Windows, most_windows: int = 1 << 17, most_units: int = 1 << 22):
     """Flagged texts to spans that are repeats (anchor null), contexts that need comparing, and windows of hot contexts, each
-    in its task's first occurrence; those come under the window's hash as anchor."""
+    in its task's first occurrence; those come under the window's hash as anchor. With ``whole`` equal contexts come as well,
+    in their task's first occurrence, under their own hash; so half of each unit's hash is enough for them."""
     reach = (w.length - w.gram + 1) // 2
 
     def hot_windows(values: np.ndarray, c: dict, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -304,14 +322,29 @@ def _cut(w: Windows, most_windows: int = 1 << 17):
         head = np.concatenate([[True], window[1:] != window[:-1]])
         first = np.flatnonzero(head)[np.cumsum(head) - 1]
         late = ((order > order[first]) | ((low > low[first]) if w.ordered else False)) & (units == units[first]).all(1)
-        ids, keys, spans = _spans_of(order[late], key[late], low[late], w.length)
+        ids, keys, spans = _spans_of(order[late], key[late], low[late], low[late] + w.length)
         sent = ~late
         none = [None] * len(ids)
         columns = [[*none, *window[sent].view(np.int64).tolist()], [*ids, *order[sent].tolist()], [*keys, *key[sent].tolist()], [*none, *low[sent].tolist()]]
         return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns], pa.array([*spans, *(x.tobytes() for x in units[sent])], pa.binary())], names=_PIECE_NAMES)
 
+    def first_of_equal(held: list[tuple]) -> pa.RecordBatch:
+        order, key, low, end, own = (np.concatenate([h[k] for h in held]) for k in range(5))
+        units = [x for h in held for x in h[5]]
+        by = np.lexsort((low, order))
+        places = list(zip(order.tolist(), low.tolist() if w.ordered else [0] * len(by)))
+        first, late = {}, np.zeros(len(by), bool)
+        for k, name in zip(by.tolist(), own[by].tolist()):
+            late[k] = first.setdefault((name, units[k]), places[k]) < places[k]
+        ids, keys, spans = _spans_of(order[late], key[late], low[late], end[late])
+        sent = np.flatnonzero(~late)
+        none = [None] * len(ids)
+        columns = [[*none, *own[sent].view(np.int64).tolist()], [*ids, *order[sent].tolist()], [*keys, *key[sent].tolist()], [*none, *low[sent].tolist()]]
+        return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns], pa.array([*spans, *(units[k] + _HALVES for k in sent)], pa.binary())], names=_PIECE_NAMES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        equal, equal_size = [], 0
         for batch in (part for b in batches for part in arrays.slices(b, b.schema.get_field_index("text"))):
             values, first, last, source = w.units(batch.column("text"))
             c = contexts(w, values, first, last)
@@ -320,7 +353,16 @@ def _cut(w: Windows, most_windows: int = 1 << 17):
                 raise ValueError("a text changed between two reads")
             low, end = c["low"] - first[c["row"]], c["high"] + w.length - first[c["row"]]
             ids, keys = batch.column("order_id").to_numpy(), batch.column("text_key").to_numpy()
-            done = np.flatnonzero(flag & _LATE)
+            if w.whole and len(again := np.flatnonzero(flag & (_LATE | _REPEATED))):
+                halves = (source >> _U64(32)).astype(np.uint32)
+                units = [halves[s:e].tobytes() for s, e in zip(c["low"][again].tolist(), (c["high"][again] + w.length).tolist())]
+                row = c["row"][again]
+                equal.append((ids[row], keys[row], low[again], end[again], c["own"][again], units))
+                equal_size += int((end - low)[again].sum())
+                if equal_size >= most_units:
+                    yield first_of_equal(equal)
+                    equal, equal_size = [], 0
+            done = np.flatnonzero(flag & _LATE) if not w.whole else np.zeros(0, np.int64)
             rows, edges = np.unique(c["row"][done], return_index=True)
             spans = [np.stack([low[x], end[x]], 1).astype(np.int64).tobytes() for x in np.split(done, edges[1:])] if len(rows) else []
             open_ = np.flatnonzero(flag & _COMPARE)
@@ -340,6 +382,8 @@ def _cut(w: Windows, most_windows: int = 1 << 17):
                         held, size = [], 0
         if held:
             yield first_of(held)
+        if equal:
+            yield first_of_equal(equal)
 
     return run
 
@@ -347,8 +391,13 @@ def _cut(w: Windows, most_windows: int = 1 << 17):
 def _compared(w: Windows, compare: Callable, chunk_bytes: int):
     """Contexts by anchor to spans; rows that are spans already pass."""
 
+    def units(packed: bytes) -> bytes:
+        if w.whole and len(packed) % 4:
+            return np.frombuffer(packed[: -len(_HALVES)], np.uint32).astype(_U64).tobytes()
+        return packed
+
     def answer(rows: list[tuple]) -> pa.RecordBatch:
-        found = compare(w, [r[0] for r in rows], [r[4] for r in rows], np.array([r[1] for r in rows]), np.array([r[3] for r in rows]))  # (context, window start in it) arrays
+        found = compare(w, [r[0] for r in rows], [units(r[4]) for r in rows], np.array([r[1] for r in rows]), np.array([r[3] for r in rows]))  # (context, window start in it) arrays
         which, start = found
         low = np.array([r[3] for r in rows])[which] + start
         keep = np.unique(which)
@@ -403,7 +452,7 @@ def with_spans(docs: DataFrame, w: Windows, compare: Callable, block_rows: int =
     buckets = min(MAX_BUCKETS, max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     sent = docs.select("order_id", "text_key", "text").mapInArrow(arrays.freeing(_sent(w, buckets, block_rows, block_units)), _SENT)
     by_bucket = sent.repartition(F.coalesce("bucket", -F.col("block") - 1)).sortWithinPartitions("bucket")
-    flagged = by_bucket.mapInArrow(arrays.freeing(_flagged(w.ordered, hot)), _SENT)
+    flagged = by_bucket.mapInArrow(arrays.freeing(_flagged(w, hot)), _SENT)
     by_block = flagged.repartition("block").sortWithinPartitions("block", F.asc_nulls_first("bucket"))
     flags = by_block.mapInArrow(arrays.freeing(_by_document), "order_id bigint, text_key bigint, flags binary").dropDuplicates(["order_id", "text_key"])
     texts = docs.join(flags, ["order_id", "text_key"]).select(*docs.columns, "flags")

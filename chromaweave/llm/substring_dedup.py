@@ -1,9 +1,10 @@
 """Removal of repeated word runs with suffix automata.
 
-Candidates come from ``repeats``: runs of words that share an anchor with others. The runs of one anchor are one
-reference shard: in document order each run is streamed through the suffix automaton of those before it, and its
-matching statistics tell which of its windows occurred earlier. The reference is the corpus itself, which has no size
-bound; so the automata are not broadcast, but built where the runs of their shard meet.
+Candidates come from ``repeats``: runs of words that share an anchor with others, or that are equal by hash. The runs of
+one anchor or hash are one reference shard: in document order each run is streamed through the suffix automaton of those
+before it, and its matching statistics tell which of its windows occurred earlier. The reference is the corpus itself,
+which has no size bound; so the automata are not broadcast, but built where the runs of their shard meet. Only runs that
+are equal word for word to an earlier one of the same task are not sent there again.
 """
 
 from __future__ import annotations
@@ -136,5 +137,5 @@ def remove_repeated_words(docs: DataFrame, length: int = 20, gram: int = 8, with
     words lose nothing; rows that share a doc_id count as one document and are compared by place; a null
     doc_id is larger than all others; repeated rows are answered each; other columns are ignored.
     """
-    joined = with_spans(keyed(docs), Windows(length, gram, _word_units, True), compare_with_automata, block_units=1 << 21, hot=hot).select(F.when(F.col("order_id") != LAST, F.col("order_id")).alias("doc_id"), "text", "spans")
+    joined = with_spans(keyed(docs), Windows(length, gram, _word_units, True, whole=True), compare_with_automata, block_units=1 << 21, hot=hot).select(F.when(F.col("order_id") != LAST, F.col("order_id")).alias("doc_id"), "text", "spans")
     return joined.mapInArrow(arrays.freeing(_without(with_text)), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", text string" if with_text else ""))
