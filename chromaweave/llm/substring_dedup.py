@@ -4,7 +4,7 @@ Candidates come from ``repeats``: runs of words that share an anchor with others
 one anchor or hash are one reference shard: in document order each run is streamed through the suffix automaton of those
 before it, and its matching statistics tell which of its windows occurred earlier. The reference is the corpus itself,
 which has no size bound; so the automata are not broadcast, but built where the runs of their shard meet. Only runs that
-are equal word for word to an earlier one of the same task are not sent there again.
+are equal to an earlier one of the same task, in their own hash and in every word's, are not sent there again.
 """
 
 from __future__ import annotations

@@ -217,4 +217,25 @@ def test_very_long_text(spark):
     docs = fx.table(spark, rows)
     assert {r.doc_id: r.n_removed for r in remove_repeated_bytes(docs).collect()} == {1: 0, 2: len(text), 3: 0}
     assert {r.doc_id: r.n_words for r in remove_repeated_words(docs).collect()} == {1: 150_001, 2: 150_002, 3: 1}
-    assert docs.where(F.col("doc_id") == 1).count() == 1
+    assert {r.doc_id: r.n_tokens > 150_000 for r in token_counts(docs, BPE).collect()} == {1: True, 2: True, 3: False}
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs).collect()} == {(1, 2, 1), (2, 3, 2), (3, 1, 3)}
+    bench = spark.createDataFrame([(1, "word " * 12 + "ende"), (2, "short")], "item_id long, text string")
+    assert {(r.doc_id, r.n_words, r.n_hit) for r in decontaminate(docs, bench).collect()} == {(1, 150_001, 13), (2, 150_002, 13), (3, 1, 1)}
+    found = scan_licences(docs, spark.createDataFrame([("W", text.upper())], "license_id string, text string"))
+    assert {(r.doc_id, r.license_id) for r in found.collect()} == {(1, "W"), (2, None), (3, None)}
+
+
+@pytest.mark.parametrize("most", [1, 1 << 22])
+def test_equal_runs_meet_in_the_automata(spark, monkeypatch, most):
+    """Copies over many tasks: whatever is removed comes from automata, but for runs equal word for word in one task."""
+    from chromaweave.llm import repeats, substring_dedup
+
+    cut = repeats._cut
+    monkeypatch.setattr(repeats, "_cut", lambda w: cut(w, most_units=most))
+    words = " ".join(f"w{k * k % 977}" for k in range(400))
+    rows = [(k, words if k % 3 else f"own{k} {words} own{k}") for k in range(40)] + [(None, words), (7, words)]
+    got = remove_repeated_words(fx.table(spark, rows).repartition(5), length=20)
+    same(rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256"), fx.repeated_words(rows, 20))
+    none = remove_repeated_words(fx.table(spark, [(1, words), (2, words + " x")]).repartition(2), length=20)
+    assert {r.doc_id: r.n_removed for r in none.collect()} == {1: 0, 2: 400}
+    assert substring_dedup.remove_repeated_words(fx.table(spark, [(1, words)])).first().n_removed == 0
