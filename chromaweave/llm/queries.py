@@ -13,6 +13,7 @@ from chromaweave.llm.jaccard_join import jaccard_components
 from chromaweave.llm.language import fit_languages, identify_language
 from chromaweave.llm.licences import KNOWN, scan_licences
 from chromaweave.llm.licences import oracle_sql as licences_sql
+from chromaweave.llm.manifest import FIELDS, leaf_digest, manifest
 from chromaweave.llm.neighbours import nearest
 from chromaweave.llm.pieces import encode_pieces
 from chromaweave.llm.quality import fit_quality, score_quality
@@ -20,6 +21,8 @@ from chromaweave.llm.session import for_long_texts
 from chromaweave.llm.substring_dedup import remove_repeated_words
 from chromaweave.llm.suffix_dedup import remove_repeated_bytes
 from chromaweave.llm.token_counts import token_counts
+from chromaweave.llm.toxicity import fit_toxicity, score_toxicity
+from chromaweave.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +81,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13, one_in=20)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    found = leaf_digest(*[lowered if f == "text" else F.col(f) for f in FIELDS])
+    return manifest(docs, F.when(_fold(3) == 0, found)).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(_fold(4) != 2).select("doc_id", F.col("toxic").alias("label"))
+    scored = score_toxicity(docs, fit_toxicity(docs, labels), threshold=0.3)
+    return scored.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted", "n_sentences", F.size("offending").cast("bigint").alias("n_offending"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"), components=32)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -89,6 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_pieces": op9_pieces,
     "op10_decontamination": op10_decontamination,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_toxicity": op12_toxicity,
+    "op13_whitening": op13_whitening,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
@@ -146,5 +170,29 @@ WITH d AS (
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE c AS (SELECT *, list_reduce(list_concat([4294967295], flatten([[ord(substring(s, k, 1)), -1, -1, -1, -1, -1, -1, -1, -1] FOR k IN range(1, length(s) + 1)])),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS r FROM (SELECT *, doc_id::VARCHAR AS s FROM documents)
+), d AS (SELECT *, CASE WHEN xor(r, 4294967295) % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS tampered FROM c
+), f AS (SELECT *, concat(coalesce(strlen(s) || ':' || s, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head FROM d
+), l AS (SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(tampered) || ':' || tampered, '-')) AS found FROM f
+), placed AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM l
+), tree AS (SELECT g, 0 AS level, pos, leaf AS node, n FROM placed
+  UNION ALL SELECT g, any_value(level) + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM tree WHERE n > 1 GROUP BY g, pos // 8
+), subs AS (SELECT g, node AS subroot, (SELECT count(DISTINCT g) FROM placed) AS n FROM tree WHERE tree.n = 1
+), top AS (SELECT 0 AS level, g AS pos, subroot AS node, n FROM subs
+  UNION ALL SELECT any_value(level) + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM top WHERE n > 1 GROUP BY pos // 8
+), root AS (SELECT node AS root FROM top WHERE n = 1
+), sib AS (SELECT a.g, a.level, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS lo, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS hi
+  FROM tree a JOIN tree b ON a.g = b.g AND a.level = b.level AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY ALL
+  UNION ALL SELECT NULL, a.level, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), ''), coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '')
+  FROM top a JOIN top b ON a.level = b.level AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY ALL
+), walk AS (SELECT g AS own, pos AS own_pos, g AS tree_of, 0 AS level, pos, n, found AS node, '' AS proof FROM placed
+  UNION ALL SELECT own, own_pos, CASE WHEN w.n = 1 THEN NULL ELSE tree_of END, CASE WHEN w.n = 1 THEN 0 ELSE w.level + 1 END, CASE WHEN w.n = 1 THEN own ELSE w.pos // 8 END,
+    CASE WHEN w.n = 1 THEN (SELECT count(DISTINCT g) FROM placed) ELSE (w.n + 7) // 8 END, CASE WHEN w.n = 1 THEN w.node ELSE sha256(lo || w.node || hi) END, CASE WHEN w.n = 1 THEN proof ELSE proof || lo || hi END
+  FROM walk w LEFT JOIN sib ON w.tree_of IS NOT DISTINCT FROM sib.g AND w.level = sib.level AND w.pos = sib.pos WHERE w.n > 1 OR w.tree_of IS NOT NULL)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM placed JOIN subs USING (g) CROSS JOIN root JOIN (SELECT own, own_pos, node, proof FROM walk WHERE tree_of IS NULL AND n = 1) ON own = placed.g AND own_pos = placed.pos
 """,
 }
