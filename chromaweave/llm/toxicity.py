@@ -93,9 +93,14 @@ def fit_noisy_or(hashes: np.ndarray, of: np.ndarray, owner: np.ndarray, labels:
     """Adam on the weighted log loss of documents, all at once, with an L1 penalty on the weights. Candidates are words of at least
     ``least`` documents that label 1 has more often, with a log-likelihood ratio (G) of ``significance`` or more. ``of`` is each word's sentence, ``owner`` each sentence's document, both ascending."""
     rows, n = len(labels), len(owner)
-    pairs = np.unique(np.stack([hashes, owner[of].astype(np.uint64)], 1), axis=0) if len(hashes) else np.zeros((0, 2), np.uint64)
-    words, documents = arrays.counted([pairs[:, 0].copy()])
-    of_one = np.bincount(np.searchsorted(words, pairs[:, 0]), weights=labels[pairs[:, 1].astype(np.int64)], minlength=len(words))
+    bag = owner[of]
+    order = np.lexsort((bag, hashes))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (bag[order[1:]] != bag[order[:-1]])
+    first = order[fresh]  # of each word in each document
+    words, documents = arrays.counted([hashes[first].copy()])
+    of_one = np.bincount(np.searchsorted(words, hashes[first]), weights=labels[bag[first]], minlength=len(words))
+    del order, fresh, first
     words = words[(documents >= least) & (_log_ratio(of_one, documents, labels.mean()) >= significance)]
     at = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
     known = words[at] == hashes if len(words) else np.zeros(len(hashes), bool)
@@ -127,7 +132,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in made], pa.binary()), pa.array([b for _, b in made], pa.binary())], names=["doc_id", "label", "words", "sentences"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_words: int = 6_000_000) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_words: int = 4_000_000) -> ToxicityModel:
     """Fit on labelled documents, whole texts: of each label those with the smallest hashes of doc_id, at most ``sample``, weighted
     back to the share their label has; of these, where they have more than ``sample_words`` words together (12 bytes each on the
     driver), the shortest that have so many.
