@@ -27,23 +27,25 @@ def duplicates(records: DataFrame) -> DataFrame:
     return records.groupBy("chrom", "start", "end").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def map_to_intervals(barriers: DataFrame, intervals: DataFrame, bin_size: int = 50_000) -> DataFrame:
+def map_to_intervals(barriers: DataFrame, intervals: DataFrame) -> DataFrame:
     """(interval_id, pos, stp_active, stp_inactive, blocks) of each barrier record that overlaps an interval."""
-    joined = overlap_join(intervals.select("interval_id", "chrom", "start", "end"), barriers, bin_size)
+    joined = overlap_join(intervals.select("interval_id", "chrom", "start", "end"), barriers)
     return joined.select("interval_id", "chrom", F.col("r_pos").alias("pos"), F.col("r_stp_active").alias("stp_active"), F.col("r_stp_inactive").alias("stp_inactive"), F.col("r_blocks").alias("blocks"))
 
 
-def annotate(records: DataFrame, track: DataFrame, scale: float, lower: float = 0.0, upper: float = 1.0, clamp: bool = False, bin_size: int = 50_000) -> DataFrame:
+def annotate(records: DataFrame, track: DataFrame, scale: float, lower: float = 0.0, upper: float = 1.0, clamp: bool = False) -> DataFrame:
     """BED6 records with the score replaced by the logistic of the track's largest value over them.
 
     Scores outside [lower, upper] are brought to the bounds with ``clamp``, else the record is dropped; records
-    without any value are dropped, too. Records must be distinct in (chrom, start, end, name, strand).
+    without any value are dropped, too. Repeated records stay as many.
     """
     key = ["chrom", "start", "end", "name", "strand"]
-    best = overlap_join(records.select(*key), track.where(~F.isnan("value")), bin_size).groupBy(*key).agg(F.max("r_value").alias("_max"))
+    counted = records.groupBy(*key).agg(F.count("*").alias("_times"))  # equal records have one score
+    best = overlap_join(counted, track.where(~F.isnan("value"))).groupBy(*key, "_times").agg(F.max("r_value").alias("_max"))
     score = logistic(F.col("_max"), scale)
     scored = best.withColumn("score", F.greatest(F.lit(lower), F.least(F.lit(upper), score)) if clamp else score)
-    return scored.where(F.col("score").between(lower, upper)).select("chrom", "start", "end", "name", "score", "strand")
+    kept = scored.where(F.col("score").between(lower, upper))
+    return kept.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("chrom", "start", "end", "name", "score", "strand")
 
 
 def with_occupancy(barriers: DataFrame, occupancy: float, stp_inactive: float) -> DataFrame:

@@ -1,34 +1,86 @@
-"""Joins of half-open intervals and of points with intervals, as equi-joins on coarse bins."""
+"""Joins of half-open intervals and of points with intervals, as equi-joins on bins."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chromaweave.tables import numbered
 
-def overlap_join(left: DataFrame, right: DataFrame, bin_size: int = 50_000, how: str = "inner") -> DataFrame:
+
+#: Widths of bins: a level's are eight times as wide as those of the one below, from 4,096 bases on; the last spans all of 2^63.
+_SMALLEST, _STEP, _TOP = 12, 3, 17
+
+
+def _level(start: Column, end: Column) -> Column:
+    """The first level at which an interval is no longer than a bin, and so lies in two bins at most."""
+    bits = F.length(F.bin(F.greatest(end - 1 - start, F.lit(0))))
+    return F.greatest(F.lit(0), F.ceil((bits - _SMALLEST) / _STEP)).cast("int")
+
+
+def _bins(start: Column, end: Column, level: Column) -> tuple[Column, Column]:
+    """First and last bin at a level; an empty interval has its start's."""
+    shift = F.lit(_SMALLEST) + level * _STEP
+    return F.call_function("shiftright", start, shift), F.call_function("shiftright", F.greatest(start, end - 1), shift)
+
+
+def _dealt(rows: DataFrame, own_levels: Column, prefix: str, left: bool) -> DataFrame:
+    """``rows`` once for each bin of each place where partners can be: side ``a`` for pairs whose left interval has the bin's own
+    level and the right one that or a lower, side ``b`` for the rest."""
+    start, end = F.col(f"{prefix}start"), F.col(f"{prefix}end")
+    own = _level(start, end)
+    rows = rows.withColumn(f"_{prefix}levels", own_levels)
+    up = F.filter(f"_{prefix}levels", lambda x: x > own)
+    one = lambda side: lambda x: F.struct(F.lit(side).alias("side"), x.alias("level"))
+    home = F.array(own)
+    places = F.concat(F.transform(home, one("a")), F.transform(up, one("b"))) if left else F.concat(F.transform(F.concat(home, up), one("a")), F.transform(home, one("b")))
+    out = rows.withColumn(f"_{prefix}at", F.explode(places)).drop(f"_{prefix}levels")
+    first, last = _bins(start, end, F.col(f"_{prefix}at.level"))
+    return out.withColumns({f"_{prefix}first": first, f"_{prefix}bin": F.explode(F.sequence(first, last))})
+
+
+def _levels_of(rows: DataFrame) -> Column:
+    """The levels that intervals of a table have: at most 18 numbers."""
+    return rows.select(F.collect_set(_level(F.col("start"), F.col("end")))).scalar()
+
+
+def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     """Pairs of rows of the same chrom that overlap: columns of ``left``, then those of ``right`` with prefix ``r_``.
 
-    Both sides have chrom, start, end. Each row is dealt to the bins it touches, so a pair meets in every bin it
-    shares; it is kept in the first. ``how="left"`` keeps unmatched left rows; such rows must be distinct.
+    Both sides have chrom, start, end, whole numbers from 0 on. Bins have several levels, eight times as wide each; an interval's
+    own level is the first where it lies in two bins at most, and two intervals meet at the higher of their levels. So an
+    interval makes two rows at its level and two more at each higher one that the other table has, 38 at most, however long it
+    is, and short ones do not meet each other in bins of long ones. A pair is kept in the first bin it shares. ``how="left"``
+    keeps unmatched rows of ``left``, repeated ones too.
     """
-    a = left.withColumn("_first", F.floor(F.col("start") / bin_size)).withColumn("_bin", F.explode(F.sequence("_first", F.greatest(F.col("_first"), F.floor((F.col("end") - 1) / bin_size)))))
-    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("_r_first", F.floor(F.col("r_start") / bin_size)).withColumn("_r_bin", F.explode(F.sequence("_r_first", F.greatest(F.col("_r_first"), F.floor((F.col("r_end") - 1) / bin_size)))))
-    meets = (F.col("chrom") == F.col("r_chrom")) & (F.col("_bin") == F.col("_r_bin")) & (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end")) & (F.col("_bin") == F.greatest("_first", "_r_first"))
-    pairs = a.join(b, meets).drop("_first", "_bin", "_r_first", "_r_bin")
+    named = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
+    a = _dealt(left, _levels_of(right), "", True)
+    b = _dealt(named, _levels_of(left), "r_", False)
+    meets = (F.col("chrom") == F.col("r_chrom")) & (F.col("_at") == F.col("_r_at")) & (F.col("_bin") == F.col("_r_bin")) & (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end")) & (F.col("_bin") == F.greatest("_first", "_r_first"))
+    pairs = a.join(b, meets).drop("_at", "_first", "_bin", "_r_at", "_r_first", "_r_bin")
     if how == "inner":
         return pairs
-    found = pairs.select(*[F.col(c).alias(f"_l_{c}") for c in left.columns], *[f"r_{c}" for c in right.columns])
-    same = [F.col(c).eqNullSafe(F.col(f"_l_{c}")) for c in left.columns]
-    return left.join(found, same, "left").drop(*[f"_l_{c}" for c in left.columns])
+    met = pairs.select(*[F.col(c).alias(f"_l_{c}") for c in left.columns]).distinct()  # equal rows have partners alike
+    alone = left.join(met, [F.col(c).eqNullSafe(F.col(f"_l_{c}")) for c in left.columns], "left_anti")
+    return pairs.unionByName(alone, allowMissingColumns=True)
 
 
-def overlap_counts(queries: DataFrame, intervals: DataFrame, key: str, bin_size: int = 50_000) -> DataFrame:
+def overlap_counts(queries: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
     """Each query's key with how many intervals overlap it, the first and the last of them by start and end."""
-    hits = overlap_join(queries, intervals.select("chrom", "start", "end"), bin_size).groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("r_start", "r_end")).alias("_low"), F.max(F.struct("r_start", "r_end")).alias("_high"))
+    hits = overlap_join(queries, intervals.select("chrom", "start", "end")).groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("r_start", "r_end")).alias("_low"), F.max(F.struct("r_start", "r_end")).alias("_high"))
     return queries.select(key).join(hits, key, "left").select(key, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), (F.coalesce("n", F.lit(0)) > 0).alias("any"), F.col("_low.r_start").alias("lower_start"), F.col("_high.r_start").alias("upper_start"))
 
 
+def equal_range(queries: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
+    """Each query's key with the half-open range [lower, upper) from the first to the last interval that overlaps it, as places in
+    its chromosome's intervals by start and end, and how many of these do overlap. Without any: both are the number of intervals."""
+    placed = numbered(intervals.select("chrom", "start", "end"), ["chrom"], ["start", "end"], "place", "size")
+    hits = overlap_join(queries, placed).groupBy(key).agg(F.min("r_place").alias("_lower"), (F.max("r_place") + 1).alias("_upper"), F.count("*").alias("n"))
+    sizes = intervals.groupBy("chrom").agg(F.count("*").alias("_size"))
+    size = F.coalesce("_size", F.lit(0))
+    return queries.select(key, "chrom").join(sizes, "chrom", "left").join(hits, key, "left").select(key, F.coalesce("_lower", size).alias("lower"), F.coalesce("_upper", size).alias("upper"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def point_lookup(rows: DataFrame, value: str, ranges: list[tuple[float, float, float]], out: str) -> DataFrame:
     """``value`` replaced by the third number of the first range with start < value < end; as it is if there is none."""
     mapped: Column = F.col(value).cast("double")

@@ -132,16 +132,28 @@ def b03_overlap_counts(spark, sf_dir):
     return intervals.overlap_counts(view(spark, sf_dir, "intervals"), view(spark, sf_dir, "track"), "interval_id")
 
 
-@_query("""WITH m AS (SELECT b.chrom, b.start, b."end", b.name, b.strand, max(t.value) AS v FROM (SELECT DISTINCT * FROM barriers) b JOIN track t ON b.chrom = t.chrom AND b.start < t."end" AND t.start < b."end" GROUP BY ALL)
+@_query("""WITH t AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY start, "end") - 1 AS place, count(*) OVER (PARTITION BY chrom) AS size FROM track)
+SELECT interval_id, coalesce(min(place), any_value(size), 0) AS lower, coalesce(max(place) + 1, any_value(size), 0) AS upper, count(place) AS n FROM (SELECT i.interval_id, CASE WHEN i.start < t."end" AND t.start < i."end" THEN place END AS place, size FROM intervals i LEFT JOIN t USING (chrom)) GROUP BY interval_id""", "intervals", "track")
+def b12_equal_range(spark, sf_dir):
+    return intervals.equal_range(view(spark, sf_dir, "intervals"), view(spark, sf_dir, "track"), "interval_id")
+
+
+def _repeated_barriers(spark, sf_dir):
+    """Every third record twice."""
+    b = view(spark, sf_dir, "barriers")
+    return b.unionByName(b.where("start % 3 = 0"))
+
+
+@_query("""WITH b AS (SELECT *, row_number() OVER () AS id FROM (SELECT * FROM barriers UNION ALL SELECT * FROM barriers WHERE start % 3 = 0)), m AS (SELECT b.id, b.chrom, b.start, b."end", b.name, b.strand, max(t.value) AS v FROM b JOIN track t ON b.chrom = t.chrom AND b.start < t."end" AND t.start < b."end" GROUP BY ALL)
 SELECT chrom, start, "end", name, round(1 / (1 + exp(-v / 20)), 6) AS score, strand FROM m WHERE 1 / (1 + exp(-v / 20)) BETWEEN 0.6 AND 0.99""", "barriers", "track")
 def b04_annotated(spark, sf_dir):
-    return _round(bars.annotate(view(spark, sf_dir, "barriers"), view(spark, sf_dir, "track"), 20, 0.6, 0.99), "score")
+    return _round(bars.annotate(_repeated_barriers(spark, sf_dir), view(spark, sf_dir, "track"), 20, 0.6, 0.99), "score")
 
 
-@_query("""WITH m AS (SELECT b.chrom, b.start, b."end", b.name, b.strand, max(t.value) AS v FROM (SELECT DISTINCT * FROM barriers) b JOIN track t ON b.chrom = t.chrom AND b.start < t."end" AND t.start < b."end" GROUP BY ALL)
+@_query("""WITH b AS (SELECT *, row_number() OVER () AS id FROM (SELECT * FROM barriers UNION ALL SELECT * FROM barriers WHERE start % 3 = 0)), m AS (SELECT b.id, b.chrom, b.start, b."end", b.name, b.strand, max(t.value) AS v FROM b JOIN track t ON b.chrom = t.chrom AND b.start < t."end" AND t.start < b."end" GROUP BY ALL)
 SELECT chrom, start, "end", name, round(greatest(0.6, least(0.9, 1 / (1 + exp(-v / 20)))), 6) AS score, strand FROM m""", "barriers", "track")
 def b05_annotated_clamped(spark, sf_dir):
-    return _round(bars.annotate(view(spark, sf_dir, "barriers"), view(spark, sf_dir, "track"), 20, 0.6, 0.9, clamp=True), "score")
+    return _round(bars.annotate(_repeated_barriers(spark, sf_dir), view(spark, sf_dir, "track"), 20, 0.6, 0.9, clamp=True), "score")
 
 
 @_query("""SELECT chrom, s AS start, s + 20 AS "end", count(*) AS n FROM (SELECT chrom, start // 1000000 * 1000000 AS s FROM barriers) GROUP BY ALL HAVING count(*) > 1""", "barriers")

@@ -19,7 +19,7 @@ def select_intervals(chroms: DataFrame, regions: DataFrame | None) -> DataFrame:
     """(interval_id, chrom, start, end): whole chromosomes, or the regions that overlap one, cut to its size."""
     whole = chroms.select("chrom", F.lit(0).cast("bigint").alias("start"), F.col("size").alias("end"))
     if regions is not None:
-        whole = overlap_join(regions.select("chrom", "start", "end"), whole, 10_000_000).select("chrom", "start", F.least("end", "r_end").alias("end"))
+        whole = overlap_join(regions.select("chrom", "start", "end"), whole).select("chrom", "start", F.least("end", "r_end").alias("end"))
     return whole.withColumn("interval_id", F.xxhash64("chrom", "start", "end"))
 
 

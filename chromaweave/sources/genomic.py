@@ -1,7 +1,7 @@
 """Readers and writers of genomic text formats and of contact matrices kept as Parquet.
 
-HDF5 matrices cannot be read without libraries that are not part of this project: matrices are Parquet tables of
-pixels beside a JSON description. Tracks are bedGraph, bigWig (read only) or Parquet.
+Matrices are HDF5 files (``sources/cooler.py``) by their ending, else Parquet tables of pixels beside a JSON description.
+Tracks are bedGraph, bigWig or Parquet.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from chromaweave.functions.formulas import strip_quotes
 from chromaweave.sources.bigwig import read_bigwig
+from chromaweave.sources.cooler import read_cooler, write_cooler
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -163,7 +164,9 @@ def write_lines(lines: DataFrame, path: str, compression: str | None = None) ->
 
 def write_matrix(pixels: DataFrame, chroms: DataFrame, path: str, bin_size: int, nrows: int, metadata: dict | None = None) -> None:
     """Pixels that are not 0, by chrom and sorted in files of some rows of bins, with their distance from the diagonal, and
-    a description beside."""
+    a description beside; as one HDF5 file if the path ends in .cool."""
+    if path.endswith(".cool"):
+        return write_cooler(pixels, chroms, path, bin_size, {"nrows": nrows, **(metadata or {})})
     kept = pixels.where("count <> 0").withColumn("diag", F.col("bin2") - F.col("bin1"))
     kept.repartition("chrom", F.floor(F.col("bin1") / _BINS_A_FILE)).sortWithinPartitions("chrom", "bin1", "bin2").write.partitionBy("chrom").parquet(f"{path}/pixels")
     about = json.dumps({"bin_size": bin_size, "nrows": nrows, **(metadata or {})})
@@ -172,7 +175,11 @@ def write_matrix(pixels: DataFrame, chroms: DataFrame, path: str, bin_size: int,
 
 def read_matrix(spark: SparkSession, path: str, chrom: str | None = None, start: int = 0, end: int | None = None, diagonal_width: int = 0) -> tuple[DataFrame, DataFrame, dict]:
     """Pixels, chroms and description of a written matrix; of one region and band only, if asked for. The filters are on
-    the partition column and on columns with statistics, so other data is not read."""
+    the partition column and on columns with statistics, so other data is not read. HDF5: ``path.cool`` or ``path.mcool::/group``."""
+    if path.partition("::")[0].endswith((".cool", ".mcool")):
+        pixels, chroms, about = read_cooler(spark, path, chrom, start, end, diagonal_width)
+        written = json.loads(about.get("metadata") or "{}")
+        return pixels, chroms, about | {"nrows": written["nrows"] if not diagonal_width and "nrows" in written else about["nrows"]}
     chroms = spark.read.parquet(f"{path}/chroms")
     about = json.loads(chroms.select("about").first()[0])
     pixels = spark.read.parquet(f"{path}/pixels")

@@ -74,14 +74,14 @@ def test_collision_words(spark):
 def test_overlaps(spark):
     held = spark.createDataFrame([("c", 0, 10), ("c", 5, 15)], "chrom string, start long, end long")
     asked = spark.createDataFrame([(k, "c", s, e) for k, (s, e) in enumerate([(0, 4), (0, 10), (5, 15), (0, 25), (16, 25)])], "id int, chrom string, start long, end long")
-    assert [r.n for r in overlap_counts(asked, held, "id", 4).orderBy("id").collect()] == [1, 2, 2, 2, 0]
-    assert overlap_join(asked, held, 4, how="left").where("r_start IS NULL").select("id").collect() == [(4,)]
+    assert [r.n for r in overlap_counts(asked, held, "id").orderBy("id").collect()] == [1, 2, 2, 2, 0]
+    assert overlap_join(asked, held, how="left").where("r_start IS NULL").select("id").collect() == [(4,)]
 
 
 def test_overlap_returns_only_overlaps(spark):
     held = spark.createDataFrame([("c", 0, 100), ("c", 10, 20), ("c", 50, 60)], "chrom string, start long, end long")
     asked = spark.createDataFrame([("c", 50, 55)], "chrom string, start long, end long")
-    assert {(r.r_start, r.r_end) for r in overlap_join(asked, held, 7).collect()} == {(0, 100), (50, 60)}
+    assert {(r.r_start, r.r_end) for r in overlap_join(asked, held).collect()} == {(0, 100), (50, 60)}
 
 
 def test_blur_equals_brute_force(spark):
