@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chromaweave.tables import numbered, running
+
 
 def weighted_mean(x: Column, w: Column) -> Column:
     return F.sum(w * x) / F.nullif(F.sum(w), F.lit(0.0))
@@ -50,28 +52,46 @@ def pearson(x: Column, y: Column, w: Column | None = None) -> Column:
     return correlation_of_moments(F.sum(w), F.sum(w * x), F.sum(w * y), F.sum(w * x * x), F.sum(w * y * y), F.sum(w * x * y))
 
 
+def _histogram(rows: DataFrame, groups: list[str], value: str, sums: dict[str, Column]) -> DataFrame:
+    """Of each value of a group: how many rows have it, with further sums, and how many have it or a smaller one."""
+    counted = rows.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"), *[c.alias(n) for n, c in sums.items()])
+    return running(counted, groups, [value], {"_to": ("sum", F.col(next(iter(sums), "_n")))})
+
+
+def _looked_up(rows: DataFrame, histogram: DataFrame, keys: list[str], out: str, rank: Column) -> DataFrame:
+    found = histogram.select(*[F.col(c).alias(f"_k{k}") for k, c in enumerate(keys)], rank.alias(out))
+    return rows.join(found, [F.col(c).eqNullSafe(F.col(f"_k{k}")) for k, c in enumerate(keys)]).select(*rows.columns, out)
+
+
 def with_ranks(rows: DataFrame, groups: list[str], value: str, out: str) -> DataFrame:
-    """Ranks from 0 within groups; ties share their mean."""
-    order = Window.partitionBy(*groups).orderBy(value)
-    peers = Window.partitionBy(*groups, value)
-    return rows.withColumn(out, F.rank().over(order) - 1 + (F.count(F.lit(1)).over(peers) - 1) / 2)
+    """Ranks from 0 within groups; ties share their mean. Equal values are counted first, ranks follow from running sums over the
+    distinct values, and rows look theirs up."""
+    held = _histogram(rows, groups, value, {})
+    return _looked_up(rows, held, [*groups, value], out, F.col("_to") - F.col("_n") + (F.col("_n") - 1) / 2)
 
 
 def with_weighted_ranks(rows: DataFrame, groups: list[str], value: str, weight: str, out: str) -> DataFrame:
-    """Weight of all smaller values, plus half of (ties + 1) times the mean weight of the ties."""
-    below = Window.partitionBy(*groups).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    peers = Window.partitionBy(*groups, value)
-    tied = F.sum(weight).over(peers)
-    return rows.withColumn(out, F.sum(weight).over(below) - tied + (F.count(F.lit(1)).over(peers) + 1) / 2 * F.avg(weight).over(peers))
+    """Weight of all smaller values, plus half of (ties + 1) times the mean weight of the ties; found as in ``with_ranks``."""
+    held = _histogram(rows, groups, value, {"_tied": F.sum(weight), "_mean": F.avg(weight)})
+    return _looked_up(rows, held, [*groups, value], out, F.col("_to") - F.col("_tied") + (F.col("_n") + 1) / 2 * F.col("_mean"))
+
+
+#: Rows of a group that one window holds, besides those that it borrows from the next.
+_BLOCK = 4096
 
 
 def moving_average(rows: DataFrame, groups: list[str], order: str, value: str, width: int, out: str) -> DataFrame:
-    """Means of ``width`` neighbours: n - width of them (the last window is left out); one mean if width >= n."""
-    place = Window.partitionBy(*groups).orderBy(order)
-    whole = Window.partitionBy(*groups)
-    numbered = rows.select("*", F.row_number().over(place).alias("_place"), F.count(F.lit(1)).over(whole).alias("_n"), F.avg(value).over(place.rowsBetween(0, width - 1)).alias("_some"), F.avg(value).over(whole).alias("_all"))
-    kept = numbered.where((F.col("_place") <= F.col("_n") - width) | ((F.col("_n") <= width) & (F.col("_place") == 1)))
-    return kept.withColumn(out, F.when(F.col("_n") <= width, F.col("_all")).otherwise(F.col("_some"))).drop("_place", "_n", "_some", "_all")
+    """Means of ``width`` neighbours: n - width of them (the last window is left out); one mean if width >= n. Groups are cut
+    into blocks, each with the first rows of the next."""
+    size = max(_BLOCK, width)
+    placed = numbered(rows, groups, [order], "_place", "_n")
+    block = F.floor(F.col("_place") / size)
+    home = placed.withColumn("_block", block)
+    lent = placed.where((F.col("_place") % size < width - 1) & (block > 0)).withColumn("_block", block - 1)
+    here = Window.partitionBy(*groups, "_block").orderBy("_place")
+    some = home.unionByName(lent).select("*", F.avg(value).over(here.rowsBetween(0, width - 1)).alias("_some")).where(F.col("_block") == block)
+    kept = some.where((F.col("_place") < F.col("_n") - width) | ((F.col("_n") <= width) & (F.col("_place") == 0)))
+    return kept.withColumn(out, F.col("_some")).select(*rows.columns, out)
 
 
 def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:

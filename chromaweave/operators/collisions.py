@@ -8,21 +8,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chromaweave.tables import numbered, running
+
 
 def ranked(lefs: DataFrame, cell: list[str]) -> DataFrame:
     """Ranks from 0 by position: rev units by (rev, epoch), fwd units by (fwd, epoch descending), then lef_id."""
-    rev = Window.partitionBy(*cell).orderBy("rev", "epoch", "lef_id")
-    fwd = Window.partitionBy(*cell).orderBy("fwd", F.desc("epoch"), "lef_id")
-    return lefs.withColumns({"rev_rank": F.row_number().over(rev) - 1, "fwd_rank": F.row_number().over(fwd) - 1})
+    rev = numbered(lefs, cell, ["rev", "epoch", "lef_id"], "rev_rank")
+    return numbered(rev, cell, ["fwd", F.desc("epoch"), "lef_id"], "fwd_rank")
 
 
 def adjusted_moves(ranked_lefs: DataFrame, cell: list[str]) -> DataFrame:
-    """Moves lengthened so that no unit overtakes its neighbour: targets stay strictly ordered by rank."""
-    up = Window.partitionBy(*cell).orderBy("fwd_rank")
-    down = Window.partitionBy(*cell).orderBy(F.desc("rev_rank"))
-    fwd = F.max(F.col("fwd") + F.col("fwd_move") - F.col("fwd_rank")).over(up) + F.col("fwd_rank") - F.col("fwd")
-    rev = F.col("rev") - (F.min(F.col("rev") - F.col("rev_move") - F.col("rev_rank")).over(down) + F.col("rev_rank"))
-    return ranked_lefs.withColumns({"fwd_move": fwd, "rev_move": rev})
+    """Moves lengthened so that no unit overtakes its neighbour: targets stay strictly ordered by rank. One scan up by fwd_rank
+    and one down by rev_rank, over many tasks."""
+    up = running(ranked_lefs, cell, ["fwd_rank"], {"_far": ("max", F.col("fwd") + F.col("fwd_move") - F.col("fwd_rank"))})
+    both = running(up, cell, [F.desc("rev_rank")], {"_near": ("min", F.col("rev") - F.col("rev_move") - F.col("rev_rank"))})
+    moves = {"fwd_move": F.col("_far") + F.col("fwd_rank") - F.col("fwd"), "rev_move": F.col("rev") - (F.col("_near") + F.col("rev_rank"))}
+    return both.withColumns(moves).drop("_far", "_near")
 
 
 def clamped_moves(lefs: DataFrame) -> DataFrame:

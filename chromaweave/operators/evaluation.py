@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chromaweave.functions.statistics import correlation_of_moments, pearson_significance, spearman_significance
@@ -84,8 +86,6 @@ def compare(reference: DataFrame, target: DataFrame, chroms: DataFrame, bin_size
         found = found.withColumn("w", F.lit(1.0))
     frame = _every_stripe(chroms, bin_size, nrows)
     frame = frame.join(total, "chrom", "left").na.fill(0.0, ["_w"]) if total is not None else frame.withColumn("_w", F.col("n").cast("double"))
-    if metric == "spearman":
-        found = _ranked(found, key, frame)
     x, y, w = F.col("x"), F.col("y"), F.col("w")
     if metric == "custom":
         # a stripe has no more places than the band is wide, so those that differ can be listed
@@ -94,9 +94,11 @@ def compare(reference: DataFrame, target: DataFrame, chroms: DataFrame, bin_size
         wrong = ends.select(*key, F.expr("size(filter(_differ, k -> k >= _low AND k < _high))").cast("bigint").alias("incorrect"), (F.col("_high") - F.col("_low")).alias("_span"))
         out = frame.join(wrong, key, "left").na.fill(0, ["incorrect", "_span"])
         return _placed(out, bin_size, [(F.col("_span") - F.col("incorrect")).alias("correct"), F.col("incorrect")])
-    ranks = [F.count("*").alias("_m"), F.first("zx").alias("_zx"), F.first("zy").alias("_zy"), F.max("any_x").alias("_ax"), F.max("any_y").alias("_ay")] if metric == "spearman" else []
-    moments = found.groupBy(*key).agg(*ranks, *[F.sum(e).alias(n) for n, e in {"sw": w, "sx": w * x, "sy": w * y, "sxx": w * x * x, "syy": w * y * y, "sxy": w * x * y, "sd": w * (x - y) * (x - y)}.items()], F.max(F.abs(x)).alias("mx"), F.max(F.abs(y)).alias("my"))
-    out = frame.join(moments, key, "left").na.fill(0.0, ["sw", "sx", "sy", "sxx", "syy", "sxy", "sd", "mx", "my"])
+    if metric == "spearman":
+        out = _rank_moments(found, key, frame)
+    else:
+        moments = found.groupBy(*key).agg(*[F.sum(e).alias(n) for n, e in {"sw": w, "sx": w * x, "sy": w * y, "sxx": w * x * x, "syy": w * y * y, "sxy": w * x * y, "sd": w * (x - y) * (x - y)}.items()])
+        out = frame.join(moments, key, "left").na.fill(0.0, ["sw", "sx", "sy", "sxx", "syy", "sxy", "sd"])
     n = F.col("sw") if without_zeros else F.col("_w")
     if metric == "eucl_dist":
         score = F.sqrt("sd")
@@ -106,10 +108,10 @@ def compare(reference: DataFrame, target: DataFrame, chroms: DataFrame, bin_size
         score = correlation_of_moments(n, *(F.col(c) for c in ("sx", "sy", "sxx", "syy", "sxy")))
     elif metric == "spearman":
         # ranks of the pairs of zeros, which no row stands for
-        zeros = (F.col("n") - F.coalesce("_m", F.lit(0))) if not without_zeros else F.lit(0)
-        rx, ry = F.coalesce("_zx", (F.col("n") - 1) / 2), F.coalesce("_zy", (F.col("n") - 1) / 2)
+        zeros = (F.col("n") - F.col("_m")) if not without_zeros else F.lit(0)
+        rx, ry = F.col("_zx"), F.col("_zy")
         r = correlation_of_moments(F.col("sw") + zeros, F.col("sx") + zeros * rx, F.col("sy") + zeros * ry, F.col("sxx") + zeros * rx * rx, F.col("syy") + zeros * ry * ry, F.col("sxy") + zeros * rx * ry)
-        score = F.when(F.coalesce("_ax", F.lit(False)) & F.coalesce("_ay", F.lit(False)), r).otherwise(F.lit(1.0))
+        score = F.when(F.col("_ax") & F.col("_ay"), r).otherwise(F.lit(1.0))
     else:
         raise ValueError(f"{metric!r} is none of {METRICS}")
     values = [score.alias("score")]
@@ -125,19 +127,32 @@ def _placed(out: DataFrame, bin_size: int, values: list[Column]) -> DataFrame:
     return out.select("chrom", start.alias("start"), F.least(start + bin_size, F.col("size")).alias("end"), "direction", *values)
 
 
-def _ranked(found: DataFrame, key: list[str], frame: DataFrame) -> DataFrame:
-    """Counts replaced by their mean ranks in the padded stripe; zx and zy are the ranks of a zero on either side."""
-    counted = found.join(frame.select(*key, "n"), key)
-    whole = Window.partitionBy(*key)
-    out = counted
+def _rank_moments(found: DataFrame, key: list[str], frame: DataFrame) -> DataFrame:
+    """``frame`` with sums over the mean ranks of a stripe's pairs in the padded stripe (sw, sx, sy, sxx, syy, sxy), their number
+    _m, the ranks _zx and _zy of a zero, and whether a side has anything but zeros (_ax, _ay).
+
+    One aggregation lists a stripe's pairs, no more than the band is wide; a value's rank follows from where it begins and ends
+    in the sorted list.
+    """
+    listed = found.groupBy(*key).agg(F.collect_list(F.struct("x", "y", "w")).alias("_p"))
+    out = frame.join(listed, key, "left").withColumn("_p", F.coalesce("_p", F.expr("array()").cast("array<struct<x:double,y:double,w:double>>")))
+    missing = F.col("n") - F.size("_p")  # pairs of zeros, which no row stands for
     for side in ("x", "y"):
-        v = F.col(side)
-        order = Window.partitionBy(*key).orderBy(side)
-        peers = Window.partitionBy(*key, side)
-        zeros = F.col("n") - F.count_if(v != 0).over(whole)
-        below = F.count_if(v < 0).over(whole)
-        # zeros that are rows stand in the window's ranks; the others must be added
-        missing = F.col("n") - F.count(F.lit(1)).over(whole)
-        rank = F.when(v == 0, below + (zeros - 1) / 2).otherwise(F.rank().over(order) - 1 + (F.count(F.lit(1)).over(peers) - 1) / 2 + F.when(v > 0, missing).otherwise(0))
-        out = out.withColumns({f"z{side}": below + (zeros - 1) / 2, f"any_{side}": F.max(F.abs(v)).over(whole) > 0, f"_r{side}": rank})
-    return out.withColumns({"x": F.col("_rx"), "y": F.col("_ry")}).drop("_rx", "_ry", "n")
+        out = out.withColumn(f"_s{side}", F.array_sort(F.transform("_p", lambda p: p[side])))
+        out = out.withColumns({f"_d{side}": F.reverse(f"_s{side}"), f"_a{side}": F.exists(f"_s{side}", lambda v: v != 0)})
+        below, others = F.size(F.filter(f"_s{side}", lambda v: v < 0)), F.size(F.filter(f"_s{side}", lambda v: v != 0))
+        out = out.withColumn(f"_z{side}", below + (F.col("n") - others - 1) / 2)
+
+    def rank(v: Column, side: str) -> Column:
+        first = F.array_position(f"_s{side}", v) - 1
+        ties = F.size("_p") - F.array_position(f"_d{side}", v) - first + 1
+        return first + F.when(v > 0, missing).otherwise(0) + (ties - 1) / 2
+
+    ranks = F.transform("_p", lambda p: F.struct(p["w"].alias("w"), F.when(p["x"] == 0, F.col("_zx")).otherwise(rank(p["x"], "x")).alias("x"), F.when(p["y"] == 0, F.col("_zy")).otherwise(rank(p["y"], "y")).alias("y")))
+    out = out.withColumn("_r", ranks)
+    sums = {"sw": lambda p: p["w"], "sx": lambda p: p["w"] * p["x"], "sy": lambda p: p["w"] * p["y"], "sxx": lambda p: p["w"] * p["x"] * p["x"], "syy": lambda p: p["w"] * p["y"] * p["y"], "sxy": lambda p: p["w"] * p["x"] * p["y"]}
+
+    def total(term: Callable[[Column], Column]) -> Column:
+        return F.aggregate("_r", F.lit(0.0), lambda a, p: a + term(p))
+
+    return out.withColumns({**{n: total(f) for n, f in sums.items()}, "_m": F.size("_p")}).drop("_p", "_r", "_sx", "_sy", "_dx", "_dy")

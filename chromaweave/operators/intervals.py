@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chromaweave.tables import numbered
+from chromaweave.tables import numbered, running
 
 
 #: Widths of bins: a level's are eight times as wide as those of the one below, from 4,096 bases on; the last spans all of 2^63.
@@ -103,7 +103,6 @@ def _as_of(points: DataFrame, targets: DataFrame, groups: list[str], pos: str, f
     one = points.select(*[F.col(c) for c in groups], F.col(pos).alias("_pos"), F.struct(*points.columns).alias("_point"), F.lit(None).cast(targets.select(F.struct(*fields)).schema[0].dataType).alias("_target"))
     two = targets.select(*[F.col(c) for c in groups], F.col(pos).alias("_pos"), F.lit(None).cast(points.select(F.struct(*points.columns)).schema[0].dataType).alias("_point"), F.struct(*fields).alias("_target"))
     # at equal positions points come before targets below them, and after those above them
-    order = Window.partitionBy(*groups).orderBy(*([F.desc("_pos")] if above else [F.asc("_pos")]), F.col("_point").isNull(), *[F.col(f"_target.{f}").desc() if above else F.col(f"_target.{f}").asc() for f in fields])
-    seen = F.last("_target", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    both = one.unionByName(two).withColumn("_seen", seen).where(F.col("_point").isNotNull())
+    order = [F.desc("_pos") if above else F.asc("_pos"), F.col("_point").isNull(), *[F.col(f"_target.{f}").desc() if above else F.col(f"_target.{f}").asc() for f in fields]]
+    both = running(one.unionByName(two), groups, order, {"_seen": ("last", F.col("_target"))}).where(F.col("_point").isNotNull())
     return both.select("_point.*", *[F.col(f"_seen.{f}").alias(f"near_{f}") for f in fields])

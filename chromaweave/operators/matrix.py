@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chromaweave.functions.formulas import bin_of
+from chromaweave.operators import tiles
+from chromaweave.operators.background import Matrix
+from chromaweave.operators.intervals import point_lookup
 
 PIXEL = ["chrom", "bin1", "bin2"]
 
@@ -84,8 +87,8 @@ def clamped(pixels: DataFrame, lower: float, upper: float, shape: tuple[DataFram
     """Counts brought into [lower, upper]. If 0 is outside, ``shape`` (chroms, bin_size, nrows) is needed and all
     pixels of the band are returned."""
     if lower > 0 or upper < 0:
-        pixels = dense(pixels, *shape)
-    return pixels.select(*PIXEL, F.greatest(F.lit(float(lower)), F.least(F.lit(float(upper)), F.col("count").cast("double"))).alias("count")).where("true" if lower > 0 or upper < 0 else "count <> 0")
+        return Matrix.of(pixels, *shape).clamped(lower, upper).cells()
+    return pixels.select(*PIXEL, F.greatest(F.lit(float(lower)), F.least(F.lit(float(upper)), F.col("count").cast("double"))).alias("count")).where("count <> 0")
 
 
 def rounded(pixels: DataFrame) -> DataFrame:
@@ -96,25 +99,14 @@ def rounded(pixels: DataFrame) -> DataFrame:
 def normalised(pixels: DataFrame, chroms: DataFrame, bin_size: int, nrows: int, lower: float = 0.0, upper: float = 1.0, saturation: tuple[float, float] | None = None) -> DataFrame:
     """By chrom, counts stretched to [lower, upper] from the least to the largest, zeros included; first clamped to
     ``saturation``. A chrom whose counts are all equal has null counts. Pixels that end as 0 are left out."""
-    if saturation is not None:
-        pixels = clamped(pixels, *saturation, (chroms, bin_size, nrows))
-    shaped = dense(pixels, chroms, bin_size, nrows) if lower != 0 or (saturation and (saturation[0] > 0 or saturation[1] < 0)) else pixels
-    range_of = dense(pixels, chroms, bin_size, nrows) if saturation and (saturation[0] > 0 or saturation[1] < 0) else pixels
-    zero = F.lit(0)
-    bounds = range_of.groupBy("chrom").agg(F.min("count").alias("_low"), F.max("count").alias("_high"))
-    if range_of is pixels:
-        bounds = bounds.select("chrom", F.least("_low", zero).alias("_low"), F.greatest("_high", zero).alias("_high"))
-    span = F.nullif(F.col("_high") - F.col("_low"), zero)
-    out = shaped.join(bounds, "chrom").select(*PIXEL, ((F.col("count") - F.col("_low")) / span * (upper - lower) + lower).alias("count"))
-    return out.where("count IS NULL OR count <> 0")
+    whole = Matrix.of(pixels, chroms, bin_size, nrows)
+    return (whole.clamped(*saturation) if saturation is not None else whole).normalised(lower, upper).cells()
 
 
 def discretised(pixels: DataFrame, ranges: list[tuple[float, float, float]], shape: tuple[DataFrame, int, int] | None = None) -> DataFrame:
     """Counts in an open range replaced by its value; others stay, so a count equal to a bound is kept as it is."""
-    from chromaweave.operators.intervals import point_lookup
-
     if any(s < 0 < e and v != 0 for s, e, v in ranges):
-        pixels = dense(pixels, *shape)
+        return Matrix.of(pixels, *shape).discretised(ranges).cells()
     return point_lookup(pixels, "count", ranges, "count").select(*PIXEL, "count").where("count <> 0")
 
 
@@ -138,21 +130,8 @@ def column_stripes(pixels: DataFrame, chroms: DataFrame, bin_size: int) -> DataF
 
 def block_sums(pixels: DataFrame, chroms: DataFrame, centres: DataFrame, bin_size: int, nrows: int, width: int) -> DataFrame:
     """Sum over the ``width`` x ``width`` block around each centre (chrom, bin1, bin2); places beyond the matrix repeat its edge.
-
-    One axis at a time: pixels are added up along the rows of a block, then each centre takes the ``width`` sums of its
-    columns, so a pixel and a centre make ``width`` rows each and not ``width`` squared.
-    """
-    reach = width // 2
-    last = columns_of(F.col("size"), bin_size) - 1
-    ends = chroms.select("chrom", last.alias("_last"))
-    held = symmetric(pixels.where(F.col("bin2") - F.col("bin1") < nrows)).join(ends, "chrom")
-    row, at = F.col("_row"), F.col("bin1")
-    spread = held.withColumn("_row", F.explode(F.sequence(F.greatest(F.lit(0), at - reach), F.least(F.col("_last"), at + reach))))
-    times = F.when((at == 0) & (at == F.col("_last")), 2 * reach + 1).when(at == 0, reach - row + 1).when(at == F.col("_last"), reach - F.col("_last") + row + 1).otherwise(1)
-    rows = spread.groupBy("chrom", row.alias("bin1"), F.col("bin2").alias("_column")).agg(F.sum(times * F.col("count")).alias("_sum"))
-    around = centres.join(ends, "chrom").withColumn("_column", F.explode(F.sequence(F.col("bin2") - reach, F.col("bin2") + reach)))
-    wanted = around.withColumn("_column", F.greatest(F.lit(0), F.least(F.col("_column"), F.col("_last")))).groupBy(*PIXEL, "_column").agg(F.count("*").alias("_times"))
-    return wanted.join(rows, ["chrom", "bin1", "_column"], "left").groupBy(*PIXEL).agg(F.sum(F.col("_times") * F.coalesce("_sum", F.lit(0))).alias("sum"))
+    A centre asked for several times is answered as often; by tiles."""
+    return tiles.summed(pixels.where(F.col("bin2") - F.col("bin1") < nrows), chroms, centres, bin_size, width)
 
 
 def gaussian(sigma: float, truncate: float = 3.5) -> list[float]:
@@ -162,46 +141,15 @@ def gaussian(sigma: float, truncate: float = 3.5) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
-def _smoothed(cells: DataFrame, axis: str, kernels: list[list[float]]) -> DataFrame:
-    """Cells (chrom, _n, r, c, v0, ...) scattered along one axis, each value with its own kernel (all of one length); what
-    lies beyond an edge repeats the edge."""
-    radius = len(kernels[0]) // 2
-    other = "c" if axis == "r" else "r"
-    at, last = F.col(axis), F.col("_n") - 1
-    out = cells.withColumn("_to", F.explode(F.sequence(F.greatest(F.lit(0), at - radius), F.least(last, at + radius))))
-    place = (at - F.col("_to") + radius + 1).cast("int")
-    sums = []
-    for k, kernel in enumerate(kernels):
-        whole = F.lit(sum(kernel))
-        own = F.element_at(F.array(*[F.lit(x) for x in kernel]), place)
-        low = F.element_at(F.array(*[F.lit(sum(kernel[: j + 1])) for j in range(len(kernel))]), place)
-        weight = F.when((at == 0) & (at == last), whole).when(at == 0, low).when(at == last, whole - low + own).otherwise(own)
-        sums.append(F.sum(F.col(f"v{k}") * weight).alias(f"v{k}"))
-    return out.groupBy("chrom", "_n", F.col("_to").alias(axis), other).agg(*sums)
-
-
-def _blurs(pixels: DataFrame, chroms: DataFrame, bin_size: int, nrows: int, kernels: list[list[float]]) -> DataFrame:
-    """Pixels of the band with one blurred value for each kernel. Two passes of one dimension each, shared by all
-    kernels, make 2(2r + 1) rows a pixel, not (2r + 1)^2."""
-    radius = max(len(k) for k in kernels) // 2
-    padded = [[0.0] * (radius - len(k) // 2) + k + [0.0] * (radius - len(k) // 2) for k in kernels]
-    values = [F.col("count").cast("double").alias(f"v{k}") for k in range(len(kernels))]
-    shaped = symmetric(pixels).join(chroms.select("chrom", columns_of(F.col("size"), bin_size).alias("_n")), "chrom")
-    cells = shaped.select("chrom", "_n", F.col("bin1").alias("r"), F.col("bin2").alias("c"), *values)
-    rows = _smoothed(cells, "r", padded).where((F.col("c") - F.col("r") > -radius - 1) & (F.col("c") - F.col("r") < nrows + radius))
-    both = _smoothed(rows, "c", padded).where((F.col("c") >= F.col("r")) & (F.col("c") - F.col("r") < nrows))
-    return both.select("chrom", F.col("r").alias("bin1"), F.col("c").alias("bin2"), *[f"v{k}" for k in range(len(kernels))])
-
-
 def blurred(pixels: DataFrame, chroms: DataFrame, bin_size: int, nrows: int, sigma: float, truncate: float = 3.5) -> DataFrame:
     """Gaussian blur of the square matrix, pixels of the band. Counts outside the band are taken as 0, and the edge
-    is repeated beyond the matrix."""
-    return _blurs(pixels, chroms, bin_size, nrows, [gaussian(sigma, truncate)]).withColumnRenamed("v0", "count")
+    is repeated beyond the matrix. By tiles: how much is shuffled does not depend on ``sigma``."""
+    return tiles.convolved(pixels, chroms, bin_size, nrows, [gaussian(sigma, truncate)]).withColumnRenamed("v0", "count")
 
 
 def difference_of_gaussians(pixels: DataFrame, chroms: DataFrame, bin_size: int, nrows: int, sigma1: float, sigma2: float | None = None, truncate: float = 3.5, lower: float = -math.inf, upper: float = math.inf) -> DataFrame:
     """Blur with ``sigma1`` less blur with ``sigma2`` (1.6 times as wide by default), each pixel brought into [lower, upper]."""
-    both = _blurs(pixels, chroms, bin_size, nrows, [gaussian(sigma1, truncate), gaussian(sigma2 or 1.6 * sigma1, truncate)])
+    both = tiles.convolved(pixels, chroms, bin_size, nrows, [gaussian(sigma1, truncate), gaussian(sigma2 or 1.6 * sigma1, truncate)])
     return both.select(*PIXEL, F.greatest(F.lit(lower), F.least(F.lit(upper), F.col("v0") - F.col("v1"))).alias("count"))
 
 
