@@ -132,7 +132,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in made], pa.binary()), pa.array([b for _, b in made], pa.binary())], names=["doc_id", "label", "words", "sentences"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_words: int = 4_000_000) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_words: int = 3_000_000) -> ToxicityModel:
     """Fit on labelled documents, whole texts: of each label those with the smallest hashes of doc_id, at most ``sample``, weighted
     back to the share their label has; of these, where they have more than ``sample_words`` words together (12 bytes each on the
     driver), the shortest that have so many.
@@ -150,17 +150,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_
     made = texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "label", "text").mapInArrow(arrays.freeing(_bags), "doc_id bigint, label int, words binary, sentences binary")
     one = made.groupBy("doc_id").agg(F.first("label").alias("label"), F.min(F.struct("words", "sentences")).alias("bag")).select("doc_id", "label", "bag.words", "bag.sentences")  # of repeated ids one
     shortest = Window.orderBy(F.length("words"), F.xxhash64("doc_id"), "doc_id")  # at most twice ``sample`` rows
-    got = one.withColumn("sum", F.sum(F.length("words")).over(shortest)).where(F.col("sum") <= 8 * sample_words).orderBy("doc_id").toPandas()
-    y = got["label"].to_numpy(np.float64)
+    got = one.withColumn("sum", F.sum(F.length("words")).over(shortest)).where(F.col("sum") <= 8 * sample_words).orderBy("doc_id").toArrow()
+    y = got["label"].to_numpy().astype(np.float64)
     if len(set(y)) < 2:
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), 40.0 if len(y) and y[0] == 1 else -40.0)
-    bags = [np.frombuffer(x, np.int32) for x in got["sentences"]]
-    sizes = np.array([int(b[-1]) + 1 if len(b) else 0 for b in bags])
-    offsets = np.cumsum(sizes) - sizes
-    of = np.concatenate([b.astype(np.int64) + o for b, o in zip(bags, offsets)])
+    hashes, _ = _joined(got["words"], np.uint64)
+    within, ends = _joined(got["sentences"], np.int32)
+    lengths = np.diff(ends, prepend=0)
+    sizes = np.zeros(len(y), np.int64)
+    sizes[lengths > 0] = within[ends[lengths > 0] - 1] + 1
+    of = within.astype(np.int64) + np.repeat(np.cumsum(sizes) - sizes, lengths)
     taken = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     weight = np.where(y == 1, total[1] / taken[1], total[0] / taken[0])
-    return fit_noisy_or(np.concatenate([np.frombuffer(x, np.uint64) for x in got["words"]]), of, np.repeat(np.arange(len(y)), sizes), y, weight)
+    return fit_noisy_or(hashes, of, np.repeat(np.arange(len(y)), sizes), y, weight)
+
+
+def _joined(column: pa.ChunkedArray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column, and where each row's end in them."""
+    size = np.dtype(dtype).itemsize
+    values = [np.frombuffer(x.as_buffer(), dtype) for chunk in column.chunks for x in chunk]
+    return np.concatenate(values), np.cumsum([len(v) for v in values])
 
 
 _SPANS = "array<struct<start:int,end:int,score:double>>"
