@@ -1,8 +1,9 @@
 """Benchmark decontamination by winnowing, in DataFrame expressions only.
 
 A document's fingerprints are the smallest k-gram hashes of its sliding windows. Every run of ``window`` equal
-words holds such a window, whose smallest hash both sides keep: joining fingerprints loses no shared run. Joined
-documents are then looked at word by word around each hit, so that hashes alone decide nothing.
+words holds such a window, whose smallest hash both sides keep: joining fingerprints loses no shared run. The windows
+of joined documents around each hit are then looked up, word by word, among the benchmark's distinct windows. Each of those
+is there once, with the set of items that have it, and each set of sets is joined once: no row is made for a document and an item.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from chromaweave.llm.lineage import shared_checkpoint
 #: Fixed value: what separates words, with A-Z still in the text; words are lower-cased afterwards.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Above this many bytes of benchmark text the fingerprints are joined by a shuffle, not a broadcast.
+#: Above this many bytes of a table of fingerprints or windows it is joined by a shuffle, not a broadcast.
 BROADCAST_BYTES = 16 << 20
 #: Up to this many fingerprints, those that no item has are dropped before rows are made of them for the join.
 PREFILTER_PRINTS = 20_000
@@ -39,16 +40,33 @@ def _grams(hashes: str, k: int) -> Column:
     return F.expr(f"slice(transform({hashes}, (x, i) -> xxhash64({run})), 1, greatest(size({hashes}) - {k - 1}, 0))")
 
 
-def _winnowed(grams: str, width: int) -> Column:
-    """The smallest hash of each window of ``width`` hashes, without repeats."""
+def _smallest(grams: str, width: int) -> str:
+    """SQL: the smallest hash of each window of ``width`` hashes."""
     run = ", ".join(["x", *(f"get({grams}, i + {j})" for j in range(1, width))])
-    return F.expr(f"array_distinct(slice(transform({grams}, (x, i) -> {'least(' + run + ')' if width > 1 else 'x'}), 1, greatest(size({grams}) - {width - 1}, 0)))")
+    return f"slice(transform({grams}, (x, i) -> {'least(' + run + ')' if width > 1 else 'x'}), 1, greatest(size({grams}) - {width - 1}, 0))"
+
+
+def _winnowed(grams: str, width: int) -> Column:
+    """Those without repeats."""
+    return F.expr(f"array_distinct({_smallest(grams, width)})")
 
 
-def _common_prefix(a: str, b: str) -> str:
-    """SQL: how many leading elements of two arrays are equal."""
-    same = f"zip_with({a}, {b}, (x, y) -> x <=> y AND x IS NOT NULL)"
-    return f"CASE WHEN size({a}) = 0 OR size({b}) = 0 THEN 0 WHEN array_position({same}, false) = 0 THEN size({same}) ELSE array_position({same}, false) - 1 END"
+def _windows(items: DataFrame, window: int) -> DataFrame:
+    """(n, win, set_key, items): the distinct windows of all items, words joined by spaces, with the items that have them."""
+    runs = F.expr(f"CASE WHEN size(iw) < {window} THEN array(array_join(iw, ' ')) ELSE transform(sequence(1, size(iw) - {window - 1}), i -> array_join(slice(iw, i, {window}), ' ')) END")
+    every = items.select("item", F.expr(f"CASE WHEN size(iw) < {window} THEN size(iw) ELSE 0 END").alias("n"), F.explode(F.array_distinct(runs)).alias("win"))
+    held = every.groupBy("n", "win").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return held.withColumn("set_key", F.sha2(F.to_json("items").cast("binary"), 256))
+
+
+def _item_digests(sets_of: DataFrame, windows: DataFrame) -> DataFrame:
+    """(hit_id, hit_key, n_items, items_sha256) of documents (doc_id, text_key, sets): documents with the same sets share the work."""
+    keyed = sets_of.withColumn("all_sets", F.sha2(F.array_join("sets", ",").cast("binary"), 256))
+    one = keyed.groupBy("all_sets").agg(F.first("sets").alias("sets")).select("all_sets", F.explode("sets").alias("set_key"))
+    members = windows.groupBy("set_key").agg(F.first("items").alias("items"))
+    united = one.join(members, "set_key").groupBy("all_sets").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    digests = united.select("all_sets", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"))
+    return keyed.join(digests, "all_sets").select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "n_items", "items_sha256")
 
 
 def _judged(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, one_in: int) -> DataFrame:
@@ -58,20 +76,16 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, one_i
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("text")).where("item IS NOT NULL").select("item", lowered.alias("iw")).where("size(iw) > 0").withColumn("ih", _word_hashes("iw"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").alias("text"))
 
-    size = benchmark.agg(F.sum(F.octet_length("text")).alias("bytes")).collect()[0]["bytes"] or 0
-    small = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)
     short = sorted(r["n"] for r in items.where(f"size(iw) < {window}").select(F.size("iw").alias("n")).distinct().collect())  # at most window - 1 numbers
 
     long_items = items.where(f"size(iw) >= {window}").withColumn("g", _grams("ih", gram))
-    prints = (
-        long_items.withColumn("kept", _winnowed("g", reach + 1))
-        .select("item", "iw", F.posexplode("g").alias("q", "print"), "kept")
-        .where("array_contains(kept, print)")
-        .select("item", F.lit(0).alias("n"), "print", F.expr(f"reverse(slice(iw, greatest(q - {reach}, 0) + 1, least(q, {reach})))").alias("i_left"), F.expr(f"slice(iw, q + 1, {window})").alias("i_right"))
-    )
-    whole = [items.where(f"size(iw) = {n}").select("item", F.lit(n).alias("n"), _grams("ih", n)[0].alias("print"), F.expr("slice(iw, 1, 0)").alias("i_left"), F.col("iw").alias("i_right")) for n in short]
-    known = reduce(DataFrame.unionByName, whole, prints)
-    wanted = known.select("n", "print").distinct()
+    prints = long_items.select(F.lit(0).alias("n"), F.explode(_winnowed("g", reach + 1)).alias("print"))
+    whole = [items.where(f"size(iw) = {n}").select(F.lit(n).alias("n"), _grams("ih", n)[0].alias("print")) for n in short]
+    wanted = shared_checkpoint(reduce(DataFrame.unionByName, whole, prints).distinct())
+    windows = shared_checkpoint(_windows(items, window))
+    small_prints = F.broadcast if 16 * wanted.count() <= BROADCAST_BYTES else (lambda df: df)
+    size = windows.agg(F.sum(F.octet_length("win") + 80).alias("bytes")).first()["bytes"] or 0
+    small_windows = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)
     few = [(r["n"], r["print"]) for r in wanted.limit(PREFILTER_PRINTS + 1).collect()]
 
     def marks(n: int, hashes: Column) -> Column:
@@ -84,7 +98,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, one_i
     every = [marks(0, _winnowed("g", reach + 1)), *(marks(n, F.array_distinct(_grams("h", n))) for n in short)]
     count = F.array(F.struct(F.lit(-1).alias("n"), F.col("n_words").cast("bigint").alias("print")))  # one for each row
     exploded = sized.withColumn("g", _grams("h", gram)).select("doc_id", "text_key", F.explode(F.concat(count, *every)).alias("m")).select("doc_id", "text_key", "m.n", "m.print")
-    joined = exploded.join(small(wanted.withColumn("known", F.lit(True))), ["n", "print"], "left").where("known OR n = -1")
+    joined = exploded.join(small_prints(wanted.withColumn("known", F.lit(True))), ["n", "print"], "left").where("known OR n = -1")
     rows = shared_checkpoint(
         joined.groupBy("doc_id", "text_key").agg(
             F.max(F.when(F.col("n") == -1, F.col("print"))).alias("n_words"),
@@ -97,17 +111,12 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, one_i
     again = again.withColumn("h", _word_hashes("w"))
     for n in (0, *short):
         again = again.withColumn(f"g{n}", _grams("h", n or gram)).withColumn(f"wanted{n}", F.expr(f"transform(filter(found, x -> x.n = {n}), x -> x.print)"))
-    left, right = f"reverse(slice(w, greatest(p - {reach}, 0) + 1, least(p, {reach}))) AS d_left", f"slice(w, p + 1, {window}) AS d_right"
-    places = [F.expr(f"transform(filter(sequence(0, size(g{n})), p -> array_contains(wanted{n}, get(g{n}, p))), p -> named_struct('n', {n}, 'p', p, 'print', g{n}[p]))") for n in (0, *short)]
-    hits = again.select("doc_id", "text_key", "w", F.explode(F.concat(*places)).alias("m")).select("doc_id", "text_key", "w", "m.n", "m.p", "m.print").selectExpr("doc_id", "text_key", "n", "p", "print", left, right)
-    spans = (
-        hits.join(small(known), ["n", "print"])
-        .withColumn("left", F.expr(_common_prefix("d_left", "i_left")))
-        .withColumn("right", F.expr(_common_prefix("d_right", "i_right")))
-        .where(f"CASE WHEN n = 0 THEN left + right >= {window} ELSE right = n END")
-        .select("doc_id", "text_key", "item", F.expr("CASE WHEN n = 0 THEN p - left ELSE p END").alias("s"), F.expr("p + right").alias("e"))
-    )
-    by_item = spans.groupBy("doc_id", "text_key").agg(F.collect_set("item").alias("items"))
+    # windows whose fingerprint some item has; a short item's words are their own fingerprint
+    again = again.withColumn("least0", F.expr(_smallest("g0", reach + 1)))
+    places = [F.expr(f"transform(filter(sequence(0, size({a}) - 1), p -> size({a}) > 0 AND array_contains(wanted{n}, get({a}, p))), p -> named_struct('n', {n}, 's', p, 'e', p + {n or window}, 'win', array_join(slice(w, p + 1, {n or window}), ' ')))") for n, a in ((n, f"g{n}" if n else "least0") for n in (0, *short))]
+    hits = again.select("doc_id", "text_key", F.explode(F.concat(*places)).alias("m")).select("doc_id", "text_key", "m.*")
+    spans = hits.join(small_windows(windows.select("n", "win", "set_key")), ["n", "win"]).select("doc_id", "text_key", "set_key", "s", "e")
+    by_item = _item_digests(spans.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("set_key")).alias("sets")), windows)
     whole_doc = Window.partitionBy("doc_id", "text_key").orderBy("s", "e")
     reached = F.coalesce(F.max("e").over(whole_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     by_word = (
@@ -115,7 +124,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, one_i
         .withColumn("fresh", F.greatest(F.lit(0), F.col("e") - F.greatest(F.col("s"), reached)))
         .groupBy("doc_id", "text_key").agg(F.sum("fresh").alias("n_hit"))
     )
-    judged = by_item.join(by_word, by_item["text_key"].eqNullSafe(by_word["text_key"]) & by_item["doc_id"].eqNullSafe(by_word["doc_id"])).select(by_item["doc_id"].alias("hit_id"), by_item["text_key"].alias("hit_key"), "items", "n_hit")
+    judged = by_item.join(by_word, F.col("hit_key").eqNullSafe(F.col("text_key")) & F.col("hit_id").eqNullSafe(F.col("doc_id"))).select("hit_id", "hit_key", "n_items", "items_sha256", "n_hit")
     return (
         rows.join(judged, (F.col("text_key") == F.col("hit_key")) & F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
@@ -124,8 +133,8 @@ def _judged(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, one_i
             "text_key",
             "n_words",
             F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
-            F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("bigint").alias("n_items"),
-            F.sha2(F.coalesce(F.array_join(F.array_sort("items"), ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
+            F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
+            F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
         )
         .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words")))
     )

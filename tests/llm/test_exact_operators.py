@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import fixtures as fx
+from chromaweave.llm import decontamination
 from chromaweave.llm.components import connected_components
 from chromaweave.llm.decontamination import decontaminate, keep_uncontaminated
 from chromaweave.llm.jaccard_join import jaccard_components, keep_first_of_component
@@ -149,7 +150,6 @@ def test_contamination(spark, seed):
 
 
 def test_contamination_without_prefilter(spark, monkeypatch):
-    from chromaweave.llm import decontamination
 
     monkeypatch.setattr(decontamination, "PREFILTER_PRINTS", 0)
     monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
@@ -239,3 +239,14 @@ def test_equal_runs_meet_in_the_automata(spark, monkeypatch, most):
     none = remove_repeated_words(fx.table(spark, [(1, words), (2, words + " x")]).repartition(2), length=20)
     assert {r.doc_id: r.n_removed for r in none.collect()} == {1: 0, 2: 400}
     assert substring_dedup.remove_repeated_words(fx.table(spark, [(1, words)])).first().n_removed == 0
+
+
+def test_a_template_of_all_items_makes_no_pairs(spark):
+    """300 documents and 3,000 items that begin with the same window, some documents with another item's words as well."""
+    head = " ".join(f"w{k}" for k in range(13))
+    rows = [(k, f"{head} d{k} end" + (f" {head} x{k} y{k} z{k}" if k % 100 == 0 else "")) for k in range(300)]
+    items = [(k, f"{head} x{k} y{k} z{k}") for k in range(3000)]
+    got = decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(fx.contamination(rows, items))
+    windows = decontamination._windows(spark.createDataFrame([(str(k), t.split()) for k, t in items], "item string, iw array<string>"), 13)
+    assert windows.count() == 1 + 3 * 3000 and windows.select("set_key").distinct().count() == 3001
