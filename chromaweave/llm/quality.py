@@ -169,8 +169,8 @@ def _features_of(size: int):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, passage_words: int = 64, sample: int = 4000, sample_passages: int = 400_000) -> AttentionModel | float:
-    """Fit on labelled documents, all their passages: those with the smallest hashes of doc_id, at most ``sample``, as far as
-    they have ``sample_passages`` passages together (72 bytes each on the driver).
+    """Fit on labelled documents, all their passages: those with the smallest hashes of doc_id, at most ``sample``; of these, where
+    they have more than ``sample_passages`` passages together (72 bytes each on the driver), the shortest that have so many.
 
     ``labels`` has (doc_id, label); a document with several labels takes the largest; null and other labels
     than 0 and 1 are left out. With labels of one kind only, the model is that label; with none, it is 0.5.
@@ -187,7 +187,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, passage_words: int = 64, sam
     chosen = texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "label", "text")
     made = chosen.mapInArrow(arrays.freeing(_features_of(passage_words)), "doc_id bigint, label int, passages binary")
     made = made.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("passages").alias("passages"))  # of repeated ids one
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # at most ``sample`` rows
+    order = Window.orderBy(F.length("passages"), F.xxhash64("doc_id"), "doc_id")  # at most ``sample`` rows
     got = made.withColumn("_sum", F.sum(F.length("passages")).over(order)).where(F.col("_sum") <= 4 * len(FEATURES) * sample_passages).orderBy("doc_id").toPandas()
     target = got["label"].to_numpy(np.float64)
     if len(set(target)) < 2:

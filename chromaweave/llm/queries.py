@@ -39,6 +39,11 @@ def _fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def _held_out(n: int, remainder: int) -> Column:
+    """Rows of that remainder; a null doc_id is none, and no label or language is learnt from it."""
+    return F.coalesce(_fold(n) == remainder, F.lit(False)).alias("held_out")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(_table(spark, sf_dir, "documents"), length=50)
 
@@ -52,7 +57,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").where(_fold(5) != 0).select("doc_id", F.col("quality").alias("label"))
     scored = score_quality(docs, fit_quality(docs, labels), threshold=0.3)
-    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", _held_out(5, 0), "score", "predicted")
 
 
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +71,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = identify_language(docs, fit_languages(docs.where(_fold(4) != 2)))
-    return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", _held_out(4, 2), "lang_pred", "score", "rejected")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +97,7 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").where(_fold(4) != 2).select("doc_id", F.col("toxic").alias("label"))
     scored = score_toxicity(docs, fit_toxicity(docs, labels), threshold=0.3)
-    return scored.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted", "n_sentences", F.size("offending").cast("bigint").alias("n_offending"))
+    return scored.select("doc_id", _held_out(4, 2), "score", "predicted", "n_sentences", F.size("offending").cast("bigint").alias("n_offending"))
 
 
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,3 +263,26 @@ def test_pieces_round_trip(spark, lattice):
     assert sorted(r.text for r in decode_pieces(got, MODEL).collect()) == texts
     assert encode_pieces(fx.empty(spark), MODEL).count() == 0
     assert got.where(F.col("doc_id").isNull()).count() == 2
+
+
+def test_an_overlong_labelled_document_is_no_cliff(spark):
+    """More passages than the bound in one document: the others are still learnt from."""
+    rows = [(k, ("calm words in a row. " if k % 2 else "BUY!!! $$$ NOW | | | ") * (5 + k % 7)) for k in range(200)]
+    first = spark.createDataFrame(rows, "doc_id long, text string").orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    rows = [(k, t * 8000 if k == first else t) for k, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, label int")
+    model = fit_quality(docs, labels, sample_passages=1000)
+    assert not isinstance(model, float)
+    got = {r.doc_id: r.predicted for r in score_quality(docs, model).collect()}
+    assert all(got[k] == k % 2 for k, _ in rows if k != first)
+
+
+def test_held_out_is_never_null(spark, tmp_path):
+    docs = fx.table(spark, fx.corpus(0))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, k % 2, k % 2) for k in range(40)] + [(None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name in ("op4_quality", "op7_language", "op12_toxicity"):
+        got = queries.QUERIES[name](spark, str(tmp_path))
+        assert got.count() == docs.count() and got.where("held_out IS NULL").count() == 0
+        assert got.where("doc_id IS NULL AND held_out").count() == 0
