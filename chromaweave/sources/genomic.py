@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chromaweave.functions.formulas import strip_quotes
-from chromaweave.sources.bigwig import read_bigwig
+from chromaweave.sources.bigwig import read_bigwig, write_bigwig
 from chromaweave.sources.cooler import read_cooler, write_cooler
 
 
@@ -120,6 +120,14 @@ def read_track(spark: SparkSession, path: str) -> DataFrame:
     return read_bigwig(spark, path) if path.lower().endswith((".bw", ".bigwig")) else read_bedgraph(spark, path)
 
 
+def write_track(track: DataFrame, chroms: DataFrame, path: str) -> None:
+    """A track as bigWig by its ending, bedGraph otherwise."""
+    if path.lower().endswith((".bw", ".bigwig")):
+        write_bigwig(track, chroms, path)
+    else:
+        write_bedgraph(track, path)
+
+
 def write_bedgraph(track: DataFrame, path: str, compression: str | None = None) -> None:
     """A track as text, sorted by chrom and start."""
     writer = track.select("chrom", "start", "end", "value").sort("chrom", "start").write
