@@ -57,13 +57,11 @@ def updated(events: DataFrame, nrows: int | None = None) -> DataFrame:
 
     Pixels outside the band are left out, and so are those that end as 0.
     """
-    from pyspark.sql import Window
-
     kept = events if nrows is None else events.where(F.abs(F.col("bin2") - F.col("bin1")) < nrows)
     canon = kept.select("chrom", F.least("bin1", "bin2").alias("bin1"), F.greatest("bin1", "bin2").alias("bin2"), "op", "n", "seq")
-    last_set = F.max(F.when(F.col("op") == "set", F.col("seq"))).over(Window.partitionBy(*PIXEL))
+    sets = canon.where("op = 'set'").groupBy(*PIXEL).agg(F.max("seq").alias("_set"))
     step = F.when(F.col("op") == "subtract", -F.col("n")).otherwise(F.col("n"))
-    after = canon.withColumn("_set", last_set).where(F.col("_set").isNull() | (F.col("seq") > F.col("_set")) | ((F.col("seq") == F.col("_set")) & (F.col("op") == "set")))
+    after = canon.join(sets, PIXEL, "left").where(F.col("_set").isNull() | (F.col("seq") > F.col("_set")) | ((F.col("seq") == F.col("_set")) & (F.col("op") == "set")))
     return after.groupBy(*PIXEL).agg(F.sum(step).alias("count")).where("count <> 0")
 
 

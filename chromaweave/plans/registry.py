@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 from chromaweave.functions import formulas, statistics
 from chromaweave.operators import barriers as bars
 from chromaweave.operators import collisions, evaluation, intervals, matrix, summaries
+from chromaweave.operators.update_log import MatrixLog
 from chromaweave.operators.simulation import SimulationConfig, plan_tasks, simulate
 from chromaweave.plans.adapters import BAND, BIN, view, with_views
 from chromaweave.streaming.contacts import streaming_pixels
+from chromaweave.tables import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,13 +96,32 @@ def a07_rounded(spark, sf_dir):
 _OPS = f"e AS (SELECT chrom, least(pos1, pos2) // {BIN} AS bin1, greatest(pos1, pos2) // {BIN} AS bin2, CASE l_linenumber % 5 WHEN 0 THEN 'set' WHEN 1 THEN 'subtract' ELSE 'add' END AS op, l_linenumber AS n, l_orderkey * 100 + l_linenumber AS seq FROM contacts)"
 
 
-@_query(f"""WITH {_OPS}, s AS (SELECT *, max(CASE WHEN op = 'set' THEN seq END) OVER (PARTITION BY chrom, bin1, bin2) AS last FROM e WHERE bin2 - bin1 < {BAND})
-SELECT chrom, bin1, bin2, sum(CASE WHEN op = 'subtract' THEN -n ELSE n END)::BIGINT AS count FROM s WHERE last IS NULL OR seq > last OR (seq = last AND op = 'set') GROUP BY chrom, bin1, bin2 HAVING sum(CASE WHEN op = 'subtract' THEN -n ELSE n END) <> 0""", "contacts")
+_UPDATED = f"""WITH {_OPS}, s AS (SELECT *, max(CASE WHEN op = 'set' THEN seq END) OVER (PARTITION BY chrom, bin1, bin2) AS last FROM e WHERE bin2 - bin1 < {BAND})
+SELECT chrom, bin1, bin2, sum(CASE WHEN op = 'subtract' THEN -n ELSE n END)::BIGINT AS count FROM s WHERE last IS NULL OR seq > last OR (seq = last AND op = 'set') GROUP BY chrom, bin1, bin2 HAVING sum(CASE WHEN op = 'subtract' THEN -n ELSE n END) <> 0"""
+
+
+@_query(_UPDATED, "contacts")
 def a08_pixel_updates(spark, sf_dir):
+    return matrix.updated(_events(spark, sf_dir), BAND)
+
+
+def _events(spark, sf_dir):
     c = view(spark, sf_dir, "contacts")
     op = F.when(F.col("l_linenumber") % 5 == 0, "set").when(F.col("l_linenumber") % 5 == 1, "subtract").otherwise("add")
-    events = c.select("chrom", formulas.bin_of(F.col("pos1"), BIN).alias("bin1"), formulas.bin_of(F.col("pos2"), BIN).alias("bin2"), op.alias("op"), F.col("l_linenumber").cast("bigint").alias("n"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"))
-    return matrix.updated(events, BAND)
+    return c.select("chrom", formulas.bin_of(F.col("pos1"), BIN).alias("bin1"), formulas.bin_of(F.col("pos2"), BIN).alias("bin2"), op.alias("op"), F.col("l_linenumber").cast("bigint").alias("n"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"))
+
+
+@_query(_UPDATED, "contacts")
+def a10_update_log(spark, sf_dir):
+    """The same events in four runs, folded together after the second."""
+    events = _events(spark, sf_dir)
+    quarter = events.agg((F.max("seq") / 4).alias("q")).first()["q"]
+    log = MatrixLog.created(spark, f"{shared_folder(spark)}/log-{uuid.uuid4().hex}", BAND)
+    for k in range(4):
+        log.append(events.where(F.floor(F.col("seq") / quarter).between(k, k if k < 3 else 4)))
+        if k == 1:
+            log.compact()
+    return log.pixels().withColumn("count", F.col("count").cast("bigint"))
 
 
 @_query(f"WITH s AS (SELECT chrom, unnest([rev, fwd]) // {BIN} AS bin FROM lefs), c AS (SELECT chrom, bin, count(*) AS n FROM s GROUP BY ALL) SELECT chrom, bin, n, round(n / max(n) OVER (PARTITION BY chrom), 5) AS scaled FROM c", "lefs")

@@ -6,8 +6,6 @@ reads the blocks below it that the query meets, by byte range. Statistics of wid
 
 from __future__ import annotations
 
-import glob
-import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -19,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from chromaweave.sources.chunked import PlannedFile, ranged
+from chromaweave.sources.chunked import PlannedFile, local_files, ranged
 from chromaweave.tables import numbered, shared_table
 
 # Fixed values of the format: marks of the file, of its tree of names and of its index, and kinds of blocks.
@@ -127,14 +125,6 @@ class _Track:
         return number, start, until
 
 
-def _files(path: str) -> list[str]:
-    """The files of a path: one, all in a folder, or all that a pattern names."""
-    if "://" in path:
-        return [path]
-    found = sorted(glob.glob(os.path.join(path, "*")) if os.path.isdir(path) else glob.glob(path) if glob.has_magic(path) else [path])
-    return [f for f in found if os.path.isfile(f) and not os.path.basename(f).startswith(("_", "."))] or [path]
-
-
 @dataclass
 class _Node(InputPartition):
     path: str
@@ -155,7 +145,7 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[_Node]:
         found = []
-        for path in _files(self.path):
+        for path in local_files(self.path):
             track = _Track(path)
             root = dict(track.zooms)[self.step] if self.step else track.root
             found += [_Node(path, at) for at in track.parts(root, self._query(track), self.wanted)]
@@ -200,7 +190,7 @@ class BigWigSource(DataSource):
 
 def read_bigwig_chroms(spark: SparkSession, path: str) -> DataFrame:
     """(path, chrom, size) of every chromosome that the files name."""
-    rows = [(f, name, size) for f in _files(path) for name, size in _Track(f).chroms.values()]
+    rows = [(f, name, size) for f in local_files(path) for name, size in _Track(f).chroms.values()]
     return spark.createDataFrame(rows, "path string, chrom string, size bigint")
 
 
@@ -216,7 +206,7 @@ def read_bigwig(spark: SparkSession, path: str, chrom: str | None = None, start:
     Unknown chromosomes, empty queries, ends beyond the chromosome and files of another format are errors; a file without
     values has no rows.
     """
-    for f in _files(path):
+    for f in local_files(path):
         track = _Track(f)
         if chrom is not None:
             track.query(chrom, start, end)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,6 +23,20 @@ def ranged(path: str) -> Callable[[int, int], bytes]:
     return lambda at, n: opened.read_at(n, at)
 
 
+def size_of(path: str) -> int:
+    """Bytes of a file."""
+    store, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return store.get_file_info(name).size
+
+
+def local_files(path: str) -> list[str]:
+    """The files of a path: one, all in a folder, or all that a pattern names."""
+    if "://" in path:
+        return [path]
+    found = sorted(glob.glob(os.path.join(path, "*")) if os.path.isdir(path) else glob.glob(path) if glob.has_magic(path) else [path])
+    return [f for f in found if os.path.isfile(f) and not os.path.basename(f).startswith(("_", "."))] or [path]
+
+
 def local_path(path: str) -> str:
     """The path of a file that tasks can write at any place."""
     parts = urlparse(path)

@@ -16,11 +16,15 @@ from pyspark.sql import functions as F
 from chromaweave.functions.formulas import strip_quotes
 from chromaweave.sources.bigwig import read_bigwig, write_bigwig
 from chromaweave.sources.cooler import read_cooler, write_cooler
+from chromaweave.sources.xz import read_xz_lines, write_xz_lines
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line) of text files: plain, gz, bz2 and zstd as Spark reads them, xz, lzma and lz4 frames file by file."""
-    if not path.endswith((".xz", ".lzma", ".lz4")):
+    """(path, line) of text files: plain, gz, bz2 and zstd as Spark reads them, xz in runs of blocks, lzma and lz4 frames file by
+    file."""
+    if path.endswith(".xz"):
+        return read_xz_lines(spark, path)
+    if not path.endswith((".lzma", ".lz4")):
         return spark.read.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("line"))
 
     def unpack(parts):
@@ -109,6 +113,11 @@ def read_bed(spark: SparkSession, path: str, fields: int = 6, unique: bool = Fal
     return parse_bed(text_lines(spark, path), fields, unique)
 
 
+def read_first_records(spark: SparkSession, path: str, n: int, fields: int = 6) -> DataFrame:
+    """The first ``n`` records, headers and blank lines not counted; a limit, so no more of the file is read than it takes."""
+    return parse_bed(text_lines(spark, path), fields).limit(n)
+
+
 def read_bedgraph(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, start, end, value) of a track."""
     out = spark.read.schema("chrom string, start bigint, end bigint, value double").csv(path, sep="\t", comment="#")
@@ -166,7 +175,10 @@ _BINS_A_FILE = 8192
 
 
 def write_lines(lines: DataFrame, path: str, compression: str | None = None) -> None:
-    """(line) as text files: plain, or by any codec that Spark writes (gzip, bzip2, lz4, zstd, ...)."""
+    """(line) as text files: plain, or by any codec that Spark writes (gzip, bzip2, lz4, zstd, ...); as one xz file if the path
+    ends so."""
+    if path.endswith(".xz"):
+        return write_xz_lines(lines, path)
     (lines.write.option("compression", compression) if compression else lines.write).text(path)
 
 
