@@ -212,11 +212,13 @@ def b10_conflicting_chroms(spark, sf_dir):
 _PLAN = SimulationConfig(cells=4, diagonal_width=100_000, sampling_interval=10_000, lefs_per_mbp=20)
 
 
-@_query(f"""WITH {_B}, o AS (SELECT interval_id, count(*) AS n_barriers FROM intervals i JOIN b ON i.chrom = b.chrom AND i.start < b."end" AND b.start < i."end" GROUP BY interval_id),
-c AS (SELECT interval_id, chrom, 4 AS lefs, 3 AS per_epoch, unnest(range(0, 4)) AS cell FROM intervals JOIN o USING (interval_id))
-SELECT interval_id, chrom, CAST(cell AS INTEGER) AS cell, CAST(lefs AS BIGINT) AS lefs, CAST(per_epoch AS BIGINT) AS per_epoch, CAST(greatest(0, least(200, 800 - 200 * cell)) AS BIGINT) AS target, n_barriers FROM c JOIN o USING (interval_id)""", "intervals", "barriers")
+@_query(f"""WITH {_B}, i AS (SELECT interval_id, chrom, start, "end" + interval_id % 7 * 150000 AS "end" FROM intervals),
+o AS (SELECT interval_id, count(*) AS n_barriers FROM i JOIN b ON i.chrom = b.chrom AND i.start < b."end" AND b.start < i."end" GROUP BY interval_id),
+z AS (SELECT *, CAST(greatest(1, floor(("end" - start) * 20 / 1000000 + 0.5)) AS BIGINT) AS lefs, CAST(ceil(("end" - start) / 5000) AS BIGINT) AS ncols FROM i),
+t AS (SELECT *, CAST(greatest(1, floor(lefs * 8000 / 10000 + 0.5)) AS BIGINT) AS per_epoch, ncols * least(ncols, 20) AS total, CAST(ceil(ncols * least(ncols, 20) / 4) AS BIGINT) AS share, unnest(range(0, 4)) AS cell FROM z)
+SELECT interval_id, chrom, CAST(cell AS INTEGER) AS cell, lefs, per_epoch, greatest(0, least(share, total - share * cell)) AS target, n_barriers FROM t JOIN o USING (interval_id)""", "intervals", "barriers")
 def b11_tasks(spark, sf_dir):
-    own = view(spark, sf_dir, "intervals")
+    own = view(spark, sf_dir, "intervals").withColumn("end", F.col("end") + F.col("interval_id") % 7 * 150_000)
     tasks = plan_tasks(own, bars.map_to_intervals(_barriers(spark, sf_dir), own), _PLAN)
     return tasks.select("interval_id", "chrom", "cell", "lefs", "per_epoch", "target", F.size("barriers").cast("bigint").alias("n_barriers"))
 
@@ -335,13 +337,16 @@ def _p_sql(r: str) -> str:
     return f"round(greatest(0, 1 - abs({r}) * ({terms})), 6)"
 
 
-@_query(f"""WITH {_STRIPES}, g AS (SELECT chrom, direction, stripe, 1.0 * count(*) AS w, 1.0 * sum(x) AS sx, 1.0 * sum(y) AS sy, 1.0 * sum(x * x) AS sxx, 1.0 * sum(y * y) AS syy, 1.0 * sum(x * y) AS sxy FROM s GROUP BY ALL),
-c AS (SELECT {_PLACE}, CAST({_r('w', 'sx', 'sy', 'sxx', 'syy', 'sxy')} AS DOUBLE) AS score FROM g JOIN n USING (chrom))
-SELECT chrom, start, direction, score, {_p_sql('score')}::DOUBLE AS p_pearson, {_p_sql('score')}::DOUBLE AS p_spearman FROM c WHERE score > -9""", "contacts", "contacts_b")
+@_query(f"""WITH {_STRIPES}{_RANKED}, g AS (SELECT chrom, direction, stripe, 1.0 * count(*) AS w, 1.0 * sum(x) AS sx, 1.0 * sum(y) AS sy, 1.0 * sum(x * x) AS sxx, 1.0 * sum(y * y) AS syy, 1.0 * sum(x * y) AS sxy, max(x) AS mx, max(y) AS my,
+  sum(rx)::DOUBLE AS tx, sum(ry)::DOUBLE AS ty, sum(rx * rx)::DOUBLE AS txx, sum(ry * ry)::DOUBLE AS tyy, sum(rx * ry)::DOUBLE AS txy FROM r GROUP BY ALL),
+c AS (SELECT {_PLACE}, CAST({_r('w', 'sx', 'sy', 'sxx', 'syy', 'sxy')} AS DOUBLE) AS pearson, CAST(CASE WHEN mx = 0 OR my = 0 THEN 1 ELSE {_r('w', 'tx', 'ty', 'txx', 'tyy', 'txy')} END AS DOUBLE) AS spearman FROM g JOIN n USING (chrom))
+SELECT chrom, start, direction, pearson, spearman, {_p_sql('pearson')}::DOUBLE AS p_pearson, {_p_sql('spearman')}::DOUBLE AS p_spearman FROM c WHERE pearson > -9 AND spearman > -9""", "contacts", "contacts_b")
 def c12_significance(spark, sf_dir):
-    p = _compared(spark, sf_dir, "pearson").where("score > -9")
-    p_values = {"p_pearson": statistics.pearson_significance, "p_spearman": statistics.spearman_significance}
-    return _round(p.select("chrom", "start", "direction", "score", *[f(F.col("score"), F.lit(BAND)).alias(name) for name, f in p_values.items()]), *p_values)
+    place = ["chrom", "start", "direction"]
+    both = [_compared(spark, sf_dir, m).select(*place, F.col("score").alias(m)) for m in ("pearson", "spearman")]
+    p = both[0].join(both[1], place).where("pearson > -9 AND spearman > -9")
+    p_values = {"pearson": statistics.pearson_significance, "spearman": statistics.spearman_significance}
+    return _round(p.select("*", *[f(F.col(m), F.lit(BAND)).alias(f"p_{m}") for m, f in p_values.items()]), "p_pearson", "p_spearman")
 
 
 # ---- transformations
