@@ -174,12 +174,43 @@ def test_licences_in_their_published_line_breaks(spark):
 
     isc = next(t for k, t in KNOWN if k == "ISC").replace("that the above copyright", "that the above\ncopyright")
     whole = [(k, t) for k, t in KNOWN if len(t) > 300]
-    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC", "0BSD", "Zlib"} <= {k for k, _ in whole}
-    asked = [*whole, ("ISC", isc), ("ISC", "Copyright Jane Doe\n" + isc), *((k, wrapped(t, w)) for k, t in KNOWN if k in ("MIT", "ISC", "0BSD", "Zlib") and len(t) > 300 for w in range(50, 80))]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC", "0BSD", "Zlib", "BSL-1.0", "Unlicense"} <= {k for k, _ in whole}
+    asked = [*whole, ("ISC", isc), ("ISC", "Copyright Jane Doe\n" + isc)]
+    styles = [("", "", ""), ("", "# ", ""), ("", "// ", ""), ("/*\n", " * ", "\n */"), ("<!--\n", "", "\n-->")]
+    for n, (k, t) in enumerate(whole):
+        for w in range(50, 101):
+            before, mark, after = styles[(n + w) % len(styles)]
+            asked.append((k, before + "\n".join(mark + line for line in wrapped(t, w).split("\n")) + after))
     got = scan_licences(fx.table(spark, [(n, t) for n, (_, t) in enumerate(asked)]), spark.createDataFrame(KNOWN, "license_id string, text string"))
     assert {r.doc_id: r.license_id for r in got.collect()} == {n: k for n, (k, _) in enumerate(asked)}
 
 
+def test_titles_notices_and_appendices_are_optional(spark):
+    text = {k: t for k, t in KNOWN if len(t) > 300}
+    mit, apache, bsd = (text[k][text[k].index(start) :] for k, start in (("MIT", "Permission"), ("Apache-2.0", "TERMS AND"), ("BSD-3-Clause", "Redistribution")))
+    bare = apache[: apache.index("END OF TERMS") + len("END OF TERMS AND CONDITIONS")]
+    gpl = text["GPL-3.0"]
+    asked = [
+        ("MIT", mit), ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2019-2021 Some Very Long Name of a Company and\nits many Contributors, Inc.\n\n" + mit), ("MIT", "MIT License\nCopyright (c) 2020 X\n" + mit), ("MIT", "Portions Copyright 1999 A. Person\nCopyright (C) 2000 B\nAll rights reserved. " + mit),
+        ("Apache-2.0", bare), ("Apache-2.0", "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\n" + bare), ("Apache-2.0", "Copyright 2021 The Authors\n\n" + text["Apache-2.0"]),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\n(c) 2018, Somebody\n" + bsd), ("GPL-3.0", gpl[: gpl.index("END OF TERMS") + len("END OF TERMS AND CONDITIONS")]),
+        (None, "My program is good. " * 9 + mit), (None, mit + " And one more term."), (None, mit.replace("without restriction", "with restriction")), (None, "Copyright (c) 2020 X " + "word " * 100 + mit), (None, gpl.replace("END OF TERMS", "NOT THE END")), (None, "Copyright (c) 2020 Somebody. All rights reserved."),
+    ]
+    got = scan_licences(fx.table(spark, [(n, t) for n, (_, t) in enumerate(asked)]), spark.createDataFrame(KNOWN, "license_id string, text string"))
+    assert {r.doc_id: r.license_id for r in got.collect()} == {n: k for n, (k, _) in enumerate(asked)}
+
+
+def test_licences_equal_sql_on_known_texts(spark, tmp_path):
+    """The SQL has a normaliser of its own."""
+    from chromaweave.llm import queries
+    from compare import assert_same, connect
+
+    rows = [(n, "Copyright (c) 2001 Ä. Ö.\n" * (n % 3) + t[: len(t) - 10 * (n % 2)]) for n, (_, t) in enumerate(KNOWN)] + [(100, None), (101, "é\u0301 licences\nReleased under the MIT License.")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    next((tmp_path / "d").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    assert_same(queries.op5_licences(spark, str(tmp_path)).toPandas(), connect(str(tmp_path)).execute(queries.ORACLES["op5_licences"]).df())
+
+
 def test_empty_tables(spark):
     none = fx.empty(spark)
     bench = spark.createDataFrame([], "item_id long, text string")
