@@ -119,19 +119,20 @@ def scan_licences(docs: DataFrame, known: DataFrame) -> DataFrame:
     """One row per input row: doc_id, digest of the whole text, license_id, n_notices and notices.
 
     ``known`` has (license_id, text); of equal texts the smallest identifier counts. ``license_id`` is the
-    licence whose text the whole document is, or null. ``n_notices`` counts lines that are a known text by
+    licence whose text the whole document is, or null. ``n_notices`` counts lines that are a known text, or its terms, by
     themselves and ``notices`` lists their identifiers, sorted, comma-joined, each once. Texts whose normal form
     is empty (null, blank, only punctuation) match nothing. Repeated rows are answered each; rows that
     share a doc_id but not the text are judged apart; other columns are ignored.
     """
-    table = known.where("license_id IS NOT NULL").select("license_id", _form(F.col("text")).alias("form")).where("form <> ''").groupBy("form").agg(F.min("license_id").alias("license_id"))
+    forms = F.explode(F.array(_form(F.col("text")), canonical(F.col("text")))).alias("form")  # a line is looked up with all its words
+    table = known.where("license_id IS NOT NULL").select("license_id", forms).where("form <> ''").groupBy("form").agg(F.min("license_id").alias("license_id"))
     size = known.agg(F.sum(F.octet_length("text")).alias("bytes")).collect()[0]["bytes"] or 0
     small = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)
     digests = small(table.select(F.sha2(F.col("form").cast("binary"), 256).alias("known_digest"), "license_id"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").alias("text"))
     notices = (
         texts.select("doc_id", "text_key", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "line"))
-        .select("doc_id", "text_key", "place", F.sha2(_form(F.col("line")).cast("binary"), 256).alias("known_digest"))
+        .select("doc_id", "text_key", "place", F.sha2(canonical(F.col("line")).cast("binary"), 256).alias("known_digest"))
         .join(digests, "known_digest")
         .select(F.col("doc_id").alias("notice_id"), F.col("text_key").alias("notice_key"), "place", F.col("license_id").alias("found"))
         .distinct()
@@ -166,9 +167,9 @@ def oracle_sql() -> str:
 
     rows = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in KNOWN)
     return f"""
-WITH {formed("known_f", f"SELECT id, {words('t')} AS w FROM (VALUES {rows}) k(id, t)")}, known AS (SELECT sha256(f) AS digest, min(id) AS license_id FROM known_f WHERE f <> '' GROUP BY f
-), {formed("line_f", f"SELECT doc_id, {words('line')} AS w FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)")}
-, notices AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices FROM line_f JOIN known ON known.digest = sha256(f) GROUP BY doc_id
+WITH {formed("known_f", f"SELECT id, {words('t')} AS w FROM (VALUES {rows}) k(id, t)")}, known AS (SELECT sha256(f) AS digest, min(id) AS license_id FROM (SELECT id, unnest([f, w]) AS f FROM known_f) WHERE f <> '' GROUP BY f
+), lines AS (SELECT doc_id, sha256({words('line')}) AS digest FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+), notices AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices FROM lines JOIN known USING (digest) GROUP BY doc_id
 ), {formed("whole_f", f"SELECT doc_id, {words('text')} AS w FROM documents")}, whole AS (SELECT doc_id, sha256(f) AS digest FROM whole_f)
 SELECT doc_id, digest, license_id, coalesce(n, 0)::BIGINT AS n_notices, coalesce(notices, '') AS notices
 FROM whole LEFT JOIN known USING (digest) LEFT JOIN notices USING (doc_id)
