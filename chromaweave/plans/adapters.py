@@ -39,4 +39,6 @@ def with_views(sql: str, *names: str) -> str:
     wanted = list(dict.fromkeys(n for name in names for n in (*_NEEDS.get(name, []), name)))
     views = ", ".join(f"{n} AS ({VIEWS[n]})" for n in wanted)
     sql = sql.strip()
+    if sql.startswith("WITH RECURSIVE"):
+        return f"WITH RECURSIVE {views}, {sql[14:].strip()}"
     return f"WITH {views}, {sql[4:].strip()}" if sql.startswith("WITH") else f"WITH {views} {sql}"

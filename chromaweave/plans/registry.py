@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from chromaweave.functions import formulas, statistics
 from chromaweave.operators import barriers as bars
-from chromaweave.operators import collisions, evaluation, intervals, matrix, summaries
+from chromaweave.operators import collisions, evaluation, extrusion, intervals, matrix, summaries
 from chromaweave.operators.update_log import MatrixLog
 from chromaweave.operators.simulation import SimulationConfig, plan_tasks, simulate
 from chromaweave.plans.adapters import BAND, BIN, view, with_views
 from chromaweave.streaming.contacts import streaming_pixels
-from chromaweave.tables import shared_folder
+from chromaweave.tables import numbered, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -470,6 +470,97 @@ def f07_burnin(spark, sf_dir):
     return collisions.burnin_stable(e, ["cell"], 100, 5, 0.9, 1.1)
 
 
+# ---- chance in tables
+
+_SEED = 11
+_NOISE = (0.0, 2_000.0, 0.001)
+
+
+def _luck(stream: str, *keys: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', '{_SEED}', '{stream}', {', '.join(keys)})), 1, 13))::BIGINT / 4503599627370496.0)::DOUBLE"
+
+
+_STATES = f"""RECURSIVE bs AS (SELECT chrom, start, max(score) AS occ FROM barriers GROUP BY ALL),
+bc AS (SELECT chrom, start, CASE WHEN occ = 0 THEN 0.0 ELSE greatest(0, least(1, 1 - 0.3 * (1 - occ) / occ)) END AS stp FROM bs),
+st AS (SELECT chrom, start, stp, 0 AS epoch, {_luck("init", "chrom", "start")} < 0.3 / (0.3 + 1 - stp) AS active FROM bc
+UNION ALL SELECT chrom, start, stp, epoch + 1, CASE WHEN active THEN {_luck("step", "chrom", "start", "epoch + 1")} <= stp ELSE {_luck("step", "chrom", "start", "epoch + 1")} > 0.7 END FROM st WHERE epoch < 24)"""
+
+
+@_query(f"WITH {_STATES} SELECT chrom, start, epoch::BIGINT AS epoch, active FROM st", "barriers")
+def j01_barrier_chains(spark, sf_dir):
+    own = view(spark, sf_dir, "barriers").groupBy("chrom", "start").agg(F.max("score").alias("occ"))
+    chances = own.withColumns({"stp_inactive": F.lit(0.7), "stp_active": formulas.stp_active_from_occupancy(F.lit(0.7), F.col("occ"))})
+    return extrusion.barrier_states(chances, ["chrom", "start"], 24, _SEED).select("chrom", "start", "epoch", "active")
+
+
+@_query(f"""WITH c AS (SELECT chrom, cell, count(*) AS lefs FROM lefs GROUP BY ALL), e AS (SELECT *, lefs / 12.0::DOUBLE AS rate, unnest(range(0, 20)) AS epoch FROM c),
+d AS (SELECT *, CASE WHEN epoch = 0 THEN exp(-rate) + {_luck("awake", "chrom", "cell", "epoch")} * (1 - exp(-rate)) ELSE {_luck("awake", "chrom", "cell", "epoch")} END AS u FROM e),
+k AS (SELECT rate, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY rate ORDER BY k) AS below FROM (SELECT DISTINCT rate FROM d), (SELECT unnest(range(0, 2000)) AS k)),
+a AS (SELECT chrom, cell, lefs, epoch, count(k) AS arrivals FROM d LEFT JOIN k ON k.rate = d.rate AND below <= u AND k < ceil(d.rate + 12 * sqrt(d.rate) + 24) GROUP BY ALL)
+SELECT chrom, cell, epoch, arrivals, least(lefs, sum(arrivals) OVER (PARTITION BY chrom, cell ORDER BY epoch))::BIGINT AS awake FROM a""", "lefs")
+def j02_activation(spark, sf_dir):
+    cells = view(spark, sf_dir, "lefs").groupBy(*_CELL).agg(F.count("*").alias("lefs"))
+    return extrusion.activation(cells, _CELL, 20, 12, _SEED)
+
+
+_FREE = f"""fr AS (SELECT chrom, size, cell, lef_id, CASE WHEN lef_id % 3 = 0 THEN NULL ELSE rev END AS rev, CASE WHEN lef_id % 3 = 0 THEN NULL ELSE fwd END AS fwd, epoch FROM lefs),
+bd AS (SELECT chrom, size, cell, lef_id, coalesce(rev, floor({_luck("bind", "chrom", "cell", "lef_id", "9")} * size)::BIGINT) AS rev, coalesce(fwd, floor({_luck("bind", "chrom", "cell", "lef_id", "9")} * size)::BIGINT) AS fwd, CASE WHEN rev IS NULL THEN 9 ELSE epoch END AS epoch FROM fr)"""
+
+
+def _free(spark, sf_dir):
+    units, gone = view(spark, sf_dir, "lefs"), F.col("lef_id") % 3 == 0
+    return units.withColumns({"start": F.lit(0), "end": F.col("size"), "rev": F.when(~gone, F.col("rev")), "fwd": F.when(~gone, F.col("fwd"))})
+
+
+def _bound(spark, sf_dir):
+    return extrusion.bound(_free(spark, sf_dir), [*_CELL, "lef_id"], 9, _SEED)
+
+
+@_query(f"WITH {_FREE} SELECT chrom, cell, lef_id, rev, fwd, epoch, row_number() OVER (PARTITION BY chrom, cell ORDER BY rev, epoch, lef_id) - 1 AS rev_rank FROM bd", "lefs")
+def j03_bound_units(spark, sf_dir):
+    return collisions.ranked(_bound(spark, sf_dir), _CELL).select(*_CELL, "lef_id", "rev", "fwd", F.col("epoch").cast("bigint"), F.col("rev_rank").cast("bigint"))
+
+
+@_query(f"""WITH {_FREE}, z AS (SELECT chrom, cell, lef_id, rev IS NULL AS free, sqrt(-2 * ln(1 - {_luck("radius", "chrom", "cell", "lef_id", "9")})) AS r, 2 * pi() * {_luck("angle", "chrom", "cell", "lef_id", "9")} AS t FROM fr)
+SELECT chrom, cell, lef_id, CASE WHEN free THEN 0 ELSE floor(greatest(0, 300 + 400 * r * cos(t)) + 0.5)::BIGINT END AS rev_move, CASE WHEN free THEN 0 ELSE floor(greatest(0, 500 + 25 * r * sin(t)) + 0.5)::BIGINT END AS fwd_move FROM z""", "lefs")
+def j04_drawn_moves(spark, sf_dir):
+    return extrusion.drawn_moves(_free(spark, sf_dir), [*_CELL, "lef_id"], 9, (300, 500), (400, 25), _SEED).select(*_CELL, "lef_id", "rev_move", "fwd_move")
+
+
+def _noisy_sql(stream: str) -> str:
+    """Ends of the units drawn, eight draws for each unit."""
+    jitter = [f"2000 * (pow(-ln(greatest({_luck(f'{stream}-{end}', 'chrom', 'cell', 'nth')}, 1e-300)), -0.001) - 1) / 0.001" for end in ("low", "high")]
+    return f"""ix AS (SELECT *, row_number() OVER (PARTITION BY chrom, cell ORDER BY rev, epoch, lef_id) - 1 AS index FROM bd),
+ce AS (SELECT chrom, cell, min(size) AS size, count(*) AS lefs FROM bd GROUP BY ALL), dr AS (SELECT *, unnest(range(0, 8 * lefs)) AS nth FROM ce),
+en AS (SELECT d.*, i.rev - {jitter[0]} AS a, i.fwd + {jitter[1]} AS b, i.rev, i.fwd FROM (SELECT *, floor({_luck(f"{stream}-unit", "chrom", "cell", "nth")} * lefs)::BIGINT AS index FROM dr) d JOIN ix i USING (chrom, cell, index)),
+ok AS (SELECT chrom, cell, nth, floor(least(a, b))::BIGINT AS pos1, floor(greatest(a, b))::BIGINT AS pos2 FROM (SELECT chrom, cell, nth, size, a, b, rev, fwd FROM en) e WHERE least(rev, fwd) > 1 AND greatest(rev, fwd) < size - 1 AND least(a, b) >= 1 AND greatest(a, b) < size - 1)"""
+
+
+def _sampling(spark, sf_dir):
+    """Cells with eight draws for each unit, and their units numbered by place."""
+    units = _bound(spark, sf_dir)
+    cells = units.groupBy(*_CELL).agg(F.min("start").alias("start"), F.min("end").alias("end"), F.count("*").alias("lefs"), (8 * F.count("*")).alias("n"))
+    return cells, numbered(units, _CELL, ["rev", "epoch", "lef_id"], "index")
+
+
+@_query(f"""WITH {_FREE}, {_noisy_sql("contact")}, ch AS (SELECT *, {_luck("kind", "chrom", "cell", "nth")} >= 1 / 6.0::DOUBLE AS tad, pos1 + floor({_luck("inside-1", "chrom", "cell", "nth")} * (pos2 - pos1 + 1))::BIGINT AS one, pos1 + floor({_luck("inside-2", "chrom", "cell", "nth")} * (pos2 - pos1 + 1))::BIGINT AS two FROM ok)
+SELECT chrom, cell, nth, tad, CASE WHEN tad THEN least(one, two) ELSE pos1 END AS pos1, CASE WHEN tad THEN greatest(one, two) ELSE pos2 END AS pos2 FROM ch""", "lefs")
+def j05_sampled_contacts(spark, sf_dir):
+    return extrusion.sampled_contacts(*_sampling(spark, sf_dir), _CELL, 5.0, _NOISE, _SEED)
+
+
+@_query(f"WITH {_FREE}, {_noisy_sql('spot')}, sp AS (SELECT chrom, cell, unnest([pos1, pos2]) AS pos FROM ok) SELECT chrom, cell, (pos - 1) // {BIN} AS bin, count(*) AS n FROM sp GROUP BY ALL", "lefs")
+def j06_sampled_occupancy(spark, sf_dir):
+    return extrusion.sampled_occupancy(*_sampling(spark, sf_dir), _CELL, _NOISE, BIN, _SEED)
+
+
+@_query("""WITH e AS (SELECT user_id % 10 AS cell, event_id AS epoch, event_id * 7919 % 50 AS contacts FROM events), r AS (SELECT *, sum(contacts) OVER (PARTITION BY cell ORDER BY epoch) AS total FROM e)
+SELECT cell, epoch, contacts, least(contacts, 2000 - (total - contacts))::BIGINT AS taken, least(total, 2000)::BIGINT AS done FROM r WHERE total - contacts < 2000""", "chroms")
+def j07_until_target(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 10).alias("cell"), F.col("event_id").alias("epoch"), (F.col("event_id") * 7919 % 50).alias("contacts"))
+    return extrusion.until_target(e, ["cell"], 2_000)
+
+
 @_query(f"""SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS "from", time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE AS "to", c.chrom, pos1 // {BIN} AS bin1, pos2 // {BIN} AS bin2, count(*) AS count
 FROM (SELECT ts, c.chrom, (event_id * 6151) % size AS pos1, least(size - 1, (event_id * 6151) % size + (user_id * 37) % 400000) AS pos2 FROM events JOIN chroms c ON chrom_id = user_id % 25) c WHERE pos2 // {BIN} - pos1 // {BIN} < {BAND} GROUP BY ALL""", "chroms")
 def g01_windowed_pixels(spark, sf_dir):
