@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chromaweave.functions import formulas, statistics
 from chromaweave.operators import barriers as bars
-from chromaweave.operators import collisions, evaluation, extrusion, intervals, matrix, summaries
+from chromaweave.operators import collisions, epochs, evaluation, extrusion, intervals, matrix, summaries
 from chromaweave.operators.update_log import MatrixLog
 from chromaweave.operators.simulation import SimulationConfig, plan_tasks, simulate
 from chromaweave.plans.adapters import BAND, BIN, view, with_views
@@ -561,6 +561,66 @@ def j07_until_target(spark, sf_dir):
     return extrusion.until_target(e, ["cell"], 2_000)
 
 
+def _epoch_sql(major: float, minor: float, bypass: float) -> str:
+    """An epoch's collisions up to the table ``done``; queues of units are followed one rank after the other."""
+    unit = ("chrom", "cell", "lef_id")
+    lucky = f"{_luck('meet', *unit)} AS meet_luck, {_luck('rev', *unit)} AS rev_luck, {_luck('fwd', *unit)} AS fwd_luck"
+    bar = ("chrom", "cell", "pos")
+    reach = "s.event = 'none' AND c.held AND s.p - s.move <= c.stop"
+    return f"""RECURSIVE {_BC}, {_RANKS}, {_ADJ},
+cl AS (SELECT * REPLACE (least(rev_move, rev) AS rev_move, least(fwd_move, size - 1 - fwd) AS fwd_move), {lucky}, min(fwd) OVER w AS low, max(rev) OVER w AS high, count(*) OVER w AS n FROM ad WINDOW w AS (PARTITION BY chrom, cell)),
+cm AS (SELECT *, rev <> 0 AND rev = rev_move AND rev <= low AS rc, fwd <> size - 1 AND fwd + fwd_move = size - 1 AND fwd >= high AS fc FROM cl),
+bo AS (SELECT *, rev = 0 OR coalesce(rev_rank = min(CASE WHEN rc THEN rev_rank END) OVER w, FALSE) AS rb, fwd = size - 1 OR coalesce(fwd_rank = max(CASE WHEN fc THEN fwd_rank END) OVER w, FALSE) AS fb FROM cm WINDOW w AS (PARTITION BY chrom, cell)),
+bl AS (SELECT *, {_luck("bar-rev", *bar)} < CASE blocks WHEN 'rev' THEN {major} ELSE {minor} END AS rl, {_luck("bar-fwd", *bar)} < CASE blocks WHEN 'fwd' THEN {major} ELSE {minor} END AS fl FROM bc),
+rh AS (SELECT chrom, cell, barrier_id, pos, min(rev_rank) AS rank FROM bl JOIN bo USING (chrom, cell) WHERE rl AND rev > pos GROUP BY ALL), fh AS (SELECT chrom, cell, barrier_id, pos, max(fwd_rank) AS rank FROM bl JOIN bo USING (chrom, cell) WHERE fl AND fwd < pos GROUP BY ALL),
+ri AS (SELECT h.chrom, h.cell, lef_id, min(rev - pos) - 1 AS move, arg_min(barrier_id, rev - pos) AS id FROM rh h JOIN bo u ON u.chrom = h.chrom AND u.cell = h.cell AND u.rev_rank = h.rank WHERE rev - pos <= rev_move GROUP BY ALL),
+fi AS (SELECT h.chrom, h.cell, lef_id, min(pos - fwd) - 1 AS move, arg_min(barrier_id, pos - fwd) AS id FROM fh h JOIN bo u ON u.chrom = h.chrom AND u.cell = h.cell AND u.fwd_rank = h.rank WHERE pos - fwd <= fwd_move GROUP BY ALL),
+ba AS (SELECT bo.*, coalesce(ri.move, rev_move) AS rm, coalesce(fi.move, fwd_move) AS fm, ri.id AS ri, fi.id AS fi FROM bo LEFT JOIN ri USING (chrom, cell, lef_id) LEFT JOIN fi USING (chrom, cell, lef_id)),
+ln AS (SELECT chrom, cell, {{'place': rev, 'kind': 0, 'rank': rev_rank, 'free': rev_move, 'move': rm, 'held': ri IS NOT NULL, 'lef': lef_id, 'luck': meet_luck}} AS r FROM ba UNION ALL SELECT chrom, cell, {{'place': fwd, 'kind': 1, 'rank': fwd_rank, 'free': fwd_move, 'move': fm, 'held': fi IS NOT NULL, 'lef': lef_id, 'luck': meet_luck}} FROM ba),
+lg AS (SELECT *, lag(r) OVER (PARTITION BY chrom, cell ORDER BY r.place, r.kind, r.rank) AS f FROM ln),
+mt AS (SELECT *, greatest(f.place + floor((r.place - f.place) * f.free / (r.free + f.free) + 0.5)::BIGINT, f.place + 1) AS meet, r.place - r.move AS rs, f.place + f.move AS fs FROM lg WHERE r.kind = 0 AND f.kind = 1 AND r.place > f.place AND r.place - f.place < r.free + f.free AND f.luck >= {bypass} AND NOT (r.held AND f.held)),
+mf AS (SELECT *, r.held AND rs >= meet AS rf, f.held AND fs < meet AS ff FROM mt),
+rp AS (SELECT chrom, cell, r.lef AS lef_id, f.lef AS id, r.place - CASE WHEN ff THEN fs + 1 ELSE meet END AS move FROM mf WHERE NOT rf AND (NOT ff OR r.place - r.free <= fs)),
+fp AS (SELECT chrom, cell, f.lef AS lef_id, r.lef AS id, CASE WHEN rf THEN rs - 1 ELSE meet - 1 END - f.place AS move FROM mf WHERE NOT ff AND (NOT rf OR f.place + f.free >= rs)),
+sd AS (SELECT b.chrom, b.cell, 'rev' AS side, b.lef_id, size, rev AS p, fwd AS other, rev_rank AS k, rev_luck AS luck, coalesce(q.move, rm) AS move, CASE WHEN q.id IS NOT NULL THEN 'primary' WHEN ri IS NOT NULL THEN 'barrier' WHEN rb THEN 'boundary' ELSE 'none' END AS event, coalesce(q.id, ri) AS partner FROM ba b LEFT JOIN rp q USING (chrom, cell, lef_id)
+UNION ALL SELECT b.chrom, b.cell, 'fwd', b.lef_id, size, -fwd, rev, n - 1 - fwd_rank, fwd_luck, coalesce(q.move, fm), CASE WHEN q.id IS NOT NULL THEN 'primary' WHEN fi IS NOT NULL THEN 'barrier' WHEN fb THEN 'boundary' ELSE 'none' END, coalesce(q.id, fi) FROM ba b LEFT JOIN fp q USING (chrom, cell, lef_id)),
+qu AS (SELECT chrom, cell, side, lef_id, k, p - move AS stop, event <> 'none' AS held, FALSE AS sec, FALSE AS past, NULL::BIGINT AS ahead FROM sd WHERE k = 0
+UNION ALL SELECT s.chrom, s.cell, s.side, s.lef_id, s.k, CASE WHEN {reach} AND s.luck >= {bypass} THEN least(c.stop + 1, s.p) ELSE s.p - s.move END, s.event <> 'none' OR ({reach} AND s.luck >= {bypass}), {reach} AND s.luck >= {bypass}, {reach} AND s.luck < {bypass}, c.lef_id FROM qu c JOIN sd s ON s.chrom = c.chrom AND s.cell = c.cell AND s.side = c.side AND s.k = c.k + 1),
+se AS (SELECT s.chrom, s.cell, s.side, s.lef_id, size, p, other, p - stop AS move, stop, CASE WHEN sec THEN 'secondary' ELSE event END AS event, CASE WHEN sec THEN ahead ELSE partner END AS partner, past, ahead FROM sd s JOIN qu USING (chrom, cell, side, lef_id)),
+tr AS (SELECT f.*, b.lef_id IS NOT NULL AS led, b.p AS bp, a.p AS ap, a.move AS am, a.event AS ae, a.partner AS aw FROM se f LEFT JOIN se b ON b.chrom = f.chrom AND b.cell = f.cell AND b.side = f.side AND b.past AND b.ahead = f.lef_id LEFT JOIN se a ON a.chrom = f.chrom AND a.cell = f.cell AND a.side = f.side AND f.past AND a.lef_id = f.ahead),
+tv AS (SELECT *, CASE WHEN led THEN greatest(bp - stop - 1, 0) WHEN past THEN am ELSE move END AS mv, CASE WHEN led THEN 'secondary' WHEN past THEN ae ELSE event END AS ev, CASE WHEN led THEN lef_id WHEN past THEN aw ELSE partner END AS wi, led OR past AS traded FROM tr),
+rv AS (SELECT *, CASE WHEN led THEN least(other, bp) WHEN past THEN least(other, ap) ELSE p END AS rev FROM tv WHERE side = 'rev'),
+fv AS (SELECT t.*, v.rev, CASE WHEN t.led THEN greatest(v.rev, -t.bp) WHEN t.past THEN greatest(v.rev, -t.ap) ELSE -t.p END AS fwd FROM tv t JOIN rv v USING (chrom, cell, lef_id) WHERE t.side = 'fwd'),
+done AS (SELECT f.chrom, f.cell, f.lef_id, r.rev, f.fwd, CASE WHEN r.traded THEN least(r.mv, r.rev) ELSE r.mv END AS rev_move, CASE WHEN f.traded THEN least(f.mv, f.size - 1 - f.fwd) ELSE f.mv END AS fwd_move, r.ev AS rev_event, f.ev AS fwd_event, r.wi AS rev_with, f.wi AS fwd_with FROM rv r JOIN fv f USING (chrom, cell, lef_id))"""
+
+
+def _collided(spark, sf_dir, major: float, minor: float, bypass: float):
+    b = view(spark, sf_dir, "barriers").where("strand <> '.'").withColumns({"pos": formulas.barrier_position(F.col("start"), F.col("end")), "cell": F.explode(F.sequence(F.lit(0), F.lit(3)))})
+    placed = b.groupBy("chrom", F.col("cell").cast("bigint").alias("cell"), "pos").agg(F.min("start").alias("barrier_id"), formulas.blocking_direction(F.min("strand")).alias("blocks"))
+    held = placed.withColumns({f"{s}_luck": extrusion.uniform(_SEED, f"bar-{s}", *_CELL, "pos") for s in ("rev", "fwd")})
+    units = view(spark, sf_dir, "lefs").withColumns({"start": F.lit(0), "end": F.col("size")} | {f"{s}_luck": extrusion.uniform(_SEED, s, *_CELL, "lef_id") for s in ("meet", "rev", "fwd")})
+    return epochs.collided(units, held, _CELL, major, minor, bypass)
+
+
+_DONE = ["chrom", "cell", "lef_id", "rev", "fwd", "rev_move", "fwd_move", "rev_event", "fwd_event", "coalesce(rev_with, -1) AS rev_with", "coalesce(fwd_with, -1) AS fwd_with"]
+
+
+@_query(f"WITH {_epoch_sql(1.0, 0.0, 0.0)} SELECT * REPLACE (coalesce(rev_with, -1) AS rev_with, coalesce(fwd_with, -1) AS fwd_with) FROM done", "lefs", "barriers")
+def f08_collided(spark, sf_dir):
+    return _collided(spark, sf_dir, 1.0, 0.0, 0.0).selectExpr(*_DONE)
+
+
+@_query(f"WITH {_epoch_sql(0.9, 0.1, 0.2)} SELECT * REPLACE (coalesce(rev_with, -1) AS rev_with, coalesce(fwd_with, -1) AS fwd_with) FROM done", "lefs", "barriers")
+def f09_collided_by_chance(spark, sf_dir):
+    return _collided(spark, sf_dir, 0.9, 0.1, 0.2).selectExpr(*_DONE)
+
+
+@_query(f"""WITH {_epoch_sql(1.0, 0.0, 0.1)} SELECT chrom, cell, count(*) AS units, count(*) FILTER (rev_event <> 'none') AS rev_stalls, count(*) FILTER (fwd_event <> 'none') AS fwd_stalls, count(*) FILTER (rev_event <> 'none' AND fwd_event <> 'none') AS both_stalls,
+{", ".join(f"sum((rev_event = '{k}')::INT + (fwd_event = '{k}')::INT)::BIGINT AS {k}_collisions" for k in epochs.KINDS)}, round(avg(fwd + fwd_move - rev + rev_move), 5) AS mean_loop FROM done GROUP BY ALL""", "lefs", "barriers")
+def f10_epoch_log(spark, sf_dir):
+    return _round(epochs.epoch_log(_collided(spark, sf_dir, 1.0, 0.0, 0.1), _CELL), "mean_loop", places=5)
+
+
 @_query(f"""SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS "from", time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE AS "to", c.chrom, pos1 // {BIN} AS bin1, pos2 // {BIN} AS bin2, count(*) AS count
 FROM (SELECT ts, c.chrom, (event_id * 6151) % size AS pos1, least(size - 1, (event_id * 6151) % size + (user_id * 37) % 400000) AS pos2 FROM events JOIN chroms c ON chrom_id = user_id % 25) c WHERE pos2 // {BIN} - pos1 // {BIN} < {BAND} GROUP BY ALL""", "chroms")
 def g01_windowed_pixels(spark, sf_dir):

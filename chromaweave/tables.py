@@ -64,9 +64,9 @@ def numbered(df: DataFrame, groups: list[str], order: list[str | Column], name:
     return out.select(*df.columns, name, *([total] if total else []))
 
 
-def running(df: DataFrame, groups: list[str], order: list[str | Column], columns: dict[str, tuple[str, Column]]) -> DataFrame:
-    """``df`` with running values by ``order`` in each group, the row's own included: name to (kind, column), kinds being ``sum``,
-    ``min``, ``max`` and ``last`` (the last that is not null).
+def running(df: DataFrame, groups: list[str], order: list[str | Column], columns: dict[str, tuple[str, Column]], own: bool = True) -> DataFrame:
+    """``df`` with running values by ``order`` in each group, the row's own included unless ``own`` is off: name to (kind, column),
+    kinds being ``sum``, ``min``, ``max`` and ``last`` (the last that is not null). Null where there is nothing before.
 
     A range sort, written; every task's part of a group is summed up, what comes before a part is carried into it, and a
     window runs over the part alone. So a window holds what one task sorted, however large a group is; the windows over
@@ -80,8 +80,8 @@ def running(df: DataFrame, groups: list[str], order: list[str | Column], columns
     parts = kept.groupBy(*groups, "_part").agg(*[whole[kind](f"_v{k}").alias(f"_t{k}") for k, kind in enumerate(kinds)])
     before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.select(*groups, "_part", *[over[kind](f"_t{k}").over(before).alias(f"_c{k}") for k, kind in enumerate(kinds)])
-    here = Window.partitionBy(*groups, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = kept.withColumns({f"_w{k}": over[kind](f"_v{k}").over(here) for k, kind in enumerate(kinds)})
+    here = Window.partitionBy(*groups, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow if own else -1)
+    scanned = kept.withColumns({f"_w{k}": over[kind](f"_v{k}").over(here) for k, kind in enumerate(kinds)})
 
     def joined(kind: str, carry: Column, value: Column) -> Column:
         if kind == "last":
@@ -89,5 +89,5 @@ def running(df: DataFrame, groups: list[str], order: list[str | Column], columns
         both = {"sum": carry + value, "min": F.least(carry, value), "max": F.greatest(carry, value)}[kind]
         return F.coalesce(both, carry, value)
 
-    out = _with_parts(own, carried, groups)
+    out = _with_parts(scanned, carried, groups)
     return out.select(*df.columns, *[joined(kind, F.col(f"_c{k}"), F.col(f"_w{k}")).alias(n) for k, (n, kind) in enumerate(zip(names, kinds))])
