@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chromaweave.functions.statistics import correlation_of_moments, pearson_significance, spearman_significance
@@ -131,28 +129,21 @@ def _rank_moments(found: DataFrame, key: list[str], frame: DataFrame) -> DataFra
     """``frame`` with sums over the mean ranks of a stripe's pairs in the padded stripe (sw, sx, sy, sxx, syy, sxy), their number
     _m, the ranks _zx and _zy of a zero, and whether a side has anything but zeros (_ax, _ay).
 
-    One aggregation lists a stripe's pairs, no more than the band is wide; a value's rank follows from where it begins and ends
-    in the sorted list.
+    A value's rank follows from a window over its stripe's pairs, no more than the band is wide, and the zeros that no row stands for.
+    The sums are an aggregation, so that a condition on them is not moved below it and no rank is made twice.
     """
-    listed = found.groupBy(*key).agg(F.collect_list(F.struct("x", "y", "w")).alias("_p"))
-    out = frame.join(listed, key, "left").withColumn("_p", F.coalesce("_p", F.expr("array()").cast("array<struct<x:double,y:double,w:double>>")))
-    missing = F.col("n") - F.size("_p")  # pairs of zeros, which no row stands for
+    own = Window.partitionBy(*key)
+    sized = found.join(frame.select("chrom", "n").distinct(), "chrom")
+    missing = F.col("n") - F.count(F.lit(1)).over(own)
+    ranked = sized.withColumn("_missing", missing)
     for side in ("x", "y"):
-        out = out.withColumn(f"_s{side}", F.array_sort(F.transform("_p", lambda p: p[side])))
-        out = out.withColumns({f"_d{side}": F.reverse(f"_s{side}"), f"_a{side}": F.exists(f"_s{side}", lambda v: v != 0)})
-        below, others = F.size(F.filter(f"_s{side}", lambda v: v < 0)), F.size(F.filter(f"_s{side}", lambda v: v != 0))
-        out = out.withColumn(f"_z{side}", below + (F.col("n") - others - 1) / 2)
-
-    def rank(v: Column, side: str) -> Column:
-        first = F.array_position(f"_s{side}", v) - 1
-        ties = F.size("_p") - F.array_position(f"_d{side}", v) - first + 1
-        return first + F.when(v > 0, missing).otherwise(0) + (ties - 1) / 2
-
-    ranks = F.transform("_p", lambda p: F.struct(p["w"].alias("w"), F.when(p["x"] == 0, F.col("_zx")).otherwise(rank(p["x"], "x")).alias("x"), F.when(p["y"] == 0, F.col("_zy")).otherwise(rank(p["y"], "y")).alias("y")))
-    out = out.withColumn("_r", ranks)
-    sums = {"sw": lambda p: p["w"], "sx": lambda p: p["w"] * p["x"], "sy": lambda p: p["w"] * p["y"], "sxx": lambda p: p["w"] * p["x"] * p["x"], "syy": lambda p: p["w"] * p["y"] * p["y"], "sxy": lambda p: p["w"] * p["x"] * p["y"]}
-
-    def total(term: Callable[[Column], Column]) -> Column:
-        return F.aggregate("_r", F.lit(0.0), lambda a, p: a + term(p))
-
-    return out.withColumns({**{n: total(f) for n, f in sums.items()}, "_m": F.size("_p")}).drop("_p", "_r", "_sx", "_sy", "_dx", "_dy")
+        v, ties = F.col(side), F.count(F.lit(1)).over(Window.partitionBy(*key, side))
+        first = F.rank().over(own.orderBy(side)) - 1
+        ranked = ranked.withColumn(f"_r{side}", first + F.when(v > 0, F.col("_missing")).otherwise(0) + (ties - 1 + F.when(v == 0, F.col("_missing")).otherwise(0)) / 2)
+    x, y, w = F.col("_rx"), F.col("_ry"), F.col("w")
+    sums = {"sw": w, "sx": w * x, "sy": w * y, "sxx": w * x * x, "syy": w * y * y, "sxy": w * x * y}
+    sides = [c for s in ("x", "y") for c in (F.count_if(F.col(s) < 0).alias(f"_below_{s}"), F.count_if(F.col(s) != 0).alias(f"_others_{s}"))]
+    moments = ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("_m"), *sides, *[F.sum(e).alias(c) for c, e in sums.items()])
+    out = frame.join(moments, key, "left").na.fill(0, ["_m", *(f"_{k}_{s}" for k in ("below", "others") for s in ("x", "y")), *sums])
+    zero = {f"_z{s}": F.col(f"_below_{s}") + (F.col("n") - F.col(f"_others_{s}") - 1) / 2 for s in ("x", "y")}
+    return out.withColumns(zero | {f"_a{s}": F.col(f"_others_{s}") > 0 for s in ("x", "y")})

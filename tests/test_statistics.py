@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chromaweave.functions import formulas, statistics
-from chromaweave.operators import matrix
+from chromaweave.operators import evaluation, matrix
 from chromaweave.operators.intervals import overlap_counts, overlap_join
 
 #: Two vectors, and below the results published for them.
@@ -121,3 +121,12 @@ def test_last_column_and_row_have_length_one(spark):
     assert columns.where("stripe = 25").agg(F.sum("count"), F.count("*")).first() == (45, 10)
     assert columns.where("stripe = 99").count() == 1
     assert matrix.row_stripes(pixels).where("stripe = 99").count() == 1
+
+
+def test_condition_on_rank_correlations_does_not_make_ranks_again(spark):
+    pixels = [spark.createDataFrame([("c", a, a + k, (a * 7 + k * s) % 5) for a in range(20) for k in range(6)], "chrom string, bin1 long, bin2 long, count long") for s in (3, 4)]
+    chroms = spark.createDataFrame([("c", 250)], "chrom string, size long")
+    scores = evaluation.compare(*pixels, chroms, 10, 8, "spearman")
+    kept = scores.where("score > -0.5 AND score < 0.9")
+    assert "lambda" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in scores.collect() if r.score is not None and -0.5 < r.score < 0.9}
