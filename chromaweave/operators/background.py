@@ -40,18 +40,18 @@ class Matrix:
         """Every cell brought into [lower, upper]."""
         return self._mapped(lambda v: F.greatest(F.lit(float(lower)), F.least(F.lit(float(upper)), v)))
 
-    def bounds(self) -> DataFrame:
+    def bounds(self, with_background: bool = False) -> DataFrame:
         """(chrom, n, background, low, high): the least and the largest value of any cell. The background counts where there are
-        more cells than pixels."""
+        more cells than pixels, or ``with_background``, in full bands too."""
         found = self.pixels.groupBy("chrom").agg(F.min("count").alias("_min"), F.max("count").alias("_max"), F.count(F.lit(1)).alias("_kept"))
         more = F.coalesce("_kept", F.lit(0)) < self._cells()
-        empty = F.when(more, F.col("background"))
+        empty = F.when(more | F.lit(with_background), F.col("background"))
         return self.chroms.join(found, "chrom", "left").select("chrom", "n", "background", F.least("_min", empty).alias("low"), F.greatest("_max", empty).alias("high"))
 
-    def normalised(self, lower: float, upper: float) -> Matrix:
-        """By chrom, values stretched to [lower, upper] from the least to the largest. Where all are equal they become null; a
-        chrom that is all 0 stays so."""
-        bounds = self.bounds()
+    def normalised(self, lower: float, upper: float, with_background: bool = False) -> Matrix:
+        """By chrom, values stretched to [lower, upper] from the least to the largest (``bounds``). Where all are equal they become
+        null; a chrom that is all 0 stays so."""
+        bounds = self.bounds(with_background)
         span = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
         stretched = lambda v: (v - F.col("low")) / span * (upper - lower) + lower
         pixels = self.pixels.join(bounds.select("chrom", "low", "high"), "chrom").select(*PIXEL, stretched(F.col("count")).alias("count"))

@@ -130,3 +130,10 @@ def test_condition_on_rank_correlations_does_not_make_ranks_again(spark):
     kept = scores.where("score > -0.5 AND score < 0.9")
     assert "lambda" not in kept._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in scores.collect() if r.score is not None and -0.5 < r.score < 0.9}
+
+
+def test_a_full_band_is_normalised_from_zero(spark):
+    chroms = spark.createDataFrame([("c", 20)], "chrom string, size long")
+    full = spark.createDataFrame([("c", 0, 0, 2), ("c", 0, 1, 3), ("c", 1, 1, 4)], "chrom string, bin1 long, bin2 long, count long")
+    assert {r["count"] for r in matrix.normalised(full, chroms, 10, 2).collect()} == {0.5, 0.75, 1.0}
+    assert {r["count"] for r in matrix.normalised(full, chroms, 10, 2, saturation=(2, 4)).collect()} == {0.0, 0.5, 1.0} - {0.0}
