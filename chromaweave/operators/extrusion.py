@@ -50,6 +50,29 @@ def poisson(u: Column, rate: Column) -> Column:
     return F.when(rate > _MOST, F.raise_error(F.lit(f"a Poisson rate is beyond {_MOST}")).cast("bigint")).otherwise(counted)
 
 
+def poisson_of_any_rate(u: Column, rate: Column) -> Column:
+    """``poisson`` without a largest rate. Chances are summed relative to that of the least k that counts, 12 deviations below the
+    rate, and set against their total, so exp(-rate) is not needed and the work grows with the rate's root; what lies beyond
+    is less than e-30."""
+    reach = 12 * F.sqrt(rate) + 24
+    first = F.floor(F.greatest(rate - reach, F.lit(0.0))).cast("bigint")
+    ks = F.sequence(first + 1, F.ceil(rate + reach).cast("bigint"))
+    start = F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("below"))
+
+    def add(a: Column, k: Column) -> Column:
+        p = a["p"] * rate / k
+        return F.struct(p.alias("p"), (a["below"] + p).alias("below"))
+
+    total = F.aggregate(ks, start, add, lambda a: a["below"])
+    begin = F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("below"), first.alias("k"), (u * total).alias("at"))
+
+    def step(a: Column, k: Column) -> Column:
+        p = a["p"] * rate / k
+        return F.struct(p.alias("p"), (a["below"] + p).alias("below"), (a["k"] + (a["below"] <= a["at"]).cast("bigint")).alias("k"), a["at"].alias("at"))
+
+    return F.when(u > 0, F.aggregate(ks, begin, step, lambda a: a["k"])).when(u.isNotNull() & rate.isNotNull(), F.lit(0).cast("bigint"))
+
+
 def initial_states(barriers: DataFrame, keys: list[str], seed: int) -> DataFrame:
     """``barriers`` with ``active``: bound with the chance that follows from stp_active and stp_inactive, half if both are 1."""
     share = F.coalesce(occupancy_from_stp(F.col("stp_active"), F.col("stp_inactive")), F.lit(0.5))
@@ -82,7 +105,7 @@ def activation(cells: DataFrame, keys: list[str], epochs: int, activation_epochs
     u = uniform(seed, "awake", *keys, "epoch")
     none = F.exp(-rate)
     each = cells.withColumn("epoch", F.explode(_numbers(F.lit(0), F.lit(epochs - 1))))
-    drawn = each.withColumn("arrivals", poisson(F.when(F.col("epoch") == 0, none + u * (1 - none)).otherwise(u), rate))
+    drawn = each.withColumn("arrivals", poisson_of_any_rate(F.when(F.col("epoch") == 0, none + u * (1 - none)).otherwise(u), rate))
     order = Window.partitionBy(*keys).orderBy("epoch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return drawn.select(*keys, "epoch", "arrivals", F.least("lefs", F.sum("arrivals").over(order)).cast("bigint").alias("awake"))
 

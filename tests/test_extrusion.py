@@ -46,6 +46,24 @@ def test_poisson_of_a_rate_too_large_is_an_error_and_of_null_null(spark):
     assert spark.range(1).select(extrusion.poisson(F.lit(None).cast("double"), F.lit(None).cast("double"))).first()[0] is None
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.3, 80.0, 701.0, 7_500.0, 300_000.0])
+def test_poisson_of_any_rate_is_the_inverse_distribution_function(spark, rate):
+    u = (np.arange(60) + 0.37) / 60
+    k = np.arange(int(rate + 12 * rate**0.5 + 24))
+    logs = k * math.log(rate) - rate - np.array([math.lgamma(x + 1) for x in k]) if rate else np.where(k == 0, 0.0, -np.inf)
+    wanted = np.searchsorted(np.cumsum(np.exp(logs)), u, "right").tolist()
+    rows = spark.createDataFrame([(float(x),) for x in u], "u double")
+    assert [r[0] for r in rows.select(extrusion.poisson_of_any_rate(F.col("u"), F.lit(rate))).collect()] == wanted
+    assert spark.range(1).select(extrusion.poisson_of_any_rate(F.lit(0.5), F.lit(None).cast("double"))).first()[0] is None
+
+
+def test_cells_of_very_many_units_wake_up(spark):
+    cells = spark.createDataFrame([(1, 9_000), (2, 3_000_000)], "cell long, lefs long")
+    rows = extrusion.activation(cells, ["cell"], 40, 12, SEED).toPandas()
+    share = rows["arrivals"] / rows["cell"].map({1: 750, 2: 250_000})
+    assert ((share - 1).abs() < 0.25).all() and (rows[rows["epoch"] == 39].sort_values("cell")["awake"].to_list() == [9_000, 3_000_000])
+
+
 def test_barrier_chains_follow_their_maps_one_by_one(spark):
     chances = [(k, a, b) for k, (a, b) in enumerate([(0.7, 0.7), (0.0, 0.0), (1.0, 1.0), (1.0, 0.0), (0.0, 1.0), (0.2, 0.9), (0.95, 0.1)] * 20)]
     table = spark.createDataFrame(chances, "id long, stp_active double, stp_inactive double")
