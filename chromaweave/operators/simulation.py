@@ -19,10 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromaweave.functions.formulas import cell_target, contacts_per_epoch, lefs_of
+from chromaweave.operators.intervals import overlap_join
+from chromaweave.tables import numbered
 
 NONE, BOUNDARY, BARRIER, PRIMARY, SECONDARY = range(5)
 #: Units that one run of the kernel steps together, unless one task has more.
 _TOGETHER = 20_000
+#: Barriers that one run of the kernel steps together, unless one task has more.
+_BARRIERS = 200_000
+#: Tasks of a lot, while that makes some lots for each core and no more than ``_LOTS`` for one.
+_LOT, _LOTS = 200, 16
 
 
 @dataclass(frozen=True)
@@ -134,19 +140,24 @@ def target_epochs_of(lefs: int, npixels: int, config: SimulationConfig) -> int:
     return math.floor(max(1.0, math.floor(config.contact_density * npixels + 0.5)) / per_epoch + 0.5)
 
 
-def plan_tasks(intervals: DataFrame, barriers: DataFrame, config: SimulationConfig) -> DataFrame:
-    """One row per interval and cell: how many units, contacts per epoch and in total, and the interval's barriers.
-
-    Intervals without barriers are left out, as they have no contacts, unless ``config.without_barriers``.
-    """
+def plan_cells(intervals: DataFrame, config: SimulationConfig) -> DataFrame:
+    """One row per interval and cell: how many units, contacts per epoch and in total."""
     ncols = F.ceil((F.col("end") - F.col("start")) / config.bin_size).cast("bigint")
     size = F.col("end") - F.col("start")
-    owned = barriers.groupBy("interval_id").agg(F.array_sort(F.collect_list(F.struct("pos", "stp_active", "stp_inactive", "blocks"))).alias("barriers"))
     sized = intervals.withColumns({"lefs": lefs_of(size, config.lefs_per_mbp), "npixels": ncols * F.least(ncols, F.lit(config.nrows))})
     totals = sized.withColumns({"per_epoch": contacts_per_epoch(F.col("lefs"), *config.speeds, config.sampling_interval), "total": F.round(F.col("npixels") * config.contact_density).cast("bigint")})
     cells = totals.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(config.cells - 1))))
-    planned = cells.withColumn("target", cell_target(F.col("total"), config.cells, F.col("cell"))).join(owned, "interval_id", "left" if config.without_barriers else "inner")
-    return planned.drop("npixels", "total")
+    return cells.withColumn("target", cell_target(F.col("total"), config.cells, F.col("cell"))).drop("npixels", "total")
+
+
+def plan_tasks(intervals: DataFrame, barriers: DataFrame, config: SimulationConfig) -> DataFrame:
+    """``plan_cells`` with the interval's barriers. They are as many as pairs of intervals and barriers that overlap; ``simulate_intervals``
+    does without this table.
+
+    Intervals without barriers are left out, as they have no contacts, unless ``config.without_barriers``.
+    """
+    owned = barriers.groupBy("interval_id").agg(F.array_sort(F.collect_list(F.struct("pos", "stp_active", "stp_inactive", "blocks"))).alias("barriers"))
+    return plan_cells(intervals, config).join(owned, "interval_id", "left" if config.without_barriers else "inner")
 
 
 def interval_report(intervals: DataFrame, barriers: DataFrame, config: SimulationConfig) -> DataFrame:
@@ -174,6 +185,10 @@ def adjust_moves(pos: np.ndarray, move: np.ndarray, order: np.ndarray, rev: bool
     return out
 
 
+#: A place below all others.
+_FAR = np.int64(-(2**62))
+
+
 class Epoch:
     """Moves of one epoch and the collisions that shorten them. Units are bound; arrays are indexed by unit. ``cell`` tells
     apart units that do not meet; those of one cell lie together, and cells further apart than any two moves."""
@@ -204,12 +219,20 @@ class Epoch:
         """Units that cross an active barrier are stopped one base short, by chance ``major`` where it blocks their
         direction and ``minor`` elsewhere."""
         self._rev_before, self._fwd_before = self.rev_move.copy(), self.fwd_move.copy()
+        sorted_ = np.arange(len(pos)) if (pos[1:] >= pos[:-1]).all() else np.argsort(pos, kind="stable")
+        line = pos[sorted_]
         for rev, luck in ((True, rev_luck), (False, fwd_luck)):
             at, move, event, partner = (self.rev, self.rev_move, self.rev_event, self.rev_with) if rev else (self.fwd, self.fwd_move, self.fwd_event, self.fwd_with)
             order = self.rev_order if rev else self.fwd_order
-            where = np.searchsorted(at[order], pos, "right") if rev else np.searchsorted(at[order], pos, "left") - 1
-            own = np.flatnonzero(active & (where < len(at)) & (where >= 0))
-            unit = order[where[own]]
+            # a unit faces the barriers up to the next unit ahead, as far as it moves; of units at one place the nearest to them does
+            place, reach = at[order], move[order]
+            if rev:
+                low, high = np.searchsorted(line, np.maximum(np.append(_FAR, place)[:-1], place - reach)), np.searchsorted(line, place)
+            else:
+                low, high = np.searchsorted(line, place, "right"), np.searchsorted(line, np.minimum(np.append(place, -_FAR)[1:], place + reach), "right")
+            n = np.maximum(high - low, 0)
+            own, unit = sorted_[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], np.repeat(order, n)
+            own, unit = own[active[own]], unit[active[own]]
             distance = at[unit] - pos[own] if rev else pos[own] - at[unit]
             chance = np.where(blocks_rev[own] == rev, major, minor)
             hit = (distance > 0) & (distance <= move[unit]) & (luck[own] < chance)
@@ -355,15 +378,23 @@ def _offsets(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
+def _barrier_arrays(barriers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """pos, stp_active, stp_inactive and whether rev units are blocked, of a task's list of barriers; arrays stay as they are."""
+    if isinstance(barriers, tuple):
+        return barriers
+    own = list(barriers or [])
+    return np.array([b["pos"] for b in own], np.int64), np.array([b["stp_active"] for b in own], float), np.array([b["stp_inactive"] for b in own], float), np.array([b["blocks"] == "rev" for b in own], bool)
+
+
 class _Cells:
     """Some tasks on one line. Positions are relative to it: ``base`` is where a task's interval starts."""
 
-    def __init__(self, tasks: list[dict], config: SimulationConfig):
-        self.config = config
+    def __init__(self, tasks: list[dict], config: SimulationConfig, noted: bool = True):
+        self.config, self.noted = config, noted
         self.gens = [np.random.Generator(np.random.PCG64(np.random.SeedSequence([config.seed, crc32(f"{t['chrom']}:{t['start']}-{t['end']}".encode()), int(t["cell"])]))) for t in tasks]
         self.size, self.lefs, self.per_epoch, self.target = (np.array(x, np.int64) for x in ([t["end"] - t["start"] for t in tasks], [t["lefs"] for t in tasks], [t["per_epoch"] for t in tasks], [t["target"] for t in tasks]))
-        bars = [list(t["barriers"] or []) for t in tasks]
-        self.bars = np.array([len(b) for b in bars])
+        bars = [_barrier_arrays(t["barriers"]) for t in tasks]
+        self.bars = np.array([len(b[0]) for b in bars])
         count = len(tasks)
         self.base = _offsets(self.size + 2 * int(self.size.max()) + int(self.lefs.sum()) + 10)
         self.unit_at, self.bar_at, self.contact_at = _offsets(self.lefs), _offsets(self.bars), _offsets(self.per_epoch)
@@ -372,10 +403,8 @@ class _Cells:
         self.low = self.base[self.of]
         self.high = self.low + self.size[self.of]
         self.bar_of = np.repeat(np.arange(count), self.bars)
-        flat = [b for own in bars for b in own]
-        self.pos = np.array([b["pos"] for b in flat], np.int64) - np.array([t["start"] for t in tasks], np.int64)[self.bar_of] + self.base[self.bar_of]
-        self.stay_on, self.stay_off = np.array([b["stp_active"] for b in flat], float), np.array([b["stp_inactive"] for b in flat], float)
-        self.blocks_rev = np.array([b["blocks"] == "rev" for b in flat], bool)
+        pos, self.stay_on, self.stay_off, self.blocks_rev = (np.concatenate(x) for x in zip(*bars))
+        self.pos = pos - np.array([t["start"] for t in tasks], np.int64)[self.bar_of] + self.base[self.bar_of]
         # pixels and places of an interval's cells are summed together
         names = {name: k for k, name in enumerate(dict.fromkeys(t["interval_id"] for t in tasks))}
         self.interval = np.array([names[t["interval_id"]] for t in tasks])
@@ -464,7 +493,8 @@ class _Cells:
                 k = np.flatnonzero(event == BARRIER)
                 held[k] += self.blocks_rev[partner[k]] == side
             bound[on] = unit_luck[on, 1] >= chances[slow, held]
-            self._note(epoch, np.flatnonzero(alive), e, of, burning, active, rev[on], fwd[on])
+            if self.noted:
+                self._note(epoch, np.flatnonzero(alive), e, of, burning, active, rev[on], fwd[on])
             epoch += 1
 
     def _sample(self, tasks: np.ndarray, n: np.ndarray, rev: np.ndarray, fwd: np.ndarray, luck: np.ndarray) -> np.ndarray:
@@ -538,9 +568,11 @@ def _batch(kind: str, tasks: list[dict], which: np.ndarray, **columns) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array([kind] * size, pa.string()), pa.array(ids[which]), names.take(pa.array(which)), *rest], names=["kind", "interval_id", "chrom", *types])
 
 
-def _simulated(config: SimulationConfig, with_epochs: bool):
+def _simulated(config: SimulationConfig, with_epochs: bool, read=None):
+    read = read or _planned_tasks
+
     def answer(tasks: list[dict]) -> Iterator[pa.RecordBatch]:
-        cells = _Cells(tasks, config)
+        cells = _Cells(tasks, config, with_epochs)
         cells.run()
         owner = np.unique(cells.interval, return_index=True)[1]
         keys, n = cells.pixels.total()
@@ -556,20 +588,54 @@ def _simulated(config: SimulationConfig, with_epochs: bool):
             yield _batch("epoch", tasks, which, cell=np.array([t["cell"] for t in tasks], np.int32)[which], a=log[:, 1].astype(np.int64), stats=list(log[:, 2:]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, units = [], 0
-        for batch in batches:
-            for task in batch.to_pylist():
-                if held and units + task["lefs"] > _TOGETHER:
-                    yield from answer(held)
-                    held, units = [], 0
-                held.append(task)
-                units += task["lefs"]
+        held, units, bars = [], 0, 0
+        for task in read(batches):
+            own = len(task["barriers"][0]) if isinstance(task["barriers"], tuple) else len(task["barriers"] or [])
+            if held and (units + task["lefs"] > _TOGETHER or bars + own > _BARRIERS):
+                yield from answer(held)
+                held, units, bars = [], 0, 0
+            held.append(task)
+            units, bars = units + task["lefs"], bars + own
         if held:
             yield from answer(held)
 
     return run
 
 
+def _planned_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        yield from batch.to_pylist()
+
+
+def _tasks_of_lots(without_barriers: bool):
+    """A reader of lots, one a line: a list of tasks and a list of all barriers that any of them may have."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                near = batch.column("near")[k].values
+                chrom, start, end, pos, on, off, blocks = (near.field(c).to_numpy(zero_copy_only=False) for c in _NEAR) if near is not None else [np.zeros(0)] * 7
+                rev = blocks == "rev"
+                order = np.lexsort((rev, off, on, pos))
+                chrom, (start, end), arrays = chrom[order], (start[order], end[order]), (pos[order].astype(np.int64), on[order].astype(float), off[order].astype(float), rev[order].astype(bool))
+                parts, last = {}, None
+                for task in batch.column("tasks")[k].as_py():
+                    if task["chrom"] not in parts:
+                        parts[task["chrom"]] = np.flatnonzero(chrom == task["chrom"])
+                    if last is None or last[0] != (task["chrom"], task["start"], task["end"]):
+                        part = parts[task["chrom"]]
+                        met = part[(start[part] < task["end"]) & (task["start"] < end[part])]
+                        last = (task["chrom"], task["start"], task["end"]), tuple(a[met] for a in arrays)
+                    if len(last[1][0]) or without_barriers:
+                        yield task | {"barriers": last[1]}
+
+    return read
+
+
+_TASK = ("interval_id", "chrom", "start", "end", "cell", "lefs", "per_epoch", "target")
+_NEAR = ("chrom", "start", "end", "pos", "stp_active", "stp_inactive", "blocks")
+
+
 def simulate_raw(tasks: DataFrame, config: SimulationConfig, with_epochs: bool = False) -> DataFrame:
     """What the kernel emits, all kinds in one table; ``outputs`` tells them apart. To use more than one of them, write
     this table first, so that the kernel runs once.
@@ -580,7 +646,24 @@ def simulate_raw(tasks: DataFrame, config: SimulationConfig, with_epochs: bool =
     size = tasks.agg(F.count("*").alias("n"), F.sum("lefs").alias("units")).first()
     wanted = max(2 * tasks.sparkSession.sparkContext.defaultParallelism, (size["units"] or 0) // _TOGETHER)
     spread = tasks.repartition(max(1, min(size["n"], wanted)))
-    return spread.select("interval_id", "chrom", "start", "end", "cell", "lefs", "per_epoch", "target", "barriers").mapInArrow(_simulated(config.resolved(), with_epochs), _OUT)
+    return spread.select(*_TASK, "barriers").mapInArrow(_simulated(config.resolved(), with_epochs), _OUT)
+
+
+def simulate_intervals_raw(intervals: DataFrame, barriers: DataFrame, config: SimulationConfig, with_epochs: bool = False) -> DataFrame:
+    """``simulate_raw`` of all cells of ``intervals`` with the ``barriers`` (chrom, start, end, pos, ...) that overlap them.
+
+    Tasks lie in lots by place, and a lot gets the barriers of its stretch once: the kernel picks each task's. There are so many
+    lots for each core, however many tasks, so what is shuffled grows with intervals and with barriers, not with their pairs.
+    """
+    cells = plan_cells(intervals, config).select(*_TASK)
+    n, cores = cells.count(), intervals.sparkSession.sparkContext.defaultParallelism
+    lots = max(1, min(n, max(2 * cores, min(_LOTS * cores, n // _LOT))))
+    placed = numbered(cells, [], ["chrom", "start", "end", "interval_id", "cell"], "_place").withColumn("_lot", F.floor(F.col("_place") / math.ceil(max(n, 1) / lots)))
+    stretches = placed.groupBy("_lot", "chrom").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    near = overlap_join(stretches, barriers.select(*_NEAR)).groupBy("_lot").agg(F.collect_list(F.struct(*[F.col(f"r_{c}").alias(c) for c in _NEAR])).alias("near"))
+    tasks = placed.groupBy("_lot").agg(F.array_sort(F.collect_list(F.struct("_place", *_TASK))).alias("tasks"))
+    dealt = tasks.join(near, "_lot", "left").select("tasks", "near").repartition(lots)
+    return dealt.mapInArrow(_simulated(config.resolved(), with_epochs, _tasks_of_lots(config.without_barriers)), _OUT)
 
 
 def outputs(raw: DataFrame) -> dict[str, DataFrame]:
@@ -596,3 +679,8 @@ def outputs(raw: DataFrame) -> dict[str, DataFrame]:
 def simulate(tasks: DataFrame, config: SimulationConfig, with_epochs: bool = False) -> dict[str, DataFrame]:
     """``outputs`` of ``tasks``; each of them runs the kernel when it is computed."""
     return outputs(simulate_raw(tasks, config, with_epochs))
+
+
+def simulate_intervals(intervals: DataFrame, barriers: DataFrame, config: SimulationConfig, with_epochs: bool = False) -> dict[str, DataFrame]:
+    """``outputs`` of ``simulate_intervals_raw``; each of them runs the kernel when it is computed."""
+    return outputs(simulate_intervals_raw(intervals, barriers, config, with_epochs))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chromaweave.operators import barriers as bars
 from chromaweave.operators import evaluation, matrix
 from chromaweave.operators.intervals import overlap_join
-from chromaweave.operators.simulation import SimulationConfig, interval_report, outputs, plan_tasks, simulate_raw
+from chromaweave.operators.simulation import SimulationConfig, interval_report, outputs, simulate_intervals_raw
 from chromaweave.sources import genomic
 from chromaweave.sources.config import config_to_json
 
@@ -33,7 +33,7 @@ def run_simulation(spark: SparkSession, chrom_sizes: str, barriers: str, out: st
     if config.occupancy is not None:
         own = bars.with_occupancy(own, config.occupancy, config.stp_inactive)
     mapped = bars.map_to_intervals(own, intervals)
-    simulate_raw(plan_tasks(intervals, mapped, config), config, with_epochs=True).write.partitionBy("kind").parquet(f"{out}/raw")
+    simulate_intervals_raw(intervals, own, config, with_epochs=True).write.partitionBy("kind").parquet(f"{out}/raw")
     found = outputs(spark.read.parquet(f"{out}/raw"))
     interval_report(intervals, mapped, config).coalesce(1).write.csv(f"{out}/intervals", sep="\t", header=True)
     placed = found["pixels"].join(intervals.select("interval_id", F.floor(F.col("start") / config.bin_size).alias("_offset")), "interval_id")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from chromaweave.functions.formulas import genomic_distance
 from chromaweave.operators import collisions
-from chromaweave.operators.simulation import BARRIER, BOUNDARY, NONE, PRIMARY, SECONDARY, Epoch, SimulationConfig, interval_report, plan_tasks, rank, run_task, simulate, stable, target_epochs_of
+from chromaweave.operators.barriers import map_to_intervals
+from chromaweave.operators.simulation import BARRIER, BOUNDARY, NONE, PRIMARY, SECONDARY, Epoch, SimulationConfig, interval_report, plan_tasks, rank, run_task, simulate, simulate_intervals, stable, target_epochs_of
 
 
 def half(n):
@@ -223,3 +224,17 @@ def test_distances():
     for text in ("10kbpp", "0.0001kb", "!10gbp", " 10gbp", "", "kb"):
         with pytest.raises(ValueError):
             genomic_distance(text)
+
+
+def test_lots_with_their_stretchs_barriers_give_what_planned_tasks_give(spark, monkeypatch):
+    monkeypatch.setattr("chromaweave.operators.simulation._LOT", 4)
+    monkeypatch.setattr("chromaweave.operators.simulation._BARRIERS", 30)
+    config = SimulationConfig(cells=2, diagonal_width=100_000, target_epochs=5, burnin=False, seed=3)
+    intervals = spark.createDataFrame([(k, "cd"[k % 2], k * 37_000, k * 37_000 + 200_000) for k in range(24)] + [(99, "e", 0, 100_000)], "interval_id long, chrom string, start long, end long")
+    rows = [("cd"[k % 2], k * 9_000 % 900_000, k * 9_000 % 900_000 + (20 if k % 5 else 60_000), k * 9_000 % 900_000 + 10, 0.5 + k % 3 / 10, 0.6, ("rev", "fwd")[k // 2 % 2]) for k in range(160)]
+    barriers = spark.createDataFrame(rows, "chrom string, start long, end long, pos long, stp_active double, stp_inactive double, blocks string")
+    for own in (config, replace(config, without_barriers=True)):
+        one = simulate(plan_tasks(intervals, map_to_intervals(barriers, intervals), own), own, with_epochs=True)
+        two = simulate_intervals(intervals, barriers, own, with_epochs=True)
+        for name in ("pixels", "occupancy", "epochs"):
+            assert sorted(map(tuple, one[name].collect())) == sorted(map(tuple, two[name].collect())) != []
