@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chromaweave.tables import numbered, running
+from chromaweave.tables import running, shared_table
 
 
 #: Widths of bins: a level's are eight times as wide as those of the one below, from 4,096 bases on; the last spans all of 2^63.
@@ -65,17 +65,57 @@ def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataF
     return pairs.unionByName(alone, allowMissingColumns=True)
 
 
+def _overlap_ends(queries: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
+    """Rows (_key, chrom, n, low, high) of which a query's numbers of overlapping intervals are the sum of ``n``, and the first and
+    the last of them by (start, end) the least ``low`` and the largest ``high``.
+
+    No pairs are made. Where start < end, the overlapping intervals are those that start before the query's end, and those that end
+    after its start, less all. Of the latter the least is the first one, of the former the largest is the last one, if it reaches
+    the query: these are running values along a line of starts and one of ends. Queries whose last one does not reach them,
+    and empty ones, are joined.
+    """
+    targets = intervals.select("chrom", "start", "end")
+    asked = queries.where("chrom IS NOT NULL").select(F.col(key).alias("_key"), "chrom", "start", "end")
+    nobody = F.lit(None).cast(asked.schema["_key"].dataType)
+
+    def line(rows: DataFrame, side: str, pos: Column, target: int) -> DataFrame:
+        return rows.select("chrom", F.lit(side).alias("_side"), pos.cast("bigint").alias("_pos"), F.lit(target).cast("bigint").alias("_target"), (nobody if target else F.col("_key")).alias("_key"), F.struct(F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end")).alias("_span"))
+
+    start, end, proper = F.col("start"), F.col("end"), asked.where("start < end")
+    lines = line(targets, "start", start, 1).unionByName(line(proper, "start", end, 0)).unionByName(line(targets, "end", -end, 1)).unionByName(line(proper, "end", -start, 0))
+    spans = F.when(F.col("_target") == 1, F.col("_span"))
+    scanned = running(lines, ["chrom", "_side"], ["_pos", "_target", "_span"], {"_n": ("sum", F.col("_target")), "_low": ("min", spans), "_high": ("max", spans)})
+    totals = targets.groupBy("chrom").agg(F.count(F.lit(1)).alias("_all"))
+    kept = shared_table(scanned.where("_target = 0").join(totals, "chrom", "left"))
+    before, after = kept.where("_side = 'start'"), kept.where("_side = 'end'")
+    reaches = F.col("_high.end") > F.col("_span.start")
+    none = F.lit(None).cast(kept.schema["_span"].dataType)
+    one = before.select("_key", "chrom", F.col("_n").alias("n"), none.alias("low"), F.when(reaches, F.col("_high")).alias("high"))
+    first = F.when(F.col("_low.start") < F.col("_span.end"), F.col("_low"))
+    two = after.select("_key", "chrom", (F.col("_n") - F.coalesce("_all", F.lit(0))).alias("n"), first.alias("low"), none.alias("high"))
+    out = one.unionByName(two)
+    rest = before.where(~reaches).select("_key", "chrom", F.col("_span.start").alias("start"), F.col("_span.end").alias("end"), F.lit(0).alias("_counts")).unionByName(asked.where("start >= end").withColumns({"start": start.cast("bigint"), "end": end.cast("bigint"), "_counts": F.lit(1)}))
+    if rest.isEmpty():
+        return out
+    span = F.struct(F.col("r_start").cast("bigint").alias("start"), F.col("r_end").cast("bigint").alias("end"))
+    return out.unionByName(overlap_join(rest, targets).select("_key", "chrom", F.col("_counts").cast("bigint").alias("n"), span.alias("low"), span.alias("high")))
+
+
 def overlap_counts(queries: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
     """Each query's key with how many intervals overlap it, the first and the last of them by start and end."""
-    hits = overlap_join(queries, intervals.select("chrom", "start", "end")).groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("r_start", "r_end")).alias("_low"), F.max(F.struct("r_start", "r_end")).alias("_high"))
-    return queries.select(key).join(hits, key, "left").select(key, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), (F.coalesce("n", F.lit(0)) > 0).alias("any"), F.col("_low.r_start").alias("lower_start"), F.col("_high.r_start").alias("upper_start"))
+    hits = _overlap_ends(queries, intervals, key).groupBy(F.col("_key").alias(key)).agg(F.sum("n").alias("n"), F.min("low").alias("_low"), F.max("high").alias("_high"))
+    return queries.select(key).join(hits, key, "left").select(key, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), (F.coalesce("n", F.lit(0)) > 0).alias("any"), F.col("_low.start").alias("lower_start"), F.col("_high.start").alias("upper_start"))
 
 
 def equal_range(queries: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
     """Each query's key with the half-open range [lower, upper) from the first to the last interval that overlaps it, as places in
     its chromosome's intervals by start and end, and how many of these do overlap. Without any: both are the number of intervals."""
-    placed = numbered(intervals.select("chrom", "start", "end"), ["chrom"], ["start", "end"], "place", "size")
-    hits = overlap_join(queries, placed).groupBy(key).agg(F.min("r_place").alias("_lower"), (F.max("r_place") + 1).alias("_upper"), F.count("*").alias("n"))
+    ends = _overlap_ends(queries, intervals, key).groupBy("_key", "chrom").agg(F.sum("n").alias("n"), F.min("low").alias("_low"), F.max("high").alias("_high"))
+    counted = intervals.groupBy("chrom", F.struct(F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end")).alias("_span")).agg(F.count(F.lit(1)).alias("_times"))
+    places = running(counted, ["chrom"], ["_span"], {"_to": ("sum", F.col("_times"))})
+    low = places.select("chrom", F.col("_span").alias("_low"), (F.col("_to") - F.col("_times")).alias("_lower"))
+    high = places.select("chrom", F.col("_span").alias("_high"), F.col("_to").alias("_upper"))
+    hits = ends.join(low, ["chrom", "_low"], "left").join(high, ["chrom", "_high"], "left").groupBy(F.col("_key").alias(key)).agg(F.min("_lower").alias("_lower"), F.max("_upper").alias("_upper"), F.sum("n").alias("n"))
     sizes = intervals.groupBy("chrom").agg(F.count("*").alias("_size"))
     size = F.coalesce("_size", F.lit(0))
     return queries.select(key, "chrom").join(sizes, "chrom", "left").join(hits, key, "left").select(key, F.coalesce("_lower", size).alias("lower"), F.coalesce("_upper", size).alias("upper"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -72,3 +72,32 @@ def test_annotation_keeps_repeated_records(spark):
     track = spark.createDataFrame([("a", 0, 3, 1.0), ("a", 2, 8, 20.0)], "chrom string, start long, end long, value double")
     got = barriers.annotate(records, track, 20.0).collect()
     assert sorted(r.name for r in got) == ["x", "x", "x", "y"] and len({r.score for r in got}) == 1
+
+
+def test_overlaps_are_counted_without_making_pairs(spark, monkeypatch):
+    from chromaweave.operators import intervals as own
+
+    dice = random.Random(4)
+
+    def some(n, longest):
+        starts = [dice.randrange(300) for _ in range(n)]
+        return [(k, dice.choice("ab"), s, s + dice.randrange(longest)) for k, s in enumerate(starts)]
+
+    queries, targets = some(60, 40) + [(98, "none", 1, 9), (99, None, 1, 9)], some(80, 9) + some(6, 250)
+    frames = [spark.createDataFrame(x, "id long, chrom string, start long, end long") for x in (queries, targets)]
+    places = {c: sorted((s, e) for _, x, s, e in targets if x == c) for c in "ab"}
+    for q, row in zip(queries, sorted(own.overlap_counts(*frames, "id").collect())):
+        met = [t for t in places.get(q[1], []) if q[2] < t[1] and t[0] < q[3]]
+        assert tuple(row)[1:] == (len(met), bool(met), min(met)[0] if met else None, max(met)[0] if met else None), q
+    for q, row in zip(queries, sorted(own.equal_range(*frames, "id").collect())):
+        line = places.get(q[1], [])
+        at = [k for k, t in enumerate(line) if q[2] < t[1] and t[0] < q[3]]
+        assert tuple(row)[1:] == ((at[0], at[-1] + 1, len(at)) if at else (len(line), len(line), 0)), q
+
+    def pairs(*_, **__):
+        raise AssertionError("pairs are made")
+
+    monkeypatch.setattr(own, "overlap_join", pairs)
+    plain = spark.range(50).selectExpr("id", "'c' AS chrom", "id AS start", "id + 100 AS end")
+    assert {r.n for r in own.overlap_counts(plain, plain, "id").collect()} == {50}
+    assert {(r.lower, r.upper) for r in own.equal_range(plain, plain, "id").collect()} == {(0, 50)}
