@@ -142,8 +142,10 @@ def _noisy(draws: DataFrame, units: DataFrame, keys: list[str], noise: tuple[flo
 
 
 def _draws(cells: DataFrame) -> DataFrame:
-    """A row for each of a cell's ``n`` draws, numbered from 0: blocks are dealt to tasks first, so no row stands for very many."""
-    blocks = cells.where("n > 0").withColumn("_block", F.explode(_numbers(F.lit(0), F.floor((F.col("n") - 1) / _BLOCK)))).repartition(F.hash(*cells.columns, "_block"))
+    """A row for each of a cell's ``n`` draws, numbered from 0: blocks are dealt to tasks first, so no row stands for very many. The
+    number of tasks is given, as blocks are so small that few tasks would get them all."""
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = cells.where("n > 0").withColumn("_block", F.explode(_numbers(F.lit(0), F.floor((F.col("n") - 1) / _BLOCK)))).repartition(tasks, F.hash(*cells.columns, "_block"))
     first = F.col("_block") * _BLOCK
     return blocks.withColumn("nth", F.explode(_numbers(first, F.least(first + _BLOCK, F.col("n")) - 1))).drop("_block")
 

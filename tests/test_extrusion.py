@@ -126,3 +126,10 @@ def test_epochs_stop_where_the_target_is_reached(spark):
     got = extrusion.until_target(spark.createDataFrame(rows, "cell string, epoch long, contacts long"), ["cell"], 10)
     assert {(r["cell"], r["epoch"]): (r["taken"], r["done"]) for r in got.collect()} == {("a", 0): (4, 4), ("a", 1): (0, 4), ("a", 2): (6, 10), ("b", 0): (2, 2), (None, 0): (10, 10)}
     assert got.limit(0).count() == 0
+
+
+def test_draws_of_few_blocks_are_dealt_to_all_tasks(spark):
+    cells = spark.createDataFrame([(k, 40_000) for k in range(5)], "cell long, n long")
+    draws = extrusion._draws(cells)
+    parts = draws.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in parts) == 200_000 and len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions"))
