@@ -132,9 +132,11 @@ def _noisy(draws: DataFrame, units: DataFrame, keys: list[str], noise: tuple[flo
     """Each draw with the ends ``pos1`` and ``pos2`` of a unit chosen with equal chances, moved outwards by extreme-value noise;
     draws whose unit or whose ends are not inside the interval are left out."""
     chosen = draws.withColumn("index", F.floor(uniform(seed, f"{stream}-unit", *keys, "nth") * F.col("lefs")).cast("bigint"))
-    placed = chosen.join(units.select(*keys, "index", "rev", "fwd"), [*keys, "index"])
+    # sorted and merged: Spark knows the size of the blocks only, and would send all their draws through the driver
+    placed = chosen.join(units.select(*keys, "index", "rev", "fwd").hint("merge"), [*keys, "index"])
     jitter = [genextreme(F.greatest(uniform(seed, f"{stream}-{end}", *keys, "nth"), F.lit(1e-300)), *noise) for end in ("low", "high")]
-    ends = placed.withColumns({"_a": F.col("rev") - jitter[0], "_b": F.col("fwd") + jitter[1]})
+    # as rows of one, so that the conditions below do not compute the noise anew
+    ends = placed.select("*", F.inline(F.array(F.struct((F.col("rev") - jitter[0]).alias("_a"), (F.col("fwd") + jitter[1]).alias("_b")))))
     low, high = F.least("_a", "_b"), F.greatest("_a", "_b")
     first, last = F.col("start") + 1, F.col("end") - 1
     good = (F.least("rev", "fwd") > first) & (F.greatest("rev", "fwd") < last) & (low >= first) & (high < last)

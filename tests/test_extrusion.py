@@ -133,3 +133,16 @@ def test_draws_of_few_blocks_are_dealt_to_all_tasks(spark):
     draws = extrusion._draws(cells)
     parts = draws.groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert sum(r["count"] for r in parts) == 200_000 and len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("sampled", ["occupancy"])
+def test_draws_are_never_sent_through_the_driver(spark, sampled):
+    """Of the draws Spark knows their blocks' size only, which is small however many draws there are."""
+    units = spark.range(90_000).select((F.col("id") % 3).alias("cell"), F.floor(F.col("id") / 3).alias("index"), (F.col("id") + 2_000).alias("rev"), (F.col("id") + 4_000).alias("fwd"))
+    cells = spark.range(3).select(F.col("id").alias("cell"), F.lit(0).alias("start"), F.lit(200_000).alias("end"), F.lit(30_000).alias("lefs"), F.lit(240_000).alias("n"))
+    noise = (0.0, 1.0, 0.001)
+    got = extrusion.sampled_contacts(cells, units, ["cell"], 5.0, noise, SEED) if sampled == "contacts" else extrusion.sampled_occupancy(cells, units, ["cell"], noise, 5_000, SEED)
+    assert got.agg(F.sum("pos1" if sampled == "contacts" else "n")).first()[0] > 0
+    got.collect()
+    final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in final and "SortMergeJoin" in final and "Broadcast" not in final
