@@ -174,10 +174,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.concatenate([np.frombuffer(p[4 * n : 6 * n], np.uint16) for n, p in held])
         group = np.concatenate([np.frombuffer(p[6 * n : 14 * n], _U64) for n, p in held])
         order = np.concatenate([np.cumsum(np.frombuffer(pa.decompress(p[14 * n :], 8 * n, "zstd", asbytes=True), np.int64)) for n, p in held])
-        by = np.lexsort((order, group, token))
+        by = np.lexsort((order, place, group, token))
         token, place, group, order = token[by], place[by], group[by], order[by]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (group[1:] != group[:-1])
+        new = np.ones(len(token), bool)  # two shingles of a group whose tokens are equal stay two
+        new[1:] = (token[1:] != token[:-1]) | (group[1:] != group[:-1]) | (place[1:] != place[:-1])
         token, place, group, order = token[new], place[new], group[new], order[new]
         head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(head, len(token)))
@@ -293,7 +293,16 @@ def _labelled(docs: DataFrame, width: int, percent: int, common_shingles: int, c
     one, two = (listed.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("group", "low", "high", "n", "place")]) for side in "ab")
     need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
     apart = one.join(two, "token").where("group_a < group_b AND NOT (low_a = high_a AND low_a = low_b AND low_b = high_b)").where((F.col("n_a") - F.col("place_a") >= need) & (F.col("n_b") - F.col("place_b") >= need))
-    pairs = apart.select(F.col("group_a").alias("a"), F.col("group_b").alias("b")).distinct().unionByName(spans.where("low <> high").select(F.col("group").alias("a"), F.col("group").alias("b")))
+    met = shared_checkpoint(apart.select("group_a", "group_b").distinct())
+    # and their prefixes share so many that the rest of the longer one may hold the others; shingles of one hash count all
+    meeting = met.select(F.col("group_a").alias("group")).unionByName(met.select(F.col("group_b").alias("group"))).distinct()
+    prefixes = found.where(f"kind = {_POSTING}").select(F.col("b").alias("group"), F.hash("a").alias("token")).join(meeting, "group", "left_semi").groupBy("group").agg(F.collect_set("token").alias("tokens"), F.count("*").alias("held"))
+    known = prefixes.join(groups, "group").select("group", "tokens", "n", (F.col("held") - F.size("tokens")).alias("spare"))
+    sides = [known.select(*[F.col(c).alias(f"{c}_{side}") for c in known.columns]) for side in "ab"]
+    shared = F.size(F.array_intersect("tokens_a", "tokens_b")) + F.greatest("spare_a", "spare_b")
+    rest = F.greatest(*[F.col(n) - prefix_length_of(F.col(n), percent) for n in ("n_a", "n_b")])
+    like = met.join(sides[0], "group_a").join(sides[1], "group_b").where((100 + percent) * (shared + rest) >= percent * (F.col("n_a") + F.col("n_b")))
+    pairs = like.select(F.col("group_a").alias("a"), F.col("group_b").alias("b")).unionByName(spans.where("low <> high").select(F.col("group").alias("a"), F.col("group").alias("b")))
     left = labelled.select(F.col("group").alias("a"), F.col("class").alias("class_a"), F.col("label").alias("label_a"))
     right = labelled.select(F.col("group").alias("b"), F.col("class").alias("class_b"), F.col("label").alias("label_b"))
     expanded = pairs.join(left, "a").join(right, "b").where("label_a <> label_b").select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))

@@ -281,3 +281,24 @@ def test_a_template_of_all_items_makes_no_pairs(spark):
     assert sorted(map(tuple, got.collect())) == sorted(fx.contamination(rows, items))
     windows = decontamination._windows(spark.createDataFrame([(str(k), t.split()) for k, t in items], "item string, iw array<string>"), 13)
     assert windows.count() == 1 + 3 * 3000 and windows.select("set_key").distinct().count() == 3001
+
+
+def test_texts_that_share_few_shingles_are_not_sent_to_each_other(spark, monkeypatch):
+    """Pairs that the second look verifies have in common what similar sets must, not just one shingle of their prefixes."""
+    from chromaweave.llm import jaccard_join
+
+    held, keep = [], jaccard_join.shared_checkpoint
+
+    def noted(df):
+        out = keep(df)
+        if out.columns == ["a", "b"]:
+            held.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "shared_checkpoint", noted)
+    passage = " ".join(f"same{k}" for k in range(8))
+    rows = [(k, f"{passage} " + " ".join(f"w{k}x{j}" for j in range(40))) for k in range(60)] + [(100, " ".join(f"w7x{j}" for j in range(40)))]
+    got = {r.doc_id: r.component_id for r in jaccard_components(fx.table(spark, rows), common_shingles=0).collect()}
+    assert got == {k: k for k in range(60)} | {100: 7}
+    first, _, second, _ = held  # pairs looked at and links found, twice
+    assert first + second <= 10
