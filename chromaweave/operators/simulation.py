@@ -26,7 +26,9 @@ NONE, BOUNDARY, BARRIER, PRIMARY, SECONDARY = range(5)
 #: Units that one run of the kernel steps together, unless one task has more.
 _TOGETHER = 20_000
 #: Barriers that one run of the kernel steps together, unless one task has more.
-_BARRIERS = 200_000
+_BARRIERS = 1_000_000
+#: Epochs for which units' luck is drawn at once.
+_AHEAD = 16
 #: Tasks of a lot, while that makes some lots for each core and no more than ``_LOTS`` for one.
 _LOT, _LOTS = 200, 16
 
@@ -187,6 +189,47 @@ def adjust_moves(pos: np.ndarray, move: np.ndarray, order: np.ndarray, rev: bool
 
 #: A place below all others.
 _FAR = np.int64(-(2**62))
+#: Barriers that a unit looks at first.
+_FEW = 4
+
+
+class _Luck:
+    """Numbers in [0, 1) for barriers, made when they are asked for, by a SplitMix64 sequence for each task from its ``keys``;
+    sequences of other ``stream`` numbers lie far apart. ``of`` and ``at`` tell a barrier's task and that one's first barrier."""
+
+    def __init__(self, keys: np.ndarray, of: np.ndarray, at: np.ndarray, stream: int):
+        self.keys, self.of, self.at, self.stream = keys, of, at, stream << 40
+
+    def __getitem__(self, which: np.ndarray) -> np.ndarray:
+        task = self.of[which]
+        z = self.keys[task] + (which - self.at[task] + self.stream).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+
+
+class _States:
+    """Which barriers are active, epoch by epoch. A byte of luck decides a barrier, unless it is that of the chance itself; then
+    the rest of the chance does, so chances are not rounded."""
+
+    def __init__(self, active: np.ndarray, stay_on: np.ndarray, stay_off: np.ndarray):
+        self.active = active
+        self.on, self.off = stay_on * 256, (1 - stay_off) * 256
+        self.off_byte = np.minimum(self.off, 255).astype(np.uint8)
+        self.differ = np.minimum(self.on, 255).astype(np.uint8) ^ self.off_byte
+        self.least, self.even = np.empty(len(active), np.uint8), np.zeros(-(-len(active) // 8) * 8, bool)
+
+    def step(self, luck: np.ndarray, rest: _Luck) -> None:
+        """An epoch on, by a byte for each barrier."""
+        least = np.negative(self.active.view(np.uint8), out=self.least)
+        least &= self.differ
+        least ^= self.off_byte
+        np.equal(luck, least, out=self.even[: len(luck)])
+        k = (np.flatnonzero(self.even.view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()  # eight at a time
+        k = k[self.even[k]]
+        chance = np.where(self.active[k], self.on[k], self.off[k]) - least[k]
+        np.less(luck, least, out=self.active)
+        self.active[k] = rest[k] < chance
 
 
 class Epoch:
@@ -215,31 +258,60 @@ class Epoch:
             comes = np.flatnonzero(~there & (target == edge) & (place <= limit if rev else place >= limit))
             event[order[there]] = event[order[comes[_heads(group[comes])]]] = BOUNDARY
 
-    def barriers(self, pos: np.ndarray, blocks_rev: np.ndarray, active: np.ndarray, major: float, minor: float, rev_luck: np.ndarray, fwd_luck: np.ndarray) -> None:
+    def barriers(self, pos: np.ndarray, blocks_rev: np.ndarray, active: np.ndarray, major: float, minor: float, rev_luck, fwd_luck, ordered: bool = False) -> None:
         """Units that cross an active barrier are stopped one base short, by chance ``major`` where it blocks their
-        direction and ``minor`` elsewhere."""
+        direction and ``minor`` elsewhere. Luck is by barrier, an array or what gives it for those asked; barriers that are
+        ``ordered`` by place are taken as they are."""
         self._rev_before, self._fwd_before = self.rev_move.copy(), self.fwd_move.copy()
-        sorted_ = np.arange(len(pos)) if (pos[1:] >= pos[:-1]).all() else np.argsort(pos, kind="stable")
-        line = pos[sorted_]
+        sorted_ = None if ordered else np.argsort(pos, kind="stable")
+        line = pos if ordered else pos[sorted_]
         for rev, luck in ((True, rev_luck), (False, fwd_luck)):
             at, move, event, partner = (self.rev, self.rev_move, self.rev_event, self.rev_with) if rev else (self.fwd, self.fwd_move, self.fwd_event, self.fwd_with)
             order = self.rev_order if rev else self.fwd_order
             # a unit faces the barriers up to the next unit ahead, as far as it moves; of units at one place the nearest to them does
             place, reach = at[order], move[order]
             if rev:
-                low, high = np.searchsorted(line, np.maximum(np.append(_FAR, place)[:-1], place - reach)), np.searchsorted(line, place)
+                first, limit = np.searchsorted(line, place) - 1, np.maximum(np.append(_FAR, place)[:-1], place - reach)
             else:
-                low, high = np.searchsorted(line, place, "right"), np.searchsorted(line, np.minimum(np.append(place, -_FAR)[1:], place + reach), "right")
-            n = np.maximum(high - low, 0)
-            own, unit = sorted_[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], np.repeat(order, n)
-            own, unit = own[active[own]], unit[active[own]]
-            distance = at[unit] - pos[own] if rev else pos[own] - at[unit]
-            chance = np.where(blocks_rev[own] == rev, major, minor)
-            hit = (distance > 0) & (distance <= move[unit]) & (luck[own] < chance)
-            # the nearest barrier counts: of a unit's hits the last one written stays
-            k = np.flatnonzero(hit)
-            k = k[np.argsort(-distance[k], kind="stable")]
-            event[unit[k]], partner[unit[k]], move[unit[k]] = BARRIER, own[k], distance[k] - 1
+                first, limit = np.searchsorted(line, place, "right"), np.minimum(np.append(place, -_FAR)[1:], place + reach)
+
+            def faced(on_line: np.ndarray, limit: np.ndarray) -> np.ndarray:
+                there = (on_line >= 0) & (on_line < len(line))
+                found = line[np.where(there, on_line, 0)] if len(line) else limit
+                return there & ((found >= limit) if rev else (found <= limit))
+
+            def hits(first: np.ndarray, n: np.ndarray, limit: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                """Which of ``n`` barriers from ``first`` on stop their unit: unit's number here, place on the line, barrier."""
+                which = np.repeat(np.arange(len(n)), n)
+                on_line = first[which] + step * (np.arange(len(which)) - _offsets(n)[which])
+                k = np.flatnonzero(faced(on_line, limit[which]))
+                own = on_line[k] if ordered else sorted_[on_line[k]]
+                up = np.flatnonzero(active[own])
+                k, own = k[up], own[up]
+                stops = luck[own] < np.where(blocks_rev[own] == rev, major, minor)
+                k = k[stops]
+                return which[k], on_line[k], own[stops]
+
+            # the nearest one counts, so few are looked at first and more where none of these stops
+            facing, few, step = np.flatnonzero(faced(first, limit)), _FEW, -1 if rev else 1
+            first, limit = first[facing], limit[facing]
+            while len(facing):
+                which, on_line, own = hits(first, np.full(len(facing), few), limit, step)
+                nearest = _heads(which)
+                which, on_line, own = which[nearest], on_line[nearest], own[nearest]
+                if not rev:  # of several at one place the last
+                    k = np.flatnonzero(line[np.minimum(on_line + 1, len(line) - 1)] == line[on_line])
+                    if len(k):
+                        more = np.searchsorted(line, line[on_line[k]], "right") - on_line[k]
+                        tied, _, last = hits(on_line[k], more, limit[which[k]], 1)
+                        own[k[tied]] = last
+                unit = order[facing[which]]
+                distance = at[unit] - pos[own] if rev else pos[own] - at[unit]
+                event[unit], partner[unit], move[unit] = BARRIER, own, distance - 1
+                first = first + step * few
+                open_ = faced(first, limit)
+                open_[which] = False
+                facing, first, limit, few = facing[open_], first[open_], limit[open_], 8 * few
 
     def primary(self, bypass: float, luck: np.ndarray) -> None:
         """Neighbours that move towards each other meet; one that a barrier stops before is met where it stands."""
@@ -391,7 +463,7 @@ class _Cells:
 
     def __init__(self, tasks: list[dict], config: SimulationConfig, noted: bool = True):
         self.config, self.noted = config, noted
-        self.gens = [np.random.Generator(np.random.PCG64(np.random.SeedSequence([config.seed, crc32(f"{t['chrom']}:{t['start']}-{t['end']}".encode()), int(t["cell"])]))) for t in tasks]
+        self.gens = [np.random.Generator(np.random.SFC64(np.random.SeedSequence([config.seed, crc32(f"{t['chrom']}:{t['start']}-{t['end']}".encode()), int(t["cell"])]))) for t in tasks]
         self.size, self.lefs, self.per_epoch, self.target = (np.array(x, np.int64) for x in ([t["end"] - t["start"] for t in tasks], [t["lefs"] for t in tasks], [t["per_epoch"] for t in tasks], [t["target"] for t in tasks]))
         bars = [_barrier_arrays(t["barriers"]) for t in tasks]
         self.bars = np.array([len(b[0]) for b in bars])
@@ -405,6 +477,7 @@ class _Cells:
         self.bar_of = np.repeat(np.arange(count), self.bars)
         pos, self.stay_on, self.stay_off, self.blocks_rev = (np.concatenate(x) for x in zip(*bars))
         self.pos = pos - np.array([t["start"] for t in tasks], np.int64)[self.bar_of] + self.base[self.bar_of]
+        self.ordered = bool((self.pos[1:] >= self.pos[:-1]).all())
         # pixels and places of an interval's cells are summed together
         names = {name: k for k, name in enumerate(dict.fromkeys(t["interval_id"] for t in tasks))}
         self.interval = np.array([names[t["interval_id"]] for t in tasks])
@@ -417,7 +490,8 @@ class _Cells:
     def run(self) -> None:
         c = self.config
         count, units = len(self.lefs), len(self.of)
-        unit_luck, moves, bar_luck, contact_luck = np.empty((units, 5)), np.empty((units, 2)), np.empty((len(self.pos), 3)), np.empty((int(self.per_epoch.sum()), 8))
+        lots_of_luck, lots_of_moves, bar_luck, contact_luck = np.empty((_AHEAD, units, 5)), np.empty((_AHEAD, units, 2)), np.empty(len(self.pos)), np.empty((int(self.per_epoch.sum()), 8))
+        bytes_, keys = np.zeros(len(self.pos), np.uint8), np.zeros(count, np.uint64)
 
         def parts(at: np.ndarray, sizes: np.ndarray) -> list[slice]:
             return [slice(a, a + n) for a, n in zip(at.tolist(), sizes.tolist())]
@@ -426,7 +500,8 @@ class _Cells:
         for gen, own in zip(self.gens, bar_part):
             gen.random(out=bar_luck[own])
         free = (1 - self.stay_off) + (1 - self.stay_on)
-        active = bar_luck[:, 0] < np.where(free > 0, (1 - self.stay_off) / np.where(free > 0, free, 1), 0.5)
+        states = _States(bar_luck < np.where(free > 0, (1 - self.stay_off) / np.where(free > 0, free, 1), 0.5), self.stay_on, self.stay_off)
+        rest, rev_luck, fwd_luck = (_Luck(keys, self.bar_of, self.bar_at, stream) for stream in range(3))
         rev, fwd, born, bound = self.low.copy(), self.low.copy(), np.zeros(units, np.int64), np.zeros(units, bool)
         burning = np.full(count, c.burnin)
         awake = np.where(burning, 0, self.lefs)
@@ -436,6 +511,8 @@ class _Cells:
         rate = self.lefs / max(1, c.burnin_epochs)
         chances = np.array([c.release_chance, c.burnin_release_chance])[:, None] / np.array([1.0, c.soft_stall, c.hard_stall])
         speeds = np.array([c.speeds, c.burnin_speeds], float)
+        bars, words, lefs = self.bars.tolist(), (-(-self.bars // 8) + 1).tolist(), self.lefs.tolist()
+        raw = [gen.bit_generator.random_raw for gen in self.gens]
         epoch = 0
         while alive.any() and (c.max_epochs is None or epoch < c.max_epochs):
             full = np.flatnonzero(alive & burning & (awake == self.lefs))
@@ -455,11 +532,15 @@ class _Cells:
                 burning[settled] = False
                 if epoch >= c.max_burnin:
                     burning[full] = False
-            for k in np.flatnonzero(alive).tolist():
-                gen, own = self.gens[k], unit_part[k]
-                gen.random(out=unit_luck[own])
-                gen.standard_normal(out=moves[own])
-                gen.random(out=bar_luck[bar_part[k]])
+            living = np.flatnonzero(alive).tolist()
+            if epoch % _AHEAD == 0:
+                for k in living:
+                    lots_of_luck[:, unit_part[k]] = self.gens[k].random((_AHEAD, lefs[k], 5))
+                    lots_of_moves[:, unit_part[k]] = self.gens[k].standard_normal((_AHEAD, lefs[k], 2))
+            unit_luck, moves = lots_of_luck[epoch % _AHEAD], lots_of_moves[epoch % _AHEAD]
+            for k in living:
+                drawn = raw[k](words[k])
+                keys[k], bytes_[bar_part[k]] = drawn[-1], drawn.view(np.uint8)[: bars[k]]
             on = np.flatnonzero(alive[self.of] & (self.nth < awake[self.of]))
             new = on[~bound[on]]
             rev[new] = fwd[new] = self.low[new] + np.floor(unit_luck[new, 0] * self.size[self.of[new]]).astype(np.int64)
@@ -481,10 +562,10 @@ class _Cells:
             of = self.of[on]
             slow = burning[of].astype(int)
             step = [np.minimum(np.floor(np.maximum(speeds[slow, side] + c.speed_stds[side] * moves[on, side], 0) + 0.5).astype(np.int64), self.size[of]) for side in (0, 1)]
-            active = np.where(active, bar_luck[:, 0] <= self.stay_on, bar_luck[:, 0] > self.stay_off)
+            states.step(bytes_, rest)
             e = Epoch(self.low[on], self.high[on], rev[on], fwd[on], born[on], *step, of)
             e.boundaries()
-            e.barriers(self.pos, self.blocks_rev, active, c.major_block, c.minor_block, bar_luck[:, 1], bar_luck[:, 2])
+            e.barriers(self.pos, self.blocks_rev, states.active, c.major_block, c.minor_block, rev_luck, fwd_luck, self.ordered)
             e.primary(c.bypass, unit_luck[on, 4])
             e.secondary(c.bypass, unit_luck[on, 2], unit_luck[on, 3])
             rev[on], fwd[on] = e.extruded()
@@ -494,7 +575,7 @@ class _Cells:
                 held[k] += self.blocks_rev[partner[k]] == side
             bound[on] = unit_luck[on, 1] >= chances[slow, held]
             if self.noted:
-                self._note(epoch, np.flatnonzero(alive), e, of, burning, active, rev[on], fwd[on])
+                self._note(epoch, np.flatnonzero(alive), e, of, burning, np.array([np.count_nonzero(states.active[part]) for part in bar_part]), rev[on], fwd[on])
             epoch += 1
 
     def _sample(self, tasks: np.ndarray, n: np.ndarray, rev: np.ndarray, fwd: np.ndarray, luck: np.ndarray) -> np.ndarray:
@@ -545,7 +626,7 @@ class _Cells:
         n = np.maximum(np.bincount(of, minlength=count)[tasks], 1)
         kinds = [units((e.rev_event == kind).astype(float) + (e.fwd_event == kind)) for kind in (BARRIER, PRIMARY, SECONDARY, BOUNDARY)]
         up, down = e.rev_event != NONE, e.fwd_event != NONE
-        share = np.bincount(self.bar_of, weights=active, minlength=count)[tasks] / np.maximum(self.bars[tasks], 1)
+        share = active[tasks] / np.maximum(self.bars[tasks], 1)
         self.log.append(np.stack([tasks, np.full(len(tasks), epoch), burning[tasks], share, n, units(up), units(down), units(up & down), *kinds[:3], units(fwd - rev) / n, kinds[3], self.done[tasks]], 1))
 
 

@@ -238,3 +238,58 @@ def test_lots_with_their_stretchs_barriers_give_what_planned_tasks_give(spark, m
         two = simulate_intervals(intervals, barriers, own, with_epochs=True)
         for name in ("pixels", "occupancy", "epochs"):
             assert sorted(map(tuple, one[name].collect())) == sorted(map(tuple, two[name].collect())) != []
+
+
+class Asked:
+    """Luck by barrier that notes how many are asked for."""
+
+    def __init__(self, luck):
+        self.luck, self.n = luck, 0
+
+    def __getitem__(self, which):
+        self.n += len(which)
+        return self.luck[which]
+
+
+def test_units_look_at_the_nearest_barriers_only():
+    lefs = [(k * 20_000 + 9_000, k * 20_000 + 10_000) for k in range(10)]
+    e = epoch(0, 200_000, lefs, [8_000] * 10, [8_000] * 10)
+    pos, luck = np.arange(0, 200_000, 2), [Asked(half(100_000)) for _ in range(2)]
+    e.barriers(pos, np.arange(100_000) % 2 == 0, np.ones(100_000, bool), 1, 0, *luck)
+    assert set(e.rev_event.tolist() + e.fwd_event.tolist()) == {BARRIER} and max(e.rev_move.max(), e.fwd_move.max()) < 4
+    assert luck[0].n + luck[1].n <= 20 * 4
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_nearest_barrier_that_stops_counts(seed):
+    rng = np.random.default_rng(seed)
+    n, bars, size = 30, 900, 20_000
+    rev = rng.integers(0, size - 300, n)
+    e = epoch(0, size, np.stack([rev, rev + rng.integers(0, 300, n)], 1), rng.integers(0, 900, n), rng.integers(0, 900, n))
+    before = e.rev_move.copy(), e.fwd_move.copy()
+    pos = rng.integers(0, size, bars) // 3 * 3  # some at one place
+    blocks, active, lucks = rng.random(bars) < 0.5, rng.random(bars) < 0.15, (rng.random(bars), rng.random(bars))
+    e.barriers(pos, blocks, active, 0.4, 0.1, *lucks)
+    for at, order, move, event, luck, was, way in ((e.rev, e.rev_order, e.rev_move, e.rev_event, lucks[0], before[0], -1), (e.fwd, e.fwd_order[::-1], e.fwd_move, e.fwd_event, lucks[1], before[1], 1)):
+        behind = dict(zip(order.tolist(), [None, *order[:-1].tolist()]))  # the next unit ahead, in the order of the line
+        for unit in range(n):
+            ahead = at[behind[unit]] if behind[unit] is not None else None
+            stops = [abs(p - at[unit]) - 1 for p, b, a, u in zip(pos.tolist(), blocks, active, luck) if a and u < (0.4 if b == (way < 0) else 0.1) and 0 < (p - at[unit]) * way <= was[unit] and (ahead is None or (p - ahead) * way <= 0)]
+            assert (event[unit] == BARRIER) == bool(stops) and move[unit] == (min(stops) if stops else was[unit])
+
+
+def test_states_of_barriers_have_the_chances_asked_for():
+    from chromaweave.operators.simulation import _Luck, _States
+
+    rng = np.random.default_rng(4)
+    kinds = [(0.7, 0.7), (0.999, 0.003), (1.0, 1.0), (0.0, 0.0), (1 / 3, 0.9), (0.5 / 256, 1 - 0.5 / 256), (1.0, 0.0)]
+    each, keys = 200_000, np.zeros(1, np.uint64)
+    on, off = (np.repeat([k[side] for k in kinds], each) for side in (0, 1))
+    states = _States(np.tile([True, False], len(on) // 2), on, off)
+    for epoch in range(3):
+        was, keys[0] = states.active.copy(), epoch + 1
+        states.step(rng.integers(0, 256, len(on), dtype=np.uint8), _Luck(keys, np.zeros(len(on), np.int64), np.zeros(1, np.int64), 0))
+        for k, (a, b) in enumerate(kinds):
+            now, old = (x[k * each : (k + 1) * each] for x in (states.active, was))
+            for held, chance in ((now[old], a), (now[~old], 1 - b)):
+                assert abs(held.sum() - len(held) * chance) <= 5 * (len(held) * chance * (1 - chance)) ** 0.5
