@@ -135,7 +135,7 @@ def test_draws_of_few_blocks_are_dealt_to_all_tasks(spark):
     assert sum(r["count"] for r in parts) == 200_000 and len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-@pytest.mark.parametrize("sampled", ["occupancy"])
+@pytest.mark.parametrize("sampled", ["contacts", "occupancy"])
 def test_draws_are_never_sent_through_the_driver(spark, sampled):
     """Of the draws Spark knows their blocks' size only, which is small however many draws there are."""
     units = spark.range(90_000).select((F.col("id") % 3).alias("cell"), F.floor(F.col("id") / 3).alias("index"), (F.col("id") + 2_000).alias("rev"), (F.col("id") + 4_000).alias("fwd"))
